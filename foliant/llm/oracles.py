@@ -9,7 +9,7 @@ WITH RECURSIVE words AS (
   FROM {documents}
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(1))]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], chr(1)))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(1)))) END AS s
   FROM words
 ), sized AS (SELECT doc_id, s, len(s) AS n FROM sets
 ), items AS (SELECT doc_id, n, hash(unnest(s)) AS h FROM sized
