@@ -27,6 +27,37 @@ SELECT d.doc_id, d.n::BIGINT AS n_shingles, min(r.seen)::BIGINT AS component_id,
 FROM sized d JOIN reach r ON r.node = d.doc_id GROUP BY d.doc_id, d.n
 """
 
+#: The archives read back must say this of each page. DuckDB has no base32, so five-bit groups of the digest are looked up.
+ARCHIVES = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), h AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS x FROM p
+), f AS (SELECT x, payload_bytes, min(page_id) AS first FROM h GROUP BY 1, 2
+), d AS (SELECT DISTINCT x, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(
+    array_to_string(list_transform(range(1, 41), lambda j: lpad(bin(strpos('0123456789abcdef', substr(x, j, 1)) - 1), 4, '0')), ''), 1 + i * 5, 5))::INTEGER, 1)), '') AS b32 FROM f
+)
+SELECT h.page_id, h.payload_bytes, d.b32 AS payload_digest, CASE WHEN h.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN h.page_id <> f.first THEN f.first END AS refers_to
+FROM h JOIN f USING (x) JOIN d USING (x)
+"""
+
+#: What reading back formatted conversations must give.
+CONVERSATIONS = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, role || chr(10) || text || chr(10) AS line, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+    length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 23 AS n
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(line, '' ORDER BY turn, role, text)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": ARCHIVES,
+    "op9_chat_formatting": CONVERSATIONS,
     "op6_minhash_near_dedup": NEAR_DUPLICATES.format(documents="documents"),
 }
