@@ -56,7 +56,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(line, '' ORDER BY
 FROM e GROUP BY conv_id
 """
 
+PRODUCTS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": PRODUCTS,
     "op3_warc": ARCHIVES,
     "op9_chat_formatting": CONVERSATIONS,
     "op6_minhash_near_dedup": NEAR_DUPLICATES.format(documents="documents"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import chat, langid, toxicity, warc
+from foliant.llm import chat, langid, topk, toxicity, vptree, warc
 from foliant.llm.common import table
 from foliant.llm.minhash import near_duplicates
 from foliant.llm.mixing import taken_words
@@ -18,6 +19,19 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def asked(vec_id: str = "vec_id") -> Column:
+    """The rows that are queries."""
+    return F.col(vec_id) % 50 == 0
+
+
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), asked())
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), asked())
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +63,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
