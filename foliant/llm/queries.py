@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, langid, topk, toxicity, vptree, warc
+from foliant.llm import chat, langid, pii, topk, toxicity, vptree, warc
 from foliant.llm.common import table
 from foliant.llm.minhash import near_duplicates
 from foliant.llm.mixing import taken_words
@@ -49,6 +49,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
