@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("catalog", "duplicates", "maintenance", "telemetry", "texts", "extraction", "vectors", "consistency", "security", "layouts", "streams", "exports")
 
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"foliant.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
+    _load()
+    return dict(_oracles)
