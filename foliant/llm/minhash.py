@@ -5,7 +5,7 @@ band's bucket. In each bucket every class is first held against one pivot only,
 a class is confirmed against the one whose odd sketch is nearest. That joins almost all that belongs together, with at
 most one pair for each class. What a bucket then still holds in different components is compared through the sketches,
 outsiders of the bucket's main component against all its classes, in blocks; pairs whose sketches don't rule out the
-threshold are confirmed on the full sets. So no bucket is capped, and no group of copies becomes all its pairs.
+threshold are confirmed on the full sets, inside the block, which returns confirmed links only. So no bucket is capped, and no group of copies becomes all its pairs.
 
 Defined results: a null or wordless text has an empty set, n_shingles 0, is linked with nothing and is kept. Rows are
 classed by their text, so repeated rows are copies of each other. A null doc_id joins its class; the component is then
@@ -18,7 +18,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 SKETCH_LIMIT = 104
 #: A list of so many ids at most is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Outsiders of a bucket that are compared with the bucket in one block.
-BLOCK = 256
+#: Buckets of up to so many classes are compared by a join; larger ones in blocks of about so many shingles a side.
+FEW, BLOCK_SHINGLES = 16, 250_000
 
 _random = np.random.default_rng(20240601)
 _XOR = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,14 +168,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = materialize(_confirmed(nearest, sets, percent), "minhash-links")
     comps = components(links)
 
-    left = _apart(members, needed, comps, similarity)
-    best = left.groupBy("a", "other").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")
-    more = materialize(_confirmed(best, sets, percent), "minhash-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        comps = components(links)
-    rest = _apart(members, needed, comps, similarity).select("a", "b").distinct()
-    more = materialize(_confirmed(rest.join(best.withColumn("seen", F.lit(1)), ["a", "b"], "left_anti"), sets, percent), "minhash-links")
+    torn = materialize(_torn(members, needed, comps), "minhash-torn")
+    few = materialize(_few(torn.where(F.col("m") <= FEW), similarity), "minhash-few")
+    more = _confirmed(few, sets, percent).union(_many(torn.where(F.col("m") > FEW), sets, percent))
+    more = materialize(more, "minhash-links")
     if not more.isEmpty():
         comps = components(links.union(more))
 
@@ -185,16 +183,57 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
-def _apart(members: DataFrame, needed: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, other, apart) of classes that share a bucket, are in different components and have near sketches; other is b's component."""
-    placed = members.select("bucket", "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("comp", "fp").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    torn = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("all"), F.max("m").alias("most")).where("parts > 1")
-    torn = torn.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(torn, "bucket").join(needed, "fp")
-    outside = placed.where("comp <> main").withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
-    everyone = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = outside.alias("x"), everyone.alias("y")
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") != F.col("y.comp"))
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
-    return x.join(y, on & once & _comparable(similarity) & (_differing() <= SKETCH_LIMIT)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("y.comp").alias("other"), _differing().alias("apart"))
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of docs without the near duplicates of a document with a lesser id; of rows with that id, and of those without one, all stay."""
+    found = near_duplicates(docs)
+    gone = materialize(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"), "minhash-gone")
+    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _torn(members: DataFrame, needed: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: bucket, fp, comp, n, sketch; main, the bucket's largest component; m, its members; volume and outer, the shingles of all and of those outside the main component."""
+    placed = members.select("bucket", "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").join(needed, "fp").select("bucket", "fp", F.coalesce("comp", "fp").alias("comp"), "n", *SKETCH)
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("volume"))
+    buckets = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp", "volume")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("volume").alias("volume")).where("parts > 1")
+    return placed.join(buckets.select("bucket", F.col("top.comp").alias("main"), "m", "volume", (F.col("volume") - F.col("top.volume")).alias("outer")), "bucket")
+
+
+def _few(torn: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of small buckets in different components whose sketches are near."""
+    x, y = torn.alias("x"), torn.alias("y")
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.fp") < F.col("y.fp"))
+    return x.join(y, on & _comparable(similarity) & (_differing() <= SKETCH_LIMIT)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def _many(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of large buckets: those outside the main component against all, in blocks of bounded volume. A block returns one link for each class and component it reaches."""
+    whole = torn.join(sets, "fp").withColumn("inner_blocks", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int")).withColumn("outer_blocks", F.ceil(F.col("outer") / BLOCK_SHINGLES).cast("int"))
+    own = ["fp", "comp", "n", *SKETCH, "shingles"]
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    outside = whole.where("comp <> main").withColumn("i", F.pmod(F.hash("fp"), F.col("outer_blocks"))).withColumn("j", spread("inner_blocks")).select("bucket", "i", "j", F.lit(True).alias("outside"), *own)
+    everyone = whole.withColumn("j", F.pmod(F.hash("fp"), F.col("inner_blocks"))).withColumn("i", spread("outer_blocks")).select("bucket", "i", "j", F.lit(False).alias("outside"), *own)
+
+    def block(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        outer, n = rows["outside"].to_numpy(), rows["n"].to_numpy()
+        sketch = np.stack([rows[c].to_numpy() for c in SKETCH], 1).view(np.uint64)
+        comp = pd.factorize(np.array(rows["comp"].to_pylist(), object))[0]
+        cells = rows["shingles"].combine_chunks()
+        code, distinct = pd.factorize(cells.flatten().to_numpy())
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(cells).to_numpy())])
+        inner, found = np.flatnonzero(~outer), []
+        for y in np.flatnonzero(outer).tolist():
+            near = (np.bitwise_count(sketch[inner] ^ sketch[y]).sum(1) <= SKETCH_LIMIT) & (comp[inner] != comp[y]) & (n[inner] * 100 >= percent * n[y]) & (n[y] * 100 >= percent * n[inner])
+            xs = inner[near]
+            if len(xs):
+                mark = np.zeros(len(distinct), np.int64)
+                mark[code[at[y] : at[y + 1]]] = 1
+                size = at[xs + 1] - at[xs]
+                flat = code[np.repeat(at[xs] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                both = np.add.reduceat(mark[flat], np.cumsum(size) - size)
+                hit = xs[both * 100 >= (size + n[y] - both) * percent]
+                found += [(y, x) for x in hit[np.unique(comp[hit], return_index=True)[1]].tolist()]
+        a, b = ([f[k] for f in found] for k in (0, 1))
+        return pa.table({"a": rows["fp"].take(pa.array(a, pa.int64())), "b": rows["fp"].take(pa.array(b, pa.int64()))})
+
+    return outside.union(everyone).groupBy("bucket", "i", "j").applyInArrow(block, "a binary, b binary")
