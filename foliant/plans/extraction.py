@@ -55,7 +55,7 @@ def extract_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fn.record(F.col("text"))
     names = ("title", "year", "doi", "email", "abstract")
-    return rows(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", *[F.col(f"r.{n}").alias(n) for n in names], F.array_join("r.authors", "; ").alias("authors"))
+    return rows(spark, sf_dir).select("doc_id", F.explode(F.array(r)).alias("r")).select("doc_id", *[F.col(f"r.{n}").alias(n) for n in names], F.array_join("r.authors", "; ").alias("authors"))
 
 
 @query(rf"""

@@ -1 +1,85 @@
-"""Queries to come."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import security as fn
+from foliant.operators import uploads
+from foliant.plans.registry import query
+from foliant.sources import tables as src
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "pages")
+
+
+def _listed(patterns: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in patterns) + "]"
+
+
+FOUND = f"list_filter({_listed(fn.MARKS)}, lambda p: contains(html, p))"
+
+
+@query(f"SELECT page_id, array_to_string({FOUND}, ' ') AS marks, len({FOUND}) AS n_marks, contains(html, 'MZ') OR contains(html, 'PK' || chr(3) || chr(4)) AS has_program FROM pages")
+def malicious_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fn.marks(F.col("html"))
+    return pages(spark, sf_dir).select("page_id", F.array_join(found, " ").alias("marks"), F.size(found).cast("long").alias("n_marks"), fn.has_program(F.col("html").cast("binary")).alias("has_program"))
+
+
+URLS = "(SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'http://bit.ly:8080/' || page_id FROM pages WHERE page_id % 10 = 0)"
+
+
+@query(f"""
+SELECT page_id, url, array_to_string(CASE WHEN contains(url, 'bit.ly:8080') THEN [url, url] ELSE [] END, ' ') AS flagged FROM {URLS}
+""")
+def suspicious_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = pages(spark, sf_dir).select("page_id", "url")
+    urls = urls.union(urls.where("page_id % 10 = 0").select("page_id", F.concat(F.lit("http://bit.ly:8080/"), F.col("page_id").cast("string"))))
+    return urls.select("page_id", "url", F.array_join(fn.dubious_urls(F.col("url")), " ").alias("flagged"))
+
+
+NAME = "CASE doc_id % 6 WHEN 0 THEN source || '.pdf' WHEN 1 THEN '../' || source WHEN 2 THEN source || '?.pdf' WHEN 3 THEN source || '.txt' WHEN 4 THEN '' ELSE repeat('x', 300) END"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN length(n) > 255 THEN 'too_long' WHEN contains(n, '..') OR contains(n, '/') THEN 'traversal' WHEN contains(n, '?') THEN 'bad_characters' WHEN NOT ends_with(n, '.pdf') THEN 'type' END AS problem
+FROM (SELECT doc_id, {NAME} AS n FROM documents)
+""")
+def filename_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, s = F.col("doc_id") % 6, F.col("source")
+    name = F.when(r == 0, F.concat(s, F.lit(".pdf"))).when(r == 1, F.concat(F.lit("../"), s)).when(r == 2, F.concat(s, F.lit("?.pdf"))).when(r == 3, F.concat(s, F.lit(".txt"))).when(r == 4, "").otherwise(F.repeat(F.lit("x"), 300))
+    return src.table(spark, sf_dir, "documents").select("doc_id", fn.name_problem(name).alias("problem"))
+
+
+@query(f"SELECT page_id, CASE WHEN n = 0 THEN 'safe' WHEN n <= 3 THEN 'medium' ELSE 'high' END AS level FROM (SELECT page_id, len({FOUND}) AS n FROM pages)")
+def threat_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", fn.threat_level(F.size(fn.marks(F.col("html")))).alias("level"))
+
+
+@query(f"""
+SELECT page_id, 'signature' AS problem, 'header,end_mark' AS structure, len({FOUND}) AS n_marks, sha256(html) AS digest, octet_length(encode(html)) AS bytes FROM pages
+""")
+def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("html")
+    return pages(spark, sf_dir).select("page_id", fn.content_problem(t.cast("binary")).alias("problem"), F.array_join(fn.structure_problems(t), ",").alias("structure"), F.size(fn.marks(t)).cast("long").alias("n_marks"), F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("bytes"))
+
+
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS last_hour, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS last_day
+FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events)
+""")
+def rate_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = src.events(spark, sf_dir).select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("at"))
+    return uploads.trailing_counts(e).select("event_id", "last_hour", "last_day")
+
+
+@query()
+def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = src.events(spark, sf_dir).select("event_id", (F.col("user_id") % 5).alias("client"), F.col("ts").alias("at"))
+    return uploads.decisions(e, per_hour=2, per_day=10).select("event_id", "client", "accepted")
+
+
+@query()
+def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = src.events(spark, sf_dir).where("event_id < 2000").select("event_id", F.col("event_type").alias("service"), F.col("ts").alias("at"), (F.col("k") % 3 > 0).alias("ok"))
+    return uploads.breaker(calls, failures=3, seconds=3600, successes=2)

@@ -1 +1,79 @@
-"""Queries to come."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import vector as fn
+from foliant.operators import vectors as op
+from foliant.plans.registry import query
+from foliant.sources import tables as src
+
+V = "(SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+COS = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
+PAIRS = f"FROM {V} a JOIN {V} b ON a.vec_id < b.vec_id AND a.vec_id < 50 AND b.vec_id < 50"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = src.vectors(spark, sf_dir).where("vec_id < 50")
+    return v.alias("a").join(v.alias("b"), F.col("a.vec_id") < F.col("b.vec_id"))
+
+
+@query(f"SELECT a.vec_id AS x, b.vec_id AS y, round({COS}, 6) AS cosine, round(greatest(0, {COS}), 6) AS similarity {PAIRS}")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a.v"), F.col("b.v")
+    return pairs(spark, sf_dir).select(F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), F.round(fn.cosine(a, b), 6).alias("cosine"), F.round(fn.similarity(a, b), 6).alias("similarity"))
+
+
+@query(f"""
+SELECT a.vec_id AS x, b.vec_id AS y, round(list_distance(a.v, b.v), 6) AS euclidean, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS manhattan,
+  round(list_max(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS max_move, round(list_avg(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]))), 6) AS mean_move, {COS} < 0.95 AS significant {PAIRS}
+""")
+def l2_l1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fn.comparison(F.col("a.v"), F.col("b.v"))
+    own = [F.round(m[n], 6).alias(n) for n in ("euclidean", "manhattan", "max_move", "mean_move")]
+    return pairs(spark, sf_dir).select(F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), *own, m["significant"].alias("significant"))
+
+
+@query(f"SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, label FROM {V}")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.vectors(spark, sf_dir).select("vec_id", F.round(fn.norm(F.col("v")), 6).alias("norm"), "label")
+
+
+@query(f"SELECT vec_id, rank::INTEGER AS rank, other, similarity FROM (SELECT a.vec_id, b.vec_id AS other, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM {V} a JOIN {V} b ON a.vec_id <> b.vec_id) WHERE rank <= 10")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.nearest_rows(src.vectors(spark, sf_dir), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT vec_id, rank::INTEGER AS rank, other, similarity FROM (SELECT a.vec_id, b.vec_id AS other, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM {V} a JOIN {V} b ON a.vec_id <> b.vec_id AND a.label = b.label) WHERE rank <= 5")
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.nearest_rows(src.vectors(spark, sf_dir), 5, same="label").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT b.vec_id, round({COS}, 6) AS similarity FROM {V} a JOIN {V} b ON a.vec_id = 0 AND b.vec_id <> 0 ORDER BY {COS} DESC, b.vec_id LIMIT 10")
+def similar_to_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.similar_documents(src.vectors(spark, sf_dir), 0, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT b.vec_id, round({COS}, 6) AS similarity FROM {V} a JOIN {V} b ON a.vec_id = 0 AND b.vec_id <> 0 AND b.label IN (1, 2, 3) AND b.vec_id >= 100 ORDER BY {COS} DESC, b.vec_id LIMIT 2")
+def similar_with_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op.similar_documents(src.vectors(spark, sf_dir), 0, 3, {"label": {"$in": [1, 2, 3]}, "$or": [{"vec_id": {"$gte": 100}}]}, count_self=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT vec_id, other, similarity FROM (SELECT a.vec_id, b.vec_id AS other, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM {V} a JOIN {V} b ON a.vec_id <> b.vec_id) WHERE rank = 1 AND similarity >= 0.4")
+def semantic_dup_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.semantic_duplicates(src.vectors(spark, sf_dir), 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""
+WITH m AS (SELECT label, i, avg(v[i]) AS x, count(*) AS n FROM {V}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), s AS (SELECT label, sqrt(sum(x * x)) AS size FROM m GROUP BY 1)
+SELECT label, (i - 1)::INTEGER AS i, round(x / size, 6) AS x, n FROM m JOIN s USING (label)
+""")
+def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = op.mean_vectors(src.vectors(spark, sf_dir), "label")
+    return pooled.select("label", F.posexplode("v").alias("i", "x"), "n").select("label", "i", F.round("x", 6).alias("x"), "n")
+
+
+@query("SELECT conv_id || '_page_' || (turn + 1) AS id, conv_id AS paper_id, substr(text, 1, 500) AS preview FROM conversations")
+def page_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.page_rows(src.pages(spark, sf_dir)).select("id", "paper_id", "preview")
