@@ -14,6 +14,8 @@ columns are carried along by mix(). An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,34 +59,58 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return rows.withColumn("target", target).select("source", "sidx", "source_size", "target")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed, and written in the plan, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hypergeometric(marked: Column, total: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` items, out of `total` with `marked` marked ones, are marked: the inverse of the distribution at u.
 
     Weights run from the mode by the ratio of neighbours; twelve deviations away they no longer change a double.
     """
-    one = F.lit(1.0)
-    k_, n_, d_ = marked.cast("double"), total.cast("double"), drawn.cast("double")
-    low, high = F.greatest(F.lit(0), drawn - (total - marked)).cast("long"), F.least(marked, drawn).cast("long")
-    mode = F.greatest(low, F.least(high, F.floor((d_ + 1) * (k_ + 1) / (n_ + 2)))).cast("long")
-    deviation = F.sqrt(F.greatest(F.lit(0.0), d_ * k_ / F.greatest(n_, one) * (1 - k_ / F.greatest(n_, one)) * (n_ - d_) / F.greatest(n_ - 1, one)))
-    reach = (deviation * 12 + 30).cast("long")
-    up, down = F.sequence(mode, F.least(high, mode + reach)), F.sequence(mode, F.greatest(low, mode - reach))
-    rise = lambda k: (k_ - k) * (d_ - k) / ((k + 1) * F.greatest(n_ - k_ - d_ + k + 1, one))
-    fall = lambda k: k * (n_ - k_ - d_ + k) / ((k_ - k + 1) * (d_ - k + 1))
-
-    def weight(ks: Column, ratio) -> Column:
-        return F.aggregate(ks, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda s, k: F.struct((s.w * ratio(k.cast("double"))).alias("w"), (s.sum + s.w).alias("sum")), lambda s: s.sum)
-
-    def walk(ks: Column, ratio, t: Column, begin: Column) -> Column:
-        start = F.struct(one.alias("w"), begin.alias("sum"), F.lit(-1).cast("long").alias("at"))
-        step = lambda s, k: F.struct((s.w * ratio(k.cast("double"))).alias("w"), (s.sum + s.w).alias("sum"), F.when((s["at"] < 0) & (s.sum + s.w > t), k).otherwise(s["at"]).alias("at"))
-        return F.aggregate(ks, start, step, lambda s: s["at"])
-
-    rising = weight(up, rise)
-    t = u * (rising + weight(down, fall) - 1)
-    below = walk(down, fall, t - rising, F.lit(-1.0))
-    found = F.when(t < rising, walk(up, rise, t, F.lit(0.0))).otherwise(F.when(below < 0, mode).otherwise(below))
-    return F.when(found < 0, mode).otherwise(found)
+    args = F.struct(marked.cast("double").alias("k"), total.cast("double").alias("n"), drawn.cast("double").alias("d"), u.alias("u"))
+    return let(args, lambda a: let(_bounds(a), lambda b: let(_weights(a, b), lambda w: _walk(a, b, w))))
+
+
+def _bounds(a: Column) -> Column:
+    """The mode, and the range around it that matters."""
+    low, high = F.greatest(F.lit(0.0), a.d - (a.n - a.k)), F.least(a.k, a.d)
+    mode = F.greatest(low, F.least(high, F.floor((a.d + 1) * (a.k + 1) / (a.n + 2)).cast("double")))
+    part = a.k / F.greatest(a.n, F.lit(1.0))
+    reach = F.floor(F.sqrt(F.greatest(F.lit(0.0), a.d * part * (1 - part) * (a.n - a.d) / F.greatest(a.n - 1, F.lit(1.0)))) * 12 + 30).cast("double")
+    return F.struct(mode.cast("long").alias("mode"), F.greatest(low, mode - reach).cast("long").alias("low"), F.least(high, mode + reach).cast("long").alias("high"))
+
+
+def _rise(a: Column, k: Column) -> Column:
+    return (a.k - k) * (a.d - k) / ((k + 1) * F.greatest(a.n - a.k - a.d + k + 1, F.lit(1.0)))
+
+
+def _fall(a: Column, k: Column) -> Column:
+    return k * (a.n - a.k - a.d + k) / ((a.k - k + 1) * (a.d - k + 1))
+
+
+def _weights(a: Column, b: Column) -> Column:
+    """Sums of the weights upwards from the mode, mode included, and downwards, mode excluded; the mode's weight is one."""
+    def total(ks: Column, ratio: Callable) -> Column:
+        step = lambda s, k: F.struct((s.w * ratio(a, k.cast("double"))).alias("w"), (s.sum + s.w).alias("sum"))
+        return F.aggregate(ks, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")), step, lambda s: s.sum)
+
+    return F.struct(total(F.sequence(b.mode, b.high), _rise).alias("up"), (total(F.sequence(b.mode, b.low), _fall) - 1).alias("down"))
+
+
+def _walk(a: Column, b: Column, w: Column) -> Column:
+    """The first value, upwards from the mode, then downwards, at which the running sum passes u of the whole."""
+    t = a.u * (w.up + w.down)
+    up = t < w.up
+    begin = F.struct(F.lit(1.0).alias("w"), F.when(up, 0.0).otherwise(w.up - 1).alias("sum"), F.lit(-1).cast("long").alias("at"))
+
+    def step(s: Column, k: Column) -> Column:
+        ratio = F.when(up, _rise(a, k.cast("double"))).otherwise(_fall(a, k.cast("double")))
+        return F.struct((s.w * ratio).alias("w"), (s.sum + s.w).alias("sum"), F.when((s["at"] < 0) & (s.sum + s.w > t), k).otherwise(s["at"]).alias("at"))
+
+    found = F.aggregate(F.sequence(b.mode, F.when(up, b.high).otherwise(b.low)), begin, step, lambda s: s["at"])
+    return let(found, lambda k: F.when(k < 0, b.mode).otherwise(k))
 
 
 def _unit(*parts: Column) -> Column:
@@ -113,7 +139,7 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
 
         def draw(s: Column, k: Column) -> Column:
             got = hypergeometric(k, s.total, s.drawn, _unit(F.col("lo"), F.col("hi"), s.i))
-            return F.element_at(F.transform(F.array(got), lambda g: F.struct((s.total - k).alias("total"), (s.drawn - g).alias("drawn"), (s.i + 1).alias("i"), F.concat(s.out, F.array(g)).alias("out"))), 1)
+            return let(got, lambda g: F.struct((s.total - k).alias("total"), (s.drawn - g).alias("drawn"), (s.i + 1).alias("i"), F.concat(s.out, F.array(g)).alias("out")))
 
         left = F.aggregate("counts", begin, draw, lambda s: s.out)
         parts = parts.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, left))

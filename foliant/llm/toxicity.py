@@ -24,7 +24,7 @@ from foliant.llm import textvec as tv
 from foliant.llm.common import bounded_batches
 from foliant.llm.learning import chance, cut, held_out, thin
 
-POSITIVE, NEGATIVE = 2500, 4500
+POSITIVE, NEGATIVE = 2000, 3500
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
 #: Terms kept at most; a term must stand out by so many standard deviations, in so many sampled texts.
@@ -157,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         found = cut(rows.mapInArrow(_sampled, "doc_id long, toxic int, chance double, x binary").collect(), "toxic", most)
         label = np.array([r["toxic"] for r in found])
         if 0 < label.sum() < len(label):
-            parts = [np.frombuffer(r["x"], np.int32) for r in found]
-            return fit_machine(np.concatenate(parts).astype(np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), label, prior)
+            bounds = np.concatenate([[0], np.cumsum([len(r["x"]) // 4 for r in found])])
+            return fit_machine(np.frombuffer(b"".join(r["x"] for r in found), np.int32), bounds, label, prior)
     flat = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     return Machine(flat, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
 
