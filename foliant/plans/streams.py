@@ -1 +1,37 @@
-"""Queries to come."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.plans.registry import query
+from foliant.streaming import jobs
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")
+def hourly_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_once(jobs.window_counts(jobs.event_stream(spark, sf_dir)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT s AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM (
+  SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2
+""")
+def sliding_kpis_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_once(jobs.window_counts(jobs.event_stream(spark, sf_dir), "1 hour", "30 minutes"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS step, count(*) AS steps FROM events GROUP BY 1")
+def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_once(jobs.latest_states(jobs.event_stream(spark, sf_dir)), "complete")
+
+
+@query("SELECT count(DISTINCT user_id) AS uploads FROM events")
+def first_arrivals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jobs.run_once(jobs.first_arrivals(jobs.event_stream(spark, sf_dir, "60 days").select("user_id", "ts"), "user_id"), "append")
+    return found.agg(F.count("*").alias("uploads"))
+
+
+@query()
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = jobs.event_stream(spark, sf_dir).select("event_id", (F.col("user_id") % 5).alias("client"), "ts")
+    return jobs.run_once(jobs.upload_decisions(uploads, 2, 10), "append")
