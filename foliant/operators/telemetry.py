@@ -11,7 +11,7 @@ from foliant.operators.catalog import rate
 #: Error kinds in the order in which they are tried, with the words that tell them; fixed values.
 ERROR_KINDS = (
     ("timeout", ("timeout",)),
-    ("connection", ("connection", "network")),
+    ("network", ("connection", "network")),
     ("memory", ("memory", "oom")),
     ("permission", ("permission", "access")),
 )

@@ -62,7 +62,7 @@ MESSAGE = """CASE (props->>'k')::BIGINT % 6 WHEN 0 THEN 'Connection TIMEOUT' WHE
 
 @query(f"""
 SELECT kind, n, round(n * 100.0 / (SELECT count(*) FROM events WHERE event_type = 'error'), 6) AS share FROM (
-  SELECT CASE WHEN contains(m, 'timeout') THEN 'timeout' WHEN contains(m, 'connection') OR contains(m, 'network') THEN 'connection' WHEN contains(m, 'memory') OR contains(m, 'oom') THEN 'memory'
+  SELECT CASE WHEN contains(m, 'timeout') THEN 'timeout' WHEN contains(m, 'connection') OR contains(m, 'network') THEN 'network' WHEN contains(m, 'memory') OR contains(m, 'oom') THEN 'memory'
     WHEN contains(m, 'permission') OR contains(m, 'access') THEN 'permission' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT lower({MESSAGE}) AS m FROM events WHERE event_type = 'error') WHERE m IS NOT NULL GROUP BY 1)
 """)
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
