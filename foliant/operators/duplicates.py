@@ -80,17 +80,18 @@ def groups_with_copies(docs: DataFrame, key: Column, least: int = 2) -> DataFram
 def cascade(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Each document's first level that finds an earlier copy: (doc_id, duplicate_of, level).
 
-    Later levels see only what earlier ones left, so the costly keys are computed for the rest alone; a copy is held
-    against all documents of its level, as the stored hashes would be.
+    Only ids and keys travel. A level's side of its join is its repeated keys with their first document, which is small
+    where copies are few, so that Spark can send it to the documents instead of shuffling them.
     """
-    left, found = docs, None
-    for level, key in keys.items():
-        stored = docs.select(key.alias("key_"), "doc_id").where("key_ IS NOT NULL").groupBy("key_").agg(F.min("doc_id").alias("duplicate_of"))
-        probe = left.withColumn("key_", key)
-        hits = probe.join(stored, "key_").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of", F.lit(level).alias("level"))
-        found = hits if found is None else found.unionByName(hits)
-        left = left.join(hits, "doc_id", "left_anti")
-    return found
+    names = list(keys)
+    out = docs.select("doc_id", *[k.alias(f"k{i}") for i, k in enumerate(keys.values())])
+    for i, key in enumerate(keys.values()):
+        stored = docs.select(key.alias(f"k{i}"), "doc_id").where(f"k{i} IS NOT NULL").groupBy(f"k{i}").agg(F.min("doc_id").alias(f"d{i}"), F.count("*").alias("n")).where("n > 1").drop("n")
+        out = out.join(stored, f"k{i}", "left").withColumn(f"d{i}", F.when(F.col(f"d{i}") != F.col("doc_id"), F.col(f"d{i}")))
+    first, level = F.coalesce(*[F.col(f"d{i}") for i in range(len(names))]), F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(names))):
+        level = F.when(F.col(f"d{i}").isNotNull(), name).otherwise(level)
+    return out.select("doc_id", first.alias("duplicate_of"), level.alias("level")).where("duplicate_of IS NOT NULL")
 
 
 def probe(candidates: DataFrame, library: DataFrame, keys: dict[str, Column], candidate_id: str) -> DataFrame:

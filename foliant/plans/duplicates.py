@@ -10,7 +10,7 @@ from foliant.sources import tables as src
 #: The levels' keys over a document's text; the SQL twins say the same.
 L0 = "md5(text)"
 L1 = "sha256('|title:|author:|creator:|pages:1|text:' || CASE WHEN length(trim(text, ' ' || chr(9) || chr(13) || chr(10))) > 5000 THEN substr(trim(text, ' ' || chr(9) || chr(13) || chr(10)), 1, 5000) || '...' ELSE trim(text, ' ' || chr(9) || chr(13) || chr(10)) END)"
-L2 = "md5(substr(lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')), 1, 400))"
+L2 = "md5(substr(lower(regexp_replace(substr(text, 1, 2000), '[^A-Za-z]+', '', 'g')), 1, 400))"
 
 
 def keys() -> dict:
@@ -18,7 +18,7 @@ def keys() -> dict:
     return {
         op.LEVELS[0]: F.md5(text),
         op.LEVELS[1]: op.content_hash(none, none, none, F.lit(1), op.first_pages_text(F.array(text))),
-        op.LEVELS[2]: F.md5(F.substring(F.lower(F.regexp_replace(text, "[^A-Za-z]+", "")), 1, 400)),
+        op.LEVELS[2]: F.md5(F.substring(F.lower(F.regexp_replace(F.substring(text, 1, 2000), "[^A-Za-z]+", "")), 1, 400)),
     }
 
 
