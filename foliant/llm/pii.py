@@ -134,7 +134,7 @@ def disclosures(near: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFra
 
 
 def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """docs (doc_id, text, ...) with base and spans, arrays of (start, rank, kind, end, value): the patterns' spans, and those with the method's. Without keep_text the text is left out."""
+    """(row_, base, spans) for every row of docs: its own columns as a struct, and arrays of (start, rank, kind, end, value), the patterns' spans and those with the method's. Without keep_text the struct has no text."""
     own = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if keep_text or c != "text"]).alias("row_"), text.alias("text"))
@@ -158,7 +158,7 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     marked = marked.withColumn("extra", F.when(F.col("flags").isNotNull(), extra).otherwise(F.array().cast(SPAN)))
     marked = marked.select("row_", "text", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
     plain = rows.where(F.size("base") == 0).select("row_", "text", "base", F.col("base").alias("spans"))
-    return plain.unionByName(marked).select("row_.*", "base", "spans")
+    return plain.unionByName(marked).select("row_", "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -169,7 +169,7 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs (doc_id, text)."""
     found = find(docs.select("doc_id", "text"), keep_text=False)
     counts = [_count(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("row_.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -188,9 +188,8 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, n_chars, ...) with redacted texts; a text without spans, null included, stays as it is."""
     found = find(docs)
-    changed = F.size("spans") > 0
-    text = F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text_", text)
+    changed, old = F.size("spans") > 0, F.col("row_.text")
+    new = {"text": F.when(changed, redact(old, F.col("spans"))).otherwise(old)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text_").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("text_")).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length(new["text"]).cast("long")).otherwise(F.col("row_.n_chars"))
+    return found.select(*[new.get(c, F.col("row_").getField(c)).alias(c) for c in docs.columns])
