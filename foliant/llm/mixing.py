@@ -206,21 +206,23 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
 
 
 def _pick(docs: DataFrame, rounds: int = 5) -> DataFrame:
-    """Documents of the one block of each source that is drawn in part, as many words as `rest` says.
+    """Documents of the one block of each source that is drawn in part, about as many words as `rest` says.
 
-    First in permuted order as long as they fit, then, a few times over, the largest that still fit.
+    First in permuted order up to four fifths of it, then, a few times over, the largest that still fit, and last the one
+    document that comes nearer to it by passing it, if there is one.
     """
     whole = Window.partitionBy("sidx", "block")
     docs = docs.where("size > 0").withColumn("taken", F.lit(False))
-    for i in range(rounds):
-        room = F.col("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("words"))).over(whole), F.lit(0))
-        docs = docs.withColumn("room", room).withColumn("fits", ~F.col("taken") & (F.col("words") <= F.col("room")))
-        order = ("key_", "doc_id", "size") if not i else (F.desc("words"), F.col("key_"), F.col("doc_id"))
+    room = F.col("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("words"))).over(whole), F.lit(0))
+    for i in range(rounds + 1):
+        part = F.col("room") if i else F.col("room") * 0.8
+        docs = docs.withColumn("room", room).withColumn("fits", ~F.col("taken") & (F.col("words") <= F.col("room")) if i else F.lit(True))
+        order = ("key_", "doc_id", "size") if not i else (F.desc("words"), "key_", "doc_id")
         after = F.sum(F.when(F.col("fits"), F.col("words")).otherwise(0)).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        if not i:
-            after = F.sum("words").over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        docs = docs.withColumn("taken", F.col("taken") | (F.col("fits") & (after <= F.col("room"))))
-    return docs.where("taken")
+        docs = docs.withColumn("taken", F.col("taken") | (F.col("fits") & (after <= part)))
+    over = F.when(~F.col("taken") & (F.col("words") < F.col("room") * 2), F.struct(F.abs(F.col("words") - F.col("room")).alias("off"), F.col("key_").alias("key_"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size")))
+    docs = docs.withColumn("room", room).withColumn("over", over).withColumn("best", F.min("over").over(whole))
+    return docs.where(F.col("taken") | (F.col("over").isNotNull() & (F.col("over") == F.col("best"))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
