@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +72,12 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several frames of one row each, as one row."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def coverage(flags: DataFrame) -> DataFrame:
     """One row: papers, and for each has_<name> flag how many have it and what percent, from one pass."""
     names = [c.removeprefix("has_") for c in flags.columns if c.startswith("has_")]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.catalog import one_row
+
 #: What to do about a kind of issue; fixed values.
 ADVICE = {
     "missing_left": "Remove the vector or import the paper",
@@ -51,7 +53,7 @@ def attribute_differences(left: DataFrame, right: DataFrame, key: str, attribute
 
 def total_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """One issue if the sides have different numbers of rows, from one pass over each."""
-    n = left.agg(F.count("*").alias("nl")).crossJoin(right.agg(F.count("*").alias("nr"))).where("nl <> nr")
+    n = one_row(left.agg(F.count("*").alias("nl")), right.agg(F.count("*").alias("nr"))).where("nl <> nr")
     return _issues(n, "count_mismatch", F.concat_ws("/", "nl", "nr"))
 
 
@@ -73,7 +75,7 @@ def recommendations(issues: DataFrame) -> DataFrame:
 
 def quick_summary(left: DataFrame, right: DataFrame, checked: Column, issues: Column) -> DataFrame:
     """Whether counts match, and whether the last check found nothing."""
-    n = left.agg(F.count("*").alias("papers")).crossJoin(right.agg(F.count("*").alias("vectors")))
+    n = one_row(left.agg(F.count("*").alias("papers")), right.agg(F.count("*").alias("vectors")))
     match = F.col("papers") == F.col("vectors")
     return n.withColumn("counts_match", match).withColumn("status", F.when(~checked, "never_checked").when(match & (issues == 0), "consistent").otherwise("inconsistent"))
 

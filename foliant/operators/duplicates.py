@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.operators.catalog import rate
+from foliant.operators.catalog import one_row, rate
 
 LEVELS = ("Level_0_File_Hash", "Level_1_Content_Hash", "Level_2_Sample_Embedding")
 #: Characters of content, of a sampled page and of a whole sample that count; and what a cut adds.
@@ -140,7 +140,7 @@ def store_coverage(papers: DataFrame, hashes: DataFrame) -> DataFrame:
     n = papers.agg(F.count("*").alias("papers"))
     joined = hashes.join(papers.select(F.col("doc_id").alias("paper_id")), "paper_id")
     counts = joined.agg(F.count("*").alias("joined_rows"), F.count_distinct("paper_id").alias("papers_with_hash"))
-    return n.crossJoin(hashes.agg(F.count("*").alias("hashes"))).crossJoin(counts).withColumn("coverage", F.round(rate(F.col("hashes"), F.col("papers")), 6))
+    return one_row(n, hashes.agg(F.count("*").alias("hashes")), counts).withColumn("coverage", F.round(rate(F.col("hashes"), F.col("papers")), 6))
 
 
 def newest(hashes: DataFrame, *by: str) -> DataFrame:
