@@ -118,19 +118,20 @@ def disclosures(near: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFra
 
     near has (rid, copy, entity, term), holders (rid, entity), docs (text): counts are of documents, support of different texts.
     """
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("copy").alias("support"))
-    pairs = materialize(pairs.where(F.col("support") >= SUPPORT), "pii-pairs")
+    n = float(max(docs.count(), 1))
+    information = -F.log(F.col("n_entity") / F.lit(n))
+    told = lambda n_term: F.when(information > 0, (F.log(F.col("n_both") / F.col(n_term)) + information) / information).otherwise(F.lit(0.0))
+    n_entities = holders.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity"))
+    n_near = near.groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("copy").alias("support")).where(F.col("support") >= SUPPORT)
+    # A term is in at least as many documents as have it near an entity, so a pair that fails by that count fails anyway.
+    pairs = materialize(pairs.join(n_near, "term").join(n_entities, "entity").where(told("n_near") >= GENERALISE - 1e-9), "pii-pairs")
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     n_terms = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entities = holders.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity"))
-    n = docs.count()
-    information = -F.log(F.col("n_entity") / F.lit(float(max(n, 1))))
-    mutual = F.log(F.col("n_both") / F.col("n_term")) + information
-    told = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    return pairs.join(n_terms, "term").join(n_entities, "entity").select("entity", "term", told.alias("disclosed"))
+    return pairs.join(n_terms, "term").select("entity", "term", told("n_term").alias("disclosed"))
 
 
 def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
