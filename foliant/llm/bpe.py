@@ -56,6 +56,9 @@ class TextIds:
         special = {x["content"] for x in spec.get("added_tokens", ())}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+        self.vocabulary = 1 + max([*spec["model"]["vocab"].values(), *[x["id"] for x in spec.get("added_tokens", ())]])
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(b) for b in ranks]
         self.library = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
@@ -91,6 +94,8 @@ class TextIds:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (and one past the last)."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         cp, at = tv.codepoints(texts)
         whole = "\n".join(t or "" for t in texts) + "\n"
         kind = _classes()[cp]
@@ -129,6 +134,16 @@ class TextIds:
         bounds = after[np.searchsorted(starts, at)]
         return self._with_contractions(texts, cp, at, ids, bounds)
 
+    def offsets(self, texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character (exclusive) of each id of texts, counted through all texts; ids that share a character both have it."""
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
+        character = np.repeat(np.arange(len(cp)), width)
+        if not len(ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = np.cumsum(self.bytes_of[ids])
+        return character[end - self.bytes_of[ids]], character[end - 1] + 1
+
     def _with_contractions(self, texts: list[str | None], cp: np.ndarray, at: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = np.flatnonzero((cp[:-1] == 39) & _AFTER[np.minimum(cp[1:], 127)])
         if not len(mark):

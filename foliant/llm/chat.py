@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Tokenizer
 
+from foliant.llm import textvec as tv
+from foliant.llm.bpe import TextIds, encoder
 from foliant.llm.common import bounded_batches
 
 TURN, TEXT, END = MARKS = ("<|turn|>", "<|text|>", "<|end|>")
@@ -58,11 +58,31 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-@lru_cache(2)
-def tokenizer(path: str) -> Tokenizer:
-    found = Tokenizer.from_file(path)
-    found.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
-    return found
+def encode(library: TextIds, conversations: list[list[tuple[str, str]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, starts and ends of the tokens of each rendered conversation. The marks are tokens that follow the vocabulary; what lies between them is encoded in one call for all conversations."""
+    parts = [escape(x) for turns in conversations for turn in turns for x in turn]
+    ids, bounds = library.encode(parts)
+    first, last = library.offsets(parts, ids)
+    began = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    turn_mark, text_mark, end_mark = (np.array([library.vocabulary + i]) for i in range(len(MARKS)))
+    out, k = [], 0
+    for turns in conversations:
+        got, starts, ends, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for _ in turns:
+            for mark, name, part in ((turn_mark, TURN, k), (text_mark, TEXT, k + 1), (end_mark, END, None)):
+                got.append(mark)
+                starts.append(np.array([at]))
+                ends.append(np.array([at + len(name)]))
+                at += len(name)
+                if part is not None:
+                    lo, hi = bounds[part], bounds[part + 1]
+                    got.append(ids[lo:hi])
+                    starts.append(first[lo:hi] - began[part] + at)
+                    ends.append(last[lo:hi] - began[part] + at)
+                    at += len(parts[part])
+            k += 2
+        out.append((np.concatenate(got), np.concatenate(starts), np.concatenate(ends)))
+    return out
 
 
 def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -89,20 +109,16 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> list[s
 
 def _formatted(path: str, learned: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = tokenizer(path)
+        library = encoder(path)
         for batch in batches:
             turns = [[(t["role"], t["text"]) for t in c] for c in batch["turns"].to_pylist()]
-            rendered = [render(t) for t in turns]
-            encoded = library.encode_batch([x for x, _ in rendered], add_special_tokens=False)
-            ids, starts, ends, masks = [], [], [], []
-            for t, (_, spans), e in zip(turns, rendered, encoded, strict=True):
-                offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                ids.append(np.array(e.ids, np.int32))
-                starts.append(offsets[:, 0])
-                ends.append(offsets[:, 1])
-                masks.append(token_mask(offsets, [s for s, (role, _) in zip(spans, t, strict=True) if role in learned]))
-            lists = [pa.array(x, pa.list_(kind)) for x, kind in ((ids, pa.int32()), (starts, pa.int64()), (ends, pa.int64()), (masks, pa.int8()))]
-            yield pa.RecordBatch.from_arrays([batch["conv_id"], pa.array([x for x, _ in rendered], pa.string()), *lists], names=["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
+            for lo, hi in tv.chunks(["".join(t for _, t in c) for c in turns]):
+                rendered = [render(t) for t in turns[lo:hi]]
+                encoded = encode(library, turns[lo:hi])
+                masks = [token_mask(np.stack([s, e], 1), [x for x, (role, _) in zip(spans, t, strict=True) if role in learned]) for t, (_, spans), (_, s, e) in zip(turns[lo:hi], rendered, encoded, strict=True)]
+                columns = (([x[0] for x in encoded], pa.int32()), ([x[1] for x in encoded], pa.int64()), ([x[2] for x in encoded], pa.int64()), (masks, pa.int8()))
+                lists = [pa.array(x, pa.list_(kind)) for x, kind in columns]
+                yield pa.RecordBatch.from_arrays([batch["conv_id"].slice(lo, hi - lo), pa.array([x for x, _ in rendered], pa.string()), *lists], names=["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 
     return run
 
@@ -119,10 +135,11 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, learned: tuple[s
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        of = lambda column, i: batch[column][i].values.to_numpy()
+        for i in range(batch.num_rows):
+            row = {c: batch[c][i].as_py() for c in ("conv_id", "formatted")}
             turns = parse(row["formatted"])
-            offsets = np.stack([np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)], 1)
-            loss = "".join(masked_text(row["formatted"], offsets, np.array(row["loss_mask"], np.int8)))
+            loss = "".join(masked_text(row["formatted"], np.stack([of("starts", i), of("ends", i)], 1), of("loss_mask", i)))
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
             out.append((row["conv_id"], len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(row["formatted"])))
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
