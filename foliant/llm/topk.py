@@ -7,10 +7,13 @@ bound the same with the products last read. Reading stops when the products last
 greatest lower bound, so that no vector never met can qualify; the vectors whose upper bounds still reach that bound are
 resolved to their final scores.
 
+Bounds are doubles with a margin for their rounding; final scores are summed in longs where every sum fits, else in
+Python's integers. Vectors of very different size have lists of their own, so that the margin stays small for each.
+
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without
-an id or with a component beyond 4096 in absolute value (their sums needn't fit); vectors of other lengths are not
-compared. Rows with the query's id are its own and no candidates; equal query rows give one answer. Ties go to the
-smaller vec_id. Other columns are ignored.
+an id; vectors of other lengths are not compared. Rows with the query's id are its own and no candidates; equal query
+rows give one answer. A product that doesn't fit a long counts as the nearest long. Ties go to the smaller vec_id. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,59 +24,111 @@ from pyspark.sql import functions as F
 
 from foliant.llm.vptree import first_by_score, shard_by_group, usable
 
-SCALE, LARGEST = 256, 1 << 20
+SCALE = 256
+#: Components below 2 ** SMALL share one set of lists; larger vectors have one for every STEP powers of two.
+SMALL, STEP = 12, 16
+#: The range of a long, and from where on a double needn't hold an integer exactly, with room for the sums.
+LEAST, MOST, EXACT = -(1 << 63), (1 << 63) - 1, 2.0**50
 #: Parts of the lists after which the bounds are looked at.
 DEPTHS = (0.2, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 1.0)
 LEAST_SHARD = 4096
 
 
+def integers(y: np.ndarray) -> np.ndarray:
+    """SCALE * y: longs where all fit well, else Python's integers."""
+    if np.abs(y).max(initial=0) < 2.0**54:
+        return (y * SCALE).astype(np.int64)
+    return np.frompyfunc(lambda v: int(v * SCALE) if abs(v) < 2.0**54 else int(v) * SCALE, 1, 1)(y)
+
+
+def doubles(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """x / 2 ** shift as doubles, and the shift that keeps their products finite."""
+    if x.dtype != object:
+        return x.astype(np.float64), 0
+    shift = max(0, largest(x).bit_length() - 64)
+    return np.frompyfunc(lambda v: float(v >> shift), 1, 1)(x).astype(np.float64), shift
+
+
+def largest(x: np.ndarray) -> int:
+    """The greatest absolute value."""
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
 class SortedLists:
     """One list of (row, value) for each component, and the same from its other end: ends[0] falls, ends[1] rises."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids = x, ids
-        rows = np.argsort(x, axis=0, kind="stable").T
-        values = np.take_along_axis(x.T, rows, 1).astype(np.float64)
+        self.x, self.ids, self.most = x, ids, largest(x)
+        near, self.shift = doubles(x)
+        rows = np.argsort(near, axis=0, kind="stable").T
+        values = np.take_along_axis(near.T, rows, 1)
         self.rows, self.values = (np.ascontiguousarray(np.stack([v[:, ::-1], v])) for v in (rows, values))
 
     def top(self, q: np.ndarray, q_id: int, k: int) -> tuple[list[tuple[int, int]], float]:
         """(score, vec_id) of the k best, best first; and the part of the lists that was read."""
-        use = np.flatnonzero(q)
-        weight = q[use].astype(np.float64)[:, None]
+        near, shift = doubles(q)
+        use = np.flatnonzero(near)
+        weight = near[use][:, None]
         end = (weight[:, 0] < 0).astype(int)
         n, own = len(self.ids), self.ids == q_id
+        most = np.ldexp(1.0, 63 - shift - self.shift)
         least = self.values[end, use, -1:] * weight
+        greatest = float(np.maximum(np.abs(least), np.abs(self.values[end, use, :1] * weight)).sum())
+        margin = 0.0 if greatest < EXACT and not shift + self.shift else greatest * (len(q) + 16) * 2.0**-48
+
+        def reached(value: np.ndarray) -> float:
+            """What a vector's value must reach to be among the k best: products beyond a long are equal."""
+            bar = np.partition(value, len(value) - k)[len(value) - k] if len(value) >= k else -np.inf
+            return -np.inf if bar - margin <= -most else min(bar, most) - 2 * margin
+
         lower, at, last, bar = np.full(n, least.sum()), 0, least, -np.inf
         for depth in DEPTHS if len(use) else ():
             to = max(min(n, at + 1), int(np.ceil(n * depth)))
             got = self.values[end, use, at:to] * weight
             lower += np.bincount(self.rows[end, use, at:to].ravel(), (got - least).ravel(), n)
             at, last = to, got[:, -1:]
-            ranked = np.where(own, -np.inf, lower)
-            bar = np.partition(ranked, n - k)[n - k] if n >= k else -np.inf
+            bar = reached(np.where(own, -np.inf, lower))
             if at == n or last.sum() < bar:
                 break
         # Where a list hasn't met a vector, its least product stands in the lower bound and the last one read in the upper.
         gap = last - least
         upper = lower + gap.sum() - np.bincount(self.rows[end, use, :at].ravel(), np.repeat(gap, at), n)
         rows = np.flatnonzero((upper >= bar) & ~own)
-        score = self.x[rows] @ q
-        order = np.lexsort((self.ids[rows], -score))[:k]
-        return list(zip(score[order].tolist(), self.ids[rows][order].tolist(), strict=True)), at / max(n, 1)
+        if self.most * largest(q) * len(q) <= MOST:
+            score = self.x[rows] @ q
+            order = np.lexsort((self.ids[rows], -score))[:k]
+            return list(zip(score[order].tolist(), self.ids[rows][order].tolist(), strict=True)), at / max(n, 1)
+        about = doubles(self.x[rows])
+        about = np.ldexp(about[0], about[1] - self.shift)[:, use] @ weight[:, 0]
+        rows = rows[about >= reached(about)]
+        score = [min(MOST, max(LEAST, int(s))) for s in self.x[rows].astype(object) @ q.astype(object)]
+        found = sorted(zip(score, self.ids[rows].tolist(), strict=True), key=lambda f: (-f[0], f[1]))[:k]
+        return found, at / max(n, 1)
+
+
+def by_size(x: np.ndarray) -> np.ndarray:
+    """The number of the lists that each vector belongs to."""
+    return np.maximum(0, -(-(np.frexp(np.abs(x).max(1, initial=0))[1] - SMALL) // STEP))
 
 
 def quantized(vector: Column) -> Column:
-    """floor(256 * x) of each component."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * float(SCALE)).cast("long"))
+    """floor(256 * x) / 256 of each component, exactly; a large double is whole already."""
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(F.abs(x) < float(1 << 50), F.floor(x * float(SCALE)).cast("double") / float(SCALE)).otherwise(x)
+
+    return F.transform(vector, whole)
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k greatest integer inner products of each query among vectors (vec_id, embedding)."""
     sound = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
-    rows = vectors.where(sound).where(F.forall("embedding", lambda x: F.abs(x.cast("double")) < LARGEST / SCALE)).select("vec_id", quantized(F.col("embedding")).alias("vector"))
+    rows = vectors.where(sound).select("vec_id", quantized(F.col("embedding")).alias("vector"))
 
     def task(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> list[tuple]:
-        lists = SortedLists(x, ids)
-        return [(int(q_ids[i]), v, s) for i in range(len(q)) for s, v in lists.top(q[i], q_ids[i], k)[0]]
+        sizes = by_size(x)
+        lists = [SortedLists(integers(x[sizes == v]), ids[sizes == v]) for v in np.unique(sizes)]
+        return [(int(q_ids[i]), v, s) for i in range(len(q)) for own in lists for s, v in own.top(integers(q[i]), q_ids[i], k)[0]]
 
     return first_by_score(shard_by_group(rows, is_query, task, "query_id long, vec_id long, score long", least_shard=LEAST_SHARD), k)

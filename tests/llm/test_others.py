@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -80,6 +82,19 @@ def test_top_products(spark, sf):
         assert grouped(topk.top_products(df, F.expr(ASKED))) == plain_top(rows, lambda a, b: int((a * b).sum()))
 
 
+def test_top_products_of_large_vectors(spark):
+    rng = np.random.default_rng(8)
+    size = [1.0, 5e3, 2e5, 3e8, 1e12, 1e200, 1e308]
+    rows = [(i, (rng.normal(size=6) / 8 * size[rng.integers(7)]).tolist()) for i in range(250)]
+    rows += [(300 + i, (np.floor(rng.normal(size=6) * 3e8) + rng.integers(0, 2, 6) / 256).tolist()) for i in range(201)]
+    rows += [(600 + i, [2.0**26 + i % 3] * 6) for i in range(40)]
+    whole = {i: np.array([math.floor(Fraction(c) * 256) for c in v], object) for i, v in rows}
+    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for some in (rows, rows[250:], [r for r in rows if max(map(abs, r[1])) < 1e6]):
+        got = grouped(topk.top_products(spark.createDataFrame(some, "vec_id long, embedding array<double>"), F.expr(ASKED)))
+        assert got == plain_top([(i, whole[i]) for i, _ in some], lambda a, b: long(int((a * b).sum())))
+
+
 def test_reading_stops_early():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (4000, 4)) ** 3
