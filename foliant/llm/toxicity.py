@@ -3,7 +3,8 @@
 Terms are lower-cased words and their beginnings of three to seven letters, hashed. The machine adds to each present
 term's weight the inner product of the factors of each pair of present terms, so that words that are harmful only
 together count together. It is fitted on a bounded sample (POSITIVE and NEGATIVE labelled texts that aren't held out)
-over the terms whose frequency differs significantly between the two labels; every text is scored whole.
+over all terms of at least LEAST_TEXTS sampled texts; a ridge holds back those that say little. Weights are learned first,
+then factors with them. Every text is scored whole.
 
 Defined results: a null or empty text has no terms and gets the score of the bias. Without labels of both kinds every
 score is the share of label 1, or 0. Of several labels of a document the greatest holds. Rows are scored one by one, so
@@ -24,12 +25,14 @@ from foliant.llm import textvec as tv
 from foliant.llm.common import bounded_batches
 from foliant.llm.learning import chance, cut, held_out, thin
 
-POSITIVE, NEGATIVE = 2000, 3500
+POSITIVE, NEGATIVE = 2500, 4500
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
-#: Terms kept at most; a term must stand out by so many standard deviations, in so many sampled texts.
-TERMS, DEVIATIONS, LEAST_TEXTS = 20_000, 3.5, 3
-FACTORS, UPDATES, BATCH, RATE, RIDGE = 6, 3000, 128, 0.1, 1e-4
+#: A term is learned if so many sampled texts hold it.
+LEAST_TEXTS = 3
+FACTORS, UPDATES, BATCH, RATE, RIDGE, FACTOR_RIDGE = 6, 800, 128, 0.1, 1e-3, 1e-2
+#: Spread of the first factors; least leaning of a term.
+START, LEAST_LEANING = 0.01, 0.1
 THRESHOLD = 0.7
 
 _alnum: list[np.ndarray] = []
@@ -87,53 +90,81 @@ def _segment_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
-def stand_out(index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Buckets whose log odds differ between the labels by DEVIATIONS standard errors, the strongest first, at most TERMS."""
-    y = np.repeat(label, np.diff(bounds))
-    one, zero = (np.bincount(index[y == v], minlength=BUCKETS) for v in (1, 0))
-    n1, n0 = (label == 1).sum(), (label == 0).sum()
-    a, b, c, d = one + 0.5, zero + 0.5, n1 - one + 0.5, n0 - zero + 0.5
-    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    z[one + zero < LEAST_TEXTS] = 0
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(best[z[best] >= DEVIATIONS])
+class Batch:
+    """Some rows of the sample: their entries by text, and again by term, so that both sums run over neighbours."""
+
+    def __init__(self, rows: np.ndarray, index: np.ndarray, own: np.ndarray, label: np.ndarray):
+        sizes = own[rows + 1] - own[rows]
+        some = np.flatnonzero(sizes)
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        x = index[np.repeat(own[rows] - to[:-1], sizes) + np.arange(to[-1])]
+        self.n, self.label, self.some, self.texts = len(rows), label[rows], some, to[some]
+        self.terms, place = np.unique(x, return_inverse=True)
+        self.place = place.astype(np.int32)
+        by = np.argsort(place, kind="stable")
+        self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.terms)))[:-1]]).astype(np.int64)
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text of its terms' values."""
+        out = np.zeros((self.n, values.shape[1]), values.dtype)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(values[self.place], self.texts, axis=0)
+        return out
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each term of its texts' values."""
+        return np.add.reduceat(values[self.doc], self.starts, axis=0) if len(self.terms) else np.zeros((0, values.shape[1]), values.dtype)
+
+
+def leaning(index: np.ndarray, own: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """The scale of each term's weight under the ridge: its squared log ratio of the labels, LEAST_LEANING at least. None is left out."""
+    y = np.repeat(label, np.diff(own))
+    one, zero = (np.bincount(index[y == v], minlength=n) + 0.5 for v in (1, 0))
+    odds = np.log(one / ((label == 1).sum() + 1)) - np.log(zero / ((label == 0).sum() + 1))
+    return (np.maximum(np.abs(odds), LEAST_LEANING) ** 2).astype(np.float32)[:, None]
 
 
 def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, prior: float) -> Machine:
     """AdaGrad on the logistic loss. The bias is moved from the sample's share of label 1 to the prior."""
-    kept = stand_out(index, bounds, label)
-    place = np.full(BUCKETS, -1, np.int64)
+    kept = np.flatnonzero(np.bincount(index, minlength=BUCKETS) >= LEAST_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     use = place[index] >= 0
     own = np.concatenate([[0], np.cumsum(use)])[bounds]
     index = place[index[use]]
+    scale = leaning(index, own, label, len(kept))
     rng = np.random.default_rng(5)
     share = label.mean()
-    m = Machine(float(np.log(share / (1 - share))), kept, np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS)))
-    g_w, g_v, g_b = np.full(len(kept), 1e-2), np.full((len(kept), FACTORS), 1e-2), 1e-2
-    for _ in range(max(5, UPDATES * BATCH // len(label))):
-        order = rng.permutation(len(label))
-        for lo in range(0, len(order), BATCH):
-            rows = order[lo : lo + BATCH]
-            sizes = own[rows + 1] - own[rows]
-            b = np.concatenate([[0], np.cumsum(sizes)])
-            x = index[np.repeat(own[rows] - b[:-1], sizes) + np.arange(b[-1])]
-            v = m.factors[x]
-            total = _segment_sums(v, b)
-            margin = m.bias + _segment_sums(m.weight[x], b) + 0.5 * (total**2 - _segment_sums(v**2, b)).sum(1)
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[rows]) / len(rows)
-            each = np.repeat(error, sizes)
-            slope = np.bincount(x, each, len(kept)) + RIDGE * m.weight / 10
-            turn = each[:, None] * (np.repeat(total, sizes, axis=0) - v)
-            slope_v = np.stack([np.bincount(x, turn[:, k], len(kept)) for k in range(FACTORS)], 1) + RIDGE * m.factors
-            g_w += slope**2
-            g_v += slope_v**2
-            g_b += error.sum() ** 2
-            m.weight -= RATE * slope / np.sqrt(g_w)
-            m.factors -= RATE * 0.3 * slope_v / np.sqrt(g_v)
-            m.bias -= RATE * error.sum() / np.sqrt(g_b)
-    m.bias += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
-    return m
+    # One row for each term: its weight, then its factors.
+    both = np.hstack([np.zeros((len(kept), 1)), rng.normal(0, START, (len(kept), FACTORS))]).astype(np.float32)
+    seen, bias, seen_b = np.full(both.shape, 1e-2, np.float32), float(np.log(share / (1 - share))), 1e-2
+    order = rng.permutation(len(label))
+    batches = [Batch(order[lo : lo + BATCH], index, own, label) for lo in range(0, len(order), BATCH)]
+    ridge = np.array([RIDGE] + [FACTOR_RIDGE] * FACTORS, np.float32)
+    # A ridge on all terms, laid on when a term comes up: the rarer it is, the more at once.
+    held = len(batches) / np.maximum(1, np.bincount(np.concatenate([b.terms for b in batches]), minlength=len(kept))).astype(np.float32)[:, None]
+    rounds = max(6, UPDATES * BATCH // len(label))
+    for at in range(rounds):
+        for b in (batches[i] for i in rng.permutation(len(batches))):
+            t = both[b.terms]
+            w = scale[b.terms] * t[:, :1]
+            sums = b.by_text(np.hstack([w, t[:, 1:], (t[:, 1:] ** 2).sum(1, keepdims=True)]))
+            total = sums[:, 1:-1]
+            margin = bias + sums[:, 0] + 0.5 * ((total**2).sum(1) - sums[:, -1])
+            error = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - b.label) / b.n).astype(np.float32)
+            slope = b.by_term(np.hstack([error[:, None], error[:, None] * total]))
+            slope[:, 1:] -= slope[:, :1] * t[:, 1:]
+            slope[:, :1] *= scale[b.terms]
+            slope += held[b.terms] * ridge * t
+            # Factors explain what the weights leave open, so they move in the second half only.
+            slope[:, 1:] *= 2 * at >= rounds
+            seen[b.terms] += slope**2
+            both[b.terms] = t - RATE * slope / np.sqrt(seen[b.terms])
+            seen_b += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(seen_b)
+    bias += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+    return Machine(bias, kept, scale[:, 0] * both[:, 0], both[:, 1:].copy())
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -331,3 +331,19 @@ def test_pairs_count_together():
     place = {k: i for i, k in enumerate(m.kept.tolist())}
     score = lambda *t: m.margin(np.array([place[x] for x in t]), np.array([0, len(t)]))[0]
     assert score(1, 2) > 1 and score(1) < -1 and score(2) < -1
+
+
+def test_pairs_of_terms_common_in_both_labels():
+    """Two terms that are as frequent in clean texts as in harmful ones, and harmful together."""
+    rng = np.random.default_rng(1)
+    index, bounds, label = [], [0], []
+    for i in range(3000):
+        y, first = int(i % 10 < 3), rng.random() < 0.5
+        words = ([1, 2] if first else [3]) if y else ([1] if first else [2])
+        index += sorted({*rng.integers(10, 2000, 30).tolist(), *words})
+        bounds.append(len(index))
+        label.append(y)
+    m = toxicity.fit_machine(np.array(index), np.array(bounds), np.array(label), 0.3)
+    place = {k: i for i, k in enumerate(m.kept.tolist())}
+    score = lambda *t: m.margin(np.array([place[x] for x in t]), np.array([0, len(t)]))[0]
+    assert score(1, 2) > 1 and score(3) > 1 and score(1) < -1 and score(2) < -1
