@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,26 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the one the cluster shares (spark.checkpoint.dir). Only where that is unset, as in tests, a local one."""
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the one the cluster shares (spark.checkpoint.dir). Where that is unset, a local master, as in tests, gets a local one; a cluster has no folder to fall back to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/foliant-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in this application's."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written. Results that weren't read yet can't be after that."""
+    system, root = pyarrow.fs.FileSystem.from_uri(run_folder(spark))
+    if system.get_file_info(root).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(root)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

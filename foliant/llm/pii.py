@@ -1,17 +1,21 @@
 """Personal data: patterns find it, and corpus co-occurrence finds the terms that would still reveal it. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. A match's place comes from splitting the
-text by the same pattern: pieces and matches alternate. The patterns are written so that a run of characters that can't
-match is passed over at once, which keeps very long texts linear.
+text by the same pattern: pieces and matches alternate. A run of characters that can't match is passed over at once, and
+repeated groups are possessive, so neither time nor the pattern engine's stack grows beyond the text's length. Folds over
+matches go in chunks, so a text of very many matches isn't copied for each.
 
 Their values are the protected entities. A term reveals an entity as far as knowing the term removes doubt about the
 entity: the pointwise mutual information log(p(e, t) / (p(e) p(t))) in parts of the entity's information content
--log p(e), all probabilities from document counts over the whole corpus. Only terms near the entity (WINDOW words to
-either side) in at least SUPPORT different texts are judged, as one text alone says nothing about co-occurrence. In the
-documents that hold the entity, terms that disclose REMOVE of it or more are removed, those from GENERALISE on are
-replaced by their kind. Documents without an entity are never changed.
+-log p(e), all probabilities from document counts over the whole corpus. All terms of the whole documents that hold the
+entity are judged, outside base spans, if at least two different texts hold both, as one text alone says nothing about
+co-occurrence. In the documents that hold the entity, terms that disclose REMOVE of it or more are removed, those from
+GENERALISE on are replaced by their kind. Documents without an entity are never changed.
 
-Defined results: a null text is empty. Copies of a text count once in the corpus. Repeated rows get the same spans. An
+Entities of exactly the same documents have the same counts with every term, so they are counted as one; a document that
+lists many entities then adds its terms once for each different set of documents, not for each entity.
+
+Defined results: a null text is empty. Copies of a text are documents, but one text. Repeated rows get the same spans. An
 empty table gives no rows. Other columns are carried along.
 """
 
@@ -26,31 +30,63 @@ from foliant.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: A run that may begin a match, and the rest of the match if it is one.
-EMAIL = r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?"
+EMAIL = r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?"
 IP = r"[0-9]++(?:(?:\.[0-9]++){3})?"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]+"
-#: Words to either side, within so many characters; different texts that must show a pair; least letters of a term.
-WINDOW, REACH, SUPPORT, LEAST_LENGTH = 6, 160, 2, 3
+#: Least letters of a term.
+LEAST_LENGTH = 3
 GENERALISE, REMOVE = 0.85, 0.95
 #: A list of so many terms at most is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
+#: Items that one fold goes over, and characters of a text that are cut from at once.
+CHUNK, BLOCK = 256, 4096
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed, and written in the plan, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The arrays that step yields over the items, joined. step(state, item) gives the next state and an array of the kind; folds run over chunks, so that what is already there is seldom copied."""
+    none = F.array().cast(kind)
+
+    def over(some: Column, begin: Column) -> Column:
+        def one(s: Column, x: Column) -> Column:
+            return let(s["state"], lambda at: F.struct(step(at, x)[0].alias("state"), F.concat(s["out"], step(at, x)[1]).alias("out")))
+
+        return F.aggregate(some, F.struct(begin.alias("state"), none.alias("out")), one)
 
+    def chunk(xs: Column) -> Callable[[Column, Column], Column]:
+        def one(s: Column, i: Column) -> Column:
+            got = over(F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)), s["state"])
+            return let(got, lambda g: F.struct(g["state"].alias("state"), F.concat(s["out"], F.array(g["out"])).alias("out")))
 
-def matches(text: Column, pattern: Column, valid: Callable[[Column], Column]) -> Column:
+        return one
+
+    def whole(xs: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        many = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), begin, chunk(xs), lambda s: s["out"]))
+        return F.when(F.size(xs) > CHUNK, many).otherwise(over(xs, state)["out"])
+
+    return let(items, whole)
+
+
+def matches(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """array of (start, end, value) of a pattern's valid matches, in code points."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    kind = "array<struct<start:int,end:int,value:string>>"
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["p"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["p"])
         end = begin + F.length(x["m"])
-        more = F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(valid(x["m"]), more).otherwise(s["out"]).alias("out"))
+        found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value")))
+        return F.coalesce(end, begin), F.when(valid(x["m"]), found).otherwise(F.array().cast(kind))
 
-    return F.aggregate(both, start, step, lambda s: s["out"])
+    return scan(both, F.lit(0), kind, step)
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,7 +106,7 @@ def _valid(kind: str, v: Column) -> Column:
         short = F.transform(F.split(v, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
         return F.contains(v, F.lit(".")) & F.forall(short, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
     n = F.length(_digits(v))
-    return (n >= 14) & (n <= 19) & _luhn(_digits(v)) if kind == "card" else (n >= 10) & (n <= 15)
+    return F.when(F.length(v) >= 10, (n >= 14) & (n <= 19) & _luhn(F.substring(_digits(v), 1, 19)) if kind == "card" else (n >= 10) & (n <= 15)).otherwise(False)
 
 
 #: What a text must hold for a kind's pattern to be worth running.
@@ -80,7 +116,7 @@ HINTS = {"email": ("contains", "@"), "ip": ("rlike", r"[0-9]\.[0-9]+\.[0-9]"), "
 def _of_kind(text: Column, rank: int, kind: str, pattern: str) -> Column:
     how, what = HINTS[kind]
     hint = F.contains(text, F.lit(what)) if how == "contains" else text.rlike(what)
-    own = matches(text, F.lit(pattern), lambda v: _valid(kind, v))
+    own = matches(text, pattern, lambda v: _valid(kind, v))
     named = F.transform(own, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
     return F.when(hint, named).otherwise(F.array().cast(SPAN))
 
@@ -94,44 +130,82 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with its spans blanked out, of the same length."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in blocks: only the first and the last block are cut."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    first, last = F.element_at(blocks, i + 1), F.element_at(blocks, j + 1)
+    inside = F.substring(first, start % BLOCK + 1, end - start)
+    across = F.concat(F.substring(first, start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), (end - 1) % BLOCK + 1))
+    return F.when(end <= start, "").when(i == j, inside).otherwise(across)
+
 
-    def step(s: Column, x: Column) -> Column:
-        begin, end = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, begin - s["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+def spliced(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with its spans replaced: put(span, characters of it that no earlier span covers). A span that begins within an earlier one gets an empty replacement beyond those characters' own."""
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    def whole(blocks: Column, size: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            return F.greatest(at, x["end"]), F.array(_part(blocks, at, F.greatest(at, x["start"])), put(x, F.struct(at.alias("at"), F.greatest(F.lit(0), x["end"] - F.greatest(at, x["start"])).alias("fresh"))))
 
+        last = F.greatest(F.lit(0), F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0)))
+        return F.concat(F.array_join(scan(spans, F.lit(0), "array<string>", step), ""), let(last, lambda a: _part(blocks, a, size)))
 
-def _near(masked: Column, span: Column) -> Column:
-    """Terms among the WINDOW words before and after a span, as far as REACH characters hold them."""
-    before = F.regexp_extract_all(F.substring(masked, F.greatest(F.lit(1), span["start"] - REACH + 1), F.least(F.lit(REACH), span["start"])), F.lit(TERM), F.lit(0))
-    after = F.regexp_extract_all(F.substring(masked, span["end"] + 1, F.lit(REACH)), F.lit(TERM), F.lit(0))
-    some = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - WINDOW + 1), WINDOW), F.slice(after, 1, WINDOW))
-    return F.array_distinct(F.filter(F.transform(some, F.lower), lambda t: F.length(t) >= LEAST_LENGTH))
+    in_blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+    return let(in_blocks, lambda b: let(F.length(text), lambda n: whole(b, n)))
 
 
-def disclosures(near: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosed): the part of an entity's information content that a term near it gives away.
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its spans blanked out, of the same length."""
+    return spliced(text, spans, lambda x, s: F.repeat(F.lit(" "), s["fresh"]))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct lower-cased terms of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= LEAST_LENGTH))
 
-    near has (rid, copy, entity, term), holders (rid, entity), docs (text): counts are of documents, support of different texts.
+
+def disclosures(held: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, term, disclosed): the part of an entity's information content that a term gives away.
+
+    held has (rid, copy, text), the documents with an entity and their text outside base spans; holders (rid, class), which
+    entities of different sets of documents each has; docs (text), all documents.
     """
     n = float(max(docs.count(), 1))
     information = -F.log(F.col("n_entity") / F.lit(n))
     told = lambda n_term: F.when(information > 0, (F.log(F.col("n_both") / F.col(n_term)) + information) / information).otherwise(F.lit(0.0))
-    n_entities = holders.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity"))
-    n_near = near.groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("copy").alias("support")).where(F.col("support") >= SUPPORT)
-    # A term is in at least as many documents as have it near an entity, so a pair that fails by that count fails anyway.
-    pairs = materialize(pairs.join(n_near, "term").join(n_entities, "entity").where(told("n_near") >= GENERALISE - 1e-9), "pii-pairs")
+    n_entities = holders.groupBy("class").agg(F.count("*").alias("n_entity"))
+    words = held.select("rid", "copy", F.explode(terms_of(F.col("text"))).alias("term"))
+    n_held = words.groupBy("term").agg(F.count("*").alias("n_held"))
+    pairs = words.join(holders, "rid").groupBy("class", "term").agg(F.count("*").alias("n_both"), F.min("copy").alias("a"), F.max("copy").alias("b")).where("a <> b").drop("a", "b")
+    # A term is in at least as many documents as hold it and an entity, so a pair that fails by that count fails anyway.
+    pairs = materialize(pairs.join(n_held, "term").join(n_entities, "class").where(told("n_held") >= GENERALISE - 1e-9), "pii-pairs")
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_terms = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    return pairs.join(n_terms, "term").select("entity", "term", told("n_term").alias("disclosed"))
+    every = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
+    n_terms = every.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    return pairs.join(n_terms, "term").select("class", "term", told("n_term").alias("disclosed"))
+
+
+def _flagged(masked: Column, flags: Column) -> Column:
+    """Spans of the flagged terms (term, remove). The flags are dealt to buckets, so that each word is held against a few."""
+    n = F.floor(F.size(flags) / 8).cast("int") + 1
+    bucket = lambda x, of: F.pmod(F.xxhash64(x), of)
+
+    def of_buckets(b: Column) -> Column:
+        mine = lambda v: F.filter(F.element_at(b, bucket(F.lower(v), F.size(b)).cast("int") + 1), lambda f: f["term"] == F.lower(v))
+        found = matches(masked, TERM, lambda v: F.size(mine(v)) > 0)
+        kind = lambda v: F.when(F.element_at(mine(v), 1)["remove"], F.lit("removed")).otherwise(F.lit("term"))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), kind(m["value"]).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+
+    buckets = let(n, lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.filter(flags, lambda f: bucket(f["term"], k) == i)))
+    return let(buckets, of_buckets)
+
+
+def entity_classes(each: DataFrame) -> DataFrame:
+    """(rid, class) from (rid, copy, entity): entities of the same documents are one class; those of one text only are left out."""
+    sets = each.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "rid")).alias("g"), F.min("copy").alias("a"), F.max("copy").alias("b"))
+    live = sets.where("a <> b").select("entity", F.xxhash64("n", "h", "g").alias("class"))
+    return each.join(live, "entity").select("rid", "class").distinct()
 
 
 def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -144,22 +218,21 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         rows = rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-base")
 
-    holders = rows.where(F.size("base") > 0).withColumn("masked", _masked(F.col("text"), F.col("base")))
-    each = holders.select("rid", F.xxhash64("text").alias("copy"), F.explode(F.transform("base", lambda s: F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), _near(F.col("masked"), s).alias("terms")))).alias("e"))
-    each = materialize(each.select("rid", "copy", "e.entity", "e.terms"), "pii-near")
-    near = each.select("rid", "copy", "entity", F.explode("terms").alias("term"))
-    told = disclosures(near, each, docs.select(text.alias("text"))).where(F.col("disclosed") >= GENERALISE)
-    flagged = near.join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("disclosed").alias("disclosed"))
-    flags = flagged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("disclosed") >= REMOVE).alias("remove")))).alias("flags"))
+    holders = rows.where(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    classes = materialize(entity_classes(holders.select("rid", F.xxhash64("text").alias("copy"), F.explode(entities).alias("entity"))), "pii-classes")
+    held = holders.join(classes.select("rid").distinct(), "rid", "left_semi").select("rid", F.xxhash64("text").alias("copy"), _masked(F.col("text"), F.col("base")).alias("text"))
+    held = materialize(held, "pii-held")
+    told = disclosures(held, classes, docs.select(text.alias("text"))).where(F.col("disclosed") >= GENERALISE)
+    judged = held.select("rid", F.explode(terms_of(F.col("text"))).alias("term")).join(classes, "rid").join(told, ["class", "term"])
+    flagged = judged.groupBy("rid", "term").agg((F.max("disclosed") >= REMOVE).alias("remove"))
+    flags = flagged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("term", "remove"))).alias("flags"))
 
     marked = holders.join(flags, "rid", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("flags", lambda f: f["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    removed = F.transform(F.filter("flags", lambda f: f["remove"]), lambda f: f["term"])
-    extra = F.transform(matches(F.col("masked"), pattern, lambda v: v.isNotNull()), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.when(F.array_contains(removed, F.lower(m["value"])), F.lit("removed")).otherwise(F.lit("term")).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
-    marked = marked.withColumn("extra", F.when(F.col("flags").isNotNull(), extra).otherwise(F.array().cast(SPAN)))
-    marked = marked.select("row_", "text", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
-    plain = rows.where(F.size("base") == 0).select("row_", "text", "base", F.col("base").alias("spans"))
-    return plain.unionByName(marked).select("row_", "base", "spans")
+    extra = F.when(F.col("flags").isNotNull(), _flagged(_masked(F.col("text"), F.col("base")), F.col("flags"))).otherwise(F.array().cast(SPAN))
+    marked = marked.select("row_", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    plain = rows.where(F.size("base") == 0).select("row_", "base", F.col("base").alias("spans"))
+    return plain.unionByName(marked)
 
 
 def joined(spans: Column) -> Column:
@@ -175,15 +248,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with base spans and generalised terms replaced by their kind, and removed terms left out."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        token = F.when(x["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        hidden = x["start"] < s["at"]
-        put = F.when(hidden, s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), token))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), put.alias("out"))
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    token = lambda x: F.when(x["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    return spliced(text, spans, lambda x, s: F.when(x["start"] < s["at"], F.lit("")).otherwise(token(x)))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -271,6 +271,76 @@ def test_disclosing_terms(spark):
     assert "zyxwv" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == rows[5][1]
 
 
+def long_texts():
+    """Runs that a pattern engine must not recurse over and texts of very many matches, each with its spans."""
+    return [
+        ("1" * 10**6, []), ("1 " * 10**6, []), ("4-" * 10**5 + "x", []), ("a@b" + ".c" * 10**6, [("email", 0, 2 * 10**6 + 3)]), ("+1" + " 2" * 10**5, []),
+        ("1." * 10**5, [("ip", 8 * k, 8 * k + 7) for k in range(25_000)]), ("x" * 10**6 + "@", []), ("+" * 10**5, []), ("a@b.c " * 30_000, [("email", 6 * k, 6 * k + 5) for k in range(30_000)]),
+        ("😀é" * 50_000 + " 10.0.0.1", [("ip", 100_001, 100_009)]), ("mail a@b.c " + "word " * 40_000 + "4111 1111 1111 1111", [("email", 5, 10), ("card", 200_011, 200_030)]),
+    ]
+
+
+def test_long_texts_of_personal_data(spark):
+    texts = long_texts()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for r in pii.report(df).collect():
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in texts[r["doc_id"]][1]).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[8] == "[EMAIL] " * 30_000 and clean[9] == "😀é" * 50_000 + " [IP]" and clean[0] == texts[0][0]
+    assert clean[10] == "mail [EMAIL] " + "word " * 40_000 + "[CARD]"
+
+
+def plain_disclosing(texts):
+    """For each text its spans by the measure, from the definition: entities, terms outside base spans, counts of documents."""
+    entities, terms, outside = [], [], []
+    for t in texts:
+        base = plain_spans(t)
+        masked = list(t)
+        for a, _, _, e in base:
+            masked[a:e] = " " * (e - a)
+        outside.append("".join(masked))
+        entities.append({f"{k}:{t[a:e]}" for a, _, k, e in base})
+        terms.append({w.lower() for w in re.findall(r"[^\W_]+", t) if len(w) >= 3})
+    own = [{w.lower() for w in re.findall(r"[^\W_]+", t) if len(w) >= 3} for t in outside]
+    n_term, n_entity, both = Counter(w for t in terms for w in t), Counter(e for x in entities for e in x), defaultdict(list)
+    for i, x in enumerate(entities):
+        for e in x:
+            for w in own[i]:
+                both[e, w].append(i)
+    told = {}
+    for (e, w), rows in both.items():
+        if len({texts[i] for i in rows}) > 1 and n_entity[e] < len(texts):
+            information = -math.log(n_entity[e] / len(texts))
+            told[e, w] = (math.log(len(rows) / n_term[w]) + information) / information
+    out = []
+    for i, t in enumerate(texts):
+        spans = plain_spans(t)
+        for m in re.finditer(r"[^\W_]+", outside[i]):
+            most = max((told.get((e, m.group().lower()), 0) for e in entities[i]), default=0)
+            if most >= pii.GENERALISE:
+                spans.append((m.start(), 4, "removed" if most >= pii.REMOVE else "term", m.end()))
+        out.append(",".join(f"{k}:{a}:{e}" for a, _, k, e in sorted(spans)))
+    return out
+
+
+def test_disclosure_against_the_plain_measure(spark):
+    import random
+
+    rng = random.Random(12)
+    texts = []
+    for i in range(300):
+        words = [f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(5, 60))]
+        for e in rng.sample(range(12), rng.choice([0, 0, 0, 1, 1, 2, 3])):
+            words.insert(rng.randrange(len(words)), (f"who{e}@site.org", f"+1 555 010 0{e:03d}", f"10.0.0.{e}")[e % 3])
+            words += [f"Clue{e}"] * (rng.random() < 0.9) + [f"place{e}"] * (rng.random() < 0.9)
+        words += [f"place{rng.randrange(12)}"] * (rng.random() < 0.1)
+        texts.append(" ".join(words))
+    texts += texts[:20] + ["", "alone@x.y with words"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_disclosing(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum("term:" in s for s in want) > 5 and sum("removed:" in s for s in want) > 5
+
+
 def test_sanitise_keeps_rows(docs):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
