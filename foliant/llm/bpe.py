@@ -2,7 +2,8 @@
 
 The vocabulary's own pattern cuts a text into pieces that are merged independently. Here the cuts are found for a whole
 batch with numpy, each distinct piece is encoded once by the library and remembered, and the ids are gathered. The ids
-are those of encoding each text by itself; texts with an English contraction, which the pattern cuts differently, are.
+are those of encoding each text by itself. Texts with an English contraction, which the pattern cuts differently, and
+texts that hold one of the vocabulary's added tokens are encoded by themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pandas as pd
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from foliant.llm import textvec as tv
 
@@ -53,12 +55,10 @@ class TextIds:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        self.path, self.whole = path, None
+        self.added = tuple(x["content"] for x in spec.get("added_tokens", ()))
         letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        self.vocabulary = 1 + max([*spec["model"]["vocab"].values(), *[x["id"] for x in spec.get("added_tokens", ())]])
-        self.bytes_of = np.zeros(self.vocabulary, np.int64)
-        self.bytes_of[list(ranks.values())] = [len(b) for b in ranks]
+        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.added}
         self.library = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
@@ -132,22 +132,21 @@ class TextIds:
         after = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(begin[word] - after[:-1], size) + np.arange(after[-1])]
         bounds = after[np.searchsorted(starts, at)]
-        return self._with_contractions(texts, cp, at, ids, bounds)
-
-    def offsets(self, texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last character (exclusive) of each id of texts, counted through all texts; ids that share a character both have it."""
-        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
-        character = np.repeat(np.arange(len(cp)), width)
-        if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        end = np.cumsum(self.bytes_of[ids])
-        return character[end - self.bytes_of[ids]], character[end - 1] + 1
-
-    def _with_contractions(self, texts: list[str | None], cp: np.ndarray, at: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._with_odd(texts, cp, at, ids, bounds)
+
+    def _alone(self, text: str) -> list[int]:
+        """The ids of one text, added tokens found as the library finds them."""
+        if not any(x in text for x in self.added):
+            return self.library.encode_ordinary(text)
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _with_odd(self, texts: list[str | None], cp: np.ndarray, at: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = np.flatnonzero((cp[:-1] == 39) & _AFTER[np.minimum(cp[1:], 127)])
-        if not len(mark):
-            return ids, bounds
         odd = set((np.searchsorted(at, mark, "right") - 1).tolist())
-        parts = [np.array(self.library.encode_ordinary(texts[i] or ""), np.int32) if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        odd |= {i for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        if not odd:
+            return ids, bounds
+        parts = [np.array(self._alone(texts[i] or ""), np.int32) if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])

@@ -2,7 +2,8 @@
 
 Only the histogram of piece lengths reaches the driver, at most one count for each length up to the sequence length, and
 only the resulting pattern list goes back, bounded by the sequence length as well. The rank of a piece among those of its
-length, counted in bounded cells, decides its slot.
+length, counted in cells of bounded size, decides its slot; pieces are dealt to cells by their place in the written table,
+so that pieces alike in everything spread as well.
 
 Defined results: a null or empty text is a document of the closing id alone. Repeated rows are packed each. Of a text
 longer than a sequence the first piece may be shorter, all others are full. Other columns are ignored. An empty table
@@ -23,10 +24,10 @@ from pyspark.sql.window import Window
 
 from foliant.llm import textvec as tv
 from foliant.llm.bpe import encoder
-from foliant.llm.common import bounded_batches, columns, materialize
+from foliant.llm.common import bounded_batches, columns, materialize, partitions_of
 
-#: Pieces of one length that are ranked in one task, about.
-CELL_ROWS = 200_000
+#: Pieces of one length that are ranked in one task, at most about; fewer, down to LEAST_CELL, while there are tasks to spare.
+CELL_ROWS, LEAST_CELL = 200_000, 2000
 #: Steps of the projected gradient.
 STEPS = 400
 
@@ -174,18 +175,20 @@ def slots(plan: list[tuple[Pattern, int]], length: int) -> dict[str, np.ndarray]
 
 
 def ranked(cut: DataFrame) -> DataFrame:
-    """cut with `rank`, from 0 among the pieces of equal length. Cells of a length are ranked apart, so a common length is no single task."""
-    cells = max(1, -(-cut.count() // CELL_ROWS))
-    dealt = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)))
+    """cut (place_, length, ...) with `rank`, from 0 among the pieces of equal length. Cells of a length are ranked apart, so a common length is no single task."""
+    n = cut.count()
+    cells = max(1, -(-n // CELL_ROWS), min(partitions_of(cut), n // LEAST_CELL))
+    dealt = cut.withColumn("cell", F.pmod(F.xxhash64("place_"), F.lit(cells)))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "cell").agg(F.count("*").alias("n")).select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("place_")) - 1
     return dealt.withColumn("own", own).join(sizes, ["length", "cell"]).withColumn("rank", F.col("first") + F.col("own")).drop("cell", "own", "first")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, closing_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    cut = materialize(pieces(docs, tokenizer, length, closing_id, keep_ids), "packing-pieces")
+    cut = pieces(docs, tokenizer, length, closing_id, keep_ids).withColumn("place_", F.monotonically_increasing_id())
+    cut = materialize(cut, "packing-pieces")
     histogram = np.zeros(length + 1, np.int64)
     for row in cut.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
