@@ -1,9 +1,10 @@
 """Chat formatting with offset-aligned loss masks.
 
 A conversation is rendered whole, turn after turn, as `<|turn|>` role `<|text|>` text `<|end|>`. These three marks are
-special tokens of their own, so no token reaches over a turn's border. In roles and texts a backslash goes between "<"
-(with any backslashes) and "|", which is undone by taking one out, so no text can hold a mark. The rendered string is
-encoded once with offsets; the turns' spans and the tokens' spans, both sorted, are intersected by binary search.
+special tokens, added to the vocabulary, so no token reaches over a turn's border. In roles and texts a backslash goes
+between "<" (with any backslashes) and "|", which is undone by taking one out, so no text can hold a mark. The library
+encodes the whole rendered string once and gives each token's characters; the turns' spans and the tokens' spans, both
+sorted, are intersected by binary search.
 
 Defined results: a null text is empty, a null role is empty. Turns are in the order of turn, null last; rows with the
 same turn are ordered by role and text, so repeated rows are repeated turns. A null conv_id is one conversation. Other
@@ -13,16 +14,18 @@ columns are ignored. An empty table has no conversations. One conversation is on
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 from foliant.llm import textvec as tv
-from foliant.llm.bpe import TextIds, encoder
 from foliant.llm.common import bounded_batches
 
 TURN, TEXT, END = MARKS = ("<|turn|>", "<|text|>", "<|end|>")
@@ -58,31 +61,18 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def encode(library: TextIds, conversations: list[list[tuple[str, str]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, starts and ends of the tokens of each rendered conversation. The marks are tokens that follow the vocabulary; what lies between them is encoded in one call for all conversations."""
-    parts = [escape(x) for turns in conversations for turn in turns for x in turn]
-    ids, bounds = library.encode(parts)
-    first, last = library.offsets(parts, ids)
-    began = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    turn_mark, text_mark, end_mark = (np.array([library.vocabulary + i]) for i in range(len(MARKS)))
-    out, k = [], 0
-    for turns in conversations:
-        got, starts, ends, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for _ in turns:
-            for mark, name, part in ((turn_mark, TURN, k), (text_mark, TEXT, k + 1), (end_mark, END, None)):
-                got.append(mark)
-                starts.append(np.array([at]))
-                ends.append(np.array([at + len(name)]))
-                at += len(name)
-                if part is not None:
-                    lo, hi = bounds[part], bounds[part + 1]
-                    got.append(ids[lo:hi])
-                    starts.append(first[lo:hi] - began[part] + at)
-                    ends.append(last[lo:hi] - began[part] + at)
-                    at += len(parts[part])
-            k += 2
-        out.append((np.concatenate(got), np.concatenate(starts), np.concatenate(ends)))
-    return out
+@lru_cache(2)
+def marked_library(path: str) -> Tokenizer:
+    """The vocabulary at path with the marks as special tokens."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+    library = Tokenizer.from_file(path)
+    library.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in MARKS])
+    return library
+
+
+def encode(library: Tokenizer, rendered: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids, and first and last character (exclusive), of the tokens of each rendered conversation."""
+    return [(np.array(e.ids, np.int32), np.array(e.offsets, np.int64).reshape(-1, 2)) for e in library.encode_batch(rendered, add_special_tokens=False)]
 
 
 def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -109,14 +99,14 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> list[s
 
 def _formatted(path: str, learned: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(path)
+        library = marked_library(path)
         for batch in batches:
             turns = [[(t["role"], t["text"]) for t in c] for c in batch["turns"].to_pylist()]
             for lo, hi in tv.chunks(["".join(t for _, t in c) for c in turns]):
                 rendered = [render(t) for t in turns[lo:hi]]
-                encoded = encode(library, turns[lo:hi])
-                masks = [token_mask(np.stack([s, e], 1), [x for x, (role, _) in zip(spans, t, strict=True) if role in learned]) for t, (_, spans), (_, s, e) in zip(turns[lo:hi], rendered, encoded, strict=True)]
-                columns = (([x[0] for x in encoded], pa.int32()), ([x[1] for x in encoded], pa.int64()), ([x[2] for x in encoded], pa.int64()), (masks, pa.int8()))
+                encoded = encode(library, [x for x, _ in rendered])
+                masks = [token_mask(at, [x for x, (role, _) in zip(spans, t, strict=True) if role in learned]) for t, (_, spans), (_, at) in zip(turns[lo:hi], rendered, encoded, strict=True)]
+                columns = (([x for x, _ in encoded], pa.int32()), ([x[:, 0] for _, x in encoded], pa.int64()), ([x[:, 1] for _, x in encoded], pa.int64()), (masks, pa.int8()))
                 lists = [pa.array(x, pa.list_(kind)) for x, kind in columns]
                 yield pa.RecordBatch.from_arrays([batch["conv_id"].slice(lo, hi - lo), pa.array([x for x, _ in rendered], pa.string()), *lists], names=["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 
