@@ -1,11 +1,12 @@
 """Exact top-k by integer inner product: aggregation of sorted lists without random access.
 
 Vectors are dealt to shards and queries to groups as for the nearest neighbours. A shard keeps one list for each
-component, sorted by value. For a query every list is read from the end where its products are greatest, all lists in
-step. A vector's lower bound is what was read of it plus the least products of the lists where it wasn't met, its upper
-bound the same with the products last read. Reading stops when the products last read add up to less than the k-th
-greatest lower bound, so that no vector never met can qualify; the vectors whose upper bounds still reach that bound are
-resolved to their final scores.
+component, sorted by value, and nothing else: no vector is ever looked up. For a query every list is read from the end
+where its products are greatest, all lists in step. A vector's lower bound is what was read of it plus the least products
+of the lists where it wasn't met, its upper bound the same with the products last read. Outsiders are all vectors but the
+k with the greatest lower bounds, met or not; reading stops when no outsider's upper bound reaches the k-th lower bound.
+What is then still in question, k vectors or more if there are ties, gets its final score by reading on, each list to the
+place where the last of them is met.
 
 Bounds are doubles with a margin for their rounding; final scores are summed in longs where every sum fits, else in
 Python's integers. Vectors of very different size have lists of their own, so that the margin stays small for each.
@@ -29,8 +30,8 @@ SCALE = 256
 SMALL, STEP = 12, 16
 #: The range of a long, and from where on a double needn't hold an integer exactly, with room for the sums.
 LEAST, MOST, EXACT = -(1 << 63), (1 << 63) - 1, 2.0**50
-#: Parts of the lists after which the bounds are looked at.
-DEPTHS = (0.2, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 1.0)
+#: Into so many steps the reading of the lists is cut; after each the bounds are looked at.
+STEPS = 64
 LEAST_SHARD = 4096
 
 
@@ -55,14 +56,15 @@ def largest(x: np.ndarray) -> int:
 
 
 class SortedLists:
-    """One list of (row, value) for each component, and the same from its other end: ends[0] falls, ends[1] rises."""
+    """One list of (row, value) for each component, and the same from its other end: index 0 falls, index 1 rises. Whole values, for final scores, are kept in the falling list's order."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids, self.most = x, ids, largest(x)
+        self.ids, self.most = ids, largest(x)
         near, self.shift = doubles(x)
         rows = np.argsort(near, axis=0, kind="stable").T
-        values = np.take_along_axis(near.T, rows, 1)
-        self.rows, self.values = (np.ascontiguousarray(np.stack([v[:, ::-1], v])) for v in (rows, values))
+        self.rows = np.stack([rows[:, ::-1], rows]).astype(np.int32)
+        self.values = np.stack([v := np.take_along_axis(near.T, self.rows[0], 1), v[:, ::-1]])
+        self.whole = np.take_along_axis(x.T, self.rows[0], 1)
 
     def top(self, q: np.ndarray, q_id: int, k: int) -> tuple[list[tuple[int, int]], float]:
         """(score, vec_id) of the k best, best first; and the part of the lists that was read."""
@@ -81,29 +83,45 @@ class SortedLists:
             bar = np.partition(value, len(value) - k)[len(value) - k] if len(value) >= k else -np.inf
             return -np.inf if bar - margin <= -most else min(bar, most) - 2 * margin
 
-        lower, at, last, bar = np.full(n, least.sum()), 0, least, -np.inf
-        for depth in DEPTHS if len(use) else ():
-            to = max(min(n, at + 1), int(np.ceil(n * depth)))
-            got = self.values[end, use, at:to] * weight
-            lower += np.bincount(self.rows[end, use, at:to].ravel(), (got - least).ravel(), n)
-            at, last = to, got[:, -1:]
-            bar = reached(np.where(own, -np.inf, lower))
-            if at == n or last.sum() < bar:
+        lower, at = np.full(n, least.sum()), 0
+        lower[own] = -np.inf
+        alive, met = np.flatnonzero(~own), np.zeros((len(use), n), np.float32)
+        each = np.arange(len(use))[:, None]
+        for step in range(1, STEPS + 1) if len(use) else ():
+            to = -(-n * step // STEPS)
+            if to == at:
+                continue
+            rows, got = self.rows[end, use, at:to], self.values[end, use, at:to] * weight
+            lower += np.bincount(rows.ravel(), (got - least).ravel(), n)
+            met[each, rows] = 1
+            at, last, bar = to, got[:, -1:], reached(lower)
+            if last.sum() >= bar and at < n:
+                continue  # a vector that no list has met could still qualify
+            # Where a list hasn't met a vector, its least product stands in the lower bound and the last one read in the upper.
+            gap = (last - least)[:, 0]
+            upper = lower[alive] + gap.sum() - gap @ met[:, alive]
+            alive = alive[upper >= bar]
+            if len(alive) <= k:
                 break
-        # Where a list hasn't met a vector, its least product stands in the lower bound and the last one read in the upper.
-        gap = last - least
-        upper = lower + gap.sum() - np.bincount(self.rows[end, use, :at].ravel(), np.repeat(gap, at), n)
-        rows = np.flatnonzero((upper >= bar) & ~own)
-        if self.most * largest(q) * len(q) <= MOST:
-            score = self.x[rows] @ q
-            order = np.lexsort((self.ids[rows], -score))[:k]
-            return list(zip(score[order].tolist(), self.ids[rows][order].tolist(), strict=True)), at / max(n, 1)
-        about = doubles(self.x[rows])
-        about = np.ldexp(about[0], about[1] - self.shift)[:, use] @ weight[:, 0]
-        rows = rows[about >= reached(about)]
-        score = [min(MOST, max(LEAST, int(s))) for s in self.x[rows].astype(object) @ q.astype(object)]
-        found = sorted(zip(score, self.ids[rows].tolist(), strict=True), key=lambda f: (-f[0], f[1]))[:k]
-        return found, at / max(n, 1)
+        return self._final(q, use, end, alive, at, k)
+
+    def _final(self, q: np.ndarray, use: np.ndarray, end: np.ndarray, alive: np.ndarray, at: int, k: int) -> tuple[list[tuple[int, int]], float]:
+        """Scores of the rows in question, from the lists alone, and the part of the lists read until each has met them."""
+        n = len(self.ids)
+        place = np.full(n, -1)
+        place[alive] = np.arange(len(alive))
+        here = place[self.rows[end, use]]
+        component, position = np.nonzero(here >= 0)
+        row = here[component, position]
+        stored = np.where(end[component] == 0, position, n - 1 - position)
+        long = self.most * largest(q) * len(q) <= MOST
+        product = self.whole[use[component], stored] * q[use[component]] if long else self.whole[use[component], stored].astype(object) * q[use[component]].astype(object)
+        score = np.zeros(len(alive), np.int64 if long else object)
+        np.add.at(score, row, product)
+        read = np.full(len(use), at)
+        np.maximum.at(read, component, position + 1)
+        found = sorted(zip((min(MOST, max(LEAST, int(s))) for s in score), self.ids[alive].tolist(), strict=True), key=lambda f: (-f[0], f[1]))[:k]
+        return found, float(read.sum()) / max(n * len(use), 1)
 
 
 def by_size(x: np.ndarray) -> np.ndarray:
