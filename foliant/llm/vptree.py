@@ -5,6 +5,10 @@ task of bounded size. The task builds the shard's tree over unit vectors (their
 cosine grows), lets every query descend to its nearest leaf for a first bound, and then walks the tree once with all the
 queries that no bound excludes. A subtree is left out for a query if factor times its lower bound exceeds the distance
 of the query's last place so far; factor 1 is exact search. Equal vectors are one point of the tree with its least ids.
+All points as near as the last place, but for rounding, are kept; their cosines are then computed anew in one way.
+
+Every query meets every shard, so rows shuffled grow with the product of vectors and queries, by a shard's and a group's
+sizes smaller: n * q / GROUP copies of vectors and q * n / SHARD of queries. Shards hold fewer rows of long vectors.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
 without an id; vectors of other lengths are not compared. Rows with the query's id are its own and no candidates; equal
@@ -24,8 +28,8 @@ from pyspark.sql.window import Window
 
 from foliant.llm.common import partitions_of
 
-#: Vectors of a shard and queries of a group, at most about; smaller shards only where there are tasks to spare.
-SHARD, LEAST_SHARD, GROUP = 16_384, 1024, 16_384
+#: Vectors of a shard and queries of a group, at most about, and the components of either; smaller shards only where there are tasks to spare.
+SHARD, LEAST_SHARD, GROUP, CELLS = 16_384, 1024, 16_384, 1 << 20
 LEAF = 48
 #: Measured against brute force: see README.
 FACTOR = 4.0
@@ -83,6 +87,20 @@ class Tree:
                     stack.append((child, go))
         return best, score
 
+    def within(self, q: np.ndarray, least: float, factor: float) -> np.ndarray:
+        """The rows whose cosine with the unit vector q is at least `least`, as far as the relaxed bounds leave their subtrees in."""
+        out, stack, last = [], [self.root], chord(np.float64(least)) + 1e-7
+        while stack:
+            node = self.nodes[stack.pop()]
+            rows = node if isinstance(node, np.ndarray) else np.array([node[0]])
+            cosine = self.x[rows] @ q
+            out.append(rows[cosine >= least])
+            if not isinstance(node, np.ndarray):
+                _, inner, outer, (a, b, c, d) = node
+                to = chord(cosine[0])
+                stack += [child for child, low, high in ((outer, c, d), (inner, a, b)) if factor * max(to - high, low - to, 0) <= last]
+        return np.concatenate(out)
+
     def _descend(self, at: int, q: np.ndarray, who: np.ndarray, leaf_of: np.ndarray) -> None:
         node = self.nodes[at]
         if isinstance(node, np.ndarray):
@@ -121,17 +139,35 @@ def distinct_rows(x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray
     return x[first], [np.unique(g)[:most] for g in groups]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two such that their largest components lie between 1/2 and 1: cosines stay what they are, squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def cosines(points: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of scaled rows with one scaled vector, computed in more digits than a double and rounded once, so that what is equal comes out equal."""
+    a, b = points.astype(np.longdouble), q.astype(np.longdouble)
+    return ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum())).astype(np.float64)
+
+
 def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, factor: float) -> list[tuple[int, int, float]]:
-    """(place of the query, vec_id, cosine) of each query's k nearest in the shard, least ids first among equals."""
+    """(place of the query, vec_id, cosine) of each query's k nearest in the shard, least ids first among equals.
+
+    One point more than k is kept for the query itself, and one more to see whether others may be as near as the last:
+    then all that come as near, but for rounding, are gathered.
+    """
     points, owners = distinct_rows(x, ids, k + 1)
-    norm = np.linalg.norm(points, axis=1)
-    q_norm = np.linalg.norm(q, axis=1)
-    found, _ = Tree(points / norm[:, None]).search(q / q_norm[:, None], min(k + 1, len(points)), factor)
+    points, q = scaled(points), scaled(q)
+    unit, asked = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (points, q))
+    tree = Tree(unit)
+    found, near = tree.search(asked, min(k + 2, len(points)), factor)
+    slack = (x.shape[1] + 16) * 2.0**-50
     out = []
     for i in range(len(q)):
         rows = found[i][found[i] >= 0]
-        cosine = (points[rows] * q[i]).sum(1) / (norm[rows] * q_norm[i])
-        hits = sorted((-c, v) for r, c in zip(rows.tolist(), cosine.tolist(), strict=True) for v in owners[r].tolist() if v != q_ids[i])
+        if len(rows) == k + 2 and near[i, k + 1] >= near[i, k] - slack:
+            rows = tree.within(asked[i], near[i, k] - slack, factor)
+        hits = sorted((-c, v) for r, c in zip(rows.tolist(), cosines(points[rows], q[i]).tolist(), strict=True) for v in owners[r].tolist() if v != q_ids[i])
         out += [(i, v, -c) for c, v in hits[:k]]
     return out
 
@@ -149,9 +185,10 @@ def shard_by_group(vectors: DataFrame, is_query: Column, task: Callable, schema:
     spare = partitions_of(vectors)
     shards, groups = F.lit(1), F.lit(1)
     for dim, (n, q) in lengths.items():
-        many = max(-(-n // shard), min(spare, n // least_shard), 1)
+        fit = max(64, CELLS // max(1, dim))
+        many = max(-(-n // min(shard, fit)), min(spare, n // least_shard), 1)
         shards = F.when(F.size("vector") == dim, many).otherwise(shards)
-        groups = F.when(F.size("vector") == dim, max(1, -(-q // group))).otherwise(groups)
+        groups = F.when(F.size("vector") == dim, max(1, -(-q // min(group, fit)))).otherwise(groups)
     sized = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), shards.alias("shards"), groups.alias("groups"), is_query.alias("asks"))
     index = sized.select("dim", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("asks"), "vec_id", "vector")
     queries = sized.where("asks").dropDuplicates(["vec_id", "vector"])
