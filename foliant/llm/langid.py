@@ -1,12 +1,14 @@
 """Language identification in two steps: the family first, then one-versus-one linear SVMs within the family.
 
 A text is the vector of its hashed letter bigrams and trigrams, square roots of counts, length one. The models are
-squared-hinge linear SVMs fitted on a bounded sample of the labelled rows that aren't held out: SAMPLE texts in all,
-shared evenly by the languages; every text is predicted whole.
-
-Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing could be learned. A
-language of no listed family is a family of its own. Rows are predicted one by one, so repeated rows agree. Other
-columns are ignored.
+squared-hinge linear SVMs fitted on a bounded sample of the labelled rows that aren't held out: SAMPLE texts, shared
+evenly by the languages, but LEAST of each language at least; every language with a label is learned, and every text is
+predicted whole. Families are listed ones; languages of none are families of their own while they are few (ALONE), and
+else are put together by their mean vectors, about as many in a family as there are such families.
+
+Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing could be learned. Very long
+texts are predicted whole, one at a time. Rows are predicted one by one, so repeated rows agree, ties of votes and margins
+go to the language first by name. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,18 +32,35 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
-#: Texts learned from at most, of all languages together, and languages told apart at most (the most frequent).
-SAMPLE, MOST_LANGUAGES = 2400, 60
+#: Texts learned from, of all languages together, or of each at least; languages outside the list that are families each.
+SAMPLE, LEAST, ALONE = 2400, 20, 12
 BUCKETS = 4096
 
 
-def family(lang: str) -> str:
-    return next((f for f, members in FAMILIES.items() if lang.split("-")[0] in members), lang)
+def family(lang: str) -> str | None:
+    return next((f for f, members in FAMILIES.items() if lang.split("-")[0] in members), None)
+
+
+def families(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """The family of each language. Of many unlisted ones some far apart begin a family each, and others join the nearest."""
+    found = {v: family(v) for v in sorted(set(langs))}
+    rest = [v for v, f in found.items() if f is None]
+    centre = np.stack([x[langs == v].mean(0) for v in rest]) if rest else np.zeros((0, x.shape[1]))
+    first = [0] if rest else []
+    while len(first) < (len(rest) if len(rest) <= ALONE else -(-len(rest) // int(np.sqrt(len(rest))))):
+        nearest = (centre @ centre[first].T / np.linalg.norm(centre[first], axis=1) / np.linalg.norm(centre, axis=1)[:, None]).max(1)
+        nearest[first] = np.inf
+        first.append(int(nearest.argmin()))
+    if rest:
+        near = centre @ centre[first].T / np.linalg.norm(centre[first], axis=1)
+        near[first, range(len(first))] = np.inf
+        found |= {v: f"with {rest[first[k]]}" for v, k in zip(rest, near.argmax(1).tolist(), strict=True)}
+    return found
 
 
 def _letters() -> np.ndarray:
     every = np.zeros(0x110000, bool)
-    every[[i for i in range(0x30000) if chr(i).isalpha()]] = True
+    every[[i for i in range(0x110000) if chr(i).isalpha()]] = True
     return every
 
 
@@ -63,6 +82,7 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, width):
             code = code * np.uint64(0x110000) + c[k : n - width + 1 + k]
             some |= letter[k : n - width + 1 + k]
+        some &= doc[: n - width + 1] == doc[width - 1 :]  # none reaches into the next text
         bucket = (tv.mix(code + np.uint64(width)) % np.uint64(BUCKETS)).astype(np.int64)[some]
         counts += np.bincount(doc[: n - width + 1][some] * BUCKETS + bucket, minlength=len(counts))
     x = np.sqrt(counts.reshape(len(texts), BUCKETS))
@@ -72,25 +92,26 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 30.0, steps: int = 150) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, y in {-1, 1}, classes weighing alike, by accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * cost
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
     step = 1 / (1 + 4 * cost)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1])
     t = 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (v - 2 * x.T @ (share * slack * y))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        w, v = new, (new + (old - 1) / t * (new - w)).astype(np.float32)
-    return w
+        w, v = new, new + (old - 1) / t * (new - w)
+    return w.astype(np.float32)
 
 
 class Hierarchy:
     """Pairwise SVMs of the families, and of the languages of each family."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
-        of = np.array([family(v) for v in langs])
         named = np.array(langs)
+        known = families(x, named)
+        of = np.array([known[v] for v in langs])
         self.families = sorted(set(of))
         self.members = {f: sorted(set(named[of == f])) for f in self.families}
         self.top = self._pairs(x, of, self.families)
@@ -142,10 +163,10 @@ def _vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Hierarchy | None:
     """The models, from a bounded sample of rows (doc_id, text, lang) that aren't held out."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not common:
+    every = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not every:
         return None
-    most = dict.fromkeys(common, max(20, SAMPLE // len(common)))
+    most = dict.fromkeys(every, max(LEAST, SAMPLE // len(every)))
     sample = thin(rows, "lang", most).withColumn("chance", chance(F.col("doc_id")))
     found = cut([r for r in sample.mapInArrow(_vectors_of, "doc_id long, lang string, chance double, x binary").where("x is not null").collect()], "lang", most)
     if not found:

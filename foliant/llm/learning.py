@@ -21,11 +21,11 @@ def chance(doc_id: Column) -> Column:
 
 def thin(rows: DataFrame, label: str, most: dict[Any, int]) -> DataFrame:
     """rows (doc_id, label, ...) thinned by a hash of the id to somewhat over most[label] rows of each label, if there are more."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).where(F.col(label).isin(list(most))).collect()}
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, 1.15 * most[value] / n + 20 / n))).otherwise(rate)
-    return rows.where(chance(F.col("doc_id")) < rate)
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect() if r[label] in most}
+    if not counts:
+        return rows.limit(0)
+    rates = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, 1.15 * most[value] / n + 20 / n))])
+    return rows.where(chance(F.col("doc_id")) < F.coalesce(F.try_element_at(rates, F.col(label)), F.lit(0.0)))
 
 
 def cut(rows: list[Row], label: str, most: dict[Any, int]) -> list[Row]:
