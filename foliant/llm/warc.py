@@ -1,12 +1,13 @@
 """WARC archives compressed record by record with a shared Zstandard dictionary.
 
-Pages are dealt to archives by a hash of their id. Each archive trains a dictionary on a bounded sample of its own
-records, writes it, compressed, into a leading skippable frame (magic number 0x184D2A5D, as the WARC-zstd proposal
-says), and compresses every record as a frame of its own, so that records can be read one by one. Pages with equal
-payloads are written once: the least page_id is the response, others are revisit records without a body.
+Pages are dealt to archives by a hash of their id, so many that an archive has about ARCHIVE_PAGES pages and ARCHIVE_BYTES
+bytes. Each archive trains a dictionary on a bounded sample of its own records, writes it, compressed, into a leading
+skippable frame (magic number 0x184D2A5D, as the WARC-zstd proposal says), and compresses every record as a frame of its
+own, so that records can be read one by one. Records too few or too small to train on are the dictionary themselves.
+Pages with equal payloads are written once: the least page_id is the response, others are revisit records without a body.
 
 The archives go to the shared folder through pyarrow's file systems, first under another name, then renamed, so a task
-that runs twice leaves one whole file. They are read back by Spark's binaryFile source.
+that runs twice leaves one whole file. They are read back as streams, record by record, whatever their size.
 
 Defined results: a null html is an empty payload. Rows of the same least page_id with the same payload are all
 responses. A null page_id gets a record without an id; it refers to the least page_id of its payload if there is one and
@@ -21,6 +22,8 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import batched
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
@@ -28,14 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded_batches, columns, materialize, shared_dir
+from foliant.llm.common import bounded_batches, columns, materialize, partitions_of, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 #: Bytes of the dictionary, and of the records it is trained on, at most.
 DICTIONARY, SAMPLE = 48 << 10, 2 << 20
 LEVEL = 6
-#: Pages in an archive, about.
-ARCHIVE_PAGES = 2000
+#: Pages and bytes of payload in an archive, about.
+ARCHIVE_PAGES, ARCHIVE_BYTES = 2000, 64 << 20
+#: Bytes read from an archive at a time.
+READ = 1 << 20
 #: A list of so many repeated payloads at most is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Payloads with fewer bytes are never revisited.
@@ -70,20 +75,16 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     return "".join(["WARC/1.1\r\n", *[f"{k}: {v}\r\n" for k, v in fields], "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records, or none if there are too few to learn from."""
-    if len(records) < 16:
-        return None
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records; where there is too little to train on, the end of the records themselves."""
     try:
         return zstandard.train_dictionary(DICTIONARY, records, k=512, d=8, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(records)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def frame_of(dictionary: zstandard.ZstdCompressionDict | None) -> bytes:
+def frame_of(dictionary: zstandard.ZstdCompressionDict) -> bytes:
     """The leading skippable frame that holds the dictionary."""
-    if dictionary is None:
-        return b""
     body = zstandard.ZstdCompressor(level=9).compress(dictionary.as_bytes())
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
@@ -110,7 +111,7 @@ class _Archive:
 
     def _begin(self) -> None:
         dictionary = train(self.waiting)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
         self.stream.write(frame_of(dictionary))
         for r in self.waiting:
             self.stream.write(self.compressor.compress(r))
@@ -143,7 +144,7 @@ def _write(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_REVISIT) -> str:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_REVISIT, archive_pages: int = ARCHIVE_PAGES, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write pages (page_id, url, html) into archives; returns their folder."""
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
@@ -155,32 +156,31 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     keyed = pages.withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")))).join(first, "digest", "left")
-    archives = -(-pages.count() // ARCHIVE_PAGES)
+    whole = pages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
+    archives = max(1, -(-whole["n"] // archive_pages), -(-whole["bytes"] // archive_bytes))
     keyed = keyed.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    dealt = keyed.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(max(1, archives))))
-    dealt = dealt.select("archive", "page_id", "url", "html", "digest", "first").repartition("archive").sortWithinPartitions("archive", "page_id", "digest")
+    dealt = keyed.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)))
+    dealt = dealt.select("archive", "page_id", "url", "html", "digest", "first").repartition(max(archives, 1) if archives < partitions_of(pages) else partitions_of(pages), "archive").sortWithinPartitions("archive", "page_id", "digest")
     written = materialize(dealt.mapInArrow(_write(folder), "archive long, path string, records long"), "warc-written")
-    if (written.agg(F.sum("records")).first()[0] or 0) != pages.count():
+    if (written.agg(F.sum("records")).first()[0] or 0) != whole["n"]:
         raise RuntimeError("archives don't hold every page")
     return folder
 
 
-def records_of(content: bytes) -> Iterator[bytes]:
-    """The decompressed records of an archive."""
-    view, at, decompressor = memoryview(content), 0, zstandard.ZstdDecompressor()
-    if len(view) >= 8 and struct.unpack_from("<I", view)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", view, 4)[0]
-        raw = zstandard.ZstdDecompressor().decompress(view[8 : 8 + size])
-        decompressor, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)), 8 + size
-    while at < len(view):
-        frame, parts, window = decompressor.decompressobj(), [], 8192
+def records_of(stream: BinaryIO) -> Iterator[bytes]:
+    """The decompressed records of an archive, one after another."""
+    decompressor, fed = zstandard.ZstdDecompressor(), stream.read(8)
+    if len(fed) == 8 and struct.unpack("<I", fed[:4])[0] == SKIPPABLE:
+        raw = decompressor.decompress(stream.read(struct.unpack("<I", fed[4:])[0]))
+        decompressor, fed = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)), b""
+    while fed := fed or stream.read(READ):
+        frame, parts = decompressor.decompressobj(), []
         while not frame.eof:
-            if at >= len(view):
+            fed = fed or stream.read(READ)
+            if not fed:
                 raise ValueError("an archive ends within a record")
-            fed = view[at : at + window]
             parts.append(frame.decompress(fed))
-            at += len(fed) - len(frame.unused_data)
-            window *= 4
+            fed = frame.unused_data if frame.eof else b""
         yield b"".join(parts)
 
 
@@ -198,22 +198,30 @@ def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch["content"]:
-            out = []
-            for record in records_of(content.as_buffer()):
-                fields, http, payload = parse_record(record)
-                digest, kind, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(http["Content-Length"])
-                if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                    raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                out.append((_page(fields["WARC-Record-ID"]), size, digest, kind, _page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+def _read(folder: str):
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+
+    def rows(stream: BinaryIO) -> Iterator[tuple]:
+        for record in records_of(stream):
+            fields, http, payload = parse_record(record)
+            digest, kind, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(http["Content-Length"])
+            if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+            yield _page(fields["WARC-Record-ID"]), size, digest, kind, _page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                with system.open_input_stream(f"{root}/{path.rsplit('/', 1)[-1]}", compression=None) as stream:
+                    for some in batched(rows(stream), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record; payloads are held against their digests."""
-    bounded_batches(spark, 2)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
+    return files.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
