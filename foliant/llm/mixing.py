@@ -1,6 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree. DataFrame functions only.
 
-Each source's documents are dealt by a hash of their id into blocks, at most MAX_BLOCKS a source. A source's target says
+Each source's documents are dealt by a hash of their id into blocks of BLOCK_WORDS words; from MANY_BLOCKS blocks of a source
+on, blocks and their number both grow with the root of its words, so that neither a source's list of blocks nor a block
+becomes too much for a task. The tree's nodes hold one count for each source that has blocks there. A source's target says
 how many whole passes it gives and how many words more; of its blocks, in permuted order, those are drawn once more that
 fit into these words, and from the next one single documents. Output shards get exact quotas of drawn blocks of each
 source: a node of the tree splits its quotas between its halves as a multivariate hypergeometric draw. A source's drawn
@@ -20,15 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import materialize
+from foliant.llm.common import materialize, named
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No source gives more than so many times its words.
 MOST = 3
-BLOCK_WORDS = 65_536
-MAX_BLOCKS = 4096
-SHARD_WORDS = 1 << 22
+BLOCK_WORDS, MANY_BLOCKS = 65_536, 4096
+#: Words of an output shard, about.
+SHARD_WORDS = 1 << 20
 #: Up to so many rows a small table is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 SEED = 7
@@ -159,12 +161,13 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("key_", F.xxhash64(F.lit(SEED), "doc_id", "size"))
 
 
-def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every row of docs (doc_id, source, size, ...) with source_size, target and draws, an array of (copy, shard), empty if it isn't drawn."""
     sizes = materialize(docs.select("doc_id", "source", "size"), "mixing-sizes")
     sources = materialize(targets(sizes, weights, most), "mixing-sources")
     words = sources.agg(F.sum("source_size")).first()[0] or 0
-    sources = sources.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))))
+    most_blocks = F.greatest(F.lit(MANY_BLOCKS), F.ceil(F.sqrt(F.col("source_size") / BLOCK_WORDS * MANY_BLOCKS)).cast("int"))
+    sources = sources.withColumn("blocks", F.least(most_blocks, F.greatest(F.lit(1), F.ceil(F.col("source_size") / min(BLOCK_WORDS, shard_words)).cast("int"))))
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = _small(sources.withColumn("more", F.round("target").cast("long") - F.col("passes") * F.col("source_size")))
 
@@ -182,7 +185,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     picked = _pick(alike.join(_small(blocks.where("rest is not null").select("sidx", "block", "rest")), ["sidx", "block"]))
     copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>"))
     drawn = blocks.select("sidx", "block", F.explode(F.concat(copies, F.when(F.col("rest").isNotNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))).alias("copy"))
-    shards = max(1, -(-words // SHARD_WORDS))
+    shards = max(1, -(-words // shard_words))
     order = Window.partitionBy("sidx").orderBy(F.xxhash64(F.lit(SEED + 2), "sidx", "block", "copy"), "block", "copy")
     drawn = drawn.withColumn("rank", F.row_number().over(order).cast("long"))
     quotas = split_quotas(drawn.groupBy("sidx").agg(F.count("*").alias("quota")), shards)
@@ -225,17 +228,18 @@ def _pick(docs: DataFrame, rounds: int = 5) -> DataFrame:
     return docs.where(F.col("taken") | (F.col("over").isNotNull() & (F.col("over") == F.col("best"))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself: docs' own columns for every drawn copy, in shards, each shuffled."""
-    own = [c for c in docs.columns]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), F.col("doc_id"), F.col("source"), words_of(F.col("text")).alias("size"))
-    drawn = draw(held, weights, most).select("row_", F.explode("draws").alias("draw_")).select("row_", "draw_.copy", "draw_.shard")
+    own = docs.columns
+    held = docs.select(F.struct(*[named(c) for c in own]).alias("row_"), F.col("doc_id"), F.col("source"), words_of(F.col("text")).alias("size"))
+    drawn = draw(held, weights, most, shard_words).select("row_", F.explode("draws").alias("draw_")).select("row_", "draw_.copy", "draw_.shard")
     shuffled = drawn.withColumn("order_", F.xxhash64(F.lit(SEED + 3), "row_.doc_id", "copy", "shard"))
-    return shuffled.repartition("shard").sortWithinPartitions("shard", "order_").select("row_.*")
+    return shuffled.repartition("shard").sortWithinPartitions("shard", "order_").select(*[F.col("row_").getField(c).alias(c) for c in own])
 
 
-def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs."""
+def taken_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards) for every row of docs; shards are those that got its copies, in their order, comma-joined."""
     sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
-    out = draw(sized, weights, most)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    out = draw(sized, weights, most, shard_words)
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
