@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries; a missing one is an error Spark reports."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[named(n) for n in names])
 
 
 def run_folder(spark: SparkSession) -> str:

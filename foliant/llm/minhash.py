@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import textvec as tv
-from foliant.llm.common import bounded_batches, columns, materialize
+from foliant.llm.common import bounded_batches, columns, materialize, named
 from foliant.llm.graph import components
 
 #: 128 hash functions in 32 bands of 4: two sets of similarity 0.75 miss every band with probability 5e-6.
@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         comps = components(links.union(more))
 
     labels = classes.select("fp", "least").join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
-    named = labels.groupBy("comp").agg(F.min("least").alias("component"))
-    labels = labels.join(named, "comp").select("fp", "component")
+    names = labels.groupBy("comp").agg(F.min("least").alias("component"))
+    labels = labels.join(names, "comp").select("fp", "component")
     out = signed.select("doc_id", "n_shingles", "fp").join(labels, "fp", "left")
     found = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
@@ -187,7 +187,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of docs without the near duplicates of a document with a lesser id; of rows with that id, and of those without one, all stay."""
     found = near_duplicates(docs)
     gone = materialize(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id"), "minhash-gone")
-    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
 
 
 def _torn(members: DataFrame, needed: DataFrame, comps: DataFrame) -> DataFrame:

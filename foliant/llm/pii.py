@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
+from foliant.llm.common import materialize, named
 
 KINDS = ("email", "ip", "card", "phone")
 #: A run that may begin a match, and the rest of the match if it is one.
@@ -212,7 +212,7 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """(row_, base, spans) for every row of docs: its own columns as a struct, and arrays of (start, rank, kind, end, value), the patterns' spans and those with the method's. Without keep_text the struct has no text."""
     own = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if keep_text or c != "text"]).alias("row_"), text.alias("text"))
+    rows = docs.select(F.struct(*[named(c) for c in own if keep_text or c != "text"]).alias("row_"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     if not keep_text:
         rows = rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))

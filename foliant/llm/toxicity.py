@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import textvec as tv
-from foliant.llm.common import bounded_batches
+from foliant.llm.common import bounded_batches, named
 from foliant.llm.learning import chance, cut, held_out, thin
 
 POSITIVE, NEGATIVE = 2500, 4500
@@ -42,7 +42,7 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed terms of all texts, and the text of each; terms may repeat."""
     if not _alnum:
         table = np.zeros(0x110000, bool)
-        table[[i for i in range(0x30000) if chr(i).isalnum()]] = True
+        table[[i for i in range(0x110000) if chr(i).isalnum()]] = True
         _alnum.append(table)
     cp, at = tv.codepoints([(t or "").lower() for t in texts])
     s, e = tv.runs(_alnum[0][cp])
@@ -195,26 +195,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' own columns with held_out, score and predicted. docs has doc_id and text, labels doc_id and toxic."""
+    """(row_, held_out, score, predicted): docs' own rows as a struct, so that no column's name matters. docs has doc_id and text, labels doc_id and toxic."""
     bounded_batches(docs.sparkSession)
     model = fit(docs, labels)
-    own = docs.columns
-    added = (("tox_held_out", T.BooleanType()), ("tox_score", T.DoubleType()), ("tox_predicted", T.IntegerType()))
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(*x) for x in added]])
-    text = own.index("text")
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row_"), F.col("text"), held_out(F.col("doc_id")).alias("held_out"))
+    schema = T.StructType([rows.schema["row_"], rows.schema["held_out"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
+            texts = batch["text"].to_pylist()
             for lo, hi in tv.chunks(texts):
                 p = model.score(texts[lo:hi])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "tox_score", "tox_predicted"])
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(lo, hi - lo) for c in ("row_", "held_out")], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["row_", "held_out", "score", "predicted"])
 
-    return docs.withColumn("tox_held_out", held_out(F.col("doc_id"))).mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted toxic."""
+    found = score(docs, labels).where("predicted = 0")
+    return found.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     found = score(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    return found.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+    return found.select("row_.doc_id", "held_out", "score", "predicted")

@@ -30,3 +30,9 @@ def rows() -> list[tuple]:
 
 def documents(spark):
     return spark.createDataFrame(rows(), SCHEMA)
+
+
+def oddly_named(spark):
+    """documents with columns that are named as the operators name theirs, or with dots and blanks."""
+    odd = ("tox_score", "row_", "held_out", "predicted", "a.b", "two words", "base`d", "rid", "class", "key_", "block", "draws", "place_")
+    return documents(spark).selectExpr("*", *[f"{i} AS `{n.replace('`', '``')}`" for i, n in enumerate(odd)])

@@ -33,9 +33,7 @@ def small(spark, sf):
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 # near duplicates
@@ -162,6 +160,22 @@ def test_mix_returns_whole_rows(small):
     assert {d: n for d, n in taken.items() if n} == dict(got)
 
 
+def test_shards_of_the_tree(small):
+    """Many shards: each gets its part of every source's blocks, no document is dropped or taken more often for it, and mix() deals by it."""
+    rows = mixing.taken_words(small, shard_words=8000).collect()
+    plain = {r["doc_id"]: r["taken"] for r in mixing.taken_words(small, shard_words=8000).collect()}
+    words = Counter()
+    for r in rows:
+        copies = [int(x) for x in r["shards"].split(",") if x]
+        assert len(copies) * r["size"] == r["taken"] == plain[r["doc_id"]]
+        for x in copies:
+            words[x] += r["size"]
+    shards = -(-sum(r["size"] for r in rows) // 8000)
+    assert shards > 4 and max(words) < shards and len(words) > shards * 0.8
+    got = Counter(r["doc_id"] for r in mixing.mix(small, shard_words=8000).collect())
+    assert dict(got) == {r["doc_id"]: len(r["shards"].split(",")) for r in rows if r["shards"]}
+
+
 def test_quotas_split_exactly(spark):
     quotas = spark.createDataFrame([(0, 17), (1, 250), (2, 1), (3, 90)], "sidx int, quota long")
     rows = mixing.split_quotas(quotas, 7).collect()
@@ -185,13 +199,27 @@ def test_hypergeometric(spark, k, n, d):
 
 
 def test_ids_are_the_librarys():
-    odd = ["", " ", "  ", "\n\n a", "a  b", "a \n b\n", "it's don't 's ''s !'s x'll", None, " lead", "trail  ", "\t\ttab x", "ª²½ 12a3 　x y", "😀😀 a\r\n\r\nb", "a'b'", "<|endoftext|> x", "x​y \x85 z", "a" * 3000]
+    odd = ["", " ", "  ", "\n\n a", "a  b", "a \n b\n", "it's don't 's ''s !'s x'll", None, " lead", "trail  ", "\t\ttab x", "ª²½ 12a3 　x y", "😀😀 a\r\n\r\nb", "a'b'", "<|endoftext|> x", "a <|endoftext|> b", "it's<|endoftext|><|endoftext|>  \n", "<|endoftext| >", "x​y \x85 z", "a" * 3000]
     ids, bounds = bpe.encoder(PATH).encode(odd)
     t = library()
     for i, text in enumerate(odd):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_of_whole_documents_are_the_librarys(spark):
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 10 = 3").select("text").collect()]
+    ids, bounds = bpe.encoder(PATH).encode(texts)
+    want = library().encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(ids[bounds[i] : bounds[i + 1]].tolist() == e.ids for i, e in enumerate(want))
+
+
+def test_alike_pieces_spread(spark):
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack(df, PATH)
+    assert got.select("sequence_id", "offset").distinct().count() == 30_000 and got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+    assert got.select("sequence_id").distinct().count() == -(-30_000 // 1024)
+
+
 def test_packing(docs):
     got = packing.pack(docs, PATH, keep_ids=True).collect()
     texts, t = defaultdict(list), library()
@@ -360,6 +388,54 @@ def test_language(docs, small):
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in held.items())
 
 
+def plain_votes(model, text):
+    """The language by the vote written out: each pair of families, then each pair of languages of the best family."""
+    row = langid.vectors([text])[0][0].astype(float)
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+
+    def best(pairs, n):
+        votes, sure = [0.0] * n, [1.0] * n
+        for (i, j), w in pairs.items():
+            p = 1 / (1 + math.exp(-4 * (float(row @ w[:-1]) + float(w[-1]))))
+            votes[i if p > 0.5 else j] += 1
+            votes[i] += 1e-3 * p
+            votes[j] += 1e-3 * (1 - p)
+            sure[i], sure[j] = min(sure[i], p), min(sure[j], 1 - p)
+        k = max(range(n), key=lambda i: votes[i])
+        return k, sure[k]
+
+    f, p = best(model.top, len(model.families))
+    f = model.families[f]
+    k, q = best(model.within[f], len(model.members[f]))
+    return model.members[f][k], p * q
+
+
+def test_language_against_the_plain_vote(spark, small):
+    odd = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, "the words " * 20_000, "en"), (-2, "the words " * 20_000, "en"), (-3, "\U00030000\U00030001", None), (-4, "12 34", "en"), (-5, None, None)], "doc_id long, text string, lang string"))
+    model = langid.fit(odd)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd).collect()}
+    for r in odd.collect():
+        lang, score = plain_votes(model, r["text"])
+        if r["doc_id"] >= 0:
+            assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-4
+    assert got[-1] == got[-2] and got[-1][0] != "und" and got[-3][0] != "und" and got[-4] == got[-5] == ("und", 0.0)
+
+
+def test_many_languages(spark):
+    """Every language with a label can be predicted, however many there are."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for k in range(90):
+        letters = [chr(0x4E00 + 7 * k + j) for j in range(7)] if k % 2 else ["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(12)]
+        rows += [(k * 100 + i, " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(30)), f"l{k:02d}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df)
+    right = langid.accuracy(got, df)
+    assert len(right) == 90 and sum(right.values()) > 85
+
+
 def test_learning_ignores_held_out(docs, small):
     spoiled = small.withColumn("lang", F.when(learning.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     assert langid.identify(spoiled).where("lang_pred = 'xx'").count() == 0
@@ -386,6 +462,40 @@ def test_toxicity(spark, docs, sf):
     assert flat.agg(F.max("score")).first()[0] < 0.01
 
 
+def test_scores_against_the_plain_sum(spark, small, sf):
+    """bias, weights, and the factors of every pair of different terms, written out."""
+    labels = table(spark, sf, "labels")
+    model = toxicity.fit(small.select("doc_id", "text"), labels)
+    place = {b: i for i, b in enumerate(model.kept.tolist())}
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(small, labels).collect()}
+    for r in small.select("doc_id", "text").limit(40).collect():
+        rows = sorted({place[b] for b in toxicity.terms([r["text"]])[0].tolist() if b in place})
+        margin = model.bias + sum(float(model.weight[i]) for i in rows)
+        margin += sum(float(model.factors[i].astype(float) @ model.factors[j]) for at, i in enumerate(rows) for j in rows[:at])
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-margin))) < 1e-4
+    assert got and toxicity.scores(spark.createDataFrame([(1, "x y " * 200_000), (1, "x y " * 200_000)], "doc_id long, text string"), labels).select("score").distinct().count() == 1
+
+
+def test_both_or_neither():
+    """Two terms that say nothing each, and all together: harmful are texts with both or neither. Held against fresh texts."""
+    rng = np.random.default_rng(4)
+
+    def texts(n):
+        index, bounds, label = [], [0], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            index += sorted({*rng.integers(10, 2000, 30).tolist(), *([1] if a else []), *([2] if b else [])})
+            bounds.append(len(index))
+            label.append(int(a == b))
+        return np.array(index), np.array(bounds), np.array(label)
+
+    m = toxicity.fit_machine(*texts(3000), 0.5)
+    place = np.full(2000, -1)
+    place[m.kept] = np.arange(len(m.kept))
+    index, bounds, label = texts(1000)
+    assert ((m.margin(place[index], bounds) > 0) == label).mean() > 0.98
+
+
 def test_pairs_count_together():
     """Two terms that are harmless alone and harmful together."""
     rng = np.random.default_rng(1)

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import math
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow.fs
+import zstandard
 from hypothesis import given
 from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Tokenizer
-
 from foliant.llm import chat, topk, vptree, warc
-from foliant.llm.bpe import encoder
 from foliant.llm.common import table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +67,26 @@ def test_exact_search(spark, sf):
             assert [(a, b) for a, b, _ in got[q]] == [(a, b) for a, b, _ in hits] and np.allclose([c for *_, c in got[q]], [c for *_, c in hits], atol=1e-12)
 
 
+def test_ties_and_extreme_sizes(spark):
+    """Multiples of a vector are as near as it is; sizes whose squares overflow or vanish change no cosine."""
+    rng = np.random.default_rng(3)
+    base, rows = rng.normal(size=8), [(50, rng.normal(size=8))]
+    rows += [(120 - i, base * (i + 1)) for i in range(20)] + [(200 + i, rng.normal(size=8) / 8 * size) for i, size in enumerate([1e200, 1e-170, 1e308, 5e-320] * 10)]
+    rows[0] = (50, base + 0.01 * rows[0][1])
+    got = grouped(vptree.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>"), F.expr(ASKED), factor=1.0))
+    assert [v for _, v, _ in got[50]] == [101, 102, 103, 104, 105]
+    large = np.array([v for i, v in rows if i >= 200])
+    own = vptree.scaled(large)
+    assert np.isfinite(own).all() and (np.abs(own).max(1) >= 0.5).all()
+    assert all(abs(s) <= 1 for hits in got.values() for *_, s in hits)
+    ones = [(i, np.eye(6)[i % 6].tolist()) for i in range(300)] + [(300 + i, rng.integers(-1, 2, 6).astype(float).tolist()) for i in range(301)]
+    ones = [(i, v) for i, v in ones if any(v)]
+    got = grouped(vptree.nearest(spark.createDataFrame(ones, "vec_id long, embedding array<double>"), F.expr(ASKED), factor=1.0))
+    exact = lambda a, b: round(cosine(a, b), 12)
+    want = plain_top([(i, np.array(v)) for i, v in ones], exact)
+    assert {q: [v for _, v, _ in h] for q, h in got.items()} == {q: [v for _, v, _ in h] for q, h in want.items()}
+
+
 def test_recall(spark, sf):
     df = table(spark, sf, "embeddings")
     got, want = grouped(vptree.nearest(df, F.expr(ASKED))), plain_top(sound(df), cosine)
@@ -99,7 +117,23 @@ def test_reading_stops_early():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (4000, 4)) ** 3
     lists = topk.SortedLists(np.floor(x * 50).astype(np.int64), np.arange(4000))
-    assert lists.top(np.array([100, -80, 3, 0]), 7, 5)[1] < 0.6
+    assert lists.top(np.array([100, -80, 3, 0]), 7, 5)[1] < 0.9  # reading on for the final scores included
+
+
+def test_scores_come_from_the_lists(monkeypatch):
+    """No vector is kept beside the lists, and what stands after the places that were read changes nothing."""
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(0, 20, (3000, 5)) ** 3).astype(np.int64)
+    lists, q = topk.SortedLists(x, np.arange(3000)), np.array([90, -7, 2, 0, 30])
+    assert set(vars(lists)) == {"ids", "most", "shift", "rows", "values", "whole"}
+    seen = []
+    final = topk.SortedLists._final
+    monkeypatch.setattr(topk.SortedLists, "_final", lambda self, q, use, end, alive, at, k: seen.append((alive, at)) or final(self, q, use, end, alive, at, k))
+    found, read = lists.top(q, -1, 5)
+    alive, at = seen[0]
+    assert len(alive) == 5 and at < 3000 and read < 1
+    score = x @ q
+    assert found == sorted(zip(score.tolist(), range(3000), strict=True), key=lambda f: (-f[0], f[1]))[:5]
 
 
 def test_no_vectors(spark):
@@ -137,7 +171,22 @@ def test_archives(spark):
     assert names and all(n.endswith(".warc.zst") for n in names)
     content = system.open_input_stream(f"{root}/{sorted(names)[0]}", compression=None).read()
     assert content[:4] == b"\x5d\x2a\x4d\x18"
-    assert next(warc.records_of(content)).startswith(b"WARC/1.1\r\n")
+    assert next(warc.records_of(io.BytesIO(content))).startswith(b"WARC/1.1\r\n")
+
+
+def test_many_archives_and_large_pages(spark):
+    """Archives by bytes, those of one or two records too, all with a dictionary; a page larger than a read and a batch."""
+    df = pages(spark).unionByName(spark.createDataFrame([(900 + i, "u", "".join(map(chr, range(40, 120))) * 40_000 + str(i), "d", 1) for i in range(3)], pages(spark).schema))
+    folder = warc.write_archives(df, archive_bytes=20_000)
+    got = warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect()), key=str) == plain_records(df.collect())
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    names = [f.path for f in system.get_file_info(pyarrow.fs.FileSelector(root))]
+    assert len(names) > 100 and all(system.open_input_stream(n, compression=None).read(4) == b"\x5d\x2a\x4d\x18" for n in names)
+    for few in ([b"WARC/1.1 one record"], [b"x" * 100] * 20):
+        dictionary = warc.train(few)
+        whole = io.BytesIO(warc.frame_of(dictionary) + b"".join(zstandard.ZstdCompressor(dict_data=dictionary).compress(r) for r in few))
+        assert list(warc.records_of(whole)) == few
 
 
 def test_small_payloads_are_not_revisited(spark):
@@ -150,13 +199,6 @@ def test_no_pages(spark):
     assert warc.read_archives(spark, warc.write_archives(pages(spark).limit(0))).count() == 0
 
 
-@lru_cache(1)
-def marked_library():
-    t = Tokenizer.from_file(PATH)
-    t.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in chat.MARKS])
-    return t
-
-
 turns_of = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "<|turn|>"]), st.lists(st.sampled_from([*"ab \n<|>\\é😀's", "<|end|>", "<|text|>"]), max_size=12).map("".join)), max_size=5)
 
 
@@ -166,10 +208,10 @@ def test_chats_round_trip(turns):
     formatted, spans = chat.render(turns)
     assert chat.parse(formatted) == turns
     assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for _, t in turns]
-    e = marked_library().encode(formatted, add_special_tokens=False)
-    ids, starts, ends = chat.encode(encoder(PATH), [turns, turns])[1]
-    assert (ids.tolist(), list(zip(starts.tolist(), ends.tolist(), strict=True))) == (e.ids, e.offsets)
-    offsets = np.stack([starts, ends], 1)
+    library = chat.marked_library(PATH)
+    ids, offsets = chat.encode(library, ["", formatted])[1]
+    marks = [library.token_to_id(m) for m in chat.MARKS]
+    assert [ids.tolist().count(m) for m in marks] == [len(turns)] * 3 and library.decode(ids.tolist(), skip_special_tokens=False) == formatted
     mask = chat.token_mask(offsets, [s for s, (role, _) in zip(spans, turns, strict=True) if role == "assistant"])
     assert "".join(chat.masked_text(formatted, offsets, mask)) == "".join(t for role, t in turns if role == "assistant")
 
@@ -220,3 +262,24 @@ def test_pipeline(spark, sf):
     total = mixed.count()
     assert packed.where("piece = 0").count() == total
     assert json.dumps(sorted(packed.columns)) == json.dumps(["doc_id", "ids_crc32", "length", "offset", "piece", "sequence_id", "start"])
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Clashing and dotted names, nulls, empty and long texts, repeated rows, in each stage; and no rows at all."""
+    import corpus_pipeline as p
+
+    from tests.llm import edge
+
+    docs = edge.oddly_named(spark)
+    for name, stage in p.STAGES:
+        out = p.materialize(stage(spark, docs, sf), f"odd-{name}")
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "best_fit_packing":
+            assert out.where("piece = 0").count() == docs.count()
+            continue
+        assert out.columns == docs.columns
+        kept = [(r["doc_id"], r["two words"], r["a.b"]) for r in out.collect()]
+        assert kept and {k[1:] for k in kept} == {(5, 4)}
+        if name in ("toxicity", "pii"):
+            assert len(kept) == docs.count()
