@@ -4,9 +4,9 @@ Vectors are dealt to shards and queries to groups as for the nearest neighbours.
 component, sorted by value, and nothing else: no vector is ever looked up. For a query every list is read from the end
 where its products are greatest, all lists in step. A vector's lower bound is what was read of it plus the least products
 of the lists where it wasn't met, its upper bound the same with the products last read. Outsiders are all vectors but the
-k with the greatest lower bounds, met or not; reading stops when no outsider's upper bound reaches the k-th lower bound.
-What is then still in question, k vectors or more if there are ties, gets its final score by reading on, each list to the
-place where the last of them is met.
+k with the greatest lower bounds, met or not; those whose upper bounds stay below the k-th lower bound are out. When no
+outsider can qualify, the lists are read on until they have met the k vectors, whose final scores are then known; with
+ties that takes the whole lists.
 
 Bounds are doubles with a margin for their rounding; final scores are summed in longs where every sum fits, else in
 Python's integers. Vectors of very different size have lists of their own, so that the margin stays small for each.
@@ -30,8 +30,8 @@ SCALE = 256
 SMALL, STEP = 12, 16
 #: The range of a long, and from where on a double needn't hold an integer exactly, with room for the sums.
 LEAST, MOST, EXACT = -(1 << 63), (1 << 63) - 1, 2.0**50
-#: Into so many steps the reading of the lists is cut; after each the bounds are looked at.
-STEPS = 64
+#: Depths, in parts of the last, at which the bounds are looked at; share of the vectors from which on only those still in question are followed.
+STEPS, FEW = (2, 8, 16, 24, 32, 38, 44, 50, 56, 60, 64), 0.5
 LEAST_SHARD = 4096
 
 
@@ -56,26 +56,31 @@ def largest(x: np.ndarray) -> int:
 
 
 class SortedLists:
-    """One list of (row, value) for each component, and the same from its other end: index 0 falls, index 1 rises. Whole values, for final scores, are kept in the falling list's order."""
+    """Two lists for each component, from its greatest value down and from its least value up, and nothing by vector.
+
+    rows has the vectors in each list's order, gains how far each value is from the list's last one: the falling lists,
+    then the rising ones. whole has the falling lists' values as integers.
+    """
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         self.ids, self.most = ids, largest(x)
         near, self.shift = doubles(x)
-        rows = np.argsort(near, axis=0, kind="stable").T
-        self.rows = np.stack([rows[:, ::-1], rows]).astype(np.int32)
-        self.values = np.stack([v := np.take_along_axis(near.T, self.rows[0], 1), v[:, ::-1]])
-        self.whole = np.take_along_axis(x.T, self.rows[0], 1)
+        falling = np.ascontiguousarray(np.argsort(-near, axis=0, kind="stable").T)
+        self.rows = np.vstack([falling, falling[:, ::-1]])
+        value = np.take_along_axis(near.T, falling, 1)
+        self.first, self.last = value[:, 0], value[:, -1]
+        self.gains = np.vstack([value - value[:, -1:], value[:, :1] - value[:, ::-1]])
+        self.whole = np.take_along_axis(x.T, falling, 1)
 
     def top(self, q: np.ndarray, q_id: int, k: int) -> tuple[list[tuple[int, int]], float]:
         """(score, vec_id) of the k best, best first; and the part of the lists that was read."""
         near, shift = doubles(q)
         use = np.flatnonzero(near)
-        weight = near[use][:, None]
-        end = (weight[:, 0] < 0).astype(int)
-        n, own = len(self.ids), self.ids == q_id
+        weight, rising = np.abs(near[use]), near[use] < 0
+        lists, wide, n = use + len(q) * rising, len(use), len(self.ids)
+        least = np.where(rising, self.first[use], self.last[use]) * near[use]
         most = np.ldexp(1.0, 63 - shift - self.shift)
-        least = self.values[end, use, -1:] * weight
-        greatest = float(np.maximum(np.abs(least), np.abs(self.values[end, use, :1] * weight)).sum())
+        greatest = float(np.maximum(np.abs(self.first[use]), np.abs(self.last[use])) @ weight)
         margin = 0.0 if greatest < EXACT and not shift + self.shift else greatest * (len(q) + 16) * 2.0**-48
 
         def reached(value: np.ndarray) -> float:
@@ -83,45 +88,56 @@ class SortedLists:
             bar = np.partition(value, len(value) - k)[len(value) - k] if len(value) >= k else -np.inf
             return -np.inf if bar - margin <= -most else min(bar, most) - 2 * margin
 
-        lower, at = np.full(n, least.sum()), 0
-        lower[own] = -np.inf
-        alive, met = np.flatnonzero(~own), np.zeros((len(use), n), np.float32)
-        each = np.arange(len(use))[:, None]
-        for step in range(1, STEPS + 1) if len(use) else ():
-            to = -(-n * step // STEPS)
+        lower, alive, at = np.full(n, least.sum()), np.arange(n), 0
+        lower[self.ids == q_id] = -np.inf
+        each = n * np.arange(wide)[:, None]
+        met = place = None  # met: which lists have met which vectors; place: of each vector among the few still in question
+        for step in STEPS if wide else ():
+            to = -(-n * step // STEPS[-1])
             if to == at:
                 continue
-            rows, got = self.rows[end, use, at:to], self.values[end, use, at:to] * weight
-            lower += np.bincount(rows.ravel(), (got - least).ravel(), n)
-            met[each, rows] = 1
-            at, last, bar = to, got[:, -1:], reached(lower)
-            if last.sum() >= bar and at < n:
-                continue  # a vector that no list has met could still qualify
-            # Where a list hasn't met a vector, its least product stands in the lower bound and the last one read in the upper.
-            gap = (last - least)[:, 0]
-            upper = lower[alive] + gap.sum() - gap @ met[:, alive]
-            alive = alive[upper >= bar]
-            if len(alive) <= k:
+            rows, gain = self.rows[lists, at:to], self.gains[lists, at:to]
+            gain *= weight[:, None]
+            if place is None:
+                lower += np.bincount(rows.ravel(), gain.ravel(), n)
+                if met is not None:
+                    met.ravel()[(rows + each).ravel()] = 1
+            else:
+                here = place[rows].ravel()
+                some = np.flatnonzero(here >= 0)
+                lower += np.bincount(here[some], gain.ravel()[some], len(alive))
+                met[some // (to - at), here[some]] = 1
+            at, gap, bar = to, gain[:, -1], reached(lower)
+            if met is None:
+                if least.sum() + gap.sum() >= bar and at < n:
+                    continue  # a vector that no list has met could still qualify
+                met = np.zeros((wide, n), np.float32)
+                met.ravel()[(self.rows[lists, :at] + each).ravel()] = 1
+            # Where a list hasn't met a vector, its least product stands in the lower bound and the last one read in the upper; what single precision may lose is added.
+            upper = lower + (gap.sum() * (1 + wide * 2.0**-22) - np.einsum("j,jn->n", gap.astype(np.float32), met))
+            keep = (upper >= bar) & (lower > -np.inf)
+            if keep.sum() <= FEW * n:
+                alive, lower, met = alive[keep], lower[keep], met[:, keep]
+                place = np.full(n, -1)
+                place[alive] = np.arange(len(alive))
+            if len(alive) <= k and met.all():
                 break
-        return self._final(q, use, end, alive, at, k)
-
-    def _final(self, q: np.ndarray, use: np.ndarray, end: np.ndarray, alive: np.ndarray, at: int, k: int) -> tuple[list[tuple[int, int]], float]:
-        """Scores of the rows in question, from the lists alone, and the part of the lists read until each has met them."""
-        n = len(self.ids)
-        place = np.full(n, -1)
+        if margin:
+            score = self._whole_scores(q, use, rising, alive)
+        else:
+            alive, score = alive[lower > -np.inf], lower[lower > -np.inf].tolist()
+        found = sorted(((min(MOST, max(LEAST, int(s))), v) for s, v in zip(score, self.ids[alive].tolist(), strict=True) if v != q_id), key=lambda f: (-f[0], f[1]))[:k]
+        return found, at / max(n, 1)
+
+    def _whole_scores(self, q: np.ndarray, use: np.ndarray, rising: np.ndarray, alive: np.ndarray) -> list[int]:
+        """Scores of the vectors in question from the lists' whole values, where doubles don't hold them."""
+        place = np.full(len(self.ids), -1)
         place[alive] = np.arange(len(alive))
-        here = place[self.rows[end, use]]
-        component, position = np.nonzero(here >= 0)
-        row = here[component, position]
-        stored = np.where(end[component] == 0, position, n - 1 - position)
-        long = self.most * largest(q) * len(q) <= MOST
-        product = self.whole[use[component], stored] * q[use[component]] if long else self.whole[use[component], stored].astype(object) * q[use[component]].astype(object)
-        score = np.zeros(len(alive), np.int64 if long else object)
-        np.add.at(score, row, product)
-        read = np.full(len(use), at)
-        np.maximum.at(read, component, position + 1)
-        found = sorted(zip((min(MOST, max(LEAST, int(s))) for s in score), self.ids[alive].tolist(), strict=True), key=lambda f: (-f[0], f[1]))[:k]
-        return found, float(read.sum()) / max(n * len(use), 1)
+        here = place[self.rows[use]]
+        some, at = np.nonzero(here >= 0)
+        score = np.zeros(len(alive), object)
+        np.add.at(score, here[some, at], self.whole[use[some], at].astype(object) * q[use[some]].astype(object))
+        return score.tolist()
 
 
 def by_size(x: np.ndarray) -> np.ndarray:
