@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from foliant.functions.texts import strip
 
+#: Values that stand for none; fixed values.
 NOTHING = ("null", "none", "n/a")
 #: Line beginnings and parts that no title has, marks of journal heads; fixed values.
 NO_TITLE_START = ("Abstract", "Keywords", "1.", "I.")
 HEAD_MARKS = ("|", "—", "°", "page", "pp.", "vol.", "no.", "issn", "isbn", "©", "copyright")
 NO_TITLE_PARTS = ("abstract", "keywords", "author", "email", "@", "department", "university")
 NO_TITLE_SIGNS = ("|", "—", "°", "©")
+#: What an address looks like; a fixed value.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 #: Quality words of a model's answer in the order in which they are tried, and the score of each; fixed values.
 QUALITY_WORDS = (

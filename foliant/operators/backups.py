@@ -62,6 +62,19 @@ def write_backup(df: DataFrame, folder: str, backup_id: str, kind: str = "full")
     return {"backup_id": backup_id, "type": kind, "path": path, "rows": made["rows"], "checksum": made["digest"], "status": "completed"}
 
 
+def write_stores(stores: dict[str, DataFrame], folder: str, backup_id: str, kind: str = "full") -> list[dict]:
+    """A version of each store, as one backup; an incremental one leaves the vectors out. Each is verified as it is written."""
+    entries = []
+    for name, df in stores.items():
+        if kind == "incremental" and name == "vectors":
+            continue
+        entry = write_backup(df, folder, f"{backup_id}_{name}", kind) | {"store": name}
+        if not verify(df.sparkSession, entry):
+            raise ValueError(f"backup {entry['backup_id']} is damaged")
+        entries.append(entry)
+    return entries
+
+
 def verify(spark: SparkSession, entry: dict) -> bool:
     """Whether a version still holds what its manifest entry says."""
     made = checksum(spark.read.parquet(entry["path"])).first()

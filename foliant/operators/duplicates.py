@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.operators.catalog import one_row, rate
+from foliant.session import written
 
 LEVELS = ("Level_0_File_Hash", "Level_1_Content_Hash", "Level_2_Sample_Embedding")
 #: Characters of content, of a sampled page and of a whole sample that count; and what a cut adds.
@@ -80,13 +81,14 @@ def groups_with_copies(docs: DataFrame, key: Column, least: int = 2) -> DataFram
 def cascade(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Each document's first level that finds an earlier copy: (doc_id, duplicate_of, level).
 
-    Only ids and keys travel. A level's side of its join is its repeated keys with their first document, which is small
-    where copies are few, so that Spark can send it to the documents instead of shuffling them.
+    The texts are read once: ids and keys are written, and all else works on them. A level's side of its join is its
+    repeated keys with their first document, which is small where copies are few, so that Spark can send it to the
+    documents instead of shuffling them.
     """
     names = list(keys)
-    out = docs.select("doc_id", *[k.alias(f"k{i}") for i, k in enumerate(keys.values())])
-    for i, key in enumerate(keys.values()):
-        stored = docs.select(key.alias(f"k{i}"), "doc_id").where(f"k{i} IS NOT NULL").groupBy(f"k{i}").agg(F.min("doc_id").alias(f"d{i}"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = out = written(docs.select("doc_id", *[k.alias(f"k{i}") for i, k in enumerate(keys.values())]), "cascade-keys")
+    for i in range(len(names)):
+        stored = keyed.select(f"k{i}", "doc_id").where(f"k{i} IS NOT NULL").groupBy(f"k{i}").agg(F.min("doc_id").alias(f"d{i}"), F.count("*").alias("n")).where("n > 1").drop("n")
         out = out.join(stored, f"k{i}", "left").withColumn(f"d{i}", F.when(F.col(f"d{i}") != F.col("doc_id"), F.col(f"d{i}")))
     first, level = F.coalesce(*[F.col(f"d{i}") for i in range(len(names))]), F.lit(None).cast("string")
     for i, name in reversed(list(enumerate(names))):
@@ -96,10 +98,11 @@ def cascade(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 def probe(candidates: DataFrame, library: DataFrame, keys: dict[str, Column], candidate_id: str) -> DataFrame:
     """Each candidate with the level and document that match it first, or No_Duplicate: keys are over `text` on both sides."""
-    out, hit, level = candidates, F.lit(None).cast("long"), F.lit(None).cast("string")
+    out = candidates.select(candidate_id, *[k.alias(f"k{i}") for i, k in enumerate(keys.values())])
+    hit, level = F.lit(None).cast("long"), F.lit(None).cast("string")
     for i, (name, key) in enumerate(keys.items()):
         stored = library.select(key.alias(f"k{i}"), "doc_id").where(f"k{i} IS NOT NULL").groupBy(f"k{i}").agg(F.min("doc_id").alias(f"d{i}"))
-        out = out.withColumn(f"k{i}", key).join(stored, f"k{i}", "left")
+        out = out.join(stored, f"k{i}", "left")
         hit, level = F.coalesce(hit, F.col(f"d{i}")), F.coalesce(level, F.when(F.col(f"d{i}").isNotNull(), F.lit(name)))
     return out.select(candidate_id, hit.alias("duplicate_of"), F.coalesce(level, F.lit("No_Duplicate")).alias("level"))
 

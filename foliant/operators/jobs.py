@@ -58,12 +58,40 @@ def quality_of_line(line: Column) -> Column:
 
 def admitted(queue: DataFrame, most: int = 100, running: int = 3) -> DataFrame:
     """Submissions (job_id, rank, submitted_at) in order: of equal ids the first counts, beyond the most waiting ones they are refused; the first by priority start."""
-    seen = F.row_number().over(Window.partitionBy("job_id").orderBy("submitted_at"))
-    order = Window.orderBy("submitted_at", "job_id")
+    seen = F.row_number().over(Window.partitionBy("job_id").orderBy("submitted_at", "rank"))
     single = queue.withColumn("seen", seen)
-    fresh = single.where("seen = 1").withColumn("place", F.row_number().over(order))
-    state = fresh.withColumn("state", F.when(F.col("place") > most, "refused").otherwise("waiting"))
-    first = Window.partitionBy("state").orderBy("rank", "submitted_at", "job_id")
-    state = state.withColumn("state", F.when((F.col("state") == "waiting") & (F.row_number().over(first) <= running), "running").otherwise(F.col("state")))
-    repeated = single.where("seen > 1").withColumns({"place": F.lit(None).cast("int"), "state": F.lit("repeated")})
-    return state.unionByName(repeated).select("job_id", "rank", "submitted_at", "state")
+    fresh = single.where("seen = 1")
+    waiting = fresh.orderBy("submitted_at", "job_id").limit(most).select("job_id", "rank", "submitted_at")
+    first = waiting.orderBy("rank", "submitted_at", "job_id").limit(running).select("job_id", F.lit("running").alias("starts_"))
+    held = waiting.join(F.broadcast(first), "job_id", "left").select("job_id", F.coalesce("starts_", F.lit("waiting")).alias("state"))
+    decided = fresh.join(F.broadcast(held), "job_id", "left").withColumn("state", F.coalesce("state", F.lit("refused")))
+    repeated = single.where("seen > 1").withColumn("state", F.lit("repeated"))
+    return decided.unionByName(repeated).select("job_id", "rank", "submitted_at", "state")
+
+
+def task_counts(pending: DataFrame, done: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(kind, pending, processed, failed) for each kind of task: pending has (doc_id, <kind>_pending), done (doc_id, kind, ok) what a run made of them."""
+    tasks = pending.select("doc_id", F.explode(F.array(*[F.when(F.col(f"{k}_pending"), F.lit(k)) for k in kinds])).alias("kind")).where("kind IS NOT NULL")
+    both = tasks.join(done.groupBy("doc_id", "kind").agg(F.bool_or("ok").alias("ok")), ["doc_id", "kind"], "left")
+    return both.groupBy("kind").agg(F.count("*").alias("pending"), F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def task_order(pending: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(doc_id, place, kind): all pending tasks of each paper, in the order in which one run does them."""
+    return pending.select("doc_id", F.posexplode(F.filter(F.array(*[F.when(F.col(f"{k}_pending"), F.lit(k)) for k in kinds]), lambda k: k.isNotNull())).alias("place", "kind"))
+
+
+def ingest(uploads: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """Uploads run through the steps in order: arrays of done and failed steps, warnings, whether the ingest succeeded, its progress. A step's column is null where it succeeds and holds the error where it fails; after a failed critical step none follows."""
+    names = [n for n in STEPS if n in steps]
+    begun = F.lit(True)
+    done, failed, warnings = [], [], []
+    for n in names:
+        done.append(F.when(begun & steps[n].isNull(), F.lit(n)))
+        failed.append(F.when(begun & steps[n].isNotNull(), F.lit(n)))
+        warnings.append(F.when(begun & steps[n].isNotNull(), F.concat(F.lit(n + ": "), steps[n])))
+        if n in CRITICAL:
+            begun = begun & steps[n].isNull()
+    kept = lambda c: F.array_compact(F.array(*c))
+    out = uploads.withColumns({"steps_completed": kept(done), "steps_failed": kept(failed), "warnings": kept(warnings)})
+    return out.withColumn("success", succeeded(F.col("steps_failed"))).withColumn("progress", F.floor(F.size("steps_completed") * 100 / len(names)).cast("int"))

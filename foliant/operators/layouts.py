@@ -93,7 +93,7 @@ def lines(words: DataFrame, limits: DataFrame, drop_first: bool = False) -> Data
     """(page, line_no, text, y, x, width) from words (page, word_no, text, left, top, width). drop_first leaves a page's first word out, as older results did."""
     said = words.where(F.btrim("text") != "").join(limits.select("page", "line_gap"), "page")
     rows = said.select("page", "word_no", F.col("top").cast("double").alias("top"), "line_gap")
-    placed = fold(rows, "page", ["word_no"], _Line, lambda s, r: (r["page"], r["word_no"], *s(r["top"], r["line_gap"])), "page string, word_no long, line_no long, y double")
+    placed = fold(rows, "page", ["word_no"], _Line, lambda s, page, n, top, gap: (page, n, *s(top, gap)), "page string, word_no long, line_no long, y double")
     full = said.join(placed, ["page", "word_no"])
     if drop_first:
         full = full.withColumn("first", F.min("word_no").over(Window.partitionBy("page"))).where("word_no <> first")

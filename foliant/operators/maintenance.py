@@ -101,3 +101,9 @@ def cascade_delete(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]
     """Every table (keyed by paper_id) without the rows of the papers (doc_id) that go."""
     keys = gone.select(F.col("doc_id").alias("paper_id")).distinct()
     return {name: t.join(keys, "paper_id", "left_anti") for name, t in tables.items()}
+
+
+def saved_kinds(made: DataFrame, by: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(by, saved, stored): how many of the kinds of hashes (flags whether one could be made) all of a document's rows have, and its rows."""
+    every = made.groupBy(by).agg(*[F.bool_and(k).alias(k) for k in kinds], F.count("*").alias("stored"))
+    return every.select(by, sum((F.col(k).cast("int") for k in kinds), F.lit(0)).alias("saved"), "stored")

@@ -110,9 +110,15 @@ def queue(jobs: DataFrame, as_of: Column, boost_after: int | None = None) -> Dat
     rank = priority_rank(F.col("priority"))
     if boost_after is not None:
         rank = F.when(waited > boost_after, F.greatest(F.lit(0), rank - 1)).otherwise(rank)
-    out = jobs.withColumn("rank", rank).withColumn("waited", waited).withColumn("estimate", estimate(F.col("size_mb")))
-    w = Window.orderBy("rank", "created_at", "job_id")
-    return out.withColumn("position", F.row_number().over(w)).withColumn("starts_after", F.sum("estimate").over(w) - F.col("estimate"))
+    out = jobs.withColumn("rank", rank).withColumn("waited", waited).withColumn("estimate", estimate(F.col("size_mb"))).withColumn("hour_", F.date_trunc("hour", "created_at"))
+    # Jobs are numbered within their priority and hour; what comes before an hour is summed over one row for each, so the jobs themselves never meet in one task.
+    before = Window.orderBy("rank", "hour_").rowsBetween(Window.unboundedPreceding, -1)
+    hours = out.groupBy("rank", "hour_").agg(F.count("*").alias("n_"), F.sum("estimate").alias("s_"))
+    hours = hours.select(F.col("rank").alias("rank_"), F.col("hour_").alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("n_"), F.coalesce(F.sum("s_").over(before), F.lit(0.0)).alias("s_"))
+    own = Window.partitionBy("rank", "hour_").orderBy("created_at", "job_id")
+    placed = out.withColumn("position", F.row_number().over(own)).withColumn("starts_after", F.sum("estimate").over(own) - F.col("estimate"))
+    both = placed.join(hours, (F.col("rank") == F.col("rank_")) & F.col("hour_").eqNullSafe(F.col("of_")))
+    return both.withColumn("position", F.col("position") + F.col("n_")).withColumn("starts_after", F.col("starts_after") + F.col("s_")).drop("hour_", "rank_", "of_", "n_", "s_")
 
 
 def last_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -128,3 +134,19 @@ def backoff() -> Column:
 def success_band(done: Column, failed: Column) -> Column:
     share = F.try_divide(done * 100.0, done + failed)
     return F.when(share.isNull(), "none").when(share >= 90, "good").when(share >= 70, "fair").otherwise("poor")
+
+
+def running_mean(mean: Column, n: Column, new: Column) -> Column:
+    """A mean of n values, carried on by another one; a missing mean is none of 0."""
+    return (F.coalesce(mean, F.lit(0.0)) * n + new) / (n + 1)
+
+
+def queue_success(done: Column, failed: Column) -> Column:
+    """Percent of processed jobs that succeeded, 0 of none."""
+    return rate(done, done + failed)
+
+
+def active(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Jobs that still run (job_id, step, created_at, status), longest running first, with the seconds since their start."""
+    live = jobs.where(F.col("status") == "processing")
+    return live.select("job_id", "step", "created_at", (F.unix_timestamp(as_of) - F.unix_timestamp("created_at")).alias("seconds")).orderBy("created_at", "job_id")

@@ -77,41 +77,47 @@ class Breaker:
         return self.failed_at + self.wait if self.state == OPEN and not self.forced and self.failed_at is not None else None
 
 
-def fold(events: DataFrame, key: str, order: list[str], begin: Callable[[], Callable], step: Callable[[Callable, dict], tuple], schema: str) -> DataFrame:
-    """Rows of step(state, row) for each row, in order within its key; begin() makes a key's first state."""
-    names = [part.split(" ")[0] for part in schema.split(", ")]
+def fold(events: DataFrame, key: str, order: list[str], begin: Callable[[], Callable], step: Callable[..., tuple], schema: str) -> DataFrame:
+    """Rows of step(state, *values of a row) for each row, in order within its key; begin() makes a key's first state. Keys are dealt to tasks; within a key each row needs what the one before it left, so a key's rows pass through one task, as a stream."""
+    names, kinds = zip(*[part.split(" ") for part in schema.split(", ")], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = None, object()
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row[key] != now:
-                    state, now = begin(), row[key]
-                out.append(step(state, row))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], pa.schema(KINDS[p.split(" ")[1]](p.split(" ")[0]) for p in schema.split(", ")))
+            keys = batch[key].to_pylist()
+            for k, *row in zip(keys, *[c.to_pylist() for c in batch.columns], strict=True):
+                if k != now:
+                    state, now = begin(), k
+                out.append(step(state, *row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], KINDS[kind]) for i, kind in enumerate(kinds)], names=names)
 
     return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-KINDS = {
-    "long": lambda n: pa.field(n, pa.int64()),
-    "boolean": lambda n: pa.field(n, pa.bool_()),
-    "string": lambda n: pa.field(n, pa.string()),
-    "double": lambda n: pa.field(n, pa.float64()),
-}
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
 def decisions(events: DataFrame, per_hour: int = 50, per_day: int = 200) -> DataFrame:
     """(event_id, client, second, accepted): only accepted uploads count against later ones."""
     rows = events.select("event_id", "client", (F.unix_micros("at") / 1e6).alias("second"))
-    return fold(rows, "client", ["second", "event_id"], lambda: Limiter(per_hour, per_day), lambda s, r: (r["event_id"], r["client"], r["second"], s(r["second"])), "event_id long, client long, second double, accepted boolean")
+    return fold(rows, "client", ["second", "event_id"], lambda: Limiter(per_hour, per_day), lambda s, i, c, t: (i, c, t, s(t)), "event_id long, client long, second double, accepted boolean")
 
 
 def breaker(calls: DataFrame, failures: int = 3, seconds: float = 300, successes: int = 2) -> DataFrame:
-    """(event_id, service, allowed, state) of calls (event_id, service, at, ok)."""
+    """(event_id, service, second, allowed, state, next_attempt) of calls (event_id, service, at, ok). With one success the breaker is the simple one of a threshold and a reset."""
     rows = calls.select("event_id", "service", (F.unix_micros("at") / 1e6).alias("second"), "ok")
-    return fold(rows, "service", ["second", "event_id"], lambda: Breaker(failures, seconds, successes), lambda s, r: (r["event_id"], r["service"], *s.call(r["second"], r["ok"])), "event_id long, service string, allowed boolean, state string")
+
+    def step(s: Breaker, i: int, service: str, t: float, ok: bool) -> tuple:
+        return (i, service, t, *s.call(t, ok), s.next_attempt())
+
+    return fold(rows, "service", ["second", "event_id"], lambda: Breaker(failures, seconds, successes), step, "event_id long, service string, second double, allowed boolean, state string, next_attempt double")
+
+
+def status_of(traced: DataFrame) -> DataFrame:
+    """(service, state, next_attempt) after each service's last call."""
+    last = traced.groupBy("service").agg(F.max_by(F.struct("state", "next_attempt"), F.struct("second", "event_id")).alias("s"))
+    return last.select("service", "s.state", "s.next_attempt")
 
 
 def attempts(log: DataFrame, most: int, fatal: tuple[str, ...] = ()) -> DataFrame:

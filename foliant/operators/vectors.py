@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from foliant.functions import vector as fn
 
-#: Results of one search at most; rows of one block of vectors.
-MOST_RESULTS, BLOCK = 100, 4096
+#: Results of one search at most; rows of one block of vectors, and of them multiplied at once.
+MOST_RESULTS, BLOCK, AT_ONCE = 100, 8192, 1024
 
 
 def where(filters: dict[str, Any]) -> Column:
@@ -56,34 +56,43 @@ def similar_documents(vectors: DataFrame, vec_id: int, k: int = 10, filters: dic
 def nearest_rows(vectors: DataFrame, k: int = 10, same: str | None = None) -> DataFrame:
     """(vec_id, rank, other, similarity) of the k rows nearest to every row; with `same`, among rows of equal value there.
 
-    Rows go into blocks of bounded size; each pair of blocks meets in one task, which multiplies them and keeps k rows
-    for each row, so a pair of blocks costs BLOCK * k rows, not BLOCK squared.
+    Rows of a group go into blocks of bounded size; each pair of blocks of a group meets in one task, which multiplies
+    them a few rows at a time and keeps k rows for each. All pairs are compared, so rows shuffled grow with a group's
+    rows times its blocks: 2 n n / BLOCK.
     """
-    spark = vectors.sparkSession
-    n_blocks = max(1, -(-vectors.count() // BLOCK), min(8, spark.sparkContext.defaultParallelism))
-    group = F.col(same).cast("string") if same else F.lit("")
-    rows = vectors.select("vec_id", "v", group.alias("g"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    group = F.coalesce(F.col(same).cast("string"), F.lit("")) if same else F.lit("")
+    named = vectors.select("vec_id", "v", group.alias("g"))
+    blocks = named.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    rows = named.join(F.broadcast(blocks) if not same else blocks, "g").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     left = rows.select("vec_id", "v", "g", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
     right = rows.select("vec_id", "v", "g", every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("asks"))
 
     def meet(t: pa.Table) -> pa.Table:
         asks, ids = t["asks"].to_numpy(), t["vec_id"].to_numpy()
-        x = np.stack(t["v"].to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 1))
+        cells = t["v"].combine_chunks()
+        x = np.stack(cells.to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 1))
         size = np.linalg.norm(x, axis=1)
         x = x / np.where(size > 0, size, 1)[:, None]
-        groups = np.array(t["g"].to_pylist(), object)
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        s = x[q] @ x[c].T
-        s[(ids[q][:, None] == ids[c][None, :]) | (groups[q][:, None] != groups[c][None, :])] = -np.inf
-        top = np.argsort(-s, 1, kind="stable")[:, :k] if len(c) else np.zeros((len(q), 0), int)
-        value = np.take_along_axis(s, top, 1)
-        ok = np.isfinite(value)
-        return pa.table({"vec_id": np.repeat(ids[q], top.shape[1])[ok.ravel()], "other": ids[c][top][ok], "similarity": value[ok]})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(meet, "vec_id long, other long, similarity double")
+        found = []
+        for lo in range(0, len(q) if len(c) else 0, AT_ONCE):
+            own = q[lo : lo + AT_ONCE]
+            s = x[own] @ x[c].T
+            s[ids[own][:, None] == ids[c][None, :]] = -np.inf
+            # All that reach the k-th value are kept, so that ties fall to the smaller id.
+            least = np.partition(s, -k, 1)[:, -k][:, None] if len(c) > k else np.full((len(own), 1), -np.inf)
+            row, column = np.nonzero((s >= least) & np.isfinite(s))
+            order = np.lexsort((ids[c][column], -s[row, column], row))
+            row, column = row[order], column[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column = row[place < k], column[place < k]
+            found.append((ids[own][row], ids[c][column], s[row, column]))
+        return pa.table([pa.array(np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind)) for i, kind in enumerate((np.int64, np.int64, np.float64))], names=["vec_id", "other", "similarity"])
+
+    pairs = left.unionByName(right).groupBy("g", "i", "j").applyInArrow(meet, "vec_id long, other long, similarity double")
     order = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "other", "similarity")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "other", "similarity")
 
 
 def semantic_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -107,3 +116,34 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """Rows of the page collection: id, preview, metadata without nulls."""
     info = F.create_map(F.lit("page_number"), F.col("page_number").cast("string"), F.lit("model_name"), F.col("model_name"))
     return pages.select(F.concat(F.col("paper_id").cast("string"), F.lit("_page_"), F.col("page_number").cast("string")).alias("id"), "paper_id", F.substring("page_text", 1, 500).alias("preview"), without_nulls(info).alias("metadata"))
+
+
+def _to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = [None if v is None else np.asarray(v, "<f4").tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["key", "data"])
+
+
+def serialised(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, data): each vector's little-endian single-precision bytes."""
+    return df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>")).mapInArrow(_to_bytes, f"key {df.schema[key].dataType.simpleString()}, data binary")
+
+
+def deserialised(stored: DataFrame, dim: int) -> DataFrame:
+    """(key, v, error): the vectors of (key, data); null with an error where the bytes aren't those of dim components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(1).to_pylist()
+            fit = [c is not None and len(c) == 4 * dim for c in cells]
+            v = pa.array([np.frombuffer(c, "<f4").tolist() if ok else None for c, ok in zip(cells, fit, strict=True)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.array([None if ok else "length" for ok in fit], pa.string())], names=["key", "v", "error"])
+
+    return stored.select("key", "data").mapInArrow(run, f"key {stored.schema['key'].dataType.simpleString()}, v array<float>, error string")
+
+
+def content_duplicates(vectors: DataFrame, digests: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """(vec_id, duplicate_of, method): an earlier vector of the same bytes, else the nearest other one if it is near enough. digests has (key, digest)."""
+    first = digests.groupBy("digest").agg(F.min("key").alias("duplicate_of"))
+    same = digests.join(first, "digest").where("key <> duplicate_of").select(F.col("key").alias("vec_id"), "duplicate_of", F.lit("content_id").alias("method"))
+    near = semantic_duplicates(vectors.join(same, "vec_id", "left_anti"), threshold)
+    return same.unionByName(near.select("vec_id", F.col("other").alias("duplicate_of"), F.lit("vector").alias("method")))

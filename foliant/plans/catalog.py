@@ -100,11 +100,9 @@ def model_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.doc_id, d.lang, l.quality, coalesce(p.pages, 0) AS n_pages, coalesce(p.first_page, '') AS first_page
 FROM documents d LEFT JOIN labels l USING (doc_id)
 LEFT JOIN (SELECT conv_id, count(*) AS pages, arg_min(text, turn) AS first_page FROM conversations GROUP BY 1) p ON p.conv_id = d.doc_id
-WHERE d.doc_id < 50
 """)
 def paper_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = src.papers(spark, sf_dir).where("doc_id < 50")
-    found = op.detail(papers, src.pages(spark, sf_dir), metadata=src.metadata(spark, sf_dir))
+    found = op.detail(src.papers(spark, sf_dir), src.pages(spark, sf_dir), metadata=src.metadata(spark, sf_dir))
     first = F.coalesce(F.get("pages", F.lit(0))["page_text"], F.lit(""))
     return found.select("doc_id", "lang", F.col("metadata.quality").alias("quality"), F.coalesce(F.size("pages"), F.lit(0)).cast("long").alias("n_pages"), first.alias("first_page"))
 

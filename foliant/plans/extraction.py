@@ -26,7 +26,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(list(EXTRA), "doc_id long, text string"))
 
 
-@query(rf"SELECT doc_id, nullif(regexp_extract(substr(text, 1, 3000), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b'), '') AS email FROM {ROWS}")
+@query(f"SELECT doc_id, nullif(regexp_extract(substr(text, 1, 3000), '{fn.EMAIL}'), '') AS email FROM {ROWS}")
 def extract_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select("doc_id", fn.email(F.col("text")).alias("email"))
 

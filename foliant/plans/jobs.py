@@ -53,12 +53,12 @@ def overall_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT event_id % 400 AS job_id, CASE event_type WHEN 'error' THEN 0 ELSE 2 END AS rank, ts, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts) AS seen FROM events WHERE event_id < 600),
+WITH s AS (SELECT user_id AS job_id, CASE event_type WHEN 'error' THEN 0 ELSE 2 END AS rank, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE event_type WHEN 'error' THEN 0 ELSE 2 END) AS seen FROM events),
 p AS (SELECT *, row_number() OVER (ORDER BY ts, job_id) AS place FROM s WHERE seen = 1),
 w AS (SELECT *, row_number() OVER (ORDER BY rank, ts, job_id) AS first FROM p WHERE place <= 100)
 SELECT job_id, CASE WHEN first <= 3 THEN 'running' ELSE 'waiting' END AS state FROM w UNION ALL SELECT job_id, 'refused' FROM p WHERE place > 100 UNION ALL SELECT job_id, 'repeated' FROM s WHERE seen > 1
 """)
 def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = src.events(spark, sf_dir).where("event_id < 600")
-    sent = e.select((F.col("event_id") % 400).alias("job_id"), F.when(F.col("event_type") == "error", 0).otherwise(2).alias("rank"), F.col("ts").alias("submitted_at"))
+    e = src.events(spark, sf_dir)
+    sent = e.select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "error", 0).otherwise(2).alias("rank"), F.col("ts").alias("submitted_at"))
     return op.admitted(sent).select("job_id", "state")

@@ -103,8 +103,8 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def words_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = src.table(spark, sf_dir, "conversations").where("turn = 0")
-    each = t.select(F.col("conv_id").cast("string").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
+    t = src.table(spark, sf_dir, "conversations")
+    each = t.select(F.concat_ws(":", "conv_id", "turn").alias("page"), F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
     n = F.col("word_no")
     words = each.select("page", n.cast("long").alias("word_no"), "text", ((n % 8) * 60).cast("double").alias("left"), (F.floor(n / 8) * 24 + n % 3).cast("double").alias("top"), F.lit(50.0).alias("width"), F.lit(20.0).alias("height"), F.lit(90.0).alias("conf"))
     limits = op.thresholds(words, "page")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("catalog", "duplicates", "maintenance", "telemetry", "texts", "extraction", "vectors", "consistency", "security", "layouts", "streams", "exports", "jobs")
+MODULES = ("catalog", "duplicates", "maintenance", "telemetry", "texts", "extraction", "vectors", "consistency", "security", "layouts", "streams", "exports", "jobs", "records", "stores")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

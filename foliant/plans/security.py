@@ -38,6 +38,16 @@ def suspicious_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.select("page_id", "url", F.array_join(fn.dubious_urls(F.col("url")), " ").alias("flagged"))
 
 
+#: Files of every kind beside each page: sound ones, ones without an end, with too many objects and streams, of no bytes.
+KINDS = ("%PDF-1.7 obj %%EOF", "%PDF-2.0 cut", "%PDF-1.4 " + "obj " * 10_001 + "stream " * 1001 + "%%EOF", "%PDF-9 %%EOF", "")
+FILES = "(SELECT page_id, html FROM pages UNION ALL SELECT page_id, CASE page_id % 5 WHEN 0 THEN '%PDF-1.7 obj %%EOF' WHEN 1 THEN '%PDF-2.0 cut' WHEN 2 THEN '%PDF-1.4 ' || repeat('obj ', 10001) || repeat('stream ', 1001) || '%%EOF' WHEN 3 THEN '%PDF-9 %%EOF' ELSE '' END FROM pages WHERE page_id % 25 < 5)"
+
+
+def with_files(own: DataFrame) -> DataFrame:
+    made = own.where("page_id % 25 < 5").select("page_id", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("page_id") % 5 + 1).cast("int")).alias("html"))
+    return own.select("page_id", "html").unionByName(made)
+
+
 NAME = "CASE doc_id % 6 WHEN 0 THEN source || '.pdf' WHEN 1 THEN '../' || source WHEN 2 THEN source || '?.pdf' WHEN 3 THEN source || '.txt' WHEN 4 THEN '' ELSE repeat('x', 300) END"
 
 
@@ -57,11 +67,14 @@ def threat_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, 'signature' AS problem, 'header,end_mark' AS structure, len({FOUND}) AS n_marks, sha256(html) AS digest, octet_length(encode(html)) AS bytes FROM pages
+SELECT page_id, CASE WHEN html = '' THEN 'empty' WHEN NOT starts_with(html, '%PDF-1.') AND NOT starts_with(html, '%PDF-2.') THEN 'signature' END AS problem,
+  concat_ws(',', CASE WHEN NOT starts_with(html, '%PDF-') THEN 'header' END, CASE WHEN NOT contains(html, '%%EOF') THEN 'end_mark' END,
+    CASE WHEN (length(html) - length(replace(html, 'obj', ''))) // 3 > 10000 THEN 'objects' END, CASE WHEN (length(html) - length(replace(html, 'stream', ''))) // 6 > 1000 THEN 'streams' END) AS structure,
+  len({FOUND}) AS n_marks, sha256(html) AS digest, octet_length(encode(html)) AS bytes FROM {FILES}
 """)
 def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("html")
-    return pages(spark, sf_dir).select("page_id", fn.content_problem(t.cast("binary")).alias("problem"), F.array_join(fn.structure_problems(t), ",").alias("structure"), F.size(fn.marks(t)).cast("long").alias("n_marks"), F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("bytes"))
+    return with_files(pages(spark, sf_dir)).select("page_id", fn.content_problem(t.cast("binary")).alias("problem"), F.array_join(fn.structure_problems(t), ",").alias("structure"), F.size(fn.marks(t)).cast("long").alias("n_marks"), F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("bytes"))
 
 
 @query("""
@@ -73,13 +86,62 @@ def rate_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.trailing_counts(e).select("event_id", "last_hour", "last_day")
 
 
-@query()
+#: Accepted uploads of a client, event by event: only accepted ones count against later ones.
+LIMITS = """
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id AS client, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events
+), f AS (
+  SELECT event_id, client, r, s, true AS accepted, [s] AS held FROM e WHERE r = 1
+  UNION ALL
+  SELECT event_id, client, r, s, ok, CASE WHEN ok THEN list_append(past, s) ELSE past END FROM (
+    SELECT e.event_id, e.client, e.r, e.s, list_filter(f.held, lambda x: x > e.s - 86400) AS past,
+      len(list_filter(f.held, lambda x: x > e.s - 3600)) < 1 AND len(list_filter(f.held, lambda x: x > e.s - 86400)) < 2 AS ok
+    FROM f JOIN e ON e.client = f.client AND e.r = f.r + 1)
+)
+SELECT event_id, client, accepted FROM f
+"""
+
+
+@query(LIMITS)
 def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = src.events(spark, sf_dir).select("event_id", (F.col("user_id") % 5).alias("client"), F.col("ts").alias("at"))
-    return uploads.decisions(e, per_hour=2, per_day=10).select("event_id", "client", "accepted")
+    e = src.events(spark, sf_dir).select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("at"))
+    return uploads.decisions(e, per_hour=1, per_day=2).select("event_id", "client", "accepted")
+
 
+#: The states of a breaker, call by call: s before the call is OPEN's turn to HALF_OPEN if its wait is over.
+BREAKERS = """
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id::VARCHAR AS service, epoch_us(ts) / 1e6 AS t, (props->>'k')::BIGINT % 3 > 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events
+), f AS (
+  SELECT event_id, service, r, true AS allowed, CASE WHEN NOT ok AND {failures} <= 1 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, 0 AS successes, CASE WHEN ok THEN NULL ELSE t END AS failed_at FROM e WHERE r = 1
+  UNION ALL
+  SELECT event_id, service, r, before <> 'OPEN', after,
+    CASE WHEN before = 'OPEN' THEN failures WHEN before = 'HALF_OPEN' AND after = 'CLOSED' THEN 0 WHEN ok THEN failures ELSE failures + 1 END,
+    CASE WHEN before = 'HALF_OPEN' AND ok THEN successes + 1 ELSE successes END, CASE WHEN before <> 'OPEN' AND NOT ok THEN t ELSE failed_at END
+  FROM (SELECT *, CASE WHEN before = 'OPEN' THEN 'OPEN' WHEN before = 'HALF_OPEN' AND ok THEN CASE WHEN successes + 1 >= {successes} THEN 'CLOSED' ELSE 'HALF_OPEN' END
+      WHEN ok THEN before WHEN before = 'HALF_OPEN' OR failures + 1 >= {failures} THEN 'OPEN' ELSE before END AS after FROM (
+    SELECT e.event_id, e.service, e.r, e.t, e.ok, f.failures, f.failed_at, CASE WHEN f.state = 'OPEN' AND e.t - f.failed_at >= {seconds} THEN 'HALF_OPEN' ELSE f.state END AS before,
+      CASE WHEN f.state = 'OPEN' AND e.t - f.failed_at >= {seconds} THEN 0 ELSE f.successes END AS successes
+    FROM f JOIN e ON e.service = f.service AND e.r = f.r + 1))
+)
+"""
 
-@query()
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("service"), F.col("ts").alias("at"), (F.col("k") % 3 > 0).alias("ok"))
+
+
+@query(BREAKERS.format(failures=3, seconds=36_000, successes=2) + "SELECT event_id, service, allowed, state FROM f")
 def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = src.events(spark, sf_dir).where("event_id < 2000").select("event_id", F.col("event_type").alias("service"), F.col("ts").alias("at"), (F.col("k") % 3 > 0).alias("ok"))
-    return uploads.breaker(calls, failures=3, seconds=3600, successes=2)
+    return uploads.breaker(calls(spark, sf_dir), failures=3, seconds=36_000, successes=2).select("event_id", "service", "allowed", "state")
+
+
+@query(BREAKERS.format(failures=3, seconds=36_000, successes=2) + "SELECT service, arg_max(state, r) AS state, CASE WHEN arg_max(state, r) = 'OPEN' THEN round(max(failed_at) + 36000, 3) END AS next_attempt FROM f GROUP BY 1")
+def breaker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traced = uploads.breaker(calls(spark, sf_dir), failures=3, seconds=36_000, successes=2)
+    return uploads.status_of(traced).withColumn("next_attempt", F.round("next_attempt", 3))
+
+
+@query(BREAKERS.format(failures=2, seconds=7200, successes=1) + "SELECT event_id, service, allowed, state FROM f")
+def simple_breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uploads.breaker(calls(spark, sf_dir), failures=2, seconds=7200, successes=1).select("event_id", "service", "allowed", "state")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.plans.registry import query
+from foliant.plans.security import LIMITS
 from foliant.streaming import jobs
 
 
@@ -31,7 +32,7 @@ def first_arrivals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("uploads"))
 
 
-@query()
+@query(LIMITS)
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = jobs.event_stream(spark, sf_dir).select("event_id", (F.col("user_id") % 5).alias("client"), "ts")
-    return jobs.run_once(jobs.upload_decisions(uploads, 2, 10), "append")
+    uploads = jobs.event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("client"), "ts")
+    return jobs.run_once(jobs.upload_decisions(uploads, 1, 2), "append")

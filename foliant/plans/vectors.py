@@ -10,12 +10,13 @@ from foliant.sources import tables as src
 
 V = "(SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 COS = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
-PAIRS = f"FROM {V} a JOIN {V} b ON a.vec_id < b.vec_id AND a.vec_id < 50 AND b.vec_id < 50"
+PAIRS = f"FROM {V} a JOIN {V} b ON b.vec_id = a.vec_id + 1"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = src.vectors(spark, sf_dir).where("vec_id < 50")
-    return v.alias("a").join(v.alias("b"), F.col("a.vec_id") < F.col("b.vec_id"))
+    """Each vector with the next one, as the old and the new vector of a document."""
+    v = src.vectors(spark, sf_dir)
+    return v.alias("a").join(v.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
 
 
 @query(f"SELECT a.vec_id AS x, b.vec_id AS y, round({COS}, 6) AS cosine, round(greatest(0, {COS}), 6) AS similarity {PAIRS}")

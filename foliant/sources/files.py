@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.catalog import one_row
+from foliant.operators.duplicates import first_pages_text
+
 #: Megabytes that known models take, the longest matching name counts; what others and the runtime take; fixed values.
 MODEL_MB = {"llama3.2:1b": 1500, "llama3.2": 2500, "llava:7b": 4500, "llava:13b": 8000, "llava": 4500}
 OTHER_MODEL_MB, RUNTIME_MB = 2000, 500
@@ -37,7 +40,7 @@ def old_files(files: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 
 def page_texts(files: DataFrame, reader: Callable[[bytes], list[str]], most_bytes: int = 100 * 1024 * 1024) -> DataFrame:
-    """(path, page_number, text, error) of files (path, length, content): one row for each page the reader gives, or one with the error. Larger files aren't read."""
+    """(path, page_number, text, error) of files (path, length, content): one row for each page the reader gives, or one with the error; a larger file isn't read and has the error `too_large`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -49,7 +52,31 @@ def page_texts(files: DataFrame, reader: Callable[[bytes], list[str]], most_byte
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["path", "page_number", "text", "error"])
 
-    return files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, "path string, page_number int, text string, error string")
+    read = files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, "path string, page_number int, text string, error string")
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("error"))
+    return read.unionByName(large)
+
+
+def file_info(files: DataFrame, describe: Callable[[bytes], dict], most_bytes: int = 100 * 1024 * 1024) -> DataFrame:
+    """(path, title, author, creator, page_count, text, error) of files (path, length, content): what a plugged-in reader says of each (title, author, creator, pages), the text of its first three pages stripped and cut."""
+    kind = "path string, title string, author string, creator string, page_count int, pages array<string>, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("path", "title", "author", "creator", "page_count", "pages", "error")
+        kinds = (*[pa.string()] * 4, pa.int32(), pa.list_(pa.string()), pa.string())
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                try:
+                    said = describe(content)
+                    out.append((path, *[said.get(n) for n in names[1:4]], len(said["pages"]), said["pages"][:3], None))
+                except Exception as e:  # noqa: BLE001  a file that can't be read is a row, not a failed job
+                    out.append((path, None, None, None, 0, [], str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    said = files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(run, kind)
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit("too_large").alias("error"))
+    return said.withColumn("text", first_pages_text(F.col("pages"))).drop("pages").unionByName(large, allowMissingColumns=True)
 
 
 def size_marks(spans: Column, jump: float = 2.0) -> Column:
@@ -100,5 +127,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
+def export_record(jobs: DataFrame, system: DataFrame, statistics: DataFrame, most: int = 1000) -> DataFrame:
+    """One JSON document: the newest jobs (created_at, job_id, ...), the system's row and the statistics' row; times as text."""
+    newest = jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(most)
+    listed = newest.agg(F.sort_array(F.collect_list(F.struct("created_at", "job_id", *[c for c in jobs.columns if c not in ("created_at", "job_id")])), asc=False).alias("jobs"))
+    one = lambda df, name: df.limit(1).agg(F.first(F.struct("*")).alias(name))
+    rows = one_row(listed, one(system, "system"), one(statistics, "statistics"))
+    return rows.select(F.to_json(F.struct("jobs", "system", "statistics")).alias("value"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.vectors import similar_to
+
 Scorer = Callable[[list[str]], list[str | None]]
 
 
@@ -43,6 +45,34 @@ def deployment(quality_up: Column, layout_up: Column) -> Column:
     return F.when(quality_up & layout_up, "GPU").when(~quality_up & ~layout_up, "CPU").otherwise("Mixed")
 
 
-def stub_quality(texts: list[str]) -> list[str | None]:
-    """A stand-in for an image model: an answer that depends on the length only."""
-    return [f'Sure: {{"overall_quality": "{"good" if len(t) > 200 else "poor"}", "readability_score": {min(100, len(t) // 10)}}}' for t in texts]
+
+def embedded(df: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], dim: int) -> DataFrame:
+    """(key, v): a model's vector of each text. A blank text has a zero vector, as have the texts of a batch that fails one by one."""
+    kind = df.schema[key].dataType.simpleString()
+    zero = [0.0] * dim
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        try:
+            return model(texts)
+        except Exception:  # noqa: BLE001  one bad text costs one vector
+            if len(texts) == 1:
+                return [zero]
+            return [v for t in texts for v in vectors([t])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").strip() for t in batch.column(1).to_pylist()]
+            said = iter(vectors([t for t in texts if t]) if any(texts) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([next(said) if t else zero for t in texts], pa.list_(pa.float64()))], names=[key, "v"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, v array<double>")
+
+
+def text_search(store: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], k: int = 10) -> DataFrame:
+    """(vec_id, similarity) of the stored vectors nearest to a text's."""
+    return similar_to(store, model([text])[0], k)
+
+
+def with_default(answer: Column, enabled: Column, off: Column, failed: Column) -> Column:
+    """An answer's record, or the record for a model that is switched off, or that gave none."""
+    return F.when(~enabled, off).otherwise(F.coalesce(answer, failed))

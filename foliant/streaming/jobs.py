@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-from typing import Any
-from uuid import uuid4
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.operators.uploads import Breaker, Limiter
+from foliant.operators.uploads import DAY, Breaker, Limiter
+from foliant.session import scratch
 
+#: Files of a batch at most, so that a backlog comes in parts.
+FILES = 64
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
     """Arriving event files, with a zoned `ts` under a watermark."""
-    raw = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/ev*.parquet")
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/ev*.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def window_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Events, errors and mean value of each window and type."""
+    """Events and mean value of each window and type."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     found = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
     return found.select(F.col("w.start").alias("start"), "event_type", "n", "avg_value")
@@ -40,35 +40,49 @@ def first_arrivals(uploads: DataFrame, key: str) -> DataFrame:
     return uploads.dropDuplicatesWithinWatermark([key])
 
 
-def decide(events: DataFrame, key: str, begin: Callable[[], Any], step: Callable[[Any, Any], dict], schema: str) -> DataFrame:
-    """Rows of step(state, row) for each arriving row, in the order of `ts` within a batch; the state of a key is kept between batches."""
-    def run(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else begin()
+def upload_decisions(uploads: DataFrame, per_hour: int = 50, per_day: int = 200) -> DataFrame:
+    """(event_id, client, accepted) of uploads (event_id, client, ts) as they arrive, in the order of `ts` within a batch.
+
+    A client's state is the seconds of its accepted uploads of the last day, at most per_day of them. It is dropped once
+    the watermark is a day past the last one, when it can't count against anything that may still come.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        limit = Limiter(per_hour, per_day)
+        limit.accepted.extend(held.get[0] if held.exists else [])
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = pd.DataFrame([step(state, r) for r in rows.itertuples()])
-        held.update((pickle.dumps(state),))
-        yield out
-
-    return events.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+        seconds = [t.timestamp() for t in rows["ts"]]
+        yield pd.DataFrame({"event_id": rows["event_id"], "client": key[0], "accepted": [limit(t) for t in seconds]})
+        held.update((list(limit.accepted),))
+        last = max([*limit.accepted, seconds[-1]])
+        held.setTimeoutTimestamp(max(int((last + DAY) * 1000), held.getCurrentWatermarkMs() + 1))
 
-
-def upload_decisions(uploads: DataFrame, per_hour: int = 50, per_day: int = 200) -> DataFrame:
-    """(event_id, client, accepted) of uploads (event_id, client, ts) as they arrive."""
-    step = lambda s, r: {"event_id": r.event_id, "client": r.client, "accepted": s(r.ts.timestamp())}
-    return decide(uploads, "client", lambda: Limiter(per_hour, per_day), step, "event_id long, client long, accepted boolean")
+    return uploads.groupBy("client").applyInPandasWithState(run, "event_id long, client long, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_states(calls: DataFrame, failures: int = 3, seconds: float = 300, successes: int = 2) -> DataFrame:
-    """(event_id, service, allowed, state) of calls (event_id, service, ts, ok) as they arrive."""
-    def step(s: Breaker, r: Any) -> dict:
-        allowed, state = s.call(r.ts.timestamp(), r.ok)
-        return {"event_id": r.event_id, "service": r.service, "allowed": allowed, "state": state}
+    """(event_id, service, allowed, state) of calls (event_id, service, ts, ok) as they arrive. A service's state is four values; it has no end, as a breaker's failures don't, and there are as many as services."""
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        breaker = Breaker(failures, seconds, successes)
+        if held.exists:
+            breaker.state, breaker.failures, breaker.successes, breaker.failed_at = held.get
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        said = [breaker.call(t.timestamp(), ok) for t, ok in zip(rows["ts"], rows["ok"], strict=True)]
+        yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "allowed": [a for a, _ in said], "state": [s for _, s in said]})
+        held.update((breaker.state, breaker.failures, breaker.successes, breaker.failed_at))
 
-    return decide(calls, "service", lambda: Breaker(failures, seconds, successes), step, "event_id long, service string, allowed boolean, state string")
+    return calls.groupBy("service").applyInPandasWithState(run, "event_id long, service string, allowed boolean, state string", "state string, failures int, successes int, failed_at double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Process what has arrived, and the resulting table."""
-    name = f"stream_{uuid4().hex[:12]}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Process what has arrived, and the resulting table, from files in the shared folder: appended ones, or with mode complete those of the last batch."""
+    spark = stream.sparkSession
+    folder = scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{folder}/rows").awaitTermination()
+    else:
+        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
