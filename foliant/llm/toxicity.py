@@ -99,7 +99,8 @@ class Batch:
         to = np.concatenate([[0], np.cumsum(sizes)])
         x = index[np.repeat(own[rows] - to[:-1], sizes) + np.arange(to[-1])]
         self.n, self.label, self.some, self.texts = len(rows), label[rows], some, to[some]
-        self.terms, place = np.unique(x, return_inverse=True)
+        found, place = np.unique(x, return_inverse=True)
+        self.terms = found.astype(np.int32)
         self.place = place.astype(np.int32)
         by = np.argsort(place, kind="stable")
         self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by]
@@ -119,7 +120,7 @@ class Batch:
 
 def leaning(index: np.ndarray, own: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
     """The scale of each term's weight under the ridge: its squared log ratio of the labels, LEAST_LEANING at least. None is left out."""
-    y = np.repeat(label, np.diff(own))
+    y = np.repeat(label.astype(np.int8), np.diff(own))
     one, zero = (np.bincount(index[y == v], minlength=n) + 0.5 for v in (1, 0))
     odds = np.log(one / ((label == 1).sum() + 1)) - np.log(zero / ((label == 0).sum() + 1))
     return (np.maximum(np.abs(odds), LEAST_LEANING) ** 2).astype(np.float32)[:, None]
@@ -141,6 +142,7 @@ def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, prior:
     seen, bias, seen_b = np.full(both.shape, 1e-2, np.float32), float(np.log(share / (1 - share))), 1e-2
     order = rng.permutation(len(label))
     batches = [Batch(order[lo : lo + BATCH], index, own, label) for lo in range(0, len(order), BATCH)]
+    del index  # the batches hold all entries
     ridge = np.array([RIDGE] + [FACTOR_RIDGE] * FACTORS, np.float32)
     # A ridge on all terms, laid on when a term comes up: the rarer it is, the more at once.
     held = len(batches) / np.maximum(1, np.bincount(np.concatenate([b.terms for b in batches]), minlength=len(kept))).astype(np.float32)[:, None]
@@ -189,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         label = np.array([r["toxic"] for r in found])
         if 0 < label.sum() < len(label):
             bounds = np.concatenate([[0], np.cumsum([len(r["x"]) // 4 for r in found])])
-            return fit_machine(np.frombuffer(b"".join(r["x"] for r in found), np.int32), bounds, label, prior)
+            entries = np.frombuffer(b"".join(r["x"] for r in found), np.int32)
+            del found  # one copy of the sample is enough
+            return fit_machine(entries, bounds, label, prior)
     flat = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     return Machine(flat, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
 
