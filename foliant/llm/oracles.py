@@ -67,7 +67,49 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
 """
 
+#: DuckDB has no CRC-32, so each distinct word's bytes go through the table of remainders.
+RESAMPLED = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS r
+), word_bytes AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT unnest(ws) AS word FROM d UNION SELECT word FROM b)
+), buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 1 + 2 * i, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, r[1 + (xor(c, y) & 255)])), 4294967295) % 10000 AS bucket
+  FROM word_bytes, remainders
+), f AS (SELECT doc_id, bucket FROM (SELECT doc_id, unnest(ws) AS word FROM d) JOIN buckets USING (word)
+), s AS (SELECT bucket, count(*) AS s FROM f GROUP BY 1
+), t AS (SELECT bucket, count(*) AS t FROM b JOIN buckets USING (word) GROUP BY 1
+), gains AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t ON s.bucket = t.bucket
+), w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS gain FROM f JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS gumbel
+  FROM d LEFT JOIN w USING (doc_id)
+), r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + gumbel DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS enough FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + gumbel)::BIGINT AS score, CASE WHEN n_features >= 20 AND place <= 10 * enough // 100 THEN place END::BIGINT AS rank FROM r
+"""
+
+URLS = """
+WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+)
+SELECT page_id, p.host, p.path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_importance_resampling": RESAMPLED,
+    "op12_url_filters": URLS,
     "op2_exact_top_k": PRODUCTS,
     "op3_warc": ARCHIVES,
     "op9_chat_formatting": CONVERSATIONS,
