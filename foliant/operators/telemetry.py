@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from foliant.operators.catalog import rate
+from foliant.operators.catalog import one_row, rate
+from foliant.operators.quantiles import exact_quantiles
 
 #: Error kinds in the order in which they are tried, with the words that tell them; fixed values.
 ERROR_KINDS = (
@@ -36,13 +37,20 @@ def success_rates(jobs: DataFrame, as_of: Column) -> DataFrame:
 def durations(jobs: DataFrame) -> DataFrame:
     """Mean and median (0 if none), least and greatest duration (null if none) of jobs that have one."""
     d = F.col("duration")
-    return jobs.agg(F.count(d).alias("n"), F.round(F.coalesce(F.avg(d), F.lit(0.0)), 6).alias("mean"), F.round(F.coalesce(F.median(d), F.lit(0.0)), 6).alias("median"), F.round(F.min(d), 6).alias("fastest"), F.round(F.max(d), 6).alias("slowest"))
+    plain = jobs.agg(F.count(d).alias("n"), F.round(F.coalesce(F.avg(d), F.lit(0.0)), 6).alias("mean"), F.round(F.min(d), 6).alias("fastest"), F.round(F.max(d), 6).alias("slowest"))
+    middle = exact_quantiles(jobs, "duration", [0.5]).select(F.round("quantile", 6).alias("median"))
+    return one_row(plain, middle).select("n", "mean", F.coalesce("median", F.lit(0.0)).alias("median"), "fastest", "slowest")
+
+
+#: The step that a job is at before its first; it is never timed.
+FIRST_STEP = "initializing"
 
 
 def step_times(steps: DataFrame, by: str) -> DataFrame:
-    """Seconds from each step to its job's next one; the last has none."""
+    """Seconds from each step to its job's next one; the last has none, nor has the one a job starts with."""
     w = Window.partitionBy(by).orderBy("created_at", "step_id")
-    return steps.withColumn("seconds", F.unix_micros(F.lead("created_at").over(w)) / 1e6 - F.unix_micros("created_at") / 1e6)
+    seconds = F.unix_micros(F.lead("created_at").over(w)) / 1e6 - F.unix_micros("created_at") / 1e6
+    return steps.withColumn("seconds", seconds).withColumn("seconds", F.when(F.coalesce(F.col("step") != FIRST_STEP, F.lit(True)), F.col("seconds")))
 
 
 def step_statistics(done: DataFrame, failed: DataFrame) -> DataFrame:
@@ -104,21 +112,49 @@ def priority_rank(priority: Column) -> Column:
     return rank
 
 
+def _before(order: list[str], *within: str) -> WindowSpec:
+    return Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def queue(jobs: DataFrame, as_of: Column, boost_after: int | None = None) -> DataFrame:
-    """Waiting jobs (job_id, priority, created_at, size_mb) with place, wait, estimate and the seconds before their turn. With boost_after, jobs that waited longer move up by one priority."""
+    """Waiting jobs (job_id, priority, created_at, size_mb) with place, wait, estimate and the seconds before their turn. With boost_after, jobs that waited longer move up by one priority.
+
+    Jobs are numbered within their priority and second; what comes before a second is summed within its hour, and what
+    comes before an hour over one row for each, so neither a day's nor a busy hour's jobs meet in one task.
+    """
     waited = F.unix_timestamp(as_of) - F.unix_timestamp("created_at")
     rank = priority_rank(F.col("priority"))
     if boost_after is not None:
         rank = F.when(waited > boost_after, F.greatest(F.lit(0), rank - 1)).otherwise(rank)
-    out = jobs.withColumn("rank", rank).withColumn("waited", waited).withColumn("estimate", estimate(F.col("size_mb"))).withColumn("hour_", F.date_trunc("hour", "created_at"))
-    # Jobs are numbered within their priority and hour; what comes before an hour is summed over one row for each, so the jobs themselves never meet in one task.
-    before = Window.orderBy("rank", "hour_").rowsBetween(Window.unboundedPreceding, -1)
-    hours = out.groupBy("rank", "hour_").agg(F.count("*").alias("n_"), F.sum("estimate").alias("s_"))
-    hours = hours.select(F.col("rank").alias("rank_"), F.col("hour_").alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("n_"), F.coalesce(F.sum("s_").over(before), F.lit(0.0)).alias("s_"))
-    own = Window.partitionBy("rank", "hour_").orderBy("created_at", "job_id")
-    placed = out.withColumn("position", F.row_number().over(own)).withColumn("starts_after", F.sum("estimate").over(own) - F.col("estimate"))
-    both = placed.join(hours, (F.col("rank") == F.col("rank_")) & F.col("hour_").eqNullSafe(F.col("of_")))
-    return both.withColumn("position", F.col("position") + F.col("n_")).withColumn("starts_after", F.col("starts_after") + F.col("s_")).drop("hour_", "rank_", "of_", "n_", "s_")
+    out = jobs.withColumn("rank", rank).withColumn("waited", waited).withColumn("estimate", estimate(F.col("size_mb")))
+    out = out.withColumn("second_", F.coalesce(F.unix_timestamp("created_at"), F.lit(-1)))
+    sums = [F.sum("n_").alias("n_"), F.sum("s_").alias("s_")]
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    seconds = out.groupBy("rank", F.floor(F.col("second_") / 3600).alias("hour_"), "second_").agg(F.count("*").alias("n_"), F.sum("estimate").alias("s_"))
+    hours = seconds.groupBy("rank", "hour_").agg(*sums)
+    over = _before(["rank", "hour_"])
+    hours = hours.select("rank", "hour_", earlier("n_", over).alias("hours_n"), earlier("s_", over).alias("hours_s"))
+    inside = _before(["second_"], "rank", "hour_")
+    seconds = seconds.select("rank", "hour_", "second_", earlier("n_", inside).alias("n_"), earlier("s_", inside).alias("s_")).join(hours, ["rank", "hour_"])
+    own = Window.partitionBy("rank", "second_").orderBy("created_at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = out.withColumn("position", F.row_number().over(Window.partitionBy("rank", "second_").orderBy("created_at", "job_id"))).withColumn("starts_after", F.sum("estimate").over(own) - F.col("estimate"))
+    both = placed.join(seconds, ["rank", "second_"])
+    both = both.withColumn("position", F.col("position") + F.col("n_") + F.col("hours_n")).withColumn("starts_after", F.col("starts_after") + F.col("s_") + F.col("hours_s"))
+    return both.drop("second_", "hour_", "n_", "s_", "hours_n", "hours_s")
+
+
+#: Seconds that a waiting job without an estimate counts for; waits and jobs that the status shows; fixed values.
+UNKNOWN_ESTIMATE, RECENT_WAITS, SHOWN_JOBS = 180, 100, 10
+
+
+def queue_status(waiting: DataFrame, waits: DataFrame, as_of: Column) -> DataFrame:
+    """One row: the queue's size, the seconds it will take, the mean of the last waits (at, wait_id, seconds), and the first jobs in their order. waiting has (job_id, priority, created_at, estimate); no estimate, or one of 0, counts as a fixed one."""
+    known = F.coalesce(F.nullif(F.col("estimate").cast("double"), F.lit(0.0)), F.lit(float(UNKNOWN_ESTIMATE)))
+    size = waiting.agg(F.count("*").alias("queue_size"), F.coalesce(F.sum(known), F.lit(0.0)).alias("estimated_queue_time"))
+    recent = last_rows(waits, RECENT_WAITS, F.desc("at"), F.desc("wait_id")).agg(F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("average_wait_time"))
+    first = last_rows(waiting.withColumn("rank", priority_rank(F.col("priority"))), SHOWN_JOBS, "rank", "created_at", "job_id")
+    item = F.struct("rank", "created_at", "job_id", "priority", (F.unix_timestamp(as_of) - F.unix_timestamp("created_at")).alias("queued_for"), "estimate")
+    return one_row(size, recent, first.agg(F.array_sort(F.collect_list(item)).alias("queue_items")))
 
 
 def last_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

@@ -145,3 +145,42 @@ def breaker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BREAKERS.format(failures=2, seconds=7200, successes=1) + "SELECT event_id, service, allowed, state FROM f")
 def simple_breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.breaker(calls(spark, sf_dir), failures=2, seconds=7200, successes=1).select("event_id", "service", "allowed", "state")
+
+
+#: Breakers between whose calls events of one type set them by hand. A forced breaker is open until it is closed or reset.
+OVERRIDES = """
+WITH RECURSIVE e AS (
+  SELECT *, row_number() OVER (PARTITION BY service ORDER BY t, event_id) AS r FROM (
+    SELECT event_id, (user_id % 20)::VARCHAR AS service, epoch_us(ts) / 1e6 AS t, (props->>'k')::BIGINT % 3 > 0 AS ok,
+      CASE WHEN event_type = 'signup' THEN ['force_open', 'force_close', 'reset'][1 + ((props->>'k')::BIGINT % 3)] END AS action FROM events)
+), f AS (
+  SELECT service, 0::BIGINT AS r, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 'CLOSED' AS state, 0 AS failures, 0 AS successes, NULL::DOUBLE AS failed_at, false AS forced FROM (SELECT DISTINCT service FROM e)
+  UNION ALL
+  SELECT service, r, event_id, CASE WHEN action IS NULL THEN before <> 'OPEN' END,
+    CASE WHEN action = 'force_open' THEN 'OPEN' WHEN action IS NOT NULL THEN 'CLOSED' WHEN before = 'OPEN' THEN 'OPEN' WHEN ok AND before = 'HALF_OPEN' THEN CASE WHEN tried + 1 >= 2 THEN 'CLOSED' ELSE before END
+      WHEN ok THEN before WHEN before = 'HALF_OPEN' OR failures + 1 >= 3 THEN 'OPEN' ELSE before END,
+    CASE WHEN action = 'force_open' THEN failures WHEN action IS NOT NULL THEN 0 WHEN before = 'OPEN' THEN failures WHEN ok AND before = 'HALF_OPEN' AND tried + 1 >= 2 THEN 0 WHEN ok THEN failures ELSE failures + 1 END,
+    CASE WHEN action = 'force_open' THEN successes WHEN action IS NOT NULL THEN 0 WHEN before = 'HALF_OPEN' AND ok THEN tried + 1 ELSE tried END,
+    CASE WHEN action = 'reset' THEN NULL WHEN action IS NULL AND before <> 'OPEN' AND NOT ok THEN t ELSE failed_at END,
+    CASE WHEN action = 'force_open' THEN true WHEN action IS NOT NULL THEN false ELSE forced END
+  FROM (SELECT *, CASE WHEN lets THEN 'HALF_OPEN' ELSE state END AS before, CASE WHEN lets THEN 0 ELSE successes END AS tried FROM (
+    SELECT e.service, e.r, e.event_id, e.t, e.ok, e.action, f.state, f.failures, f.successes, f.failed_at, f.forced, coalesce(e.action IS NULL AND NOT f.forced AND f.state = 'OPEN' AND e.t - f.failed_at >= 36000, false) AS lets
+    FROM f JOIN e ON e.service = f.service AND e.r = f.r + 1))
+)
+SELECT event_id, service, allowed, state FROM f WHERE r > 0
+"""
+
+
+def controls_and_calls(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events as calls of twenty services (event_id, service, ts, ok), those of one type as manual controls (event_id, service, ts, action)."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    service, by_hand = (F.col("user_id") % 20).cast("string").alias("service"), F.col("event_type") == "signup"
+    action = F.element_at(F.array(*[F.lit(a) for a in (uploads.FORCE_OPEN, uploads.FORCE_CLOSE, uploads.RESET)]), (k % 3 + 1).cast("int"))
+    return events.where(~by_hand).select("event_id", service, "ts", (k % 3 > 0).alias("ok")), events.where(by_hand).select("event_id", service, "ts", action.alias("action"))
+
+
+@query(OVERRIDES)
+def breaker_override_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, controls = controls_and_calls(src.events(spark, sf_dir))
+    traced = uploads.breaker(calls.withColumnRenamed("ts", "at"), 3, 36_000, 2, controls.withColumnRenamed("ts", "at"))
+    return traced.select("event_id", "service", "allowed", "state")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import telemetry as op
+from foliant.operators.quantiles import exact_quantiles
 from foliant.plans.registry import query
 from foliant.sources import tables as src
 
@@ -39,9 +40,19 @@ def duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.durations(src.jobs(spark, sf_dir).where("status <> 'failed'"))
 
 
-@query("SELECT event_id AS step_id, user_id AS job_id, event_type AS step, round(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 - epoch_us(ts) / 1e6, 4) AS seconds FROM events")
+@query("SELECT count(value) AS n, event_type AS step, s AS share, round(quantile_cont(value, s), 6) AS quantile FROM events, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) q(s) GROUP BY event_type, s".replace("quantile_cont(value, s)", "CASE s WHEN 0.25 THEN quantile_cont(value, 0.25) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9) ELSE max(value) END"))
+def duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quartiles and such of the durations of each step."""
+    return exact_quantiles(src.events(spark, sf_dir).withColumnRenamed("event_type", "step"), "value", [0.25, 0.5, 0.9, 1.0], "step").withColumn("quantile", F.round("quantile", 6))
+
+
+@query("""
+SELECT event_id AS step_id, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'initializing' ELSE event_type END AS step,
+  CASE WHEN event_type <> 'signup' THEN round(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 - epoch_us(ts) / 1e6, 4) END AS seconds FROM events
+""")
 def step_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = src.jobs(spark, sf_dir).select(F.col("job_id").alias("step_id"), F.col("owner").alias("job_id"), "step", "created_at")
+    step = F.when(F.col("step") == "signup", op.FIRST_STEP).otherwise(F.col("step"))
+    steps = src.jobs(spark, sf_dir).select(F.col("job_id").alias("step_id"), F.col("owner").alias("job_id"), step.alias("step"), "created_at")
     return op.step_times(steps, "job_id").select("step_id", "job_id", "step", F.round("seconds", 4).alias("seconds"))
 
 
@@ -111,6 +122,21 @@ def queue_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.queue(waiting(spark, sf_dir), as_of()).select("job_id", "estimate", "starts_after")
 
 
+@query(f"""
+WITH q AS (SELECT job_id, ts, rank, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 0 ELSE k * 1.5::DOUBLE END AS estimate FROM ({QUEUE}))
+SELECT (SELECT count(*) FROM q) AS queue_size, (SELECT sum(CASE WHEN coalesce(estimate, 0) = 0 THEN 180 ELSE estimate END) FROM q)::DOUBLE AS estimated_queue_time,
+  (SELECT round(avg(value), 6) FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)) AS average_wait_time,
+  (SELECT string_agg(job_id || ':' || (floor(epoch({NOW})) - floor(epoch(ts)))::BIGINT, ',' ORDER BY rank, ts, job_id) FROM (SELECT * FROM q ORDER BY rank, ts, job_id LIMIT 10)) AS first_jobs
+""")
+def queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("size_mb")
+    jobs = waiting(spark, sf_dir).withColumn("estimate", F.when(k % 4 == 0, None).when(k % 4 == 1, 0.0).otherwise(k * 1.5))
+    waits = src.events(spark, sf_dir).select(F.col("ts").alias("at"), F.col("event_id").alias("wait_id"), F.col("value").alias("seconds"))
+    row = op.queue_status(jobs, waits, as_of())
+    first = F.array_join(F.transform("queue_items", lambda i: F.concat_ws(":", i["job_id"].cast("string"), i["queued_for"].cast("string"))), ",")
+    return row.select("queue_size", "estimated_queue_time", F.round("average_wait_time", 6).alias("average_wait_time"), first.alias("first_jobs"))
+
+
 @query("SELECT round(avg(value), 6) AS avg_wait, count(*) AS n FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)")
 def recent_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.last_rows(src.events(spark, sf_dir), 100, F.desc("ts"), F.desc("event_id")).agg(F.round(F.avg("value"), 6).alias("avg_wait"), F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Job events as streams: windowed counts, latest states, first arrivals, and decisions with state."""
+"""Job events as streams: windowed counts, latest states, and decisions with state."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("step"), F.count("*").alias("steps"))
 
 
-def first_arrivals(uploads: DataFrame, key: str) -> DataFrame:
-    """Uploads whose key didn't arrive before, within the watermark."""
-    return uploads.dropDuplicatesWithinWatermark([key])
-
-
 def upload_decisions(uploads: DataFrame, per_hour: int = 50, per_day: int = 200) -> DataFrame:
     """(event_id, client, accepted) of uploads (event_id, client, ts) as they arrive, in the order of `ts` within a batch.
 
@@ -52,34 +47,46 @@ def upload_decisions(uploads: DataFrame, per_hour: int = 50, per_day: int = 200)
             return
         limit = Limiter(per_hour, per_day)
         limit.accepted.extend(held.get[0] if held.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        seconds = [t.timestamp() for t in rows["ts"]]
-        yield pd.DataFrame({"event_id": rows["event_id"], "client": key[0], "accepted": [limit(t) for t in seconds]})
+        rows = sorted((t.timestamp(), i) for part in batches for t, i in zip(part["ts"], part["event_id"], strict=True))
+        yield pd.DataFrame({"event_id": [i for _, i in rows], "client": key[0], "accepted": [limit(t) for t, _ in rows]})
         held.update((list(limit.accepted),))
-        last = max([*limit.accepted, seconds[-1]])
+        last = max([*limit.accepted, rows[-1][0]])
         held.setTimeoutTimestamp(max(int((last + DAY) * 1000), held.getCurrentWatermarkMs() + 1))
 
     return uploads.groupBy("client").applyInPandasWithState(run, "event_id long, client long, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def breaker_states(calls: DataFrame, failures: int = 3, seconds: float = 300, successes: int = 2) -> DataFrame:
-    """(event_id, service, allowed, state) of calls (event_id, service, ts, ok) as they arrive. A service's state is four values; it has no end, as a breaker's failures don't, and there are as many as services."""
+def breaker_states(calls: DataFrame, failures: int = 3, seconds: float = 300, successes: int = 2, controls: DataFrame | None = None) -> DataFrame:
+    """(event_id, service, allowed, state) of calls (event_id, service, ts, ok) as they arrive, and of controls (event_id, service, ts, action), a second stream that sets breakers by hand; a control's allowed is null.
+
+    A service's state is five values; it has no end, as a breaker's failures don't, and there are as many as services.
+    """
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         breaker = Breaker(failures, seconds, successes)
         if held.exists:
-            breaker.state, breaker.failures, breaker.successes, breaker.failed_at = held.get
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        said = [breaker.call(t.timestamp(), ok) for t, ok in zip(rows["ts"], rows["ok"], strict=True)]
-        yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "allowed": [a for a, _ in said], "state": [s for _, s in said]})
-        held.update((breaker.state, breaker.failures, breaker.successes, breaker.failed_at))
-
-    return calls.groupBy("service").applyInPandasWithState(run, "event_id long, service string, allowed boolean, state string", "state string, failures int, successes int, failed_at double", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Process what has arrived, and the resulting table, from files in the shared folder: appended ones, or with mode complete those of the last batch."""
+            breaker.take(held.get)
+        # What is kept of a row until its turn is a moment, a number and a word.
+        rows = sorted((t.timestamp(), i, a or ("ok" if o else "bad")) for part in batches for t, i, o, a in zip(part["ts"], part["event_id"], part["ok"], part["action"], strict=True))
+        out = []
+        for at, i, what in rows:
+            if what in ("ok", "bad"):
+                out.append((i, key[0], *breaker.call(at, what == "ok")))
+            else:
+                breaker.command(what)
+                out.append((i, key[0], None, breaker.state))
+        held.update(breaker.held())
+        yield pd.DataFrame(out, columns=["event_id", "service", "allowed", "state"])
+
+    rows = calls.select("event_id", "service", "ts", "ok", F.lit(None).cast("string").alias("action"))
+    if controls is not None:
+        rows = rows.unionByName(controls.select("event_id", "service", "ts", F.lit(False).alias("ok"), "action"))
+    return rows.groupBy("service").applyInPandasWithState(run, "event_id long, service string, allowed boolean, state string", "state string, failures int, successes int, failed_at double, forced boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Process what has arrived, and the resulting table, from files in the shared folder: appended ones, or with mode complete those of the last batch. A run in the folder of an earlier one goes on where that stopped."""
     spark = stream.sparkSession
-    folder = scratch(spark, "stream")
+    folder = folder or scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").start(f"{folder}/rows").awaitTermination()
