@@ -8,8 +8,10 @@ outsiders of the bucket's main component against all its classes, in blocks; pai
 threshold are confirmed on the full sets, inside the block, which returns confirmed links only. So no bucket is capped, and no group of copies becomes all its pairs.
 
 Defined results: a null or wordless text has an empty set, n_shingles 0, is linked with nothing and is kept. Rows are
-classed by their text, so repeated rows are copies of each other. A null doc_id joins its class; the component is then
-named by the least doc_id there is, null if there is none. Other columns are ignored.
+classed by their text, so repeated rows are copies of each other, and rows of one id with different texts are in the
+classes of their texts. A null doc_id joins its class; the component is then named by the least doc_id there is, null if
+there is none. Texts of any length are taken whole; an empty table gives no rows. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[list[np.nd
         cp, at = tv.codepoints(texts[lo:hi])
         cp = tv.lower_ascii(cp)
         s, e, first = tv.words(cp, at)
-        word = tv.run_hashes(cp, s, e)
+        word = tv.word_hashes(cp, s, e)
         rolled = np.zeros(max(0, len(word) - width + 1), np.uint64)
         for k in range(width):
             rolled += tv.mix(word[k : k + len(rolled)] + np.uint64(k + 1))
@@ -98,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if full:
                 keys, sketch[full] = _signed([sets[i] for i in full])
                 for j, i in enumerate(full):
-                    prints[i], bands[i] = hashlib.md5(sets[i].tobytes()).digest(), keys[j]
+                    prints[i], bands[i] = _print(sets[i]), keys[j]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(sketch[:, i]) for i in range(len(SKETCH))]],
                 names=["doc_id", "n_shingles", "fp", "bands", *SKETCH],
@@ -115,12 +117,26 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return columns(docs, "doc_id", "text").mapInArrow(_signatures, schema)
 
 
+def _print(shingles: np.ndarray) -> bytes:
+    """What names a set of shingles."""
+    return hashlib.md5(shingles.tobytes()).digest()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, texts, lo = batch.column(0), batch.column(1).to_pylist(), 0
-        for sets in shingle_sets(texts):
-            yield pa.RecordBatch.from_arrays([names.slice(lo, len(sets)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
-            lo += len(sets)
+        for sets in shingle_sets(batch.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+
+def _full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(fp, shingles) of the needed classes, once each. Texts are found by the least id of a class; each names its own set, so rows that share an id, or have none, can't be taken for each other."""
+    ids = materialize(needed.select("least").distinct(), "minhash-ids")
+    texts, known = columns(docs, "doc_id", "text").where("text is not null"), ids.where("least is not null")
+    found = texts.join(sized_broadcast(known, known.count()), F.col("doc_id") == F.col("least"), "left_semi").select("text")
+    if not ids.where("least is null").isEmpty():
+        found = found.union(texts.where("doc_id is null").select("text"))
+    sets = materialize(found.mapInArrow(_sets, "fp binary, shingles array<long>"), "minhash-sets")
+    return sets if sets.groupBy("fp").count().where("count > 1").isEmpty() else sets.dropDuplicates(["fp"])
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -157,10 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     needed = members.select("fp").distinct().join(classes, "fp").select("fp", "least", "n", *SKETCH)
     needed = materialize(needed, "minhash-needed")
-    ids = materialize(signed.join(needed.select("fp", "least"), "fp").where("doc_id <=> least").groupBy("fp").agg(F.first("doc_id").alias("doc_id")), "minhash-ids")
-    texts = columns(docs, "doc_id", "text").where("text is not null").alias("d").join(sized_broadcast(ids, ids.count()).alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("i.fp", "d.text")
-    sets = materialize(texts.mapInArrow(_sets, "fp binary, shingles array<long>"), "minhash-sets")
-    sets = sets.withColumn("own", F.size("shingles")).join(needed.select("fp", "n"), "fp").where("own = n").select("fp", "shingles")
+    sets = _full_sets(docs, needed)
 
     pairs = members.where("fp <> pivot").select("fp", "pivot").distinct()
     near = pairs.alias("p").join(needed.alias("x"), F.col("p.fp") == F.col("x.fp")).join(needed.alias("y"), F.col("p.pivot") == F.col("y.fp")).where(_comparable(similarity)).select(F.col("p.fp").alias("a"), F.col("p.pivot").alias("b"), _differing().alias("apart")).where(F.col("apart") <= SKETCH_LIMIT)

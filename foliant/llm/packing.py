@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm import textvec as tv
-from foliant.llm.bpe import encoder
 from foliant.llm.common import bounded_batches, columns, materialize, partitions_of
+from foliant.llm.pieces import byte_level
 
 #: Pieces of one length that are ranked in one task, at most about; fewer, down to LEAST_CELL, while there are tasks to spare.
 CELL_ROWS, LEAST_CELL = 200_000, 2000
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 1024, closing_id: int
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(tokenizer)
+        library = byte_level(tokenizer, False)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in tv.chunks(texts):

@@ -2,8 +2,8 @@
 
 A byte-level vocabulary's pattern always cuts before a space that follows a character which isn't white space. So texts
 are split there, each distinct part is encoded once by the library and remembered under its exact string, and ids are
-gathered. Texts with white space before a space, or with one of the vocabulary's special strings where these count,
-are given to the library whole.
+gathered; they are those of encoding each text by itself. Texts with one of the vocabulary's special strings, where these
+count, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import sentencepiece
 from tokenizers import Tokenizer
 
-#: Parts remembered at most; then memory starts anew. Longer parts than so many characters are never remembered.
-MEMORY, LONGEST = 400_000, 64
-#: So many characters of new parts at most go to the library in one call.
+from foliant.llm import textvec as tv
+
+#: Characters of the parts remembered at most; then memory starts anew.
+MEMORY = 8_000_000
+#: So many characters of new parts, about, go to the library in one call.
 CALL_CHARS = 1 << 20
-_UNSAFE = re.compile(r"\s ")
+#: Where plain splitting at spaces would not do, and where it is safe then.
+_UNSAFE, _SAFE = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,11 +48,6 @@ class TokenBytes:
         return self.flat[np.repeat(self.start[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()
 
 
-def _whole(text: str) -> str:
-    """text without lone surrogates, which the libraries refuse."""
-    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
-
-
 class ByteLevel:
     """Ids of texts by a byte-level BPE file. With plain_specials, special strings inside texts are ordinary text."""
 
@@ -70,47 +69,45 @@ class ByteLevel:
     def _forget(self) -> None:
         """known: the number of each part; its ids are in flat, by start."""
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        ids = self._ids(parts)
-        for p in parts:
-            self.known[p] = len(self.known)
-        self.flat = np.concatenate([self.flat, *[np.array(x, np.int32) for x in ids]])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
+        flat, sizes = [self.flat], []
+        for lo, hi in tv.chunks(parts, CALL_CHARS):
+            ids = self._ids(parts[lo:hi])
+            flat += [np.array(x, np.int32) for x in ids]
+            sizes += [len(x) for x in ids]
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.chars += sum(map(len, parts))
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def _parts(self, text: str) -> list[str]:
+        """Parts that can be encoded each by itself."""
+        if _UNSAFE.search(text):
+            return _SAFE.split(text)
+        first, *rest = text.split(" ")
+        return ([first] if first else []) + [" " + w for w in rest]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (and one past the last)."""
-        if len(self.known) > MEMORY:
+        if self.chars > MEMORY:
             self._forget()
-        plan: list[list[str] | None] = []
-        fresh: set[str] = set()
-        for t in texts:
-            if not t or _UNSAFE.search(t) or any(x in t for x in self.specials):
-                plan.append(None)
-                continue
-            first, *rest = t.split(" ")
-            parts = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-            if max(map(len, parts)) > LONGEST:
-                plan.append(None)
-                continue
-            plan.append(parts)
-            fresh.update(parts)
-        new = [p for p in fresh if p not in self.known]
-        for i in range(0, len(new), CALL_CHARS // LONGEST):
-            self._learn(new[i : i + CALL_CHARS // LONGEST])
-        of, out = self.known, []
-        for t, parts in zip(texts, plan, strict=True):
+        split = [None if not t or any(x in t for x in self.specials) else self._parts(t) for t in texts]
+        self._learn([p for p in dict.fromkeys(chain.from_iterable(s for s in split if s)) if p not in self.known])
+        out = [np.zeros(0, np.int32)]
+        for t, parts in zip(texts, split, strict=True):
             if parts is None:
-                out.append(np.array(self._ids([_whole(t)])[0], np.int32) if t else np.zeros(0, np.int32))
+                out.append(np.array(self._ids([t])[0] if t else [], np.int32))
             else:
-                at = np.fromiter(map(of.__getitem__, parts), np.int64, len(parts))
+                at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
                 n = self.start[at + 1] - self.start[at]
                 out.append(self.flat[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+        return np.concatenate(out), np.cumsum([len(x) for x in out], dtype=np.int64)
 
 
 class Pieces:
@@ -122,7 +119,7 @@ class Pieces:
         self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(said)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.library.encode([_whole(t or "") for t in texts], num_threads=1)
+        ids = self.library.encode([t or "" for t in texts], num_threads=1)
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         return np.array([i for x in ids for i in x], np.int32), at
 

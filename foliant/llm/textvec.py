@@ -75,7 +75,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of code points; equal runs have equal hashes."""
+    """A 64-bit hash of each run of code points, for buckets of features; equal runs have equal hashes, and some long crafted ones that differ have too."""
     power, inverse = _power(len(cp) + 1)
     total = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum((cp + np.uint64(1)) * power[: len(cp)], out=total[1:])
@@ -83,6 +83,16 @@ def run_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of code points, where words must be told apart: place and character are mixed before they are summed, so no pattern of a word cancels another's."""
+    n = ends - starts
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    each = mix(mix(cp[place + np.repeat(starts, n)] + (place.astype(np.uint64) << np.uint64(21))) + np.uint64(_P))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    last = np.cumsum(n)
+    return mix(total[last] - total[last - n] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 _SPACE = np.zeros(128, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

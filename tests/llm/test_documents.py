@@ -14,9 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, langid, learning, minhash, mixing, packing, pii, toxicity
+from foliant.llm import langid, learning, minhash, mixing, packing, pii, toxicity
 from foliant.llm.common import table
 from foliant.llm.graph import components
+from foliant.llm.pieces import byte_level
 from tests.llm import edge
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +85,22 @@ def test_near_copies_in_large_groups(spark):
     assert sorted(map(tuple, got), key=str) == plain_components(rows)
 
 
+def test_rows_without_ids_keep_their_own_sets(spark):
+    import random
+
+    rng = random.Random(3)
+    a = edge.sentence(rng, 60)
+    half = a.split()
+    half[20:] = edge.sentence(rng, 40).split()
+    c = a.split()
+    c[5:18] = ["other"] * 13
+    c, d = " ".join(c), " ".join(half)
+    rows = [(None, a), (None, c), (9, a + " zz"), (4, c + " yy"), (7, d), (7, d + " q"), (7, c), (7, c), (3, d + " z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == plain_components(rows)
+    assert {r["doc_id"] for r in minhash.keep_first(df).collect()} >= {9, 4, 3}
+
+
 def test_no_documents(docs):
     none = docs.limit(0)
     assert minhash.near_duplicates(none).count() == 0
@@ -200,15 +217,29 @@ def test_hypergeometric(spark, k, n, d):
 
 def test_ids_are_the_librarys():
     odd = ["", " ", "  ", "\n\n a", "a  b", "a \n b\n", "it's don't 's ''s !'s x'll", None, " lead", "trail  ", "\t\ttab x", "ª²½ 12a3 　x y", "😀😀 a\r\n\r\nb", "a'b'", "<|endoftext|> x", "a <|endoftext|> b", "it's<|endoftext|><|endoftext|>  \n", "<|endoftext| >", "x​y \x85 z", "a" * 3000]
-    ids, bounds = bpe.encoder(PATH).encode(odd)
+    ids, bounds = byte_level(PATH, False).encode(odd)
     t = library()
     for i, text in enumerate(odd):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def thue_morse(a: str, b: str, n: int) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_one_polynomial_hash():
+    """Every polynomial hash modulo 2 ** 64 takes such a word and its complement for one."""
+    words = [thue_morse("a", "b", 2048), thue_morse("b", "a", 2048)]
+    ids, bounds = byte_level(PATH, False).encode(words)
+    for i, w in enumerate(words):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library().encode(w, add_special_tokens=False).ids
+    (sets,) = minhash.shingle_sets([f"{w} c d e f" for w in words])
+    assert sets[0].tolist() != sets[1].tolist()
+
+
 def test_ids_of_whole_documents_are_the_librarys(spark):
     texts = [r["text"] for r in table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 10 = 3").select("text").collect()]
-    ids, bounds = bpe.encoder(PATH).encode(texts)
+    ids, bounds = byte_level(PATH, False).encode(texts)
     want = library().encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert all(ids[bounds[i] : bounds[i + 1]].tolist() == e.ids for i, e in enumerate(want))
 
