@@ -110,18 +110,73 @@ class ByteLevel:
         return np.concatenate(out), np.cumsum([len(x) for x in out], dtype=np.int64)
 
 
+#: How a sentence-piece vocabulary writes a space.
+BAR = "▁"
+
+
 class Pieces:
     """Ids of texts by a sentence-piece file, which puts a space before each text."""
 
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         said = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
-        self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(said)])
+        self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(BAR, " ").encode() for i, p in enumerate(said)])
+        #: Whether no piece goes on after a space that follows something else, so that texts may be cut there.
+        self.cuts = not any(re.search(f"[^{BAR}]{BAR}", p) for p in said)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.library.encode([t or "" for t in texts], num_threads=1)
-        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        return np.array([i for x in ids for i in x], np.int32), at
+    def ids_of(self, part: str) -> list[int]:
+        """The ids of a part of a text, which begins with a space."""
+        return self.library.encode(part[1:]) if len(part) > 1 else [self.library.piece_to_id(BAR)]
+
+
+class Paired:
+    """The parts of texts, each distinct one encoded once by both libraries and remembered. A part begins with a space; the first has the one that the second library puts before a text."""
+
+    def __init__(self, byte_file: str, piece_file: str):
+        self.left, self.right = ByteLevel(byte_file, True), Pieces(piece_file)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.sound: list[bool] = []
+        self.ids: list[list[np.ndarray]] = [[], []]
+
+    def _learn(self, parts: list[str]) -> None:
+        for lo, hi in tv.chunks(parts, CALL_CHARS):
+            some = parts[lo:hi]
+            for p, a in zip(some, self.left._ids(some), strict=True):
+                found = [np.array(a, np.int32), np.array(self.right.ids_of(p), np.int32)]
+                self.sound.append(all(side.bytes.joined(x) == p.encode() for side, x in zip((self.left, self.right), found, strict=True)))
+                for side, x in zip(self.ids, found, strict=True):
+                    side.append(x)
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.chars += sum(map(len, parts))
+
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return self.left._parts(" " + text) if self.right.cuts and BAR not in text else [" " + text]
+
+    def parts_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' parts one after another, and where each text's begin (and one past the last). A text of which a part's tokens have other bytes has none."""
+        if self.chars > MEMORY:
+            self._forget()
+        split = [self._split(t) for t in texts]
+        self._learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known])
+        at = [np.fromiter(map(self.known.__getitem__, s), np.int64, len(s)) for s in split]
+        sound = np.array(self.sound, bool)
+        at = [x if sound[x].all() else x[:0] for x in at]
+        return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
+
+    def tokens_of(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each side the ids of these parts one after another, their bytes, and how many each part has."""
+        out = []
+        for side, held in zip((self.left, self.right), self.ids, strict=True):
+            some = [held[i] for i in numbers.tolist()]
+            ids = np.concatenate([np.zeros(0, np.int32), *some])
+            out.append((ids, side.bytes.size[ids], np.array([len(x) for x in some], np.int64)))
+        return out
 
 
 @lru_cache(4)
@@ -130,5 +185,5 @@ def byte_level(path: str, plain_specials: bool) -> ByteLevel:
 
 
 @lru_cache(2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def paired(byte_file: str, piece_file: str) -> Paired:
+    return Paired(byte_file, piece_file)

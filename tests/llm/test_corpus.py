@@ -188,7 +188,7 @@ def plain_alignment(rows):
 def test_alignment(spark, broadcast):
     rows = [(d, t[:3000] if t else t) for d, t, *_ in edge.rows()]
     rows += [(200 + i, t) for i, t in enumerate(["a  b", " lead", "trail ", "\n\n a \t b", "<|endoftext|> x", "</s><unk>", "▁x", "x ▁ y", "ﬁé́", "\x00a", "日本 語", "a\u00a0b", "it's 's"])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_", F.lit(3)).withColumn("a", F.lit("x")).withColumn("links", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(3)).withColumn("a", F.lit("x")).withColumn("links", F.lit(1))
     got = align.align(df, BYTES, PIECES, broadcast)
     assert sorted(map(tuple, got.collect()), key=str) == plain_alignment(rows)
 
