@@ -1,13 +1,13 @@
 """Two tokenizers' tokens of the same text, aligned by the bytes they cover.
 
-Python only tokenises. Both tokenizers cut between a character and a space after it, so a text is a sequence of parts,
-and each distinct part of a chunk of texts is given once, as ids, bytes and byte offsets of its tokens on both sides. All
-else is Spark's array functions. Offsets where tokens of both sides end (array_intersect) cut a part into groups: tokens
-and cuts are sorted together by place, joined and split again. The offsets where a token of either side ends
-(array_union) cut it into segments, and each segment is the overlap of just one token of each side, so segments are the
-links; the ids come from arrays with one element a byte. As the end of a part is always common, a document's groups and
-links are those of its parts in order (transform), and its counts are their sums (aggregate). No step is quadratic in a
-text's length. Pairs of ids are counted over the corpus, and each part's links looked up once.
+Python only tokenises: it gives each token of both sides as one number, its end and its id, with its bytes, and the
+offsets at which tokens end. All else is Spark's array functions. Offsets where tokens of both sides end
+(array_intersect) cut a text into groups: tokens and cuts are sorted together by place, joined and split again. The
+offsets where a token of either side ends (array_union) cut it into segments, and each segment is the overlap of just
+one token of each side, so segments are the links; their ids come from arrays with one element a byte. No step is
+quadratic in a text's length. Pairs of ids are counted over the corpus and looked up for each link.
+
+Both tokenizers cut between a character and a space after it, so a task encodes each distinct part of its texts once.
 
 Defined results: a null or empty text, and one whose tokens' bytes aren't space and text on either side (a vocabulary
 that folds characters), has no tokens: all counts 0, an empty digest column. Special strings inside texts are plain text.
@@ -27,45 +27,39 @@ from pyspark.sql import functions as F
 
 from foliant.llm import textvec as tv
 from foliant.llm.common import bounded_batches, columns, materialize, shared_dir
-from foliant.llm.pieces import Paired, paired
+from foliant.llm.pieces import paired
 
 #: Up to so many pairs of ids are broadcast with their counts; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-#: Chunks in one file of the written parts, so that a reader's batch stays small.
-FILE_CHUNKS = 48
-#: More than any id; what is left of a number that holds a place, or an id, above another id.
+#: More than any id; what is left of a number that holds a place, or an id, above another id. The last marks the end of a group.
 ROOM = 1 << 21
-SIDES = ("a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends")
-CHUNK = f"parts array<struct<{', '.join(f'{c}: array<int>' for c in SIDES)}>>, uses array<long>, docs array<struct<doc_id: long, at: array<int>>>"
+GROUP_END = ROOM - 1
+TOKENS = "doc_id long, a array<long>, a_sizes array<int>, a_ends array<int>, b array<long>, b_sizes array<int>, b_ends array<int>"
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, kind))
 
 
 def tokens(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """Chunks of docs (doc_id, text): the distinct parts of their texts with the tokens of both sides, how often each is used, and each document as numbers of parts in order."""
+    """For every row of docs (doc_id, text) the tokens of both sides: place and id as one number, bytes, and ends."""
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library: Paired = paired(byte_file, piece_file)
+        library = paired(byte_file, piece_file)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in tv.chunks(texts):
-                at, ends = library.parts_of(texts[lo:hi])
-                used, number, uses = np.unique(at, return_inverse=True, return_counts=True)
-                sides = []
-                for ids, sizes, count in library.tokens_of(used):
-                    end = np.cumsum(sizes)
-                    first = np.cumsum(count) - count
-                    before = np.concatenate([[0], end])[first]
-                    sides += [_lists(ids, count), _lists(sizes, count), _lists(end - np.repeat(before, count), count)]
-                parts = pa.StructArray.from_arrays(sides, names=list(SIDES))
-                rows = pa.StructArray.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), _lists(number, np.diff(ends))], names=["doc_id", "at"])
-                whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (parts, pa.array(uses.astype(np.int64)), rows)]
-                yield pa.RecordBatch.from_arrays(whole, names=["parts", "uses", "docs"])
-
-    return columns(docs, "doc_id", "text").mapInArrow(cut, CHUNK)
+                parts, at = library.parts_of(texts[lo:hi])
+                cells: list[pa.Array] = []
+                for ids, sizes, count in library.tokens_of(parts):
+                    own = np.diff(np.concatenate([[0], np.cumsum(count)])[at])
+                    end = np.concatenate([[0], np.cumsum(sizes)])
+                    end = end[1:] - np.repeat(end[np.cumsum(own) - own], own)
+                    cells += [_lists(end * ROOM + ids, own, pa.int64()), _lists(sizes.astype(np.int32), own, pa.int32()), _lists(end.astype(np.int32), own, pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *cells], names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
+
+    return columns(docs, "doc_id", "text").mapInArrow(cut, TOKENS)
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,34 +67,30 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _group_texts(part: Column, side: str, common: Column) -> Column:
-    """The ids of one side between common ends, joined by commas. A token and the mark of a group's end are numbers that sort by place."""
-    placed = F.zip_with(part[f"{side}_ends"], part[side], lambda end, i: end.cast("long") * ROOM + i)
-    marks = F.transform(common, lambda end: end.cast("long") * ROOM + (ROOM - 1))
-    ids = F.transform(F.sort_array(F.concat(placed, marks)), lambda x: x.bitwiseAND(F.lit(ROOM - 1)))
-    return F.slice(F.split(F.array_join(ids.cast("array<string>"), ","), f",{ROOM - 1},?"), 1, F.size(common))
+def _group_texts(side: str, marks: Column) -> Column:
+    """The ids of one side between the ends of groups, joined by commas. Tokens and marks are numbers that sort by place."""
+    ids = F.transform(F.sort_array(F.concat(side, marks)), lambda x: x.bitwiseAND(F.lit(ROOM - 1)))
+    return F.split(F.array_join(ids.cast("array<string>"), ","), f",{GROUP_END},?")
 
 
-def _groups(part: Column) -> Column:
-    """A part's groups as `a1,a2|b1`."""
-    both = lambda common: F.zip_with(_group_texts(part, "a", common), _group_texts(part, "b", common), lambda a, b: F.concat(a, F.lit("|"), b))
-    return _bound(F.array_intersect(part["a_ends"], part["b_ends"]), both)
+def _groups(common: Column) -> Column:
+    """`a1,a2|b1;a3|b2,b3`: ids of a group by commas, sides by a bar, groups by semicolons."""
+    both = lambda marks: F.zip_with(_group_texts("a", marks), _group_texts("b", marks), lambda a, b: F.concat(a, F.lit("|"), b))
+    groups = _bound(F.transform(common, lambda end: end.cast("long") * ROOM + GROUP_END), both)
+    return F.array_join(F.slice(groups, 1, F.size(common)), ";")
 
 
-def _links(part: Column) -> Column:
-    """A part's links, as numbers of which link_sides gives both ids."""
-    at_bytes = lambda side: F.flatten(F.zip_with(part[side], part[f"{side}_sizes"], lambda i, n: F.array_repeat(i, n)))
-    every = F.array_union(part["a_ends"], part["b_ends"])
-    over = lambda at: F.transform(every, lambda end: F.get(at["a"], end - 1).cast("long") * ROOM + F.get(at["b"], end - 1))
-    return _bound(F.struct(at_bytes("a").alias("a"), at_bytes("b").alias("b")), over)
+def _links() -> Column:
+    """The links: numbers of which link_sides gives both ids."""
+    at_bytes = lambda side: F.flatten(F.zip_with(side, f"{side}_sizes", lambda x, n: F.array_repeat(x, n)))
+    one = lambda at, end: F.get(at["a"], end - 1).bitwiseAND(F.lit(ROOM - 1)) * ROOM + F.get(at["b"], end - 1).bitwiseAND(F.lit(ROOM - 1))
+    return _bound(F.struct(at_bytes("a").alias("a"), at_bytes("b").alias("b")), lambda at: F.transform(F.array_union("a_ends", "b_ends"), lambda end: one(at, end)))
 
 
 def aligned(cut: DataFrame) -> DataFrame:
-    """tokens' chunks with what their parts come to: texts of groups, numbers of tokens and groups, links."""
-    made = F.transform("parts", lambda p: F.struct(F.size(p["a"]).alias("n_a"), F.size(p["b"]).alias("n_b"), _groups(p).alias("groups"), _links(p).alias("links")))
-    found = cut.select(made.alias("p"), "uses", "docs")
-    texts = F.transform("p.groups", lambda g: F.array_join(g, ";"))
-    return found.select(F.col("p.n_a").alias("n_a"), F.col("p.n_b").alias("n_b"), texts.alias("texts"), F.transform("p.groups", F.size).alias("n_groups"), F.col("p.links").alias("links"), "uses", "docs")
+    """(doc_id, n_a, n_b, n_groups, groups, links) of tokens: groups as text, links as numbers."""
+    found = cut.withColumn("common", F.array_intersect("a_ends", "b_ends"))
+    return found.select("doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), _groups(F.col("common")).alias("groups"), _links().alias("links"))
 
 
 def link_sides(link: Column) -> tuple[Column, Column]:
@@ -109,35 +99,29 @@ def link_sides(link: Column) -> tuple[Column, Column]:
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """(link, n, best) of links (link, uses): how often both ids are linked, and whether no partner of the second has more."""
-    counts = materialize(links.groupBy("link").agg(F.sum("uses").alias("n")).withColumn("b", link_sides(F.col("link"))[1]), "align-pairs")
+    """(link, n, best) of links (link): how often both ids are linked, and whether no partner of the second has more."""
+    counts = materialize(links.groupBy("link").agg(F.count("*").alias("n")).withColumn("b", link_sides(F.col("link"))[1]), "align-pairs")
     top = counts.groupBy("b").agg(F.max("n").alias("top"))
     return materialize(counts.join(top, "b").select("link", "n", (F.col("n") == F.col("top")).alias("best")), "align-best")
 
 
 def align(docs: DataFrame, byte_file: str, piece_file: str, broadcast_pairs: int = BROADCAST_PAIRS, keep_groups: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs (doc_id, text); with keep_groups also the groups' text."""
-    found = aligned(tokens(docs, byte_file, piece_file)).withColumn("chunk", F.monotonically_increasing_id())
-    path = shared_dir(docs.sparkSession, "align-chunks")
-    found.write.option("maxRecordsPerFile", FILE_CHUNKS).option("compression", "zstd").parquet(path)
+    found = aligned(tokens(docs, byte_file, piece_file))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    own = ["doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), digest, *(["groups"] if keep_groups else [])]
+    found = found.select(*own, "links").withColumn("row_", F.monotonically_increasing_id())
+    path = shared_dir(docs.sparkSession, "align-links")
+    found.write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.schema(found.schema).parquet(path)
 
-    each = found.select("chunk", "uses", F.posexplode("links").alias("part", "own"))
-    links = each.select("chunk", "part", F.get("uses", F.col("part")).alias("uses"), F.explode("own").alias("link"))
-    pairs = pair_counts(links.select("link", "uses"))
+    links, times = found.select("row_", F.explode("links").alias("link")), F.lit(1)
+    pairs = pair_counts(links.select("link"))
     if pairs.count() <= broadcast_pairs:
         pairs = F.broadcast(pairs)
-    sums = links.join(pairs, "link").groupBy("chunk", "part").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    listed = sums.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "n_best", "count_sum"))).alias("s"))
-    listed = listed.select("chunk", F.col("s.n_best").alias("n_best"), F.col("s.count_sum").alias("count_sum"))
-    whole = materialize(found.select("chunk", "texts", "n_a", "n_b", "n_groups", F.transform("links", F.size).alias("n_links"), "docs").join(listed, "chunk", "left"), "align-parts")
-
-    total = lambda d, c: F.aggregate(d["at"], F.lit(0).cast("long"), lambda n, i: n + F.get(F.col(c), i)).alias(c)
-    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-    def document(d: Column) -> Column:
-        text = F.array_join(F.transform(d["at"], lambda i: F.get("texts", i)), ";")
-        digest = F.when(F.size(d["at"]) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
-        return F.struct(d["doc_id"].alias("doc_id"), *[total(d, c) for c in counts], digest.alias("groups_sha256"), *([text.alias("groups")] if keep_groups else []))
-
-    return whole.select(F.inline(F.transform("docs", document)))
+    else:
+        links, times = links.groupBy("row_", "link").agg(F.count("*").alias("times")), F.col("times")
+    sums = links.join(pairs, "link").groupBy("row_").agg(F.sum(F.when(F.col("best"), times).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("n") * times).alias("count_sum"))
+    out = found.drop("links").join(sums, "row_", "left")
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", *[whole(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], "groups_sha256", *(["groups"] if keep_groups else []))

@@ -129,6 +129,16 @@ class Pieces:
         return self.library.encode(part[1:]) if len(part) > 1 else [self.library.piece_to_id(BAR)]
 
 
+def _sound(side: TokenBytes, ids: np.ndarray, sizes: np.ndarray, parts: list[str]) -> np.ndarray:
+    """Of which parts the tokens join to their bytes."""
+    said, wanted = side.joined(ids), [p.encode() for p in parts]
+    end = np.concatenate([[0], np.cumsum(side.size[ids])])[np.cumsum(sizes)]
+    if said == b"".join(wanted) and np.array_equal(np.diff(end, prepend=0), [len(w) for w in wanted]):
+        return np.ones(len(parts), bool)
+    ends = end.tolist()
+    return np.array([said[i:j] == w for w, i, j in zip(wanted, [0, *ends], ends, strict=False)], bool)
+
+
 class Paired:
     """The parts of texts, each distinct one encoded once by both libraries and remembered. A part begins with a space; the first has the one that the second library puts before a text."""
 
@@ -137,19 +147,24 @@ class Paired:
         self._forget()
 
     def _forget(self) -> None:
+        """known: the number of each part; sound: whether its tokens have its bytes; its ids are in a side's flat, by start."""
         self.known: dict[str, int] = {}
-        self.chars = 0
-        self.sound: list[bool] = []
-        self.ids: list[list[np.ndarray]] = [[], []]
+        self.chars, self.sound = 0, np.zeros(0, bool)
+        self.flat, self.start = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
 
     def _learn(self, parts: list[str]) -> None:
+        sound = [self.sound]
         for lo, hi in tv.chunks(parts, CALL_CHARS):
             some = parts[lo:hi]
-            for p, a in zip(some, self.left._ids(some), strict=True):
-                found = [np.array(a, np.int32), np.array(self.right.ids_of(p), np.int32)]
-                self.sound.append(all(side.bytes.joined(x) == p.encode() for side, x in zip((self.left, self.right), found, strict=True)))
-                for side, x in zip(self.ids, found, strict=True):
-                    side.append(x)
+            sides = self.left._ids(some), [self.right.ids_of(p) for p in some]
+            sound.append(np.ones(len(some), bool))
+            for k, (side, ids) in enumerate(zip((self.left, self.right), sides, strict=True)):
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                sound[-1] &= _sound(side.bytes, flat, sizes, some)
+                self.flat[k] = np.concatenate([self.flat[k], flat])
+                self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(sizes)])
+        self.sound = np.concatenate(sound)
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.chars += sum(map(len, parts))
 
@@ -165,17 +180,16 @@ class Paired:
         split = [self._split(t) for t in texts]
         self._learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known])
         at = [np.fromiter(map(self.known.__getitem__, s), np.int64, len(s)) for s in split]
-        sound = np.array(self.sound, bool)
-        at = [x if sound[x].all() else x[:0] for x in at]
+        at = [x if self.sound[x].all() else x[:0] for x in at]
         return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
 
     def tokens_of(self, numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each side the ids of these parts one after another, their bytes, and how many each part has."""
         out = []
-        for side, held in zip((self.left, self.right), self.ids, strict=True):
-            some = [held[i] for i in numbers.tolist()]
-            ids = np.concatenate([np.zeros(0, np.int32), *some])
-            out.append((ids, side.bytes.size[ids], np.array([len(x) for x in some], np.int64)))
+        for k, side in enumerate((self.left, self.right)):
+            n = self.start[k][numbers + 1] - self.start[k][numbers]
+            ids = self.flat[k][np.repeat(self.start[k][numbers] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            out.append((ids, side.bytes.size[ids], n))
         return out
 
 
