@@ -1,10 +1,14 @@
-"""Backups as versioned Parquet folders with a manifest: writing, checking, restoring, expiring; their catalogue and the readiness score."""
+"""Backups as versions of tables: writing what changed, checking, restoring, expiring; their catalogue and the readiness score."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators import versions
+
+#: Partitions of a backed-up table.
+PARTS = 32
 #: Manifest rows that are kept, hours after which the latest backup is late.
 KEPT, LATE_HOURS = 1000, 26
 
@@ -48,41 +52,42 @@ def readiness(manifest: DataFrame, as_of: Column, disk_gb: float, scripts: int,
     return counts.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 8, "excellent").when(F.col("score") >= 6, "good").when(F.col("score") >= 4, "fair").otherwise("poor"))
 
 
-def checksum(df: DataFrame) -> DataFrame:
-    """(rows, digest) of a table, whatever the order of its rows: the sum of the rows' hashes."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+def _part(df: DataFrame) -> Column:
+    """What deals a table's rows to partitions unless the caller says: a hash of its first column, so that a row that changes elsewhere stays where it is."""
+    return F.pmod(F.xxhash64(F.col(f"`{df.columns[0]}`")), F.lit(PARTS))
+
+
+def checksum(spark: SparkSession, folder: str, version: int) -> str:
+    """The digest of a version: of its partitions' digests, which were taken from the source."""
+    each = F.array_sort(F.collect_list(F.concat_ws(":", "part", "digest")))
+    return versions.entries(spark, folder, version).agg(F.sha2(F.array_join(each, ","), 256)).first()[0]
 
 
-def write_backup(df: DataFrame, folder: str, backup_id: str, kind: str = "full") -> dict:
-    """Write a version of a table; returns its manifest entry. An incremental one holds whole tables, as it always did."""
-    path = f"{folder}/{backup_id}"
-    df.write.parquet(path)
-    made = checksum(df.sparkSession.read.parquet(path)).first()
-    return {"backup_id": backup_id, "type": kind, "path": path, "rows": made["rows"], "checksum": made["digest"], "status": "completed"}
+def write_backup(df: DataFrame, folder: str, backup_id: str, kind: str = "full", part: Column | None = None) -> dict:
+    """Back up a table into a store of versions and return its manifest entry. Whatever the kind, only partitions that the store doesn't hold yet are written, and those are read back against the source's digests."""
+    version = versions.commit(df, folder, _part(df) if part is None else part, note=backup_id)
+    spark = df.sparkSession
+    held = versions.entries(spark, folder, version).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count_if("written")).first()
+    return {"backup_id": backup_id, "type": kind, "path": folder, "version": version, "rows": held[0], "written": held[1], "checksum": checksum(spark, folder, version), "status": "completed"}
 
 
-def write_stores(stores: dict[str, DataFrame], folder: str, backup_id: str, kind: str = "full") -> list[dict]:
-    """A version of each store, as one backup; an incremental one leaves the vectors out. Each is verified as it is written."""
-    entries = []
-    for name, df in stores.items():
-        if kind == "incremental" and name == "vectors":
-            continue
-        entry = write_backup(df, folder, f"{backup_id}_{name}", kind) | {"store": name}
-        if not verify(df.sparkSession, entry):
-            raise ValueError(f"backup {entry['backup_id']} is damaged")
-        entries.append(entry)
-    return entries
+def write_stores(stores: dict[str, DataFrame], folder: str, backup_id: str, kind: str = "full", parts: dict[str, Column] | None = None) -> list[dict]:
+    """A version of each store, as one backup; an incremental one leaves the vectors out."""
+    names = [n for n in stores if kind != "incremental" or n != "vectors"]
+    return [write_backup(stores[n], f"{folder}/{n}", f"{backup_id}_{n}", kind, (parts or {}).get(n)) | {"store": n} for n in names]
 
 
 def verify(spark: SparkSession, entry: dict) -> bool:
-    """Whether a version still holds what its manifest entry says."""
-    made = checksum(spark.read.parquet(entry["path"])).first()
-    return (made["rows"], made["digest"]) == (entry["rows"], entry["checksum"])
+    """Whether a version still holds what its source held when it was written, and is the one that the entry means."""
+    if checksum(spark, entry["path"], entry["version"]) != entry["checksum"]:
+        return False
+    return versions.verify(spark, entry["path"], entry["version"]).where("not sound").isEmpty()
 
 
-def restore(spark: SparkSession, entry: dict) -> DataFrame:
-    """The rows of a version, once it is verified."""
+def restore(spark: SparkSession, entry: dict, current: DataFrame | None = None, part: Column | None = None) -> DataFrame:
+    """The rows of a version, once it is verified; the current table, if given, becomes a version first, and the older one the newest again."""
     if not verify(spark, entry):
         raise ValueError(f"backup {entry['backup_id']} is damaged")
-    return spark.read.parquet(entry["path"])
+    if current is not None:
+        versions.restore(current, entry["path"], _part(current) if part is None else part, entry["version"])
+    return versions.read(spark, entry["path"], entry["version"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,14 @@ def content_hash(title: Column, author: Column, creator: Column, pages: Column,
     return F.sha2(F.concat(part("title", title), part("author", author), part("creator", creator), part("pages", pages), part("text", text)), 256)
 
 
+#: White space that ends of texts are stripped of.
+ENDS = " \t\r\n\u000b\f"
+
+
 def first_pages_text(pages: Column) -> Column:
-    """The text of the first three of an array of pages, stripped and cut."""
-    return shortened(F.btrim(F.array_join(F.slice(pages, 1, 3), "\n"), F.lit(" \t\r\n")), CONTENT_CHARS)
+    """The text of the first three of an array of pages, a line feed after each, cut, then stripped."""
+    each = F.transform(F.slice(pages, 1, 3), lambda p: F.concat(F.coalesce(p, F.lit("")), F.lit("\n")))
+    return F.btrim(shortened(F.array_join(each, ""), CONTENT_CHARS), F.lit(ENDS))
 
 
 def sampled_pages(n: Column) -> Column:
@@ -47,15 +55,60 @@ def random_pages(paper: Column, n: Column, most: int = 3, seed: int = 1) -> Colu
     return F.array_sort(F.transform(F.slice(shuffled, 1, most), lambda x: x["i"]))
 
 
+#: What follows each sampled page: a backslash and an n, as the stored samples have it. A fixed value.
+AFTER_PAGE = "\\n"
+#: Samples of fewer characters have no vector. Components of a sample's vector, and places of a term in it.
+LEAST_SAMPLE, DIMENSIONS, PLACES = 50, 1024, 4
+
+
 def sample_text(pages: Column, indexes: Column) -> Column:
-    r"""The pages at the indexes, each stripped and cut, joined by a backslash and an n as the stored samples are."""
-    each = F.transform(indexes, lambda i: F.substring(F.btrim(F.get(pages, i)), 1, PAGE_CHARS))
-    return shortened(F.array_join(F.filter(each, lambda t: t != ""), "\\n"), SAMPLE_CHARS)
+    """The beginnings of the pages at the indexes, each with what follows a page; the whole cut, then stripped."""
+    each = F.transform(indexes, lambda i: F.concat(F.substring(F.coalesce(F.get(pages, i), F.lit("")), 1, PAGE_CHARS), F.lit(AFTER_PAGE)))
+    return F.btrim(shortened(F.array_join(each, ""), SAMPLE_CHARS), F.lit(ENDS))
+
+
+def sample_of_text(text: Column, page: int = PAGE_CHARS) -> Column:
+    """The sample of a text without pages, which count as so many characters each; only the sampled ones are cut out."""
+    n = F.ceil(F.length(text) / page).cast("int")
+    return sample_text(F.transform(sampled_pages(n), lambda i: F.substr(text, i * page + 1, F.lit(page))), F.transform(sampled_pages(n), lambda _, k: k))
+
+
+def term_vectors(texts: list[str]) -> list[np.ndarray]:
+    """What stands in for a model: counts of words projected by a hash, each word to a few places with signs. Texts of the same words have one vector, others don't."""
+    known: dict[str, np.ndarray] = {}
+    out = []
+    for t in texts:
+        v = np.zeros(DIMENSIONS, np.float32)
+        for word, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", t)).items():
+            if word not in known:
+                known[word] = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=4 * PLACES).digest(), "<u4")
+            np.add.at(v, known[word] % DIMENSIONS, np.where(known[word] >> 31, -n, n).astype(np.float32))
+        out.append(v)
+    return out
 
 
-def _float_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def with_sample_hash(df: DataFrame, sample: str, name: str, model: Callable[[list[str]], list[np.ndarray]] = term_vectors) -> DataFrame:
+    """df with the digest of a model's vector of each sample in the sample's stead; null where the sample is too short or the model fails."""
+    kept = [c for c in df.columns if c != sample]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != sample)
 
+    def digest(text: str | None) -> str | None:
+        if text is None or len(text.strip()) < LEAST_SAMPLE:
+            return None
+        try:
+            return hashlib.sha256(np.asarray(model([text])[0], "<f4").tobytes()).hexdigest()
+        except Exception:  # noqa: BLE001  a sample without a vector is no copy of anything
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([digest(t) for t in batch[sample].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], found], names=[*kept, name])
+
+    return df.mapInArrow(run, f"{kinds}, `{name}` string")
+
+
+def _float_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [hashlib.sha256(np.asarray(v.as_py(), "<f4").tobytes()).hexdigest() if v.is_valid else None for v in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "digest"])
@@ -97,7 +150,7 @@ def cascade(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 
 def probe(candidates: DataFrame, library: DataFrame, keys: dict[str, Column], candidate_id: str) -> DataFrame:
-    """Each candidate with the level and document that match it first, or No_Duplicate: keys are over `text` on both sides."""
+    """Each candidate with the level and document that match it first, or No_Duplicate: keys are over columns of both sides."""
     out = candidates.select(candidate_id, *[k.alias(f"k{i}") for i, k in enumerate(keys.values())])
     hit, level = F.lit(None).cast("long"), F.lit(None).cast("string")
     for i, (name, key) in enumerate(keys.items()):

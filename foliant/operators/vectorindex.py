@@ -133,6 +133,25 @@ def nearest(queries: DataFrame, folder: str, k: int = 10, probes: int | None = N
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "other", "similarity")
 
 
+def probes_for(queries: DataFrame, folder: str, k: int = 10, target: float = 0.9, sample: int = 256) -> int:
+    """The least number of cells to look into for this recall, measured exactly on a sample of queries (vec_id, v): how far down each query's list of cells its true neighbours are."""
+    spark = queries.sparkSession
+    centroids = centroids_of(spark, folder)
+    asked = queries.orderBy(F.xxhash64(F.lit(11), "vec_id")).limit(sample)
+    asked = spark.createDataFrame(asked.select("vec_id", "v").collect(), "vec_id long, v array<double>")
+    exact = nearest(asked, folder, k).select("vec_id", F.col("other").alias("near"))
+    cells = versions.read(spark, folder).select(F.col("vec_id").alias("near"), "cell")
+    lists = _nearest_cells(asked, centroids, len(centroids)).select("vec_id", "cells")
+    places = exact.join(cells, "near").join(F.broadcast(lists), "vec_id").select(F.array_position("cells", F.col("cell")).alias("place"))
+    counts = sorted((r["place"], r["count"]) for r in places.groupBy("place").count().collect())
+    wanted, seen = target * sum(n for _, n in counts), 0
+    for place, n in counts:
+        seen += n
+        if seen >= wanted:
+            return int(place)
+    return max(1, len(centroids))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact results (vec_id, other) that were found."""
     wanted = exact.select("vec_id", "other")

@@ -5,64 +5,88 @@ from pyspark.sql import functions as F
 
 from foliant.operators import duplicates as op
 from foliant.plans.registry import query
+from foliant.session import written
 from foliant.sources import tables as src
 
-#: The levels' keys over a document's text; the SQL twins say the same.
+TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: A document's sample: the beginnings of the first, middle and last of its pages of 1000 characters.
+SAMPLE = f"""trim((SELECT CASE WHEN length(j) > 4000 THEN substr(j, 1, 4000) || '...' ELSE j END FROM (SELECT array_to_string(list_transform(list_sort(list_distinct(list_filter(
+  [0, CASE WHEN ceil(length(text) / 1000.0) >= 3 THEN ceil(length(text) / 1000.0)::INTEGER // 2 END, ceil(length(text) / 1000.0)::INTEGER - 1], lambda i: i >= 0))), lambda i: substr(text, i * 1000 + 1, 1000) || '\\n'), '') AS j)), {TRIM})""".replace("\\\\", "\\")
+#: The levels' keys over a document's text; the third stands for the digest of a vector of the sample's words.
 L0 = "md5(text)"
-L1 = "sha256('|title:|author:|creator:|pages:1|text:' || CASE WHEN length(trim(text, ' ' || chr(9) || chr(13) || chr(10))) > 5000 THEN substr(trim(text, ' ' || chr(9) || chr(13) || chr(10)), 1, 5000) || '...' ELSE trim(text, ' ' || chr(9) || chr(13) || chr(10)) END)"
-L2 = "md5(substr(lower(regexp_replace(substr(text, 1, 2000), '[^A-Za-z]+', '', 'g')), 1, 400))"
+L1 = f"sha256('|title:|author:|creator:|pages:1|text:' || trim(CASE WHEN length(text) + 1 > 5000 THEN substr(text || chr(10), 1, 5000) || '...' ELSE text || chr(10) END, {TRIM}))"
+L2 = r"CASE WHEN length(s) >= 50 THEN array_to_string(list_sort(regexp_extract_all(s, '[^\x20\x09-\x0D]+')), ' ') END"
 
 
-def keys() -> dict:
+def _keyed(table: str, key: str) -> str:
+    return f"(SELECT {key}, k0, k1, {L2} AS k2 FROM (SELECT {key}, {L0} AS k0, {L1} AS k1, {SAMPLE} AS s FROM {table}))"
+
+
+KEYED = _keyed("documents", "doc_id")
+COLUMNS = ("k_file", "k_content", "k_sample")
+
+
+def keyed(texts: DataFrame, key: str) -> DataFrame:
+    """The keys of all levels of texts (key, text), each text read once."""
     text, none = F.col("text"), F.lit(None)
-    return {
-        op.LEVELS[0]: F.md5(text),
-        op.LEVELS[1]: op.content_hash(none, none, none, F.lit(1), op.first_pages_text(F.array(text))),
-        op.LEVELS[2]: F.md5(F.substring(F.lower(F.regexp_replace(F.substring(text, 1, 2000), "[^A-Za-z]+", "")), 1, 400)),
-    }
+    content = op.content_hash(none, none, none, F.lit(1), op.first_pages_text(F.array(text)))
+    made = texts.select(key, F.md5(text).alias(COLUMNS[0]), content.alias(COLUMNS[1]), op.sample_of_text(text).alias("sample"))
+    return op.with_sample_hash(made, "sample", COLUMNS[2])
+
+
+def keys() -> dict:
+    return {level: F.col(c) for level, c in zip(op.LEVELS, COLUMNS, strict=True)}
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _copies(key: str, level: str) -> str:
-    return f"SELECT doc_id, first AS duplicate_of, '{level}' AS level FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {key}) AS first FROM documents) WHERE doc_id <> first"
+def level(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
+    stored = written(keyed(docs(spark, sf_dir), "doc_id").select("doc_id", COLUMNS[i]), "keys")
+    return op.first_of_group(stored, F.col(COLUMNS[i]), op.LEVELS[i])
+
 
+def _copies(i: int) -> str:
+    return f"SELECT doc_id, first AS duplicate_of, '{op.LEVELS[i]}' AS level FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k{i}) AS first FROM {KEYED} WHERE k{i} IS NOT NULL) WHERE doc_id <> first"
 
-@query(_copies(L0, op.LEVELS[0]))
+
+@query(_copies(0))
 def dup_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.first_of_group(docs(spark, sf_dir), keys()[op.LEVELS[0]], op.LEVELS[0])
+    return op.first_of_group(docs(spark, sf_dir), F.md5("text"), op.LEVELS[0])
 
 
-@query(_copies(L1, op.LEVELS[1]))
+@query(_copies(1))
 def dup_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.first_of_group(docs(spark, sf_dir), keys()[op.LEVELS[1]], op.LEVELS[1])
+    return level(spark, sf_dir, 1)
 
 
-@query(_copies(L2, op.LEVELS[2]))
+@query(_copies(2))
 def dup_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.first_of_group(docs(spark, sf_dir), keys()[op.LEVELS[2]], op.LEVELS[2])
+    return level(spark, sf_dir, 2)
 
 
 @query(f"""
-WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {L0}) AS a, min(doc_id) OVER (PARTITION BY {L1}) AS b, min(doc_id) OVER (PARTITION BY {L2}) AS c FROM documents)
+WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k0) AS a, min(doc_id) OVER (PARTITION BY k1) AS b, CASE WHEN k2 IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k2) END AS c FROM {KEYED})
 SELECT doc_id, CASE WHEN a <> doc_id THEN a WHEN b <> doc_id THEN b ELSE c END AS duplicate_of,
   CASE WHEN a <> doc_id THEN '{op.LEVELS[0]}' WHEN b <> doc_id THEN '{op.LEVELS[1]}' ELSE '{op.LEVELS[2]}' END AS level
 FROM k WHERE a <> doc_id OR b <> doc_id OR c <> doc_id
 """)
 def dup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.cascade(docs(spark, sf_dir), keys())
+    return op.cascade(keyed(docs(spark, sf_dir), "doc_id"), keys())
 
 
 @query(f"""
-WITH l0 AS (SELECT {L0} AS k, min(doc_id) AS d FROM documents GROUP BY 1), l1 AS (SELECT {L1} AS k, min(doc_id) AS d FROM documents GROUP BY 1), l2 AS (SELECT {L2} AS k, min(doc_id) AS d FROM documents GROUP BY 1)
+WITH l AS (SELECT * FROM {KEYED}), l0 AS (SELECT k0 AS k, min(doc_id) AS d FROM l GROUP BY 1), l1 AS (SELECT k1 AS k, min(doc_id) AS d FROM l GROUP BY 1), l2 AS (SELECT k2 AS k, min(doc_id) AS d FROM l WHERE k2 IS NOT NULL GROUP BY 1)
 SELECT b.item_id, coalesce(l0.d, l1.d, l2.d) AS duplicate_of,
   CASE WHEN l0.d IS NOT NULL THEN '{op.LEVELS[0]}' WHEN l1.d IS NOT NULL THEN '{op.LEVELS[1]}' WHEN l2.d IS NOT NULL THEN '{op.LEVELS[2]}' ELSE 'No_Duplicate' END AS level
-FROM (SELECT item_id, text, {L0} AS k0, {L1} AS k1, {L2} AS k2 FROM benchmark) b LEFT JOIN l0 ON l0.k = k0 LEFT JOIN l1 ON l1.k = k1 LEFT JOIN l2 ON l2.k = k2
+FROM {_keyed("(SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents WHERE lang = 'fr')", "item_id")} b LEFT JOIN l0 ON l0.k = k0 LEFT JOIN l1 ON l1.k = k1 LEFT JOIN l2 ON l2.k = k2
 """)
 def dup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.probe(src.table(spark, sf_dir, "benchmark"), docs(spark, sf_dir), keys(), "item_id")
+    """Candidates held against the library: the benchmark's texts, and documents of one language handed in again."""
+    again = src.table(spark, sf_dir, "documents").where("lang = 'fr'").select((-1 - F.col("doc_id")).alias("item_id"), "text")
+    candidates = src.table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(again)
+    return op.probe(keyed(candidates, "item_id"), written(keyed(docs(spark, sf_dir), "doc_id"), "library-keys"), keys(), "item_id")
 
 
 @query("SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -70,11 +94,11 @@ def group_having_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.groups_with_copies(docs(spark, sf_dir), F.md5("text"))
 
 
-@query("""
-SELECT doc_id, sample_pages, md5(CASE WHEN length(s) > 4000 THEN substr(s, 1, 4000) || '...' ELSE s END) AS sample_md5 FROM (
-  SELECT conv_id AS doc_id, n, list_distinct(list_filter([0, CASE WHEN n >= 3 THEN n // 2 END, n - 1], lambda i: i IS NOT NULL)) AS sp, p FROM (
+@query(f"""
+SELECT doc_id, sample_pages, md5(trim(CASE WHEN length(s) > 4000 THEN substr(s, 1, 4000) || '...' ELSE s END, {TRIM})) AS sample_md5 FROM (
+  SELECT conv_id AS doc_id, n, list_sort(list_distinct(list_filter([0, CASE WHEN n >= 3 THEN n // 2 END, n - 1], lambda i: i IS NOT NULL))) AS sp, p FROM (
     SELECT conv_id, count(*)::INTEGER AS n, list(text ORDER BY turn) AS p FROM conversations GROUP BY 1)
-) x, LATERAL (SELECT array_to_string(list_sort(x.sp), ',') AS sample_pages, array_to_string(list_filter(list_transform(list_sort(x.sp), lambda i: substr(trim(x.p[i + 1]), 1, 1000)), lambda t: t <> ''), '\\n') AS s)
+) x, LATERAL (SELECT array_to_string(x.sp, ',') AS sample_pages, array_to_string(list_transform(x.sp, lambda i: substr(coalesce(x.p[i + 1], ''), 1, 1000) || '\\n'), '') AS s)
 """.replace("\\\\", "\\"))
 def sampled_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda x: x["page_text"])

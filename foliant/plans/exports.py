@@ -38,9 +38,9 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", r["overall_quality"].alias("quality"), r["readability_score"].alias("score"))
 
 
-@query("SELECT sum(CASE event_type WHEN 'click' THEN 1500 WHEN 'error' THEN 2500 WHEN 'view' THEN 8000 ELSE 2000 END)::BIGINT + 500 AS mb, count(*) AS models FROM events")
+@query("SELECT sum(CASE event_type WHEN 'click' THEN 4000 WHEN 'error' THEN 4000 WHEN 'view' THEN 3000 WHEN 'signup' THEN 2000 ELSE 4000 END)::BIGINT + 500 AS mb, count(*) AS models FROM events")
 def model_memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("event_type") == "click", "llama3.2:1b").when(F.col("event_type") == "error", "llama3.2:3b").when(F.col("event_type") == "view", "llava:13b").otherwise("mistral")
+    name = F.when(F.col("event_type") == "click", "llama3.2:1b").when(F.col("event_type") == "error", "my-CodeLlama:7b").when(F.col("event_type") == "view", "llava:13b").when(F.col("event_type") == "signup", "gemma:2b").otherwise("mistral:latest")
     return files.memory_estimate(src.events(spark, sf_dir).select(name.alias("name")))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import security
-from foliant.operators import backups, duplicates, maintenance, vectors
+from foliant.operators import backups, duplicates, maintenance, vectors, versions
+from foliant.plans.duplicates import TRIM
 from foliant.plans.registry import query
 from foliant.session import scratch
 from foliant.sources import files, scorers
@@ -73,19 +74,60 @@ def content_level_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.content_duplicates(rows, duplicates.vector_digest(rows, "vec_id", "v"), 0.4)
 
 
-@query("""
-SELECT 'documents' AS store, 'full' AS kind, (SELECT count(*) FROM documents) AS rows, true AS sound, (SELECT count(*) FROM documents) AS restored UNION ALL
-SELECT 'vectors', 'full', (SELECT count(*) FROM embeddings), true, (SELECT count(*) FROM embeddings) UNION ALL
-SELECT 'documents', 'incremental', (SELECT count(*) FROM documents), true, (SELECT count(*) FROM documents)
+BUCKETS = 16
+PARTS_OF = "(SELECT count(DISTINCT {key} % 16) FROM {table} WHERE {where})"
+P = lambda key, table, where="true": PARTS_OF.format(key=key, table=table, where=where)
+
+
+def bucket(key: str) -> Column:
+    """The partition of a row in the stores here."""
+    return F.pmod(F.col(key), F.lit(BUCKETS))
+
+
+def changed(docs: DataFrame) -> DataFrame:
+    """Documents of one partition with another text."""
+    return docs.withColumn("text", F.when(F.col("doc_id") % BUCKETS == 5, F.concat(F.lit("anew: "), F.col("text"))).otherwise(F.col("text")))
+
+
+@query(f"""
+SELECT 'documents' AS store, 'full' AS kind, (SELECT count(*) FROM documents) AS rows, {P("doc_id", "documents")} AS written, true AS sound, (SELECT count(*) FROM documents) AS restored UNION ALL
+SELECT 'vectors', 'full', (SELECT count(*) FROM embeddings), {P("vec_id", "embeddings")}, true, (SELECT count(*) FROM embeddings) UNION ALL
+SELECT 'documents', 'incremental', (SELECT count(*) FROM documents), {P("doc_id", "documents", "doc_id % 16 = 5")}, true, (SELECT count(*) FROM documents)
 """)
 def coordinated_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both stores written, verified and read back; an incremental run leaves the vectors out."""
-    stores = {"documents": src.table(spark, sf_dir, "documents"), "vectors": src.table(spark, sf_dir, "embeddings")}
+    """Both stores written, verified and read back; the incremental run, after a change of one partition, writes that one and leaves the vectors out."""
+    docs, vecs = src.table(spark, sf_dir, "documents"), src.table(spark, sf_dir, "embeddings")
     folder, out = scratch(spark, "backup"), []
-    for kind in ("full", "incremental"):
-        for entry in backups.write_stores(stores, folder, f"{kind}_1", kind):
-            out.append((entry["store"], kind, entry["rows"], backups.verify(spark, entry), backups.restore(spark, entry).count()))
-    return spark.createDataFrame(out, "store string, kind string, rows long, sound boolean, restored long")
+    parts = {"documents": bucket("doc_id"), "vectors": bucket("vec_id")}
+    for kind, now in (("full", docs), ("incremental", changed(docs))):
+        for entry in backups.write_stores({"documents": now, "vectors": vecs}, folder, f"{kind}_1", kind, parts):
+            out.append((entry["store"], kind, entry["rows"], entry["written"], backups.verify(spark, entry), versions.read(spark, entry["path"], entry["version"]).count()))
+    return spark.createDataFrame(out, "store string, kind string, rows long, written long, sound boolean, restored long")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def restored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they were before a change that a restore took back."""
+    docs = src.table(spark, sf_dir, "documents")
+    folder = scratch(spark, "restore")
+    entry = backups.write_backup(docs, folder, "first", part=bucket("doc_id"))
+    backups.restore(spark, entry, changed(docs), bucket("doc_id"))
+    return versions.read(spark, folder).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 16 <> 3) AS kept, {P("doc_id", "documents")} AS parts, {P("doc_id", "documents", "doc_id % 16 <> 3")} AS kept_parts, {P("doc_id", "documents", "doc_id % 16 = 5")} AS changed FROM documents)
+SELECT 1 AS v, 'first' AS note, parts AS partitions, n::BIGINT AS rows, parts AS written FROM n UNION ALL SELECT 2, 'changed', parts, n, changed FROM n UNION ALL
+SELECT 3, '', kept_parts, kept, 0 FROM n UNION ALL SELECT 4, 'before the restore of version 1', kept_parts, kept, 0 FROM n UNION ALL SELECT 5, 'restored from version 1', parts, n, 0 FROM n
+""")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, changed, rid of one partition's rows and restored: what each version holds, and what it had to write."""
+    docs, folder, part = src.table(spark, sf_dir, "documents"), scratch(spark, "versions"), bucket("doc_id")
+    versions.commit(docs, folder, part, note="first")
+    versions.commit(changed(docs), folder, part, note="changed")
+    versions.merge(docs.limit(0), folder, "doc_id", part, gone=docs.where(F.col("doc_id") % BUCKETS == 3).select("doc_id"))
+    versions.restore(versions.read(spark, folder), folder, part, 1)
+    return versions.history(spark, folder)
 
 
 @query("SELECT conv_id AS paper_id, turn + 1 AS page_number, CASE WHEN conv_id % 3 = 0 THEN 'anew: ' || text ELSE text END AS page_text FROM conversations WHERE conv_id % 7 <> 1")
@@ -107,12 +149,28 @@ def reread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(joined(F.collect_list(page)).alias("whole"), joined(F.collect_list(F.when(F.col("page_number") <= 2, page))).alias("first"))
 
 
-@query("SELECT conv_id AS paper_id, array_to_string(list_sort(list_distinct(list(turn + 1) FILTER (contains(text, 'the')))), ',') AS form_pages FROM conversations GROUP BY 1 HAVING count(*) FILTER (contains(text, 'the')) > 0")
+@query("""
+SELECT conv_id AS paper_id, feature, string_agg(turn + 1, ',' ORDER BY turn) AS pages FROM (
+  SELECT conv_id, turn, unnest(['javascript', 'form', 'attachment', 'encrypted']) AS feature, unnest([contains(text, 'an'), contains(text, 'the'), contains(text, 'q'), contains(text, 'er')]) AS hit FROM conversations WHERE turn < 3)
+WHERE hit GROUP BY 1, 2
+""")
 def page_feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = src.pages(spark, sf_dir).withColumn("page_text", F.when(F.contains("page_text", F.lit("the")), F.lit("/AcroForm")).otherwise(F.col("page_text")))
+    """Risky features of the first three pages; what stands for their marks are groups of letters."""
+    marks = {"an": "/JS", "the": "/XFA", "q": "/EmbeddedFile", "er": "/Encrypt"}
+    said = F.concat_ws(" ", *[F.when(F.contains("page_text", F.lit(letters)), mark) for letters, mark in marks.items()])
+    pages = src.pages(spark, sf_dir).withColumn("page_text", said)
     listed = pages.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda p: p["page_text"]).alias("pages"))
-    found = listed.select("paper_id", F.explode(security.page_features(F.col("pages"))).alias("f")).where("f.feature = 'form'")
-    return found.select("paper_id", F.array_join(F.col("f.pages").cast("array<string>"), ",").alias("form_pages"))
+    found = listed.select("paper_id", F.explode(security.page_features(F.col("pages"), 3)).alias("f"))
+    return found.select("paper_id", "f.feature", F.array_join(F.col("f.pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, list(trim(coalesce(text, ''), {TRIM}) ORDER BY turn) AS p FROM conversations WHERE turn < 2 GROUP BY 1)
+SELECT conv_id AS doc_id, md5(CASE WHEN p[1] = '' THEN '' ELSE trim('[PAGE 1]' || chr(10) || p[1] || CASE WHEN len(p) > 1 AND p[2] <> '' THEN chr(10) || chr(10) || '[PAGE 2]' || chr(10) || p[2] ELSE '' END, {TRIM}) END) AS digest FROM p
+""")
+def first_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = src.pages(spark, sf_dir).where("page_number <= 2").groupBy(F.col("paper_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda p: p["page_text"]).alias("pages"))
+    return pages.select("doc_id", F.md5(files.page_blocks(F.col("pages"))).alias("digest"))
 
 
 def _pages_of(content: bytes) -> list[str]:
@@ -137,8 +195,8 @@ def file_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id::VARCHAR AS path, 'T' AS title, NULL::VARCHAR AS author, 2 AS page_count,
-  md5(CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END) AS digest
-FROM (SELECT doc_id, trim(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(13)) || chr(10) || 'second page of ' || lang, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)
+  md5(trim(CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest
+FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(13)) || chr(10) || 'second page of ' || lang || chr(10) AS t FROM documents)
 """)
 def file_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = files.file_info(_as_files(spark, sf_dir), lambda content: {"title": "T", "pages": _pages_of(content)})
@@ -168,9 +226,9 @@ def old_temporary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.old_files(listed, F.lit(src.AS_OF).cast("timestamp"), 7).select("name", "stem")
 
 
-@query("""
-SELECT conv_id AS doc_id, CASE WHEN length(coalesce(a, '')) > 0 THEN '[FONT_SIZE:18] ' || a || chr(10) ELSE '[FONT_SIZE:18] ' || chr(10) END || '[FONT_SIZE:10] ' || 'body' || chr(10) || 'more' || chr(10) AS marked
-FROM (SELECT conv_id, arg_min(substr(text, 1, 20), turn) AS a FROM conversations GROUP BY 1)
+@query(f"""
+SELECT conv_id AS doc_id, CASE WHEN trim(a, {TRIM}) = '' THEN '' ELSE '[FONT_SIZE:18]' || chr(10) || trim(a, {TRIM}) || chr(10) || chr(10) END || '[FONT_SIZE:10]' || chr(10) || 'body' || chr(10) || 'more' AS marked
+FROM (SELECT conv_id, coalesce(arg_min(substr(text, 1, 20), turn), '') AS a FROM conversations GROUP BY 1)
 """)
 def size_marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = src.pages(spark, sf_dir).groupBy(F.col("paper_id").alias("doc_id")).agg(F.min_by(F.substring("page_text", 1, 20), "page_number").alias("t"))

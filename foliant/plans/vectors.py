@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import vector as fn
+from foliant.operators import vectorindex
 from foliant.operators import vectors as op
 from foliant.plans.registry import query
+from foliant.session import scratch
 from foliant.sources import tables as src
 
 V = "(SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -78,3 +80,53 @@ def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id || '_page_' || (turn + 1) AS id, conv_id AS paper_id, substr(text, 1, 500) AS preview FROM conversations")
 def page_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.page_rows(src.pages(spark, sf_dir)).select("id", "paper_id", "preview")
+
+
+#: Cells of the index here, and the recall that its searches are set to.
+CELLS, RECALL = 16, 0.95
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a stored index over all vectors."""
+    folder = scratch(spark, "index")
+    vectorindex.build(src.vectors(spark, sf_dir).select("vec_id", "v"), folder, CELLS)
+    return folder
+
+
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector, from as many cells of the index as the recall needs; tests measure it against the exact search."""
+    own, folder = src.vectors(spark, sf_dir).select("vec_id", "v"), indexed(spark, sf_dir)
+    found = vectorindex.nearest(own, folder, 10, vectorindex.probes_for(own, folder, 10, RECALL))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT vec_id, rank::INTEGER AS rank, other, similarity FROM (SELECT a.vec_id, b.vec_id AS other, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM {V} a JOIN {V} b ON a.vec_id <> b.vec_id) WHERE rank <= 10")
+def knn_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from all cells."""
+    own = src.vectors(spark, sf_dir).select("vec_id", "v")
+    return vectorindex.nearest(own, indexed(spark, sf_dir), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+NEWER = """(SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 <> 3 AND vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 5 = 1
+  UNION ALL SELECT a.vec_id, b.embedding::DOUBLE[] FROM embeddings a JOIN embeddings b ON a.vec_id % 7 = 0 AND a.vec_id % 10 <> 3 AND b.vec_id = a.vec_id + 1)"""
+
+
+@query(f"SELECT vec_id, rank::INTEGER AS rank, other, similarity FROM (SELECT a.vec_id, b.vec_id AS other, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS rank FROM {V} a JOIN {NEWER} b ON a.vec_id <> b.vec_id) WHERE rank <= 3")
+def knn_index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches after rows were added to the index, replaced by others and deleted."""
+    own, folder = src.vectors(spark, sf_dir).select("vec_id", "v"), indexed(spark, sf_dir)
+    gone = own.where("vec_id % 10 = 3")
+    moved = own.where("vec_id % 7 = 0 AND vec_id % 10 <> 3").select("vec_id").join(own.select((F.col("vec_id") - 1).alias("vec_id"), "v"), "vec_id")
+    lost = own.where("vec_id % 7 = 0 AND vec_id % 10 <> 3").join(moved, "vec_id", "left_anti")
+    added = own.where("vec_id % 5 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    vectorindex.upsert(added.unionByName(moved), folder, gone.select("vec_id").unionByName(lost.select("vec_id")))
+    found = vectorindex.nearest(own, folder, 3)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT b.vec_id, round({COS}, 6) AS similarity FROM {V} a JOIN {V} b ON a.vec_id = 1 AND b.vec_id <> -1 ORDER BY {COS} DESC, b.vec_id LIMIT 10")
+def similar_in_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search, of the vector of a stored row."""
+    query_vector = src.vectors(spark, sf_dir).where("vec_id = 1").first()["v"]
+    return vectorindex.similar_to(spark, indexed(spark, sf_dir), query_vector, 10).withColumn("similarity", F.round("similarity", 6))

@@ -9,10 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.catalog import one_row
-from foliant.operators.duplicates import first_pages_text
-
-#: Megabytes that known models take, the longest matching name counts; what others and the runtime take; fixed values.
-MODEL_MB = {"llama3.2:1b": 1500, "llama3.2": 2500, "llava:7b": 4500, "llava:13b": 8000, "llava": 4500}
+from foliant.operators.duplicates import ENDS, first_pages_text
+
+#: Megabytes that known models take; what others and the runtime take; fixed values. The first listed name that a model's
+#: name contains counts, so the shorter names hide those that follow them, as stored estimates show.
+MODEL_MB = {
+    "llama3.2": 4000,
+    "llama3.2:1b": 1500,
+    "llama3.2:3b": 4000,
+    "llava": 3000,
+    "llava:7b": 5000,
+    "llava:13b": 8000,
+    "codellama": 4000,
+    "mistral": 4000,
+}
 OTHER_MODEL_MB, RUNTIME_MB = 2000, 500
 
 
@@ -79,16 +89,26 @@ def file_info(files: DataFrame, describe: Callable[[bytes], dict], most_bytes: i
     return said.withColumn("text", first_pages_text(F.col("pages"))).drop("pages").unionByName(large, allowMissingColumns=True)
 
 
-def size_marks(spans: Column, jump: float = 2.0) -> Column:
-    """Text of an array of (size, text) lines, with [FONT_SIZE:n] where the size differs from the last mark's by more than the jump."""
-    start = F.struct(F.lit(0.0).alias("mark"), F.lit("").alias("out"))
+def size_marks(lines: Column, jump: float = 2.0) -> Column:
+    """Text of an array of (size, text) lines, a line [FONT_SIZE:n] before those whose rounded size differs from the last mark's by more than the jump. Blank lines are left out."""
+    start = F.struct(F.lit(None).cast("double").alias("mark"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        new = F.abs(x["size"] - s["mark"]) > jump
-        mark = F.when(new, F.concat(F.lit("[FONT_SIZE:"), F.round(x["size"]).cast("int").cast("string"), F.lit("] "))).otherwise("")
-        return F.struct(F.when(new, x["size"]).otherwise(s["mark"]).alias("mark"), F.concat(s["out"], mark, x["text"], F.lit("\n")).alias("out"))
+        size = F.bround(x["size"])
+        new = s["mark"].isNull() | (F.abs(size - s["mark"]) > jump)
+        mark = F.when(new, F.concat(F.lit("\n[FONT_SIZE:"), size.cast("int").cast("string"), F.lit("]\n"))).otherwise("")
+        return F.struct(F.when(new, size).otherwise(s["mark"]).alias("mark"), F.concat(s["out"], mark, F.btrim(x["text"], F.lit(ENDS)), F.lit("\n")).alias("out"))
+
+    solid = F.filter(lines, lambda x: F.btrim(x["text"], F.lit(ENDS)) != "")
+    return F.aggregate(solid, start, step, lambda s: F.btrim(s["out"], F.lit(ENDS)))
+
 
-    return F.aggregate(spans, start, step, lambda s: s["out"])
+def page_blocks(pages: Column, most: int = 2) -> Column:
+    """The first pages of an array of page texts, each after a line [PAGE n]; the first empty one ends them."""
+    texts = F.transform(F.slice(pages, 1, most), lambda p: F.btrim(F.coalesce(p, F.lit("")), F.lit(ENDS)))
+    empty = F.array_position(texts, F.lit(""))
+    kept = F.when(empty > 0, F.slice(texts, F.lit(1), (empty - 1).cast("int"))).otherwise(texts)
+    return F.btrim(F.array_join(F.transform(kept, lambda p, i: F.concat(F.lit("\n[PAGE "), (i + 1).cast("string"), F.lit("]\n"), p, F.lit("\n"))), ""), F.lit(ENDS))
 
 
 def history(spark: SparkSession, path: str, schema: str, keep: int = 1000) -> DataFrame:
@@ -102,10 +122,10 @@ def gpu_samples(lines: Column) -> Column:
 
 
 def model_memory(name: Column) -> Column:
-    """Megabytes of an active model, by the longest known beginning of its name."""
+    """Megabytes of an active model, by the first known name that its name contains, capitals or not."""
     out = F.lit(OTHER_MODEL_MB)
-    for known in sorted(MODEL_MB, key=len):
-        out = F.when(F.startswith(F.lower(name), F.lit(known)), MODEL_MB[known]).otherwise(out)
+    for known in reversed(MODEL_MB):
+        out = F.when(F.contains(F.lower(name), F.lit(known)), MODEL_MB[known]).otherwise(out)
     return out
 
 

@@ -49,7 +49,7 @@ def test_files(spark, tmp_path):
 
 def test_size_marks(spark):
     spans = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(t).alias("text")) for s, t in ((18.0, "Title"), (10.0, "body"), (11.0, "more"))])
-    assert spark.range(1).select(files.size_marks(spans).alias("x")).first()["x"] == "[FONT_SIZE:18] Title\n[FONT_SIZE:10] body\nmore\n"
+    assert spark.range(1).select(files.size_marks(spans).alias("x")).first()["x"] == "[FONT_SIZE:18]\nTitle\n\n[FONT_SIZE:10]\nbody\nmore"
 
 
 def test_failing_model(spark):
