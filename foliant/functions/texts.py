@@ -16,14 +16,6 @@ CHUNK = 4000
 #: Codes of the recognition languages by ISO code, and the order in which they are tried; fixed values.
 RECOGNITION = {"en": "eng", "ko": "kor", "ja": "jpn", "zh": "chi_sim", "fr": "fra", "de": "deu", "es": "spa", "it": "ita", "pt": "por", "ru": "rus"}
 PRIORITY = ("eng", "kor", "jpn", "chi_sim", "fra", "deu", "spa")
-#: Words by which common languages are told apart where no detector is plugged in; fixed values.
-COMMON_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "that", "with", "for"),
-    "fr": ("le", "la", "les", "des", "et", "une", "pour", "dans"),
-    "de": ("der", "die", "das", "und", "nicht", "ein", "mit", "zu"),
-    "es": ("el", "los", "las", "una", "por", "para", "del", "y"),
-}
-
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -121,20 +113,6 @@ def language_score(text: Column, confidence: Column, probability: Column | None,
     return F.when((F.coalesce(F.length(strip(text)), F.lit(0)) == 0) | (confidence <= 0), 0.0).otherwise(full)
 
 
-def common_word_counts(text: Column) -> dict[str, Column]:
-    words = F.split(F.lower(F.substring(text, 1, 1000)), r"(?U)\W+")
-    return {lang: F.size(F.filter(words, lambda w: w.isin(*each))) for lang, each in COMMON_WORDS.items()}
-
-
-def detect_language(text: Column, least: float = 0.7) -> Column:
-    """A code by common words of the first 1000 characters; English for short texts and where no language has the given share of the hits."""
-    counts = common_word_counts(text)
-    total = sum(counts.values(), F.lit(0))
-    best = F.greatest(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in counts.items()])
-    sure = F.coalesce(F.try_divide(best["n"] * 1.0, total), F.lit(0.0)) >= least
-    return F.when(F.length(strip(text)) < 50, "en").when(sure, best["lang"]).otherwise("en")
-
-
 def answered_language(answer: Column) -> Column:
     """The first known code that a model's answer names."""
     out = F.lit(None).cast("string")

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from foliant.operators.uploads import fold
 
-ELEMENT = "struct<type:string,bbox:array<double>,confidence:double,text:string,properties:map<string,string>>"
 TEXT_TYPES, VISUAL_TYPES = ("text", "paragraph", "heading", "title"), ("figure", "image", "table")
 #: Words of section headings, beginnings of list items; fixed values.
 SECTION_WORDS = (
@@ -22,18 +21,23 @@ DEFAULT_GAPS = {"tiny_gap": 6.0, "line_gap": 16.0, "small_gap": 30.0, "medium_ga
 DEFAULT_HEIGHT, SURE = 20.0, 50
 
 
-def pages_of(layout_json: Column) -> Column:
-    """An answer's pages with their elements, which may come as a list or as an object; missing values get their defaults."""
-    raw = F.from_json(layout_json, "pages array<struct<width:double,height:double,elements:string>>")["pages"]
-    listed = lambda e: F.coalesce(F.from_json(e, f"array<{ELEMENT}>"), F.map_values(F.from_json(e, f"map<string,{ELEMENT}>")), F.array().cast(f"array<{ELEMENT}>"))
-    whole = lambda x: F.struct(F.coalesce(x["type"], F.lit("unknown")).alias("type"), F.coalesce(x["bbox"], F.array(*[F.lit(0.0)] * 4)).alias("bbox"), F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(x["text"], F.lit("")).alias("text"))
-    return F.coalesce(F.transform(raw, lambda p, i: F.struct((i + 1).alias("page_number"), F.coalesce(p["width"], F.lit(0.0)).alias("width"), F.coalesce(p["height"], F.lit(0.0)).alias("height"), F.transform(listed(p["elements"]), whole).alias("elements"))), F.array().cast("array<struct<page_number:int,width:double,height:double,elements:array<struct<type:string,bbox:array<double>,confidence:double,text:string>>>>"))
-
-
 def elements(layouts: DataFrame, key: str) -> DataFrame:
-    """(key, page_number, element_no, type, bbox, confidence, text) of every element of layouts (key, layout_json)."""
-    pages = layouts.select(key, F.explode(pages_of(F.col("layout_json"))).alias("p"))
-    return pages.select(key, "p.page_number", F.posexplode("p.elements").alias("element_no", "e")).select(key, "page_number", "element_no", "e.*")
+    """(key, page_number, element_no, type, bbox, confidence, text) of every element of layouts (key, layout_json).
+
+    An answer is parsed once, as a variant, and its pages and elements are taken out of that. Elements may come as a list
+    or as an object; missing values, and those of another type, get their defaults. What isn't JSON, or has no pages,
+    gives no rows; fields that aren't known are left alone.
+    """
+    spark = layouts.sparkSession
+    field = lambda name, kind, default: F.coalesce(F.try_variant_get("value", f"$.{name}", kind), default).alias(name)
+    answers = layouts.select(key, F.try_variant_get(F.try_parse_json("layout_json"), "$.pages", "variant").alias("pages_"))
+    pages = answers.lateralJoin(spark.tvf.variant_explode(F.col("pages_").outer()))
+    pages = pages.select(key, (F.col("pos") + 1).alias("page_number"), F.try_variant_get("value", "$.elements", "variant").alias("elements_"))
+    found = pages.lateralJoin(spark.tvf.variant_explode(F.col("elements_").outer()))
+    return found.select(
+        key, "page_number", F.col("pos").alias("element_no"), field("type", "string", F.lit("unknown")), field("bbox", "array<double>", F.array(*[F.lit(0.0)] * 4)),
+        field("confidence", "double", F.lit(0.0)), field("text", "string", F.lit("")),
+    )
 
 
 def histogram(found: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from foliant.operators import backups, duplicates, maintenance, vectors, version
 from foliant.plans.duplicates import TRIM
 from foliant.plans.registry import query
 from foliant.session import scratch
-from foliant.sources import files, scorers
+from foliant.sources import documents, files, scorers
 from foliant.sources import tables as src
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -203,6 +203,43 @@ def file_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info.select("path", "title", "author", "page_count", F.md5("text").alias("digest"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as files of pages in a scratch folder; the folder."""
+    folder = scratch(spark, "files")
+    known = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(F.lit("%Title: "), known("source"), F.lit("\n%Author: "), known("lang"), F.lit("\n"))
+    whole = F.concat(head, known("text"), F.lit("\fsecond page of "), known("lang"), F.lit("\f\f"))
+    rows = src.table(spark, sf_dir, "documents").select("doc_id", whole.alias("value"))
+    files.write_texts(rows, "doc_id", "value", folder)
+    spark.dataSource.register(documents.DocumentFiles)
+    return folder
+
+
+NAME = "doc_id || '.txt'"
+SIZE = "octet_length(encode(coalesce(text, '') || coalesce(source, '') || coalesce(lang, '') || coalesce(lang, ''))) + 37"
+
+
+@query(f"""
+SELECT {NAME} AS name, i AS page_number, md5(CASE i WHEN 1 THEN trim(coalesce(text, ''), {TRIM}) WHEN 2 THEN trim('second page of ' || coalesce(lang, '')) ELSE '' END) AS digest, NULL::VARCHAR AS error
+FROM documents, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE {SIZE} <= 20000
+UNION ALL SELECT {NAME}, NULL, NULL, 'too_large' FROM documents WHERE {SIZE} > 20000
+""")
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of documents read page by page; those of more than 20,000 bytes are not."""
+    found = spark.read.format("documents").option("maxBytes", 20_000).option("partitionBytes", 1 << 20).load(document_files(spark, sf_dir))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "page_number", F.md5("text").alias("digest"), "error")
+
+
+@query(f"""
+SELECT {NAME} AS name, coalesce(source, '') AS title, coalesce(lang, '') AS author, NULL::VARCHAR AS creator, 4 AS page_count, md5(trim(CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END, {TRIM})) AS digest
+FROM (SELECT *, coalesce(text, '') || chr(10) || 'second page of ' || coalesce(lang, '') || chr(10) || chr(10) AS t FROM documents)
+""")
+def document_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.read.format("documents").option("detail", "files").load(document_files(spark, sf_dir))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return found.select(name, "title", "author", "creator", "page_count", F.md5(duplicates.first_pages_text(F.col("pages"))).alias("digest"))
+
+
 @query("SELECT conv_id AS paper_id, 3 AS saved, count(*) AS stored FROM conversations GROUP BY 1")
 def saved_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hashes of a document stored, with how many of the three kinds could be."""

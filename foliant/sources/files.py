@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +144,21 @@ def export_rows(jobs: DataFrame) -> DataFrame:
     )
 
 
+def write_texts(df: DataFrame, key: str, text: str, folder: str) -> None:
+    """Write each row's text into a file of its own, named by its key, in a folder that all executors share. A task that runs again writes its files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{root}/{k}.txt") as out:
+                    out.write((t or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    df.select(key, text).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
