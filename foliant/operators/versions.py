@@ -108,7 +108,7 @@ def verify(spark: SparkSession, folder: str, version: int | None = None) -> Data
 
 def digests_of_stored(rows: DataFrame) -> DataFrame:
     own = [c for c in rows.columns if c not in ("part", "digest", "wanted")]
-    hashed = _hashable(rows.select("part", *own)).select("part", F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"))
+    hashed = _hashable(rows.select("part", *[F.col(f"`{c}`") for c in own])).select("part", F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"))
     return hashed.groupBy("part").agg(digest().alias("found"))
 
 
