@@ -1,9 +1,9 @@
-"""Token ids by the libraries themselves, and the bytes that tokens stand for.
+"""Token ids by two libraries, and the bytes that tokens stand for.
 
-A byte-level vocabulary's pattern always cuts before a space that follows a character which isn't white space. So texts
-are split there, each distinct part is encoded once by the library and remembered under its exact string, and ids are
-gathered; they are those of encoding each text by itself. Texts with one of the vocabulary's special strings, where these
-count, are given to the library whole.
+A byte-level vocabulary's pattern always cuts before a space that follows a character which isn't white space, and a
+sentence-piece vocabulary does if none of its pieces goes on after such a space. So texts are split there, each distinct
+part is encoded once by the libraries and remembered under its exact string, and ids are gathered; they are those of
+encoding each text by itself.
 """
 
 from __future__ import annotations
@@ -49,43 +49,24 @@ class TokenBytes:
 
 
 class ByteLevel:
-    """Ids of texts by a byte-level BPE file. With plain_specials, special strings inside texts are ordinary text."""
+    """Ids of texts by a byte-level BPE file; special strings inside texts are ordinary text."""
 
-    def __init__(self, path: str, plain_specials: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = plain_specials
+        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
-        self.specials = () if plain_specials else tuple(added)
         letters, vocab = byte_letters(), spec["model"]["vocab"] | added
         tokens = [b""] * (max(vocab.values()) + 1)
         for word, i in vocab.items():
             tokens[i] = word.encode() if word in added else bytes(letters[c] for c in word)
         self.bytes = TokenBytes(tokens)
-        self._forget()
-
-    def _forget(self) -> None:
-        """known: the number of each part; its ids are in flat, by start."""
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        flat, sizes = [self.flat], []
-        for lo, hi in tv.chunks(parts, CALL_CHARS):
-            ids = self._ids(parts[lo:hi])
-            flat += [np.array(x, np.int32) for x in ids]
-            sizes += [len(x) for x in ids]
-        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
-        self.chars += sum(map(len, parts))
-        self.flat = np.concatenate(flat)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes, dtype=np.int64)])
-
     def _parts(self, text: str) -> list[str]:
         """Parts that can be encoded each by itself."""
         if _UNSAFE.search(text):
@@ -93,22 +74,6 @@ class ByteLevel:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + w for w in rest]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where each text's begin (and one past the last)."""
-        if self.chars > MEMORY:
-            self._forget()
-        split = [None if not t or any(x in t for x in self.specials) else self._parts(t) for t in texts]
-        self._learn([p for p in dict.fromkeys(chain.from_iterable(s for s in split if s)) if p not in self.known])
-        out = [np.zeros(0, np.int32)]
-        for t, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(np.array(self._ids([t])[0] if t else [], np.int32))
-            else:
-                at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-                n = self.start[at + 1] - self.start[at]
-                out.append(self.flat[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-        return np.concatenate(out), np.cumsum([len(x) for x in out], dtype=np.int64)
-
 
 #: How a sentence-piece vocabulary writes a space.
 BAR = "▁"
@@ -143,7 +108,7 @@ class Paired:
     """The parts of texts, each distinct one encoded once by both libraries and remembered. A part begins with a space; the first has the one that the second library puts before a text."""
 
     def __init__(self, byte_file: str, piece_file: str):
-        self.left, self.right = ByteLevel(byte_file, True), Pieces(piece_file)
+        self.left, self.right = ByteLevel(byte_file), Pieces(piece_file)
         self._forget()
 
     def _forget(self) -> None:
@@ -193,11 +158,6 @@ class Paired:
         return out
 
 
-@lru_cache(4)
-def byte_level(path: str, plain_specials: bool) -> ByteLevel:
-    return ByteLevel(path, plain_specials)
-
-
 @lru_cache(2)
 def paired(byte_file: str, piece_file: str) -> Paired:
     return Paired(byte_file, piece_file)

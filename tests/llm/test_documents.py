@@ -14,10 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import langid, learning, minhash, mixing, packing, pii, toxicity
+from foliant.llm import bpe, langid, learning, minhash, mixing, packing, pii, toxicity
 from foliant.llm.common import table
 from foliant.llm.graph import components
-from foliant.llm.pieces import byte_level
 from tests.llm import edge
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -216,8 +215,8 @@ def test_hypergeometric(spark, k, n, d):
 
 
 def test_ids_are_the_librarys():
-    odd = ["", " ", "  ", "\n\n a", "a  b", "a \n b\n", "it's don't 's ''s !'s x'll", None, " lead", "trail  ", "\t\ttab x", "ª²½ 12a3 　x y", "😀😀 a\r\n\r\nb", "a'b'", "<|endoftext|> x", "a <|endoftext|> b", "it's<|endoftext|><|endoftext|>  \n", "<|endoftext| >", "x​y \x85 z", "a" * 3000]
-    ids, bounds = byte_level(PATH, False).encode(odd)
+    odd = ["", " ", "  ", "\n\n a", "a  b", "a \n b\n", "it's don't 's ''s !'s x'll", None, " lead", "trail  ", "\t\ttab x", "ª²½ 12a3 　x y", "😀😀 a\r\n\r\nb", "a'b'", "<|endoftext|> x", "a <|endoftext|> b", "it's<|endoftext|><|endoftext|>  \n", "<|endoftext| >", "x​y \x85 z", "a" * 3000, "\u08b6\u1c89x \u0378a", "\U0001f9e0\u9fff z"]
+    ids, bounds = bpe.encoder(PATH).encode(odd)
     t = library()
     for i, text in enumerate(odd):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
@@ -230,16 +229,24 @@ def thue_morse(a: str, b: str, n: int) -> str:
 def test_words_of_one_polynomial_hash():
     """Every polynomial hash modulo 2 ** 64 takes such a word and its complement for one."""
     words = [thue_morse("a", "b", 2048), thue_morse("b", "a", 2048)]
-    ids, bounds = byte_level(PATH, False).encode(words)
+    ids, bounds = bpe.encoder(PATH).encode(words)
     for i, w in enumerate(words):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library().encode(w, add_special_tokens=False).ids
     (sets,) = minhash.shingle_sets([f"{w} c d e f" for w in words])
     assert sets[0].tolist() != sets[1].tolist()
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Where all pieces had one hash, ids would still be the library's."""
+    monkeypatch.setattr(bpe.tv, "word_hashes", lambda cp, s, e: np.full(len(s), 7, np.uint64))
+    texts = ["one two", "one", "two one", None, "three"]
+    ids, bounds = bpe.TextIds(PATH).encode(texts)
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(5)] == [library().encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_of_whole_documents_are_the_librarys(spark):
     texts = [r["text"] for r in table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 10 = 3").select("text").collect()]
-    ids, bounds = byte_level(PATH, False).encode(texts)
+    ids, bounds = bpe.encoder(PATH).encode(texts)
     want = library().encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert all(ids[bounds[i] : bounds[i + 1]].tolist() == e.ids for i, e in enumerate(want))
 
