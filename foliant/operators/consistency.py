@@ -85,3 +85,12 @@ def repaired(child: DataFrame, parent: DataFrame, key: str) -> tuple[DataFrame,
     kept = child.join(parent.select(key), key, "left_semi")
     gone = child.join(parent.select(key), key, "left_anti")
     return kept, gone.agg(F.count("*").alias("fixed"))
+
+
+def corrected(stored: DataFrame, truth: DataFrame, key: str, attribute: str) -> tuple[DataFrame, DataFrame]:
+    """stored with the attribute of matched keys set to the truth's, and a row that counts what was wrong. Keys that the truth lacks stay as they are."""
+    known = truth.select(key, F.col(attribute).alias("true_"), F.lit(True).alias("known_"))
+    wrong = F.coalesce("known_", F.lit(False)) & ~F.col(attribute).eqNullSafe(F.col("true_"))
+    marked = stored.join(known, key, "left").withColumn("wrong_", wrong)
+    fixed = marked.withColumn(attribute, F.when(F.col("wrong_"), F.col("true_")).otherwise(F.col(attribute)))
+    return fixed.select(*stored.columns), marked.agg(F.count_if("wrong_").alias("fixed"))

@@ -203,3 +203,9 @@ def newest(hashes: DataFrame, *by: str) -> DataFrame:
     """The newest row for each value of `by`; ties by key."""
     w = Window.partitionBy(*by).orderBy(F.desc("created_at"), F.desc("key"))
     return hashes.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+
+
+def recent_hashes(hashes: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
+    """The newest hashes (key, paper_id, created_at) of papers (doc_id, filename) that are there, newest first, with the file's name."""
+    named = hashes.join(papers.select(F.col("doc_id").alias("paper_id"), "filename"), "paper_id")
+    return named.orderBy(F.desc("created_at"), F.desc("key")).limit(most)

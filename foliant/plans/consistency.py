@@ -88,3 +88,16 @@ FROM (SELECT *, (CASE WHEN recent >= 3 THEN 3 WHEN recent >= 1 THEN 1 ELSE 0 END
 """)
 def readiness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backups.readiness(manifest(spark, sf_dir), F.lit(src.AS_OF).cast("timestamp"), disk_gb=12.0, scripts=2, scheduler=False).select("recent", "vectors", "score", "level")
+
+
+@query("""
+SELECT doc_id, source || '_' || doc_id || '.pdf' AS filename, (SELECT count(*) FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 3 = 0) AS fixed FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT -1, 'lost.pdf', (SELECT count(*) FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 3 = 0)
+""")
+def consistency_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names that a vector store has wrong, set to the catalogue's; a row that the catalogue lacks stays."""
+    papers = src.papers(spark, sf_dir).select("doc_id", "filename")
+    stored = src.table(spark, sf_dir, "labels").select("doc_id").join(papers, "doc_id").withColumn("filename", F.when(F.col("doc_id") % 3 == 0, "old.pdf").otherwise(F.col("filename")))
+    stored = stored.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("lost.pdf").alias("filename")))
+    fixed, count = op.corrected(stored, papers, "doc_id", "filename")
+    return fixed.withColumn("fixed", F.lit(count.first()["fixed"]))

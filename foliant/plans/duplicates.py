@@ -157,3 +157,9 @@ SELECT event_id, round(CASE WHEN event_type IN ('click', 'purchase') THEN greate
 def time_saved_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = src.detections(spark, sf_dir)
     return log.select(F.col("detection_id").alias("event_id"), F.round(op.time_saved(F.col("detection_result"), F.col("file_size"), F.col("total_processing_time")), 6).alias("saved"))
+
+
+@query("SELECT event_id AS key, doc_id AS paper_id, source || '_' || doc_id || '.pdf' AS filename FROM events JOIN documents ON user_id = doc_id ORDER BY ts DESC, event_id DESC LIMIT 10")
+def recent_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = src.events(spark, sf_dir).select(F.col("event_id").alias("key"), F.col("user_id").alias("paper_id"), F.col("ts").alias("created_at"))
+    return op.recent_hashes(e, src.papers(spark, sf_dir)).select("key", "paper_id", "filename")

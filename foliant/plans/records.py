@@ -158,11 +158,19 @@ def prompt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length(extract.prompt_text(text)).alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'disabled' WHEN doc_id % 3 = 1 THEN 'unknown' ELSE 'good' END AS quality FROM documents")
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'good' ELSE 'unknown' END AS quality, CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'analysis_failed' END AS issues, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'Assessment failed' END AS quality_error,
+  doc_id % 4 > 0 AND n_chars <= 50 AND doc_id % 5 > 0 AS layout_success, CASE WHEN doc_id % 4 = 0 THEN 'Layout analysis service disabled (CPU-only mode)' WHEN n_chars > 50 THEN 'File too large: ' || n_chars || '.0MB (max: 50MB)' WHEN doc_id % 5 = 0 THEN 'No answer' END AS layout_error,
+  CASE WHEN doc_id % 4 > 0 AND n_chars <= 50 AND doc_id % 5 > 0 THEN 2 ELSE 0 END AS page_count, CASE WHEN doc_id % 4 = 0 THEN 'disabled' WHEN n_chars > 50 OR doc_id % 5 = 0 THEN 'failed' ELSE 'done' END AS status FROM documents
+""")
 def default_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, r = src.table(spark, sf_dir, "documents"), F.col("doc_id") % 3
-    answer = extract.quality_record(F.when(r == 2, '{"overall_quality": "good"}'))["overall_quality"]
-    return docs.select("doc_id", scorers.with_default(answer, r != 0, F.lit("disabled"), F.lit("unknown")).alias("quality"))
+    """The records of assessments and layouts that failed, are switched off or are of files too large; a document's characters stand for megabytes."""
+    docs, i = src.table(spark, sf_dir, "documents"), F.col("doc_id")
+    good = F.when(i % 3 == 2, F.struct(*[(F.lit("good") if k == "overall_quality" else F.array().cast("array<string>") if isinstance(v, list) else F.lit(None).cast("string") if k == "error" else F.lit(v)).alias(k) for k, v in scorers.FAILED_QUALITY.items()]))
+    quality = scorers.with_default(good, F.lit(True), scorers.failed_quality(), scorers.failed_quality())
+    layout = scorers.layout_result(F.when(i % 5 > 0, 2), i % 4 > 0, F.col("n_chars").cast("double"))
+    made = docs.select("doc_id", quality.alias("q"), layout.alias("l"))
+    return made.select("doc_id", F.col("q.overall_quality").alias("quality"), F.array_join("q.issues", ",").alias("issues"), F.col("q.error").alias("quality_error"), F.col("l.success").alias("layout_success"), F.col("l.error").alias("layout_error"), "l.page_count", "l.status")
 
 
 @query("SELECT event_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'GPU' WHEN k % 2 <> 0 AND k % 3 <> 0 THEN 'CPU' ELSE 'Mixed' END AS mode FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)")

@@ -76,3 +76,25 @@ def text_search(store: DataFrame, text: str, model: Callable[[list[str]], list[l
 def with_default(answer: Column, enabled: Column, off: Column, failed: Column) -> Column:
     """An answer's record, or the record for a model that is switched off, or that gave none."""
     return F.when(~enabled, off).otherwise(F.coalesce(answer, failed))
+
+
+#: What stands for a quality assessment that failed; fixed values.
+FAILED_QUALITY = {
+    "overall_quality": "unknown", "text_clarity": "unknown", "image_quality": "unknown", "scan_artifacts": "unknown", "readability_score": 50,
+    "issues": ["analysis_failed"], "recommendations": ["Manual review recommended"], "confidence": 0, "error": "Assessment failed",
+}
+#: Why a layout wasn't analysed, and the megabytes of a file up to which it is; fixed values.
+LAYOUT_OFF, MOST_LAYOUT_MB = "Layout analysis service disabled (CPU-only mode)", 50
+
+
+def failed_quality() -> Column:
+    """The record of a quality assessment that failed."""
+    value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    return F.struct(*[value(v).alias(k) for k, v in FAILED_QUALITY.items()])
+
+
+def layout_result(pages: Column, enabled: Column, size_mb: Column) -> Column:
+    """The record of a layout analysis that has this many pages: a failed one where the service is off, the file too large, or no answer came (null)."""
+    large = F.format_string(f"File too large: %.1fMB (max: {MOST_LAYOUT_MB}MB)", size_mb.cast("double"))
+    error = F.when(~enabled, LAYOUT_OFF).when(size_mb > MOST_LAYOUT_MB, large).when(pages.isNull(), "No answer")
+    return F.struct(error.isNull().alias("success"), error.alias("error"), F.when(error.isNull(), pages).otherwise(0).alias("page_count"), F.when(~enabled, "disabled").when(error.isNotNull(), "failed").otherwise("done").alias("status"))

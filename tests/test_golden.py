@@ -147,3 +147,88 @@ def test_parameters():
         catalog.checked(0, 1, 365, "days")
     with pytest.raises(ValueError):
         vs.where({"a": {"$near": 1}})
+
+
+def test_samples_as_stored(spark):
+    """Worked out by hand: each page's first 1000 characters, a backslash and an n after each, 4000 at most, then stripped."""
+    sample = lambda *pages: value(spark, duplicates.sample_text(F.array(*[F.lit(p) for p in pages]), duplicates.sampled_pages(F.lit(len(pages)))))
+    assert sample(" one ", "two") == "one \\ntwo\\n"
+    assert sample("a", "", "c") == "a\\n\\nc\\n"
+    assert sample("x" * 1500, None) == "x" * 1000 + "\\n\\n"
+    assert sample("a", "b", "c", "d", "e") == "a\\nc\\ne\\n"
+
+
+def test_copies_by_sample(spark):
+    """Documents that share their first 2000 characters are told apart by what follows; those that share all samples aren't."""
+    from foliant.plans.duplicates import keyed
+
+    opening = "".join(f"word{i} " for i in range(300))[:2000]
+    rest = ["".join(f"{w}{i} " for i in range(300)) for w in ("left", "right")]
+    rows = [(1, opening + rest[0]), (2, opening + rest[1]), (3, opening + rest[0]), (4, "short"), (5, "short"), (6, None)]
+    found = {r["doc_id"]: r["k_sample"] for r in keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert found[1] == found[3] != found[2] and found[1] is not None and found[4] is found[5] is found[6] is None
+
+
+def test_model_memory(spark):
+    """Stored estimates: the first listed name that the model's contains, so those behind `llama3.2` and `llava` never count."""
+    from foliant.sources import files
+
+    names = {"llama3.2:1b": 4000, "LLaVA:13b": 3000, "codellama:7b": 4000, "mistral:latest": 4000, "gemma": 2000}
+    for name, mb in names.items():
+        assert value(spark, files.model_memory(F.lit(name))) == mb
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert files.memory_estimate(df).first()["mb"] == 17_500 and files.memory_estimate(df.limit(0)).first()["mb"] == 0
+
+
+def test_first_step_has_no_time(spark):
+    rows = [(1, 1, "initializing", 0), (2, 1, "ocr", 5), (3, 1, None, 9), (4, 1, "end", 11)]
+    df = spark.createDataFrame(rows, "step_id long, job_id long, step string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    assert {r["step_id"]: r["seconds"] for r in telemetry.step_times(df, "job_id").collect()} == {1: None, 2: 4.0, 3: 2.0, 4: None}
+
+
+def test_vector_digests(spark, sf):
+    import hashlib
+
+    from foliant.sources import tables as src
+
+    rows = src.table(spark, sf, "embeddings").select("vec_id", "embedding").collect()
+    got = {r["key"]: r["digest"] for r in duplicates.vector_digest(src.table(spark, sf, "embeddings"), "vec_id", "embedding").collect()}
+    assert got == {r["vec_id"]: hashlib.sha256(np.array(r["embedding"], "<f4").tobytes()).hexdigest() for r in rows}
+
+
+def test_chunks_of_whole_documents(spark, sf):
+    """Every document's words come once and in order, and no chunk is longer than allowed."""
+    from foliant.sources import tables as src
+
+    docs = src.table(spark, sf, "documents").select("doc_id", "text")
+    got: dict[int, list[str]] = {}
+    for r in sorted(texts.chunks(docs, "doc_id", "text", 1500).collect(), key=lambda r: (r["doc_id"], r["chunk_no"])):
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    for r in docs.collect():
+        own = got.get(r["doc_id"], [])
+        assert all(len(c) <= 1500 or len(c.split()) == 1 or len(r["text"]) <= 1500 for c in own)
+        assert " ".join(own).replace(".", " ").split() == (r["text"] or "").replace(".", " ").split() or len(r["text"] or "") <= 1500
+
+
+def test_languages_of_held_out_documents(spark, sf):
+    from foliant.operators import languages
+    from foliant.sources import tables as src
+
+    docs = src.table(spark, sf, "documents")
+    known = languages.profiles(docs.where("doc_id % 3 <> 1"))
+    found = languages.detected(docs.where("doc_id % 3 = 1"), known, "doc_id").withColumnRenamed("lang", "said").join(docs.where("length(text) >= 200").select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    assert len(found) > 20 and sum(r["said"] == r["lang"] for r in found) >= 0.95 * len(found)
+    short = languages.detected(spark.createDataFrame([(1, "kurz"), (2, None), (3, "12345 " * 20)], "doc_id long, text string"), known, "doc_id")
+    assert {r["doc_id"]: r["lang"] for r in short.collect()} == {1: "en", 2: "en", 3: "en"}
+
+
+def test_layout_answers(spark):
+    """Lists and objects, missing and malformed values, fields that aren't known."""
+    answers = [
+        (1, '{"pages": [{"elements": [{"type": "title", "text": "T", "confidence": 0.5, "bbox": [1, 2, 3, 4], "extra": {}}, {"text": 7, "confidence": "high"}]}, {"elements": {"a": {"type": "table"}, "b": {}}}], "more": 1}'),
+        (2, '{"pages": []}'), (3, "not json"), (4, None), (5, '{"pages": [{"width": 1}, {"elements": []}]}'), (6, "[1]"),
+    ]
+    rows = layouts.elements(spark.createDataFrame(answers, "k long, layout_json string"), "k").collect()
+    assert sorted((r["k"], r["page_number"], r["element_no"], r["type"], r["text"], r["confidence"], r["bbox"]) for r in rows) == [
+        (1, 1, 0, "title", "T", 0.5, [1.0, 2.0, 3.0, 4.0]), (1, 1, 1, "unknown", "7", 0.0, [0.0] * 4), (1, 2, 0, "table", "", 0.0, [0.0] * 4), (1, 2, 1, "unknown", "", 0.0, [0.0] * 4),
+    ]
