@@ -232,3 +232,25 @@ def test_layout_answers(spark):
     assert sorted((r["k"], r["page_number"], r["element_no"], r["type"], r["text"], r["confidence"], r["bbox"]) for r in rows) == [
         (1, 1, 0, "title", "T", 0.5, [1.0, 2.0, 3.0, 4.0]), (1, 1, 1, "unknown", "7", 0.0, [0.0] * 4), (1, 2, 0, "table", "", 0.0, [0.0] * 4), (1, 2, 1, "unknown", "", 0.0, [0.0] * 4),
     ]
+
+
+def test_words_become_paragraphs(spark):
+    """Worked out by hand: a heading, two lines of one paragraph, and a line after a large gap; blank words don't count."""
+    lines = [(0, "Introduction"), (24, "this is text"), (48, "that goes on"), (148, "New part")]
+    words = [("p", i, w, 60.0 * k, float(top), 50.0, 20.0, 90.0) for i, (top, k, w) in enumerate((top, k, w) for top, line in lines for k, w in enumerate([*line.split(), " "]))]
+    df = spark.createDataFrame(words, "page string, word_no long, text string, left double, top double, width double, height double, conf double")
+    limits = layouts.thresholds(df, "page")
+    found = layouts.lines(df, limits)
+    assert [(r["line_no"], r["text"], r["y"], r["x"], r["width"]) for r in found.orderBy("line_no").collect()] == [
+        (0, "Introduction", 0.0, 0.0, 50.0), (1, "this is text", 24.0, 0.0, 170.0), (2, "that goes on", 48.0, 0.0, 170.0), (3, "New part", 148.0, 0.0, 110.0),
+    ]
+    whole = layouts.page_text(layouts.paragraphs(layouts.breaks(found.join(limits, "page")))).collect()
+    assert [(r["page"], r["text"]) for r in whole] == [("p", "Introduction\n\nthis is text\nthat goes on\n\nNew part")]
+
+
+def test_record_of_a_paper(spark):
+    text = "Journal of Shells Vol. 3 No. 2\nOn the growth of trilobites\nin warm water\nBy Ann Lee, Bo Chan\nann.lee@uni.edu\nReceived 2018, published 2021\ndoi: 10.1234/abc.5\n\nAbstract: " + "The shells grew in warm water for many years. " * 4 + "\n\nKeywords: shells\n"
+    r = value(spark, extract.record(F.lit(text)))
+    assert (r["year"], r["doi"], r["email"], r["authors"]) == (2021, "10.1234/abc.5", "ann.lee@uni.edu", ["Ann Lee", "Bo Chan"])
+    assert r["title"].startswith("On the growth of trilobites") and r["abstract"].startswith("The shells grew in warm water")
+    assert value(spark, extract.record(F.lit("too short"))) is None
