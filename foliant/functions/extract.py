@@ -197,3 +197,85 @@ def record(text: Column) -> Column:
     long = F.length(strip(text)) > 100
     fields = {"title": F.coalesce(title_after_head(text), first_title(text)), "authors": authors(text), "year": F.coalesce(latest_year(text), first_year(text)), "doi": F.coalesce(marked_doi(text), bare_doi(text)), "email": email(text), "abstract": F.coalesce(set_abstract(text), abstract(text))}
     return F.when(long, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+#: Placeholders of the plain prompt, which a model may give back; fixed values.
+PLACEHOLDERS = {
+    "Title": "[exact title]", "Authors": "[author names separated by semicolons]", "Journal": "[journal/conference name]",
+    "Abstract": "[first sentence of abstract if found]",
+}
+#: Fields of a record with their types; lists are empty and the year is 0 where they aren't known.
+RECORD = {
+    "title": "string", "authors": "array<string>", "journal": "string", "year": "int", "doi": "string", "abstract": "string", "keywords": "array<string>",
+    "volume": "string", "issue": "string", "pages": "string", "publisher": "string", "institution": "string", "email": "string",
+}
+
+
+def record_of(**fields: Column) -> Column:
+    """A record of these fields; the others hold what stands for none."""
+    none = {"array<string>": F.array(), "int": F.lit(0)}
+    value = lambda name, kind: F.coalesce(fields.get(name, F.lit(None)).cast(kind), none.get(kind, F.lit(None)).cast(kind))
+    return F.struct(*[value(n, k).alias(n) for n, k in RECORD.items()])
+
+
+def _typed(answer: Column, name: str) -> tuple[Column, Column]:
+    """A field of a variant, and the name of its type."""
+    v = F.try_variant_get(answer, f"$.{name}", "variant")
+    return v, F.schema_of_variant(v)
+
+
+def _text_field(answer: Column, name: str) -> Column:
+    """A field that is a string and says something."""
+    v, kind = _typed(answer, name)
+    return something(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")))
+
+
+def _list_field(answer: Column, name: str, separators: str) -> Column:
+    """Names out of a list, or out of a string that is one or is separated."""
+    v, kind = _typed(answer, name)
+    told = F.filter(F.transform(F.try_variant_get(v, "$", "array<string>"), lambda n: something(n)), lambda n: n.isNotNull())
+    return F.when(kind.startswith("ARRAY"), told).when(kind == "STRING", name_list(F.try_variant_get(v, "$", "string"), separators))
+
+
+def _year_field(answer: Column) -> Column:
+    """A year from 1900 to 2030, as a number, cut, or as a string of digits."""
+    v, kind = _typed(answer, "year")
+    said = F.when(kind == "STRING", strip(F.try_variant_get(v, "$", "string")))
+    y = F.when(said.isNull(), F.try_variant_get(v, "$", "double")).when(said.rlike(r"^[+-]?[0-9]{1,9}$"), said.try_cast("double")).try_cast("int")
+    return F.when(y.between(1900, 2030), y)
+
+
+def structured_record(answer: Column) -> Column:
+    """The record in a model's JSON answer, from its first brace to its last; null where that isn't JSON. Fields of a wrong type, out of range or saying nothing are left out; an abstract has more than 20 characters."""
+    def of(v: Column) -> Column:
+        long = F.when(F.length(_text_field(v, "abstract")) > 20, _text_field(v, "abstract"))
+        plain = {n: _text_field(v, n) for n in ("title", "journal", "volume", "issue", "pages", "publisher", "institution", "email")}
+        lists = {"authors": _list_field(v, "authors", "[,;]|and"), "keywords": _list_field(v, "keywords", "[,;]")}
+        return F.when(v.isNotNull(), record_of(**plain, **lists, year=_year_field(v), doi=valid_doi(_text_field(v, "doi")), abstract=long))
+
+    return let(F.try_parse_json(json_part(answer)), of)
+
+
+def labelled_record(answer: Column) -> Column:
+    """The record in a free answer's labelled lines. Of several lines with a label the last that says something counts; the prompt's own placeholders say nothing."""
+    def of(every: Column) -> Column:
+        def all_of(label: str) -> Column:
+            values = F.transform(F.filter(every, lambda t: F.startswith(t, F.lit(f"{label}:"))), lambda t: strip(F.replace(t, F.lit(f"{label}:"), F.lit(""))))
+            return F.filter(values, lambda t: (t != "") & (t != F.lit(PLACEHOLDERS.get(label, ""))))
+
+        last = lambda values: F.get(values, F.size(values) - 1)
+        names = F.filter(F.transform(F.split(last(all_of("Authors")), ";"), strip), lambda n: n != "")
+        years = F.filter(F.transform(all_of("Year"), lambda t: found(F.regexp_extract(t, "[0-9]{4}", 0))), lambda y: y.isNotNull())
+        return record_of(title=last(all_of("Title")), authors=names, journal=last(all_of("Journal")), year=last(years), abstract=last(all_of("Abstract")))
+
+    return let(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n", -1), strip), of)
+
+
+def plain_rules(text: Column) -> Column:
+    """The record that plain rules find, after models that gave no answer."""
+    return record_of(title=first_title(text), year=first_year(text), email=email(text), doi=bare_doi(text), abstract=abstract(text))
+
+
+def headed_rules(text: Column) -> Column:
+    """The record that rules find which know a journal's head, where models are switched off."""
+    return record_of(title=title_after_head(text), authors=authors(text), year=latest_year(text), doi=marked_doi(text), abstract=set_abstract(text))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.operators.vectors import similar_to
 
@@ -19,23 +20,42 @@ def answered(df: DataFrame, key: str, text: str, scorer: Scorer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            try:
-                answers, errors = scorer(texts), [None] * len(texts)
-            except Exception:  # noqa: BLE001
-                answers, errors = [], []
-                for t in texts:
-                    try:
-                        answers += scorer([t])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        answers.append(None)
-                        errors.append(str(e))
+            answers, errors = _replies(scorer, [t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[key, "answer", "error"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, answer string, error string")
 
 
+def _replies(scorer: Scorer, texts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """Answers and errors of all texts; those of a batch that fails are asked one by one."""
+    if not texts:
+        return [], []
+    try:
+        return list(scorer(texts)), [None] * len(texts)
+    except Exception as e:  # noqa: BLE001
+        if len(texts) == 1:
+            return [None], [str(e)]
+        each = [_replies(scorer, [t]) for t in texts]
+        return [a for (a,), _ in each], [e for _, (e,) in each]
+
+
+def asked(df: DataFrame, prompt: Column, scorer: Scorer, name: str) -> DataFrame:
+    """df with what a model answers to each row's prompt as column `name`, and its failure as `name`_error. Rows whose prompt is null aren't asked and have neither. Rows go through whole, so the answers need no join."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType()), T.StructField(f"{name}_error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, prompts = batch.columns
+            places = [i for i, p in enumerate(prompts.to_pylist()) if p is not None]
+            answers: list[str | None] = [None] * batch.num_rows
+            errors = answers.copy()
+            for i, a, e in zip(places, *_replies(scorer, prompts.take(pa.array(places, pa.int64())).to_pylist()), strict=True):
+                answers[i], errors[i] = a, e
+            yield pa.RecordBatch.from_arrays([*own, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=schema.names)
+
+    return df.select("*", prompt.alias("prompt_")).mapInArrow(run, schema)
+
+
 def first_known(*candidates: Column) -> Column:
     """The first answer there is: the ladder of better and plainer models and rules."""
     return F.coalesce(*candidates)
