@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import security
-from foliant.operators import backups, duplicates, maintenance, vectors, versions
+from foliant.operators import backups, duplicates, maintenance, rereading, vectors, versions
 from foliant.plans.duplicates import TRIM
 from foliant.plans.registry import query
 from foliant.session import scratch
@@ -149,6 +149,74 @@ def reread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(joined(F.collect_list(page)).alias("whole"), joined(F.collect_list(F.when(F.col("page_number") <= 2, page))).alias("first"))
 
 
+def _vector_sql(text: str) -> str:
+    return _counts(f"coalesce({text}, '')")
+
+
+NEW_PAGES = "(SELECT conv_id, turn + 1 AS page, CASE conv_id % 5 WHEN 1 THEN ' ' WHEN 2 THEN text || ' anew and more of it' ELSE substr(text, 1, length(text) // 3) END AS new FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT DISTINCT conv_id, 1000, 'one more page' FROM conversations WHERE conv_id % 2 = 0)"
+
+
+def _page_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with their vectors, and new readings of those of half the papers, each with a page more."""
+    pages = src.pages(spark, sf_dir).select("paper_id", "page_number", "page_text")
+    keyed = pages.select(F.struct("paper_id", "page_number").alias("page"), "page_text")
+    stored = keyed.join(scorers.embedded(keyed, "page", "page_text", letter_counts, len(LETTERS)), "page").select("page.*", "page_text", "v")
+    even, kind, text = pages.where("paper_id % 2 = 0"), F.col("paper_id") % 5, F.col("page_text")
+    shorter = F.expr("substring(page_text, 1, cast(floor(length(page_text) / 3) AS int))")
+    new = F.when(kind == 1, " ").when(kind == 2, F.concat(text, F.lit(" anew and more of it"))).otherwise(shorter)
+    more = even.select("paper_id").distinct().select("paper_id", F.lit(1000).alias("page_number"), F.lit("one more page").alias("page_text"))
+    return stored, even.withColumn("page_text", new).unionByName(more)
+
+
+@query(f"""
+WITH n AS (SELECT * FROM {NEW_PAGES} WHERE length(trim(new, {TRIM})) > 0), b AS (SELECT coalesce(o.conv_id, n.conv_id) AS paper_id, coalesce(o.turn + 1, n.page) AS page_number, text AS old, new FROM conversations o FULL JOIN n ON o.conv_id = n.conv_id AND o.turn + 1 = n.page)
+SELECT paper_id, page_number::BIGINT AS page_number, md5(coalesce(new, old)) AS digest, array_to_string(list_transform({_vector_sql("coalesce(new, old)")}, lambda y: y::BIGINT), ',') AS v FROM b
+""")
+def reread_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page store after pages were read anew: their texts and vectors replaced together, new pages added, blank readings left alone."""
+    stored, _ = rereading.reread(*_page_store(spark, sf_dir), letter_counts, len(LETTERS))
+    return stored.select("paper_id", F.col("page_number").cast("long").alias("page_number"), F.md5("page_text").alias("digest"), F.array_join(F.col("v").cast("array<long>").cast("array<string>"), ",").alias("v"))
+
+
+WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda y: y <> ''))"
+
+
+@query(rf"""
+WITH b AS (SELECT o.conv_id AS paper_id, n.page AS page_number, coalesce(o.text, '') AS old, new, {_vector_sql("o.text")} AS ov, {_vector_sql("new")} AS nv FROM {NEW_PAGES} n JOIN conversations o ON o.conv_id = n.conv_id AND o.turn + 1 = n.page WHERE length(trim(new, {TRIM})) > 0),
+m AS (SELECT *, {WORDS.format('old')} AS ow, {WORDS.format('new')} AS nw, len(list_distinct(string_split(old, ''))) AS ou, len(list_distinct(string_split(new, ''))) AS nu, CASE WHEN list_sum(ov) = 0 OR list_sum(nv) = 0 THEN 0 ELSE list_cosine_similarity(ov, nv) END AS cosine FROM b),
+s AS (SELECT *, CASE WHEN length(old) > 0 THEN CASE WHEN nw > ow THEN 30 ELSE 0 END + CASE WHEN length(new) * 1.0 / length(old) BETWEEN 0.8 AND 1.2 THEN 20 ELSE 0 END + CASE WHEN nu > ou THEN 20 ELSE 0 END + CASE WHEN ow = 0 OR abs((nw - ow) * 100.0 / ow) < 50 THEN 30 ELSE 0 END END AS score FROM m),
+a AS (SELECT *, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 70 THEN 'improved' WHEN score >= 40 THEN 'similar' ELSE 'degraded' END AS assessment FROM s)
+SELECT paper_id, page_number::BIGINT AS page_number, score, assessment, round(cosine, 9) AS cosine, CASE WHEN cosine > 0.95 AND assessment = 'similar' THEN 'minimal_change' WHEN cosine > 0.85 AND assessment = 'improved' THEN 'minor_improvement' WHEN cosine < 0.85 AND assessment = 'improved' THEN 'significant_improvement' WHEN assessment = 'degraded' THEN 'quality_degraded' ELSE 'changed' END AS overall FROM a
+UNION ALL SELECT DISTINCT conv_id, 1000::BIGINT, NULL, 'unknown', NULL, 'embedding_unavailable' FROM conversations WHERE conv_id % 2 = 0
+""")
+def reread_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page read anew changed, in its text and in its vector; a page that wasn't stored has no vector to compare."""
+    _, report = rereading.reread(*_page_store(spark, sf_dir), letter_counts, len(LETTERS))
+    r = lambda path: F.col(f"report.{path}")
+    return report.select("paper_id", F.col("page_number").cast("long").alias("page_number"), r("text.score").alias("score"), r("text.assessment").alias("assessment"), F.round(r("vector.cosine"), 9).alias("cosine"), r("overall").alias("overall"))
+
+
+@query(f"""
+WITH w AS (SELECT conv_id AS paper_id, string_agg(coalesce(new, text), chr(10) || chr(10) ORDER BY turn) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'one more page' ELSE '' END AS whole FROM (SELECT o.*, n.new FROM conversations o LEFT JOIN {NEW_PAGES} n ON o.conv_id = n.conv_id AND o.turn + 1 = n.page AND length(trim(new, {TRIM})) > 0) GROUP BY 1)
+SELECT paper_id, CASE WHEN paper_id % 2 = 0 THEN md5(whole) ELSE md5('') END AS digest, CASE WHEN paper_id % 2 = 0 THEN array_to_string(list_transform({_vector_sql("whole")}, lambda y: y::BIGINT), ',') ELSE '0' END AS v FROM w
+""")
+def reread_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and vectors of papers made anew from their pages where those were read anew; the others' empty ones stay."""
+    pages, fresh = _page_store(spark, sf_dir)
+    papers = pages.select("paper_id").distinct().select("paper_id", F.lit("").alias("text"), F.array(F.lit(0.0)).alias("v"))
+    stored, _ = rereading.reread(pages, fresh, letter_counts, len(LETTERS))
+    made = rereading.papers_again(stored, fresh, papers, letter_counts, len(LETTERS))
+    return made.select("paper_id", F.md5("text").alias("digest"), F.array_join(F.col("v").cast("array<long>").cast("array<string>"), ",").alias("v"))
+
+
+@query(f"SELECT conv_id AS paper_id, turn + 1 AS page_number, CASE WHEN conv_id % 3 = 0 THEN array_to_string(list_transform({_vector_sql('text')}, lambda y: y::BIGINT), ',') ELSE '0' END AS v FROM conversations")
+def regenerated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all pages of some papers made anew from their texts, in place of those stored."""
+    pages = src.pages(spark, sf_dir).select("paper_id", "page_number", "page_text").withColumn("v", F.array(F.lit(0.0)))
+    made = rereading.pages_again(pages, pages.where("paper_id % 3 = 0"), letter_counts, len(LETTERS))
+    return made.select("paper_id", F.col("page_number").cast("long").alias("page_number"), F.array_join(F.col("v").cast("array<long>").cast("array<string>"), ",").alias("v"))
+
+
 @query("""
 SELECT conv_id AS paper_id, feature, string_agg(turn + 1, ',' ORDER BY turn) AS pages FROM (
   SELECT conv_id, turn, unnest(['javascript', 'form', 'attachment', 'encrypted']) AS feature, unnest([contains(text, 'an'), contains(text, 'the'), contains(text, 'q'), contains(text, 'er')]) AS hit FROM conversations WHERE turn < 3)
