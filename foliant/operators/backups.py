@@ -18,6 +18,13 @@ def history(manifest: DataFrame, limit: int = KEPT) -> DataFrame:
     return manifest.orderBy(F.desc("timestamp"), F.desc("backup_id")).limit(limit)
 
 
+def keep_history(entries: DataFrame, folder: str, limit: int = KEPT) -> int:
+    """Add entries to a stored history, of which the newest rows stay, as the next version of a store; its number. A history that isn't there begins. Who reads meanwhile sees the list before or after."""
+    spark = entries.sparkSession
+    held = versions.read(spark, folder).unionByName(entries) if versions.latest(spark, folder) else entries
+    return versions.commit(history(held, limit), folder, F.lit("history"))
+
+
 def totals(manifest: DataFrame) -> DataFrame:
     """By type: completed and failed backups, bytes of the completed, the latest of them."""
     done = F.col("status") == "completed"

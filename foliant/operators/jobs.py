@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.telemetry import step_times
+
 #: Steps of an ingest in order, and those without which it fails; fixed values.
 STEPS = ("save_paper", "ocr", "ocr_quality", "embedding", "layout", "metadata", "hashes", "cleanup")
 CRITICAL = ("save_paper", "ocr")
@@ -95,3 +97,33 @@ def ingest(uploads: DataFrame, steps: dict[str, Column]) -> DataFrame:
     kept = lambda c: F.array_compact(F.array(*c))
     out = uploads.withColumns({"steps_completed": kept(done), "steps_failed": kept(failed), "warnings": kept(warnings)})
     return out.withColumn("success", succeeded(F.col("steps_failed"))).withColumn("progress", F.floor(F.size("steps_completed") * 100 / len(names)).cast("int"))
+
+
+#: What is kept of a job's result, with the paths and types in it; the resources that a sample holds.
+RESULT_FIELDS = {"page_count": ("$.data.page_count", "int"), "ocr_quality_score": ("$.data.ocr_quality_score", "double"), "embedding_dimension": ("$.data.embedding_dimension", "int")}
+RESOURCES = ("memory_mb", "cpu_percent", "read_mb", "write_mb")
+
+
+def metrics(jobs: DataFrame, steps: DataFrame, samples: DataFrame) -> DataFrame:
+    """One record for each finished job: its duration, how it ended, its steps' seconds, what its result tells, and the resources at its end.
+
+    jobs: (job_id, filename, size_mb, started_at, ended_at, ok, error, result), result in JSON; one that hasn't ended is
+    left out. steps: (job_id, step_id, step, created_at); a step that comes again keeps its last time, and neither the
+    first state nor the step a job ends in has one. samples: (job_id, sample_id, at, *RESOURCES); the last one up to a
+    job's end holds its peaks, as stored records show. A failed job without a message has one that says so. Steps and
+    samples are aggregated before they meet the jobs.
+    """
+    timed = step_times(steps, "job_id").where("seconds IS NOT NULL AND step IS NOT NULL")
+    times = timed.groupBy("job_id", "step").agg(F.max_by("seconds", F.struct("created_at", "step_id")).alias("seconds"))
+    times = times.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "seconds"))).alias("step_durations"))
+    done = jobs.where("ended_at IS NOT NULL")
+    until = samples.join(done.select("job_id", "ended_at"), "job_id").where("at <= ended_at")
+    peaks = until.groupBy("job_id").agg(F.max_by(F.struct(*RESOURCES), F.struct("at", "sample_id")).alias("peak"))
+    names = lambda path: F.coalesce(F.from_json(F.get_json_object("result", path), "array<string>"), F.array().cast("array<string>"))
+    kept = [F.get_json_object("result", path).try_cast(kind).alias(n) for n, (path, kind) in RESULT_FIELDS.items()]
+    seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6
+    error = F.when(~F.col("ok"), F.coalesce(F.nullif("error", F.lit("")), F.lit("Unknown error")))
+    own = done.select("job_id", "filename", "size_mb", "started_at", "ended_at", seconds.alias("duration"), F.col("ok").alias("success"), error.alias("error_message"), names("$.steps_completed").alias("steps_completed"), names("$.steps_failed").alias("steps_failed"), *kept)
+    both = own.join(times, "job_id", "left").join(peaks, "job_id", "left")
+    empty = F.create_map().cast("map<string,double>")
+    return both.select(*own.columns, F.coalesce("step_durations", empty).alias("step_durations"), *[F.col(f"peak.{r}").alias(r) for r in RESOURCES])

@@ -3,9 +3,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import backups
+from foliant.operators import backups, versions
 from foliant.operators import consistency as op
 from foliant.plans.registry import query
+from foliant.session import scratch
 from foliant.sources import tables as src
 
 ISSUES = """
@@ -81,6 +82,15 @@ def backup_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backups.history(manifest(spark, sf_dir)).select("backup_id", F.date_format("timestamp", "yyyyMMdd_HHmmss").alias("stamp"))
 
 
+@query(f"SELECT backup_id, type, size_bytes FROM {MANIFEST} ORDER BY timestamp DESC, backup_id DESC LIMIT 1000")
+def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history to which three runs added their entries, and which keeps the newest 1000."""
+    folder, entries = scratch(spark, "history"), manifest(spark, sf_dir)
+    for run in range(3):
+        backups.keep_history(entries.where(F.col("size_bytes") / 1000 % 3 == run), folder)
+    return versions.read(spark, folder).select("backup_id", "type", "size_bytes")
+
+
 @query(f"""
 WITH f AS (SELECT count(*) FILTER (type = 'full' AND status = 'completed' AND timestamp > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS recent, count(*) FILTER (type = 'snapshot' AND status = 'completed') AS vectors FROM {MANIFEST})
 SELECT recent, vectors, score, CASE WHEN score >= 8 THEN 'excellent' WHEN score >= 6 THEN 'good' WHEN score >= 4 THEN 'fair' ELSE 'poor' END AS level

@@ -62,3 +62,28 @@ def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = src.events(spark, sf_dir)
     sent = e.select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "error", 0).otherwise(2).alias("rank"), F.col("ts").alias("submitted_at"))
     return op.admitted(sent).select("job_id", "state")
+
+
+RUNS = "(SELECT *, user_id * 1000 + dayofyear(ts) AS job_id, (props->>'k')::BIGINT AS k FROM events)"
+
+
+@query(f"""
+WITH e AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM {RUNS}),
+s AS (SELECT job_id, event_type AS step, arg_max(us, (ts, event_id)) AS us FROM e WHERE us IS NOT NULL AND event_type <> 'signup' GROUP BY 1, 2),
+t AS (SELECT job_id, string_agg(step || ':' || us, ',' ORDER BY step) AS steps FROM s GROUP BY 1),
+j AS (SELECT job_id, min(ts) AS a, max(ts) AS b, arg_max(event_type, (ts, event_id)) AS last, arg_max(k, (ts, event_id)) AS k, arg_max(value, (ts, event_id)) AS memory FROM e GROUP BY 1)
+SELECT job_id, (epoch_us(b) - epoch_us(a)) / 1e6::DOUBLE AS duration, last <> 'error' AS success, CASE WHEN last = 'error' THEN CASE WHEN k % 2 = 0 THEN 'boom' ELSE 'Unknown error' END END AS error_message, coalesce(t.steps, '') AS steps,
+  CASE WHEN k % 3 > 0 THEN 'ocr,hashes' ELSE '' END AS steps_completed, CASE WHEN k % 3 > 0 THEN k END::INTEGER AS page_count, CASE WHEN k % 3 > 0 THEN 384 END::INTEGER AS embedding_dimension, memory AS memory_mb, k AS cpu_percent FROM j LEFT JOIN t USING (job_id) WHERE last <> 'view'
+""")
+def job_metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of finished jobs; a user's events of a day are a job's steps and samples, and one that ends in a view still runs."""
+    e = src.events(spark, sf_dir).withColumn("job_id", F.col("user_id") * 1000 + F.dayofyear("ts"))
+    by = F.struct("ts", "event_id")
+    last = e.groupBy("job_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("at"), F.max_by("event_type", by).alias("last"), F.max_by("k", by).alias("k"))
+    result = F.when(F.col("k") % 3 > 0, F.format_string('{"steps_completed": ["ocr", "hashes"], "data": {"page_count": %d, "embedding_dimension": 384, "ocr_quality_score": "none"}}', "k"))
+    jobs = last.select("job_id", F.lit("a.pdf").alias("filename"), F.lit(1.0).alias("size_mb"), "started_at", F.when(F.col("last") != "view", F.col("at")).alias("ended_at"), (F.col("last") != "error").alias("ok"), F.when(F.col("k") % 2 == 0, "boom").alias("error"), result.alias("result"))
+    steps = e.select("job_id", F.col("event_id").alias("step_id"), F.when(F.col("event_type") == "signup", "initializing").otherwise(F.col("event_type")).alias("step"), F.col("ts").alias("created_at"))
+    samples = e.select("job_id", F.col("event_id").alias("sample_id"), F.col("ts").alias("at"), F.col("value").alias("memory_mb"), F.col("k").alias("cpu_percent"), F.lit(0.0).alias("read_mb"), F.lit(0.0).alias("write_mb"))
+    found = op.metrics(jobs, steps, samples)
+    timed = F.array_join(F.transform(F.array_sort(F.map_entries("step_durations")), lambda s: F.concat(s["key"], F.lit(":"), F.round(s["value"] * 1e6).cast("long").cast("string"))), ",")
+    return found.select("job_id", "duration", "success", "error_message", timed.alias("steps"), F.array_join("steps_completed", ",").alias("steps_completed"), "page_count", "embedding_dimension", "memory_mb", "cpu_percent")

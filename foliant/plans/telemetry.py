@@ -143,13 +143,18 @@ def recent_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT preset, attempt::INTEGER AS attempt, round(least(base * factor ** (attempt - 1), longest), 6) AS delay FROM
-(VALUES ('fast', 1.0::DOUBLE, 3, 30.0::DOUBLE, 2.0::DOUBLE), ('service', 2.0::DOUBLE, 5, 60.0::DOUBLE, 1.5::DOUBLE), ('model', 5.0::DOUBLE, 3, 120.0::DOUBLE, 2.0::DOUBLE)) p(preset, base, attempts, longest, factor), LATERAL (SELECT unnest(range(1, attempts + 1)) AS attempt)
+WITH p(preset, base, attempts, longest, factor) AS (VALUES ('fast', 1.0::DOUBLE, 3, 30.0::DOUBLE, 2.0::DOUBLE), ('service', 2.0::DOUBLE, 5, 60.0::DOUBLE, 1.5::DOUBLE), ('model', 5.0::DOUBLE, 3, 120.0::DOUBLE, 2.0::DOUBLE)),
+c AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'model' WHEN 'click' THEN 'fast' ELSE 'service' END AS preset, (props->>'k')::BIGINT % 7 AS failures FROM events)
+SELECT event_id, preset, least(failures, attempts)::INTEGER AS waits, round(coalesce(list_sum(list_transform(range(0, least(failures, attempts)), lambda i: least(base * factor ** i, longest))), 0), 6)::DOUBLE AS waited FROM c JOIN p USING (preset)
 """)
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and how long each call waits that fails so many times before its preset's attempts are over."""
     presets = spark.createDataFrame(list(op.RETRY_PRESETS), "preset string, base double, attempts int, longest double, factor double")
-    each = presets.select("*", F.explode(F.sequence(F.lit(1), "attempts")).alias("attempt"))
-    return each.select("preset", "attempt", F.round(op.backoff(), 6).alias("delay"))
+    kind = F.when(F.col("event_type") == "error", "model").when(F.col("event_type") == "click", "fast").otherwise("service")
+    calls = src.events(spark, sf_dir).select("event_id", kind.alias("preset"), (F.col("k") % 7).cast("int").alias("failures")).join(F.broadcast(presets), "preset")
+    tried = F.least("failures", "attempts")
+    each = calls.select("event_id", "preset", tried.alias("waits"), "base", "factor", "longest", F.explode_outer(F.when(tried > 0, F.sequence(F.lit(1), tried))).alias("attempt"))
+    return each.groupBy("event_id", "preset", "waits").agg(F.round(F.coalesce(F.sum(F.when(F.col("attempt").isNotNull(), op.backoff())), F.lit(0.0)), 6).alias("waited"))
 
 
 @query("""

@@ -82,6 +82,14 @@ def page_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.page_rows(src.pages(spark, sf_dir)).select("id", "paper_id", "preview")
 
 
+@query("SELECT conv_id || '_page_' || (turn + 1) AS id, concat_ws(',', CASE WHEN turn % 3 > 0 THEN 'model_name:' || role END, 'page_number:' || (turn + 1)) AS metadata FROM conversations")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the page collection; a page whose model isn't known has no such key."""
+    pages = src.pages(spark, sf_dir).withColumn("model_name", F.when(F.col("page_number") % 3 != 1, F.col("model_name")))
+    said = F.transform(F.array_sort(F.map_entries("metadata")), lambda m: F.concat(m["key"], F.lit(":"), m["value"]))
+    return op.page_rows(pages).select("id", F.array_join(said, ",").alias("metadata"))
+
+
 #: Cells of the index here, and the recall that its searches are set to.
 CELLS, RECALL = 16, 0.95
 

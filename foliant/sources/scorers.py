@@ -41,19 +41,22 @@ def _replies(scorer: Scorer, texts: list[str]) -> tuple[list[str | None], list[s
 
 def asked(df: DataFrame, prompt: Column, scorer: Scorer, name: str) -> DataFrame:
     """df with what a model answers to each row's prompt as column `name`, and its failure as `name`_error. Rows whose prompt is null aren't asked and have neither. Rows go through whole, so the answers need no join."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType()), T.StructField(f"{name}_error", T.StringType())])
+    own = df.columns
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), prompt.alias("prompt_"))
+    schema = T.StructType([rows.schema["row_"], T.StructField(name, T.StringType()), T.StructField(f"{name}_error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *own, prompts = batch.columns
+            prompts = batch.column(1)
             places = [i for i, p in enumerate(prompts.to_pylist()) if p is not None]
             answers: list[str | None] = [None] * batch.num_rows
             errors = answers.copy()
             for i, a, e in zip(places, *_replies(scorer, prompts.take(pa.array(places, pa.int64())).to_pylist()), strict=True):
                 answers[i], errors[i] = a, e
-            yield pa.RecordBatch.from_arrays([*own, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=schema.names)
 
-    return df.select("*", prompt.alias("prompt_")).mapInArrow(run, schema)
+    # As a struct, so that no column's name matters.
+    return rows.mapInArrow(run, schema).select(*[F.col("row_").getField(c).alias(c) for c in own], name, f"{name}_error")
 
 
 def first_known(*candidates: Column) -> Column:
