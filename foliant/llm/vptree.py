@@ -1,23 +1,24 @@
 """Nearest neighbours by cosine: a vantage-point tree per shard, with triangle-inequality pruning relaxed by a factor.
 
-Vectors of one length are dealt to shards by a hash of their id, queries to groups, and each shard meets each group in a
-task of bounded size. The task builds the shard's tree over unit vectors (their chord length is a metric and falls as the
-cosine grows), lets every query descend to its nearest leaf for a first bound, and then walks the tree once with all the
-queries that no bound excludes. A subtree is left out for a query if factor times its lower bound exceeds the distance
-of the query's last place so far; factor 1 is exact search. Equal vectors are one point of the tree with its least ids.
-All points as near as the last place, but for rounding, are kept; their cosines are then computed anew in one way.
+Vectors of one length are dealt to shards by a hash of their id, and every query goes to every shard. A task gets a
+shard's vectors first and then its queries, batch by batch: it builds the shard's tree once, over unit vectors (their
+chord length is a metric and falls as the cosine grows), lets every query descend to its nearest leaf for a first bound,
+and then walks the tree with all the queries at hand that no bound excludes. A subtree is left out for a query if factor
+times its lower bound exceeds the distance of the query's last place so far; factor 1 is exact search. Equal vectors are
+one point of the tree with its least ids. All points as near as the last place, but for rounding, are kept; their cosines
+are then computed anew in one way.
 
-Every query meets every shard, so rows shuffled grow with the product of vectors and queries, by a shard's and a group's
-sizes smaller: n * q / GROUP copies of vectors and q * n / SHARD of queries. Shards hold fewer rows of long vectors.
+Every vector is shuffled once, every query once for each shard: q * n / SHARD rows of queries. A task holds one shard and
+one block of queries, both of bounded size; shards and blocks hold fewer rows of long vectors.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
-without an id; vectors of other lengths are not compared. Rows with the query's id are its own and no candidates; equal
+without an id; vectors of other lengths are not compared. An empty table, or one without queries, gives no rows. Rows with the query's id are its own and no candidates; equal
 query rows give one answer. Ties go to the smaller vec_id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import partitions_of
+from foliant.llm.common import bounded_batches, partitions_of
 
 #: Vectors of a shard and queries of a group, at most about, and the components of either; smaller shards only where there are tasks to spare.
 SHARD, LEAST_SHARD, GROUP, CELLS = 16_384, 1024, 16_384, 1 << 20
@@ -150,26 +151,70 @@ def cosines(points: np.ndarray, q: np.ndarray) -> np.ndarray:
     return ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum())).astype(np.float64)
 
 
-def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, factor: float) -> list[tuple[int, int, float]]:
-    """(place of the query, vec_id, cosine) of each query's k nearest in the shard, least ids first among equals.
-
-    One point more than k is kept for the query itself, and one more to see whether others may be as near as the last:
-    then all that come as near, but for rounding, are gathered.
-    """
-    points, owners = distinct_rows(x, ids, k + 1)
-    points, q = scaled(points), scaled(q)
-    unit, asked = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (points, q))
-    tree = Tree(unit)
-    found, near = tree.search(asked, min(k + 2, len(points)), factor)
-    slack = (x.shape[1] + 16) * 2.0**-50
-    out = []
-    for i in range(len(q)):
-        rows = found[i][found[i] >= 0]
-        if len(rows) == k + 2 and near[i, k + 1] >= near[i, k] - slack:
-            rows = tree.within(asked[i], near[i, k] - slack, factor)
-        hits = sorted((-c, v) for r, c in zip(rows.tolist(), cosines(points[rows], q[i]).tolist(), strict=True) for v in owners[r].tolist() if v != q_ids[i])
-        out += [(i, v, -c) for c, v in hits[:k]]
-    return out
+class Shard:
+    """The tree of a shard's distinct vectors, made once for all its queries."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int, factor: float):
+        self.k, self.factor, self.slack = k, factor, (x.shape[1] + 16) * 2.0**-50
+        points, self.owners = distinct_rows(x, ids, k + 1)
+        self.points = scaled(points)
+        self.tree = Tree(self.points / np.linalg.norm(self.points, axis=1, keepdims=True))
+
+    def search(self, q: np.ndarray, q_ids: np.ndarray) -> list[tuple[int, int, float]]:
+        """(query's id, vec_id, cosine) of each query's k nearest in the shard, least ids first among equals.
+
+        One point more than k is kept for the query itself, and one more to see whether others may be as near as the last:
+        then all that come as near, but for rounding, are gathered.
+        """
+        k, q = self.k, scaled(q)
+        asked = q / np.linalg.norm(q, axis=1, keepdims=True)
+        found, near = self.tree.search(asked, min(k + 2, len(self.points)), self.factor)
+        out = []
+        for i in range(len(q)):
+            rows = found[i][found[i] >= 0]
+            if len(rows) == k + 2 and near[i, k + 1] >= near[i, k] - self.slack:
+                rows = self.tree.within(asked[i], near[i, k] - self.slack, self.factor)
+            hits = sorted((-c, v) for r, c in zip(rows.tolist(), cosines(self.points[rows], q[i]).tolist(), strict=True) for v in self.owners[r].tolist() if v != q_ids[i])
+            out += [(int(q_ids[i]), v, -c) for c, v in hits[:k]]
+        return out
+
+
+def in_shards(batches: Iterator[pa.RecordBatch], build: Callable[[np.ndarray, np.ndarray], Shard]) -> Iterator[list[tuple[int, int, float]]]:
+    """What each shard finds for its queries, block by block, out of rows (dim, shard, asks, vec_id, vector) in order of the first three."""
+    key, tree, held = None, None, ([], [])
+
+    def taken(side: int) -> tuple[np.ndarray, np.ndarray]:
+        parts, held[side][:] = list(held[side]), []
+        return np.concatenate([x for x, _ in parts]), np.concatenate([i for _, i in parts])
+
+    def found() -> list[tuple[int, int, float]]:
+        nonlocal tree
+        if not held[1]:
+            return []
+        q, ids = taken(1)
+        if tree is None and held[0]:
+            tree = build(*taken(0))
+        return tree.search(q, ids) if tree else []
+
+    for batch in batches:
+        dim, shard, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+            if hi > lo and (dim[lo], shard[lo]) != key:
+                yield found()
+                key, tree = (dim[lo], shard[lo]), None
+                held[0].clear()
+            if hi > lo:
+                x = pc.list_flatten(batch.column(4).slice(lo, hi - lo)).to_numpy().reshape(hi - lo, -1)
+                held[int(asks[lo])].append((x, ids[lo:hi]))
+            if sum(len(i) for _, i in held[1]) >= block_of(int(dim[lo])):
+                yield found()
+    yield found()
+
+
+def block_of(dim: int) -> int:
+    """So many queries of this length are searched at once."""
+    return max(64, min(GROUP, CELLS // max(1, dim)))
 
 
 def usable(vector: Column) -> Column:
@@ -220,7 +265,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = FA
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.where(F.exists("vector", lambda x: x != 0))
 
-    def task(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> list[tuple]:
-        return [(int(q_ids[i]), v, c) for i, v, c in search_shard(x, ids, q, q_ids, k, factor)]
+    dim = F.size("vector")
+    n, cells, longest = rows.agg(F.count("*"), F.coalesce(F.sum(dim), F.lit(0)), F.coalesce(F.max(dim), F.lit(1))).first()
+    spare = partitions_of(vectors)
+    shards = max(-(-n // SHARD), -(-cells // CELLS), min(spare, n // LEAST_SHARD), 1)
+    bounded_batches(vectors.sparkSession, max(1, min(2048, CELLS // longest)))
+
+    index = rows.select(dim.alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "vector")
+    queries = rows.where(is_query).dropDuplicates(["vec_id", "vector"])
+    queries = queries.select(dim.alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "vector")
+    both = index.unionByName(queries).repartition(max(spare, shards), "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hits in in_shards(batches, lambda x, ids: Shard(x, ids, k, factor)):
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    return first_by_score(shard_by_group(rows, is_query, task, "query_id long, vec_id long, score double"), k)
+    return first_by_score(both.mapInArrow(run, "query_id long, vec_id long, score double"), k)

@@ -10,6 +10,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.fs
 import zstandard
@@ -87,6 +88,29 @@ def test_ties_and_extreme_sizes(spark):
     assert {q: [v for _, v, _ in h] for q, h in got.items()} == {q: [v for _, v, _ in h] for q, h in want.items()}
 
 
+def test_trees_are_built_once():
+    """Five blocks of queries, in small batches, meet the same tree; shards without queries build none."""
+    rng, built = np.random.default_rng(4), []
+    dims, rows = 40_000, []
+    own = {s: rng.normal(size=(7, dims)) for s in range(3)}
+    for shard, asked_ in ((0, 300), (1, 0), (2, 1)):
+        rows += [(dims, shard, False, 10 * shard + i, own[shard][i]) for i in range(7)]
+        rows += [(dims, shard, True, 1000 + i, own[shard][i % 7] * 2) for i in range(asked_)]
+
+    def build(x, ids):
+        built.append(sorted(ids.tolist()))
+        return vptree.Shard(x, ids, 1, 1.0)
+
+    def batches():
+        for lo in range(0, len(rows), 11):
+            part = list(zip(*rows[lo : lo + 11], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2]), pa.array(part[3], pa.int64()), pa.array(list(part[4]), pa.list_(pa.float64()))], names=["dim", "shard", "asks", "vec_id", "vector"])
+
+    blocks = [hits for hits in vptree.in_shards(batches(), build) if hits]
+    assert built == [list(range(7)), list(range(20, 27))] and len(blocks) == 6 and vptree.block_of(dims) == 64
+    assert [(q, v) for hits in blocks for q, v, _ in hits] == [(1000 + i, i % 7) for i in range(300)] + [(1000, 20)]
+
+
 def test_recall(spark, sf):
     df = table(spark, sf, "embeddings")
     got, want = grouped(vptree.nearest(df, F.expr(ASKED))), plain_top(sound(df), cosine)
