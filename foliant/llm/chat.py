@@ -8,7 +8,7 @@ sorted, are intersected by binary search.
 
 Defined results: a null text is empty, a null role is empty. Turns are in the order of turn, null last; rows with the
 same turn are ordered by role and text, so repeated rows are repeated turns. A null conv_id is one conversation. Other
-columns are ignored. An empty table has no conversations. One conversation is one string, so it is rendered in one task.
+columns are ignored. An empty table has no conversations. One conversation is one string, so it is rendered in one task; texts of any length are encoded whole.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 Each source's documents are dealt by a hash of their id into blocks of BLOCK_WORDS words; from MANY_BLOCKS blocks of a source
 on, blocks and their number both grow with the root of its words, so that neither a source's list of blocks nor a block
-becomes too much for a task. The tree's nodes hold one count for each source that has blocks there. A source's target says
+becomes too much for a task. The tree's nodes hold one count for every source, 0 where it has no blocks. A source's target says
 how many whole passes it gives and how many words more; of its blocks, in permuted order, those are drawn once more that
 fit into these words, and from the next one single documents. Output shards get exact quotas of drawn blocks of each
 source: a node of the tree splits its quotas between its halves as a multivariate hypergeometric draw. A source's drawn

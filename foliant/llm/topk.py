@@ -1,6 +1,6 @@
 """Exact top-k by integer inner product: aggregation of sorted lists without random access.
 
-Vectors are dealt to shards and queries to groups as for the nearest neighbours. A shard keeps one list for each
+Vectors are dealt to shards and queries to groups by hashes of their ids, and each shard meets each group. A shard keeps one list for each
 component, sorted by value, and nothing else: no vector is ever looked up. For a query every list is read from the end
 where its products are greatest, all lists in step. A vector's lower bound is what was read of it plus the least products
 of the lists where it wasn't met, its upper bound the same with the products last read. Outsiders are all vectors but the
@@ -13,8 +13,8 @@ Python's integers. Vectors of very different size have lists of their own, so th
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without
 an id; vectors of other lengths are not compared. Rows with the query's id are its own and no candidates; equal query
-rows give one answer. A product that doesn't fit a long counts as the nearest long. Ties go to the smaller vec_id. Other
-columns are ignored.
+rows give one answer. A product that doesn't fit a long counts as the nearest long. Ties go to the smaller vec_id. An
+empty table, or one without queries, gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
