@@ -2,7 +2,7 @@
 
 A language's profile is its most frequent n-grams in texts of known language, with their ranks. A text's score in a
 language is the sum over its n-grams of how high they rank there. Profiles are a small table, so scoring a text is a join
-of its n-grams with a broadcast table and two aggregations.
+of its n-grams with a broadcast table and an aggregation that a task does by itself first, as a text's n-grams lie together.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ DEFAULT = "en"
 def grams(text: Column) -> Column:
     """The n-grams of a text's letters, in order and with repeats; what isn't a letter is one blank, as are both ends."""
     letters = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    n = F.length(letters) - (GRAM - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(letters, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    # One pass: each match looks at GRAM letters and takes one. A lambda over places would build the letters anew for each.
+    return F.coalesce(F.regexp_extract_all(letters, F.lit(f"(?s)(?=({'.' * GRAM}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def profiles(texts: DataFrame, ranks: int = RANKS, languages: int = LANGUAGES) -> DataFrame:
@@ -40,8 +40,8 @@ def detected(texts: DataFrame, known: DataFrame, key: str, least: float = 0.0, r
     """(key, lang, score) of texts (key, text) by profiles: the language with the largest share of a text's points, 0 to 1. A short text, one without a known n-gram, and one whose best share is under the least, is of the default language."""
     looked = texts.select(key, F.substring("text", 1, LOOKED_AT).alias("text"))
     long = F.coalesce(F.length(strip(F.col("text"))) >= LEAST, F.lit(False))
-    each = looked.where(long).select(key, F.explode(grams(F.col("text"))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    points = each.join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * (ranks + 1 - F.col("rank"))).alias("points"))
+    each = looked.where(long).select(key, F.explode(grams(F.col("text"))).alias("gram"))
+    points = each.join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.sum((ranks + 1 - F.col("rank")).cast("long")).alias("points"))
     best = points.groupBy(key).agg(F.max_by("lang", F.struct("points", F.col("lang"))).alias("lang"), F.max("points").alias("top"), F.sum("points").alias("all"))
     found = texts.select(key).join(best, key, "left").withColumn("score", F.coalesce(F.col("top") / F.col("all"), F.lit(0.0)))
     return found.select(key, F.when(F.col("score") > least, F.col("lang")).otherwise(DEFAULT).alias("lang"), "score")
