@@ -55,8 +55,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts may be long: hand Python few rows at a time, so a batch stays within tens of megabytes."""
+    """Texts may be long: read few rows at a time and hand Python few, so a batch stays within tens of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def partitions_of(df: DataFrame) -> int:

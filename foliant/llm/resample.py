@@ -1,6 +1,7 @@
 """Resampling towards a target distribution: importance weights over hashed features, kept as a sparse count matrix.
 
-Texts become a document-by-bucket count matrix, written as blocks of compressed sparse rows. Its column sums are the
+Texts become a document-by-bucket count matrix, written as small blocks of compressed sparse rows, of which a task holds
+many at once when it reads them again. Its column sums are the
 corpus' distribution; the target's come the same way. What a bucket is worth, its gain, is the scaled logarithm of both
 distributions' ratio, smoothed by one in each bucket. The product of the matrix and the gains, divided by the row sums,
 weighs each document; a Gumbel number drawn from a hash of its id turns the highest scores into a sample without
@@ -8,7 +9,7 @@ replacement. The rank of a drawn document comes from a histogram of the integral
 so no task holds all documents.
 
 Defined results: a null or wordless text has no features, weight 0 and, having too few words, no rank. Words are found in
-whole texts, however long; a text over the size of a block is a block of its own with at most as many cells as buckets.
+whole texts, however long; a text has at most as many cells as there are buckets, and all of them are in one block.
 A null doc_id hashes as an empty one and comes after others of its score. Rows equal in id and score take consecutive
 ranks, in the order of weight and n_features. Tables without rows give none; without a target all gains say how rare a
 bucket is. Other columns are ignored.
@@ -30,8 +31,10 @@ from foliant.llm.common import bounded_batches, columns, materialize
 from foliant.llm.textvec import runs
 
 BUCKETS = 10_000
-#: A block of the matrix covers about so many bytes of text; a longer text is a block of its own.
+#: Texts of about so many bytes are counted at once; a longer text by itself.
 BLOCK_BYTES = 1 << 20
+#: Texts begin a new block of the matrix after so many cells.
+BLOCK_CELLS = 2048
 #: Up to so many bytes a feature is hashed with all others of its batch.
 TOGETHER = 64
 #: Scores are counted in steps of so many first.
@@ -109,7 +112,7 @@ def _runs_of_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, text: np.ndar
 
 
 def _counted(texts: pa.Array, most: int, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of a batch: first and last text, words of each, and the rows' starts, buckets and counts."""
+    """Parts of a batch: first and last text, words of each, and the rows' starts, buckets and counts."""
     data, at = _bytes(texts)
     lo = 0
     while lo < len(texts):
@@ -132,9 +135,12 @@ def count_matrix(docs: DataFrame, most_words: int = 1, buckets: int = BUCKETS) -
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words, starts, bucket, count in _counted(batch.column(1), most_words, buckets):
-                ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo).cast(pa.int64()))
-                one = [pa.array([x], pa.list_(t)) for x, t in ((words.astype(np.int32), pa.int32()), (starts.astype(np.int32), pa.int32()), (bucket.astype(np.int16), pa.int16()), (count.astype(np.int32), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([ids, *one], names=["doc_ids", "n_words", "starts", "buckets", "counts"])
+                first = np.flatnonzero(np.diff(starts[:-1] // BLOCK_CELLS, prepend=-1))
+                texts, cells = np.append(first, hi - lo), np.append(starts[first], starts[-1])
+                own = np.concatenate([starts[i : j + 1] - starts[i] for i, j in zip(texts[:-1], texts[1:], strict=True)])
+                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
+                lists = [(ids, texts), (pa.array(words, pa.int32()), texts), (pa.array(own, pa.int32()), texts + np.arange(len(texts))), (pa.array(bucket, pa.int16()), cells), (pa.array(count, pa.int32()), cells)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat) for flat, at in lists], names=["doc_ids", "n_words", "starts", "buckets", "counts"])
 
     return columns(docs, "doc_id", "text").mapInArrow(blocks, BLOCK)
 

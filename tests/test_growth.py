@@ -17,3 +17,20 @@ def test_grams_of_a_long_text_take_one_pass(spark):
     found = {r["doc_id"]: r["g"] for r in rows.select("doc_id", languages.grams(F.col("text")).alias("g")).collect()}
     assert found == {1: [letters[i : i + 3] for i in range(len(letters) - 2)], 2: [], 3: [], 4: [" a "]}
     assert time.monotonic() - begun < 60
+
+
+def test_blocks_of_a_matrix_are_small(spark):
+    from foliant.llm import resample
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), (F.col("doc_id") * 7 + i).cast("string"))), " ")
+    docs = spark.range(0, 900, 1, 2).withColumnRenamed("id", "doc_id").withColumn("text", F.when(F.col("doc_id") % 10 != 3, words))
+    matrix = resample.count_matrix(docs)
+    rows = matrix.collect()
+    assert max(len(r["buckets"]) for r in rows) <= resample.BLOCK_CELLS + 300
+    assert sorted(i for r in rows for i in r["doc_ids"]) == list(range(900))
+    assert all(r["starts"][0] == 0 and r["starts"][-1] == len(r["buckets"]) == len(r["counts"]) and len(r["starts"]) == len(r["doc_ids"]) + 1 for r in rows)
+    assert {i: n for r in rows for i, n in zip(r["doc_ids"], r["n_words"], strict=True)} == {i: 0 if i % 10 == 3 else 300 for i in range(900)}
+    whole = resample.column_sums(matrix)
+    assert whole.sum() == 810 * 300
+    weighed = resample.weights(matrix, resample.gains(whole, whole[::-1])).collect()
+    assert len(weighed) == 900 and all(r["n_features"] == r["n_words"] for r in weighed)
