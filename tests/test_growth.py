@@ -34,3 +34,33 @@ def test_blocks_of_a_matrix_are_small(spark):
     assert whole.sum() == 810 * 300
     weighed = resample.weights(matrix, resample.gains(whole, whole[::-1])).collect()
     assert len(weighed) == 900 and all(r["n_features"] == r["n_words"] for r in weighed)
+
+
+def test_queries_of_an_index_pass_by_a_held_block():
+    import numpy as np
+    import pyarrow as pa
+
+    from foliant.operators import vectorindex
+
+    rng = np.random.default_rng(5)
+    rows, queries = rng.normal(size=(40, 4)), rng.normal(size=(5000, 4))
+    most, left = [0], [0]
+
+    def batches():
+        """One block, whose queries come in many batches; how many were given before a result was taken."""
+        for lo in range(0, 5040, 30):
+            asks = np.arange(lo, lo + 30) >= 40
+            v = np.concatenate([rows, queries])[lo : lo + 30]
+            left[0] += 1
+            most[0] = max(most[0], left[0])
+            n = len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n)), pa.array(list(v), pa.list_(pa.float64())), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(asks)], names=["vec_id", "v", "cell", "block", "asks"])
+
+    found = 0
+    for part in vectorindex.met(batches(), 3):
+        left[0] = 0
+        for i in range(0, part.num_rows, 3):
+            q = part["vec_id"][i].as_py()
+            assert part["other"][i].as_py() == int((rows @ queries[q - 40]).argmax())
+        found += part.num_rows
+    assert found == 5000 * 3 and most[0] <= 2
