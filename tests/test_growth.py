@@ -64,3 +64,35 @@ def test_queries_of_an_index_pass_by_a_held_block():
             assert part["other"][i].as_py() == int((rows @ queries[q - 40]).argmax())
         found += part.num_rows
     assert found == 5000 * 3 and most[0] <= 2
+
+
+def test_samples_go_to_a_model_together(spark):
+    import hashlib
+
+    import numpy as np
+
+    from foliant.operators import duplicates as op
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(1)
+        return op.term_vectors(texts)
+
+    texts = ["a b a " * 20, "b a a " * 20, "b b a " * 20, None, "short"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, sample string").coalesce(1)
+    found = [r["h"] for r in op.with_sample_hash(df, "sample", "h", model).orderBy("doc_id").collect()]
+    assert calls.value == 1 and found == found[:5] * 50
+    assert found[0] == found[1] != found[2] is not None and found[3:5] == [None, None]
+    plain = np.zeros(op.DIMENSIONS, np.float32)
+    for word, n in (("a", 40), ("b", 20)):
+        drawn = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=16).digest(), "<u4")
+        np.add.at(plain, drawn % op.DIMENSIONS, np.where(drawn >> 31, -n, n).astype(np.float32))
+    assert found[0] == hashlib.sha256(plain.tobytes()).hexdigest()
+
+
+def test_content_keys_need_no_python(spark, sf):
+    from foliant.plans import duplicates as plans
+
+    plan = lambda i: plans.keyed(plans.docs(spark, sf), "doc_id", (i,))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan(2) and "MapInArrow" not in plan(1)
