@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.lifecycle import histories
 from foliant.plans.registry import query
 from foliant.plans.security import LIMITS, OVERRIDES, controls_and_calls
-from foliant.session import scratch
+from foliant.session import scratch, written
 from foliant.sources import tables as src
 from foliant.streaming import jobs, lifecycle
 
@@ -29,24 +31,23 @@ def job_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.latest_states(jobs.event_stream(spark, sf_dir)), "complete")
 
 
-def arriving(df: DataFrame, parts: int, order: str, name: str) -> str:
-    """df as files that came one after another, in `parts` ranges of a column; their folder."""
-    spark, folder = df.sparkSession, scratch(df.sparkSession, name)
+def arriving(df: DataFrame, parts: int, order: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of the stream that `made` makes of df, which arrives in `parts` ranges of a column. The stream is run when a part has come, and goes on where it stopped; all tasks write a part's files, and a run takes all of them as one batch."""
+    spark, folder, out = df.sparkSession, scratch(df.sparkSession, "arrivals"), scratch(df.sparkSession, "stream")
     least, greatest = df.agg(F.min(order), F.max(order)).first()
     step = ((greatest or 0) - (least or 0)) // parts + 1
     for i in range(parts):
         low = (least or 0) + i * step
-        df.where((F.col(order) >= low) & (F.col(order) < low + step)).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        df.where((F.col(order) >= low) & (F.col(order) < low + step)).write.mode("append").parquet(folder)
+        found = jobs.run_once(made(spark.readStream.schema(df.schema).parquet(folder)), "append", out)
+    return found
 
 
 @query("SELECT doc_id AS id, nullif(min(doc_id) OVER (PARTITION BY md5(text)), doc_id) AS duplicate_of FROM documents")
 def first_copies_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that arrive in four files, each pointing to the first of its content."""
-    docs = src.papers(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("ocr_text").alias("key"), F.col("created_at").alias("ts"))
-    folder = arriving(docs, 4, "id", "arrivals")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", "1 hour")
-    return jobs.run_once(lifecycle.first_copies(stream, 10_000 * 86_400.0), "append")
+    """Documents that arrive in four parts, each pointing to the first of its content."""
+    docs = written(src.papers(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("ocr_text").alias("key"), F.col("created_at").alias("ts")), "papers")
+    return arriving(docs, 4, "id", lambda arrived: lifecycle.first_copies(arrived.withWatermark("ts", "1 hour"), 10_000 * 86_400.0))
 
 
 EXPIRY, DELAY = 7 * 86_400, 86_400
@@ -100,12 +101,10 @@ def job_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LIVES)
 def job_lives_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from events that arrive in four files, three batches before the state was ever saved and read again."""
+    """The same from events that arrive in four parts, before three of which the state was saved and is read again."""
     raw = src.table(spark, sf_dir, "events").withColumn("day_", F.unix_date(F.col("ts").cast("date")))
-    folder = arriving(raw, 4, "day_", "events")
-    stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{DELAY} seconds")
-    return rounded(jobs.run_once(lifecycle.job_lives(job_events(stream), EXPIRY), "append"))
+    timed = lambda arrived: arrived.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{DELAY} seconds")
+    return rounded(arriving(raw, 4, "day_", lambda arrived: lifecycle.job_lives(job_events(timed(arrived)), EXPIRY)))
 
 
 @query(LIMITS)

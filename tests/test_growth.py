@@ -96,3 +96,15 @@ def test_content_keys_need_no_python(spark, sf):
 
     plan = lambda i: plans.keyed(plans.docs(spark, sf), "doc_id", (i,))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan(2) and "MapInArrow" not in plan(1)
+
+
+def test_a_part_arrives_by_many_tasks(spark):
+    from foliant.plans import streams
+
+    made = lambda arrived: arrived.withColumn("file", F.input_file_name())
+
+    df = spark.range(0, 4000, 1, 8).withColumnRenamed("id", "n")
+    found = streams.arriving(df, 4, "n", made)
+    parts = {r["part"]: r["files"] for r in found.groupBy(F.floor(F.col("n") / 1000).alias("part")).agg(F.count_distinct("file").alias("files")).collect()}
+    assert found.count() == 4000
+    assert parts == {0: 2, 1: 2, 2: 2, 3: 2}
