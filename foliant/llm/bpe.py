@@ -34,13 +34,13 @@ OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """The class of every code point, and for which it is the same in all versions of Unicode."""
     found = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    at = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype(np.uint32)
+    every = at.tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
         found[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
     first = {"L": LETTER, "N": NUMBER}
     old = np.fromiter((9 if (c := unicodedata.ucd_3_2_0.category(x)) == "Cn" else first.get(c[0], OTHER) for x in every), np.uint8, len(every))
     steady = np.zeros(0x110000, bool)
-    at = np.frombuffer(every.encode("utf-32-le"), np.uint32)
     steady[at] = old == np.where(found[at] == SPACE, OTHER, found[at])
     return found, steady
 

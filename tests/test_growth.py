@@ -108,3 +108,13 @@ def test_a_part_arrives_by_many_tasks(spark):
     parts = {r["part"]: r["files"] for r in found.groupBy(F.floor(F.col("n") / 1000).alias("part")).agg(F.count_distinct("file").alias("files")).collect()}
     assert found.count() == 4000
     assert parts == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_character_classes_are_made_in_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import resource; from foliant.llm import bpe; m = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = m(); bpe._classes(); print((m() - a) // 1024)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parent.parent)
+    assert int(said.stdout) < 80
