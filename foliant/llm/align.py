@@ -1,13 +1,20 @@
 """Two tokenizers' tokens of the same text, aligned by the bytes they cover.
 
-Python only tokenises: it gives each token of both sides as one number, its end and its id, with its bytes, and the
-offsets at which tokens end. All else is Spark's array functions. Offsets where tokens of both sides end
-(array_intersect) cut a text into groups: tokens and cuts are sorted together by place, joined and split again. The
-offsets where a token of either side ends (array_union) cut it into segments, and each segment is the overlap of just
-one token of each side, so segments are the links; their ids come from arrays with one element a byte. No step is
-quadratic in a text's length. Pairs of ids are counted over the corpus and looked up for each link.
+Both tokenizers cut between a character and a space after it, so tokens of both sides end there and a text is aligned if
+its parts are. A task encodes and aligns each distinct part of its texts once. Rows of parts, and after them the texts
+that consist of these and of earlier parts, stream through three steps of one stage:
 
-Both tokenizers cut between a character and a space after it, so a task encodes each distinct part of its texts once.
+Python tokenises: parts stand one after another in rows of about ROW_BYTES, each token of both sides as one number, its end
+and its id, with its bytes, and the offsets at which tokens end.
+
+Spark's array functions align. Offsets where tokens of both sides end (array_intersect) cut a row into groups: tokens and
+cuts are sorted together by place, joined and split again. The offsets where a token of either side ends (array_union) cut
+it into segments, and each segment is the overlap of just one token of each side, so segments are the links; their ids come
+from arrays with one element a byte. No step is quadratic in a text's length.
+
+Python puts the groups and links of each text together from those of its parts, and digests the groups.
+
+Pairs of ids are counted over the corpus and looked up for each link.
 
 Defined results: a null or empty text, and one whose tokens' bytes aren't space and text on either side (a vocabulary
 that folds characters), has no tokens: all counts 0, an empty digest column. Special strings inside texts are plain text.
@@ -18,7 +25,9 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +36,76 @@ from pyspark.sql import functions as F
 
 from foliant.llm import textvec as tv
 from foliant.llm.common import bounded_batches, columns, materialize, shared_dir
-from foliant.llm.pieces import paired
+from foliant.llm.pieces import Paired, paired
 
 #: Up to so many pairs of ids are broadcast with their counts; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: More than any id; what is left of a number that holds a place, or an id, above another id. The last marks the end of a group.
 ROOM = 1 << 21
 GROUP_END = ROOM - 1
-TOKENS = "doc_id long, a array<long>, a_sizes array<int>, a_ends array<int>, b array<long>, b_sizes array<int>, b_ends array<int>"
-
-
-def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, kind))
-
-
-def tokens(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """For every row of docs (doc_id, text) the tokens of both sides: place and id as one number, bytes, and ends."""
+#: Characters of the parts that a task remembers at most; then it begins anew.
+MEMORY = 4_000_000
+#: A row of parts has about so many bytes; a longer part is not cut.
+ROW_BYTES = 1 << 14
+SIDES = ["a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"]
+TOKENS = "doc_id long, first int, parts array<int>, n_a int, n_b int, a array<long>, a_sizes array<int>, a_ends array<int>, b array<long>, b_sizes array<int>, b_ends array<int>"
+
+
+def _before(counts: np.ndarray) -> np.ndarray:
+    """How many come before each place, and all at last."""
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts, one run after another."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+def _lists(flat: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, kind))
+
+
+def _part_rows(library: Paired) -> pa.RecordBatch:
+    """The parts first met in the last call, in rows: parts has where each ends in its row. A part whose tokens have other bytes has no tokens."""
+    new = np.arange(library.new.start, library.new.stop)
+    good = library.sound[new]
+    sides, size = library.tokens_of(new[good]), np.zeros(len(new), np.int64)
+    ids, sizes, own = sides[0]
+    size[good] = np.diff(_before(sizes)[_before(own)])
+    end = np.cumsum(size)
+    lead = np.flatnonzero(np.diff((end - size) // ROW_BYTES, prepend=-1))
+    rows, start = np.append(lead, len(new)), (end - size)[lead]
+    cells = [_lists((end - np.repeat(start, np.diff(rows))).astype(np.int32), rows, pa.int32())]
+    cells += [pa.array(np.zeros(len(lead), np.int32))] * 2
+    for ids, sizes, own in sides:
+        every = np.zeros(len(new), np.int64)
+        every[good] = own
+        at = _before(every)[rows]
+        ends = np.cumsum(sizes) - np.repeat(start, np.diff(at))
+        cells += [_lists(ends * ROOM + ids, at, pa.int64()), _lists(sizes.astype(np.int32), at, pa.int32()), _lists(ends.astype(np.int32), at, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(lead), pa.int64()), pa.array((lead + library.new.start).astype(np.int32)), *cells], names=["doc_id", "first", "parts", "n_a", "n_b", *SIDES])
+
+
+def tokens(docs: DataFrame, byte_file: str, piece_file: str, memory: int = MEMORY) -> DataFrame:
+    """Rows of parts (first: the number of the first part in it; 0 begins anew), and for every row of docs (doc_id, text) one with first -1 and its parts' numbers; a text's parts come before it."""
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = paired(byte_file, piece_file)
+        library.forget()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in tv.chunks(texts):
+                if library.chars > memory:
+                    library.forget()
                 parts, at = library.parts_of(texts[lo:hi])
-                cells: list[pa.Array] = []
-                for ids, sizes, count in library.tokens_of(parts):
-                    own = np.diff(np.concatenate([[0], np.cumsum(count)])[at])
-                    end = np.concatenate([[0], np.cumsum(sizes)])
-                    end = end[1:] - np.repeat(end[np.cumsum(own) - own], own)
-                    cells += [_lists(end * ROOM + ids, own, pa.int64()), _lists(sizes.astype(np.int32), own, pa.int32()), _lists(end.astype(np.int32), own, pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *cells], names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
+                if library.new:
+                    yield _part_rows(library)
+                counts = [pa.array(np.diff(_before(np.diff(start)[parts])[at]).astype(np.int32)) for start in library.start]
+                none = [_lists(np.zeros(0, np.int64), np.zeros(hi - lo + 1), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+                cells = [pa.array(np.full(hi - lo, -1, np.int32)), _lists(parts.astype(np.int32), at, pa.int32()), *counts, *none, *none]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *cells], names=["doc_id", "first", "parts", "n_a", "n_b", *SIDES])
+        library.forget()
 
     return columns(docs, "doc_id", "text").mapInArrow(cut, TOKENS)
 
@@ -81,16 +129,69 @@ def _groups(common: Column) -> Column:
 
 
 def _links() -> Column:
-    """The links: numbers of which link_sides gives both ids."""
+    """The links, one for each of ends: numbers of which link_sides gives both ids."""
     at_bytes = lambda side: F.flatten(F.zip_with(side, f"{side}_sizes", lambda x, n: F.array_repeat(x, n)))
     one = lambda at, end: F.get(at["a"], end - 1).bitwiseAND(F.lit(ROOM - 1)) * ROOM + F.get(at["b"], end - 1).bitwiseAND(F.lit(ROOM - 1))
-    return _bound(F.struct(at_bytes("a").alias("a"), at_bytes("b").alias("b")), lambda at: F.transform(F.array_union("a_ends", "b_ends"), lambda end: one(at, end)))
-
+    return _bound(F.struct(at_bytes("a").alias("a"), at_bytes("b").alias("b")), lambda at: F.transform("ends", lambda end: one(at, end)))
+
+
+class _Parts:
+    """The groups, as bytes, and links of a task's parts, by their numbers."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.texts: list[bytes] = []
+        self.counts: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        self.links: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def learn(self, rows: pa.RecordBatch) -> None:
+        """Take in rows of parts, each cut where its parts end."""
+        for first, parts, common, groups, ends, links in zip(*(rows.column(c) for c in ("first", "parts", "common", "groups", "ends", "links")), strict=True):
+            if first.as_py() == 0:
+                self.forget()
+            if first.as_py() != len(self.texts):
+                raise RuntimeError("rows of parts came out of order")
+            last, said = parts.values.to_numpy(), groups.as_py().encode().split(b";")
+            at = [np.searchsorted(x.values.to_numpy(), last, "right") for x in (common, ends)]
+            self.texts += [b";".join(said[i:j]) for i, j in pairwise([0, *at[0].tolist()])]
+            self.counts.append(np.array([np.diff(x, prepend=0) for x in at]))
+            self.links.append(links.values.to_numpy())
+
+    def put_together(self, rows: pa.RecordBatch, keep_groups: bool) -> pa.RecordBatch:
+        """The texts that these rows give by their parts."""
+        self.counts, self.links = [np.concatenate(self.counts, 1)], [np.concatenate(self.links)]
+        numbers, (n_groups, n_links) = rows.column("parts").flatten().to_numpy(), self.counts[0]
+        at = _before(rows.column("parts").value_lengths().to_numpy())
+        own = n_links[numbers]
+        links = self.links[0][_spread((np.cumsum(n_links) - n_links)[numbers], own)]
+        listed = numbers.tolist()
+        groups = [b";".join([self.texts[k] for k in listed[i:j]]) for i, j in pairwise(at.tolist())]
+        digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+        n = [pa.array(np.diff(_before(x)[at]).astype(np.int32)) for x in (n_groups[numbers], own)]
+        cells = [*(rows.column(c) for c in ("doc_id", "n_a", "n_b")), *n, pa.array(digests, pa.string())]
+        kept = [pa.array([g.decode() for g in groups], pa.string())] if keep_groups else []
+        names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *["groups"] * keep_groups, "links"]
+        return pa.RecordBatch.from_arrays([*cells, *kept, _lists(links, _before(own)[at], pa.int64())], names=names)
+
+
+def aligned(cut: DataFrame, keep_groups: bool = False) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links) of tokens: links as numbers; with keep_groups also groups as text."""
+    found = cut.withColumn("common", F.array_intersect("a_ends", "b_ends")).withColumn("ends", F.sort_array(F.array_union("a_ends", "b_ends")))
+    found = found.select("doc_id", "first", "parts", "n_a", "n_b", "common", "ends", _groups(F.col("common")).alias("groups"), _links().alias("links"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Parts()
+        for batch in batches:
+            text = batch.column("first").to_numpy() < 0
+            for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(text)]):
+                if hi > lo and text[lo]:
+                    yield known.put_together(batch.slice(lo, hi - lo), keep_groups)
+                elif hi > lo:
+                    known.learn(batch.slice(lo, hi - lo))
 
-def aligned(cut: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of tokens: groups as text, links as numbers."""
-    found = cut.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    return found.select("doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups"), _groups(F.col("common")).alias("groups"), _links().alias("links"))
+    return found.mapInArrow(join, f"doc_id long, n_a int, n_b int, n_groups int, n_links int, groups_sha256 string, {'groups string, ' * keep_groups}links array<long>")
 
 
 def link_sides(link: Column) -> tuple[Column, Column]:
@@ -107,10 +208,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, byte_file: str, piece_file: str, broadcast_pairs: int = BROADCAST_PAIRS, keep_groups: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs (doc_id, text); with keep_groups also the groups' text."""
-    found = aligned(tokens(docs, byte_file, piece_file))
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
-    own = ["doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), digest, *(["groups"] if keep_groups else [])]
-    found = found.select(*own, "links").withColumn("row_", F.monotonically_increasing_id())
+    found = aligned(tokens(docs, byte_file, piece_file), keep_groups).withColumn("row_", F.monotonically_increasing_id())
     path = shared_dir(docs.sparkSession, "align-links")
     found.write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.schema(found.schema).parquet(path)

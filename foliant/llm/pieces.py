@@ -20,10 +20,10 @@ from tokenizers import Tokenizer
 
 from foliant.llm import textvec as tv
 
-#: Characters of the parts remembered at most; then memory starts anew.
-MEMORY = 8_000_000
 #: So many characters of new parts, about, go to the library in one call.
-CALL_CHARS = 1 << 20
+CALL_CHARS = 1 << 17
+#: So many parts are joined and encoded as one text.
+JOINED = 64
 #: Where plain splitting at spaces would not do, and where it is safe then.
 _UNSAFE, _SAFE = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -48,6 +48,12 @@ class TokenBytes:
         return self.flat[np.repeat(self.start[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()
 
 
+def laid_out(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All lists' ids one after another, and how many each list has."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+
 class ByteLevel:
     """Ids of texts by a byte-level BPE file; special strings inside texts are ordinary text."""
 
@@ -67,6 +73,17 @@ class ByteLevel:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ids_of(self, parts: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after another, and how many each part has. ends: where parts end, in bytes. Parts are joined where a text would be cut between them."""
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        joined = ["".join(g) for g in groups]
+        flat, _ = laid_out(self._ids([x for g, j in zip(groups, joined, strict=True) for x in (g if _UNSAFE.search(j) else [j])]))
+        reached = np.cumsum(self.bytes.size[flat])
+        at = np.searchsorted(reached, ends)
+        if len(flat) and at[-1] == len(flat) - 1 and np.array_equal(reached[at], ends):
+            return flat, np.diff(at, prepend=-1)
+        return laid_out(self._ids(parts))
+
     def _parts(self, text: str) -> list[str]:
         """Parts that can be encoded each by itself."""
         if _UNSAFE.search(text):
@@ -89,19 +106,20 @@ class Pieces:
         #: Whether no piece goes on after a space that follows something else, so that texts may be cut there.
         self.cuts = not any(re.search(f"[^{BAR}]{BAR}", p) for p in said)
 
-    def ids_of(self, part: str) -> list[int]:
-        """The ids of a part of a text, which begins with a space."""
-        return self.library.encode(part[1:]) if len(part) > 1 else [self.library.piece_to_id(BAR)]
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts of texts, which begin with a space, one after another, and how many each part has."""
+        alone = [self.library.piece_to_id(BAR)]
+        return laid_out([ids if len(p) > 1 else alone for p, ids in zip(parts, self.library.encode([p[1:] for p in parts], num_threads=1), strict=True)])
 
 
-def _sound(side: TokenBytes, ids: np.ndarray, sizes: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Of which parts the tokens join to their bytes."""
-    said, wanted = side.joined(ids), [p.encode() for p in parts]
+def _sound(side: TokenBytes, ids: np.ndarray, sizes: np.ndarray, wanted: list[bytes], ends: np.ndarray) -> np.ndarray:
+    """Of which parts the tokens join to the wanted bytes, which end there."""
+    said = side.joined(ids)
     end = np.concatenate([[0], np.cumsum(side.size[ids])])[np.cumsum(sizes)]
-    if said == b"".join(wanted) and np.array_equal(np.diff(end, prepend=0), [len(w) for w in wanted]):
-        return np.ones(len(parts), bool)
-    ends = end.tolist()
-    return np.array([said[i:j] == w for w, i, j in zip(wanted, [0, *ends], ends, strict=False)], bool)
+    if np.array_equal(end, ends) and said == b"".join(wanted):
+        return np.ones(len(wanted), bool)
+    at = end.tolist()
+    return np.array([said[i:j] == w for w, i, j in zip(wanted, [0, *at], at, strict=False)], bool)
 
 
 class Paired:
@@ -109,27 +127,27 @@ class Paired:
 
     def __init__(self, byte_file: str, piece_file: str):
         self.left, self.right = ByteLevel(byte_file), Pieces(piece_file)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        """known: the number of each part; sound: whether its tokens have its bytes; its ids are in a side's flat, by start."""
+    def forget(self) -> None:
+        """known: the number of each part; new: the numbers first given in the last call, from 0 after forgetting; sound: whether its tokens have its bytes; its ids are in a side's flat, by start."""
         self.known: dict[str, int] = {}
+        self.new = range(0)
         self.chars, self.sound = 0, np.zeros(0, bool)
         self.flat, self.start = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
 
     def _learn(self, parts: list[str]) -> None:
-        sound = [self.sound]
+        sound, flat, start = [self.sound], [[x] for x in self.flat], [[x] for x in self.start]
         for lo, hi in tv.chunks(parts, CALL_CHARS):
-            some = parts[lo:hi]
-            sides = self.left._ids(some), [self.right.ids_of(p) for p in some]
-            sound.append(np.ones(len(some), bool))
-            for k, (side, ids) in enumerate(zip((self.left, self.right), sides, strict=True)):
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-                sound[-1] &= _sound(side.bytes, flat, sizes, some)
-                self.flat[k] = np.concatenate([self.flat[k], flat])
-                self.start[k] = np.concatenate([self.start[k], self.start[k][-1] + np.cumsum(sizes)])
+            wanted = [p.encode() for p in parts[lo:hi]]
+            ends = np.cumsum(np.fromiter(map(len, wanted), np.int64, hi - lo))
+            sound.append(np.ones(hi - lo, bool))
+            for k, (side, (ids, sizes)) in enumerate(((self.left, self.left.ids_of(parts[lo:hi], ends)), (self.right, self.right.ids_of(parts[lo:hi])))):
+                sound[-1] &= _sound(side.bytes, ids, sizes, wanted, ends)
+                flat[k].append(ids)
+                start[k].append(start[k][-1][-1] + np.cumsum(sizes))
         self.sound = np.concatenate(sound)
+        self.flat, self.start = [np.concatenate(x) for x in flat], [np.concatenate(x) for x in start]
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
         self.chars += sum(map(len, parts))
 
@@ -140,10 +158,9 @@ class Paired:
 
     def parts_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts' parts one after another, and where each text's begin (and one past the last). A text of which a part's tokens have other bytes has none."""
-        if self.chars > MEMORY:
-            self._forget()
-        split = [self._split(t) for t in texts]
+        split, before = [self._split(t) for t in texts], len(self.known)
         self._learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known])
+        self.new = range(before, len(self.known))
         at = [np.fromiter(map(self.known.__getitem__, s), np.int64, len(s)) for s in split]
         at = [x if self.sound[x].all() else x[:0] for x in at]
         return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)

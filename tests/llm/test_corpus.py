@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from foliant.llm import align, resample, urlrules
 from foliant.llm.common import table
-from foliant.llm.pieces import byte_letters
+from foliant.llm.pieces import ByteLevel, byte_letters
 from foliant.llm.queries import URL_RULES
 from tests.llm import edge
 
@@ -199,5 +199,33 @@ def test_alignment_of_the_smallest_table(spark, sf):
     assert sorted(map(tuple, got.collect()), key=str) == plain_alignment([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_a_task_aligns_each_part_once(spark):
+    texts = ["one two  three\n four", "two one", "", None, "one two", " three\tfour "]
+    rows = [(i, texts[i % 6]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = align.tokens(df, BYTES, PIECES)
+    left = Tokenizer.from_file(BYTES)
+    once = sum(len(left.encode(" " + t).ids) for t in texts if t)
+    assert made.agg(F.sum(F.size("a"))).first()[0] <= once
+    assert sorted(map(tuple, align.align(df, BYTES, PIECES).collect()), key=str) == plain_alignment(rows)
+
+
+def test_alignment_by_a_task_that_forgets(spark):
+    rows = [(d, t[:3000] if t else t) for d, t, *_ in edge.rows()]
+    rows += [(1000 + i, f"again and again {i % 7} ▁ x" if i % 3 else f"plain words {i % 5}  two ") for i in range(1500)]
+    made = align.tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BYTES, PIECES, 200)
+    assert made.where("first = 0").count() > 1
+    got = align.aligned(made).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((*r[:5], r[7]) for r in plain_alignment(rows)), key=str)
+
+
+def test_parts_joined_for_the_library():
+    parts = [" a", " ", " it's", " x\n", "  y", " tab\t", " \u00a0z", " ﬁé́", " 日本"] * 30
+    side = ByteLevel(BYTES)
+    ids, sizes = side.ids_of(parts, np.cumsum([len(p.encode()) for p in parts]))
+    alone = [side.library.encode(p, add_special_tokens=False).ids for p in parts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == alone
+
+
 def test_nothing_to_align(docs):
     assert align.align(docs.limit(0), BYTES, PIECES).count() == 0
