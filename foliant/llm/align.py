@@ -47,6 +47,8 @@ GROUP_END = ROOM - 1
 MEMORY = 4_000_000
 #: A row of parts has about so many bytes; a longer part is not cut.
 ROW_BYTES = 1 << 14
+#: Texts are put together in batches of about so many links; a longer text is a batch of its own.
+BATCH_LINKS = 1_000_000
 SIDES = ["a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"]
 TOKENS = "doc_id long, first int, parts array<int>, n_a int, n_b int, a array<long>, a_sizes array<int>, a_ends array<int>, b array<long>, b_sizes array<int>, b_ends array<int>"
 
@@ -159,21 +161,28 @@ class _Parts:
             self.counts.append(np.array([np.diff(x, prepend=0) for x in at]))
             self.links.append(links.values.to_numpy())
 
-    def put_together(self, rows: pa.RecordBatch, keep_groups: bool) -> pa.RecordBatch:
-        """The texts that these rows give by their parts."""
+    def put_together(self, rows: pa.RecordBatch, keep_groups: bool, limit: int = BATCH_LINKS) -> Iterator[pa.RecordBatch]:
+        """The texts that these rows give by their parts, in batches of about limit links."""
         self.counts, self.links = [np.concatenate(self.counts, 1)], [np.concatenate(self.links)]
-        numbers, (n_groups, n_links) = rows.column("parts").flatten().to_numpy(), self.counts[0]
+        before = _before(self.counts[0][1])
         at = _before(rows.column("parts").value_lengths().to_numpy())
-        own = n_links[numbers]
-        links = self.links[0][_spread((np.cumsum(n_links) - n_links)[numbers], own)]
+        reached = _before(self.counts[0][1][rows.column("parts").flatten().to_numpy()])[at]
+        for lo, hi in pairwise([*np.flatnonzero(np.diff(reached[:-1] // limit, prepend=-1)).tolist(), rows.num_rows]):
+            yield self._batch(rows.slice(lo, hi - lo), before, keep_groups)
+
+    def _batch(self, rows: pa.RecordBatch, before: np.ndarray, keep_groups: bool) -> pa.RecordBatch:
+        """before: how many links come before each part's."""
+        numbers, at = rows.column("parts").flatten().to_numpy(), _before(rows.column("parts").value_lengths().to_numpy())
+        n_groups, n_links = self.counts[0][:, numbers]
         listed = numbers.tolist()
         groups = [b";".join([self.texts[k] for k in listed[i:j]]) for i, j in pairwise(at.tolist())]
         digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
-        n = [pa.array(np.diff(_before(x)[at]).astype(np.int32)) for x in (n_groups[numbers], own)]
+        n = [pa.array(np.diff(_before(x)[at]).astype(np.int32)) for x in (n_groups, n_links)]
         cells = [*(rows.column(c) for c in ("doc_id", "n_a", "n_b")), *n, pa.array(digests, pa.string())]
         kept = [pa.array([g.decode() for g in groups], pa.string())] if keep_groups else []
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *["groups"] * keep_groups, "links"]
-        return pa.RecordBatch.from_arrays([*cells, *kept, _lists(links, _before(own)[at], pa.int64())], names=names)
+        links = self.links[0][_spread(before[numbers], n_links)]
+        return pa.RecordBatch.from_arrays([*cells, *kept, _lists(links, _before(n_links)[at], pa.int64())], names=names)
 
 
 def aligned(cut: DataFrame, keep_groups: bool = False) -> DataFrame:
@@ -187,7 +196,7 @@ def aligned(cut: DataFrame, keep_groups: bool = False) -> DataFrame:
             text = batch.column("first").to_numpy() < 0
             for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(text)]):
                 if hi > lo and text[lo]:
-                    yield known.put_together(batch.slice(lo, hi - lo), keep_groups)
+                    yield from known.put_together(batch.slice(lo, hi - lo), keep_groups)
                 elif hi > lo:
                     known.learn(batch.slice(lo, hi - lo))
 

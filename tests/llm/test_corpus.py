@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -219,6 +220,17 @@ def test_alignment_by_a_task_that_forgets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(((*r[:5], r[7]) for r in plain_alignment(rows)), key=str)
 
 
+def test_long_copies_are_put_together_in_small_batches():
+    known = align._Parts()
+    known.learn(pa.RecordBatch.from_pylist([{"first": 0, "parts": [3, 5], "common": [3, 5], "groups": "1|2,3;4|5", "ends": [1, 3, 5], "links": [12, 13, 45]}]))
+    rows = pa.RecordBatch.from_pylist([{"doc_id": d, "n_a": 0, "n_b": 0, "parts": [0, 1] * n} for d, n in enumerate([1, 50, 0, 50, 1, 1])])
+    found = list(known.put_together(rows.cast(pa.schema([*list(rows.schema)[:3], ("parts", pa.list_(pa.int32()))])), True, 100))
+    assert [b.column("doc_id").to_pylist() for b in found] == [[0, 1], [2, 3], [4, 5]]
+    whole = [x for b in found for x in b.to_pylist()]
+    assert [x["links"] for x in whole] == [[12, 13, 45] * n for n in (1, 50, 0, 50, 1, 1)]
+    assert [(x["n_groups"], x["n_links"], x["groups"]) for x in whole] == [(2 * n, 3 * n, ";".join(["1|2,3;4|5"] * n)) for n in (1, 50, 0, 50, 1, 1)]
+
+
 def test_parts_joined_for_the_library():
     parts = [" a", " ", " it's", " x\n", "  y", " tab\t", " \u00a0z", " ﬁé́", " 日本"] * 30
     side = ByteLevel(BYTES)
