@@ -94,7 +94,7 @@ LETTERS = r"(' ' || trim(regexp_replace(lower({}), '[^\p{{L}}]+', ' ', 'g')) ||
 DETECTED = rf"""
 WITH p AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank FROM (
     SELECT lang, unnest({GRAMS}) AS gram FROM (SELECT lang, {LETTERS.format('text')} AS l FROM documents WHERE doc_id % 3 <> 1 AND lang IS NOT NULL AND text IS NOT NULL)) GROUP BY lang, gram QUALIFY rank <= 400),
-g AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({GRAMS}) AS gram FROM (SELECT doc_id, {LETTERS.format('substr(text, 1, 1000)')} AS l FROM documents WHERE length(regexp_replace(substr(text, 1, 1000), '^\s+|\s+$', '', 'g')) >= 50)) GROUP BY 1, 2),
+g AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({GRAMS}) AS gram FROM (SELECT doc_id, {LETTERS.format('LOOKED_AT')} AS l FROM documents WHERE length(regexp_replace(LOOKED_AT, '^\s+|\s+$', '', 'g')) >= 50)) GROUP BY 1, 2),
 s AS (SELECT doc_id, lang, sum(n * (401 - rank)) AS points FROM g JOIN p USING (gram) GROUP BY 1, 2),
 b AS (SELECT doc_id, arg_max(lang, (points, lang)) AS lang, max(points) / sum(points) AS score FROM s GROUP BY 1)
 """
@@ -105,19 +105,19 @@ def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.profiles(docs(spark, sf_dir).where("doc_id % 3 <> 1").select("text", "lang"))
 
 
-@query(DETECTED + "SELECT d.doc_id, coalesce(b.lang, 'en') AS lang, round(coalesce(b.score, 0), 6) AS score FROM documents d LEFT JOIN b USING (doc_id)")
+@query(DETECTED.replace("LOOKED_AT", "text") + "SELECT d.doc_id, coalesce(b.lang, 'en') AS lang, round(coalesce(b.score, 0), 6) AS score FROM documents d LEFT JOIN b USING (doc_id)")
 def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.detected(docs(spark, sf_dir), learned(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query(DETECTED + r"""
+@query(DETECTED.replace("LOOKED_AT", "substr(text, 1, 1000)") + r"""
 SELECT d.doc_id, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200 THEN coalesce(b.lang, 'en') WHEN d.doc_id % 2 = 0 THEN {'fr': 'fra', 'de': 'deu', 'es': 'spa'}[d.lang] ELSE NULL END AS found,
   CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200 THEN 'text' WHEN d.doc_id % 2 = 0 AND d.lang IN ('fr', 'de', 'es') THEN 'model' ELSE 'default' END AS origin FROM documents d LEFT JOIN b USING (doc_id)
 """.replace("{'fr': 'fra', 'de': 'deu', 'es': 'spa'}[d.lang]", "CASE d.lang WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END"))
 def language_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What tells each document's language: its text where it is long enough, else the code that a model's answer names."""
+    """What tells each document's language: its text's first 1000 characters where it is long enough, else the code that a model's answer names."""
     d = docs(spark, sf_dir)
-    by_text = languages.detected(d, learned(spark, sf_dir), "doc_id").select("doc_id", F.col("lang").alias("by_text"))
+    by_text = languages.detected(d, learned(spark, sf_dir), "doc_id", beginning=1000).select("doc_id", F.col("lang").alias("by_text"))
     code = F.create_map(*[F.lit(x) for kv in (("fr", "fra"), ("de", "deu"), ("es", "spa")) for x in kv])
     asked = d.withColumn("said", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The page is in "), F.coalesce(F.try_element_at(code, F.col("lang")), F.lit("an unknown language")), F.lit("."))))
     answers = scorers.answered(asked, "doc_id", "said", lambda texts: texts).select("doc_id", fn.answered_language(F.col("answer")).alias("by_model"))

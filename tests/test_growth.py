@@ -19,6 +19,36 @@ def test_grams_of_a_long_text_take_one_pass(spark):
     assert time.monotonic() - begun < 60
 
 
+def test_languages_of_whole_texts(spark):
+    """Shares of whole texts against a plain count: what comes after the first 1000 characters, pieces' borders, long runs of blanks."""
+    import re
+    from collections import Counter
+
+    from foliant.operators import languages
+
+    german, french = "Straße und Fluß 𝒜a𝒜a ", "été où ça 𝒜𝒜 va "
+    known = {(lang, g): r for lang, own in (("de", german), ("fr", french)) for r, g in enumerate(sorted({(own * 3).lower()[i : i + 3] for i in range(len(own))}), 1)}
+    texts = [german * 60 + french * 300, " " * 3000 + french * 9, "ab" + " " * 300_000 + german * 9, "12 " * 400 + french * 40, "a𝒜" * 3000 + german]
+    texts += [" " + (german * 50 + french * 100)[:n] + " " for n in (47, 48, 49, 50, 51, 52, *range(996, 1006), *range(1994, 2004))] + [None, "", " " * 99, "7" * 99]
+
+    def plain(text):
+        letters = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip(" ") + " "
+        counts, points = Counter(letters[i : i + 3] for i in range(len(letters) - 2)), Counter()
+        for (lang, g), rank in known.items():
+            points[lang] += counts[g] * (languages.RANKS + 1 - rank)
+        if len((text or "").strip()) < 50 or not sum(points.values()):
+            return "en", 0.0
+        top = max(points, key=lambda lang: (points[lang], lang))
+        return top, points[top] / sum(points.values())
+
+    profiles = spark.createDataFrame([(lang, g, r) for (lang, g), r in known.items()], "lang string, gram string, rank int")
+    begun = time.monotonic()
+    found = languages.detected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profiles, "doc_id").collect()
+    assert {r["doc_id"]: (r["lang"], r["score"]) for r in found} == {i: plain(t) for i, t in enumerate(texts)}
+    assert [plain(t)[0] for t in texts[:4]] == ["fr", "fr", "de", "fr"]
+    assert time.monotonic() - begun < 60
+
+
 def test_blocks_of_a_matrix_are_small(spark):
     from foliant.llm import resample
 
