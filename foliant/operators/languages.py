@@ -57,7 +57,10 @@ def profiles(texts: DataFrame, ranks: int = RANKS, languages: int = LANGUAGES) -
 def detected(texts: DataFrame, known: DataFrame, key: str, least: float = 0.0, ranks: int = RANKS, beginning: int | None = None) -> DataFrame:
     """(key, lang, score) of whole texts (key, text) by profiles: the language with the largest share of a text's points, 0 to 1. A short text, one without a known n-gram, and one whose best share is under the least, is of the default language. Only a caller that wants no more than the beginnings of texts gives their length."""
     looked = texts.select(key, F.substring("text", 1, beginning).alias("text") if beginning else F.col("text"))
-    points = each_gram(looked.where(F.col("text").rlike(LONG)), key).join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.sum((ranks + 1 - F.col("rank")).cast("long")).alias("points"))
+    # One row for each n-gram of the profiles, with its languages: a lookup for each n-gram of a text, not one for each language.
+    held = known.groupBy("gram").agg(F.collect_list(F.struct("lang", (ranks + 1 - F.col("rank")).cast("long").alias("points"))).alias("held"))
+    worth = each_gram(looked.where(F.col("text").rlike(LONG)), key).join(F.broadcast(held), "gram").select(key, F.inline("held"))
+    points = worth.groupBy(key, "lang").agg(F.sum("points").alias("points"))
     best = points.groupBy(key).agg(F.max_by("lang", F.struct("points", F.col("lang"))).alias("lang"), F.max("points").alias("top"), F.sum("points").alias("all"))
     found = texts.select(key).join(best, key, "left").withColumn("score", F.coalesce(F.col("top") / F.col("all"), F.lit(0.0)))
     return found.select(key, F.when(F.col("score") > least, F.col("lang")).otherwise(DEFAULT).alias("lang"), "score")
